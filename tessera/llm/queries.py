@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, sharding
+from tessera.llm import bpe, decontaminate, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding}
-ORACLES = {"op2_sharding": sharding.oracle()}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_windows(docs, _read(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_count()
+    items = F.sha2(F.array_join("hit_items", ",").cast("binary"), 256)
+    return found.select("doc_id", F.col("hit_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op7_decontaminate": op7_decontaminate}
+ORACLES = {"op2_sharding": sharding.oracle(), "op7_decontaminate": decontaminate.ORACLE}
