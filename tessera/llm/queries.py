@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, sharding
+from tessera.llm import bpe, decontaminate, html_text, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +33,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("hit_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op7_decontaminate": op7_decontaminate}
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op7_decontaminate": op7_decontaminate, "op9_html": op9_html}
 ORACLES = {"op2_sharding": sharding.oracle(), "op7_decontaminate": decontaminate.ORACLE}
