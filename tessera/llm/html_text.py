@@ -2,8 +2,8 @@
 
 A page is read as one sequence of word runs and tags.  Every word run scores its number of words
 times the log-odds, for its open elements, of main text against page furniture (an element that is
-all but never main text decides alone, whatever holds it); a run of furniture counts as one word of
-it, so that a long advert does not cut an article; every tag scores below zero.  One linear scan finds the contiguous region of highest sum.  Inside it, runs whose own
+all but never main text decides alone, whatever holds it); a run of furniture costs a
+few tags, whatever its length, so that a long advert does not cut an article; every tag scores below zero.  One linear scan finds the contiguous region of highest sum.  Inside it, runs whose own
 log-odds are below zero (an advert between paragraphs) are left out.  All weights come from labelled
 pages (``LABELLED``), counted with a symmetric prior.
 
@@ -60,9 +60,9 @@ LABELLED = [
     ("div.related ul li a", 0, 150), ("div.related p", 0, 100), ("div.recommended a", 0, 80), ("div.trending a", 0, 60), ("div.popular a", 0, 60), ("div.share a", 0, 100), ("div.social a", 0, 100), ("div.newsletter p", 0, 120), ("div.subscribe p", 0, 120), ("div.signup p", 0, 80), ("div.login p", 0, 60), ("div.search", 0, 60), ("div.tags a", 0, 60), ("div.meta", 0, 60), ("div.byline", 0, 40), ("div.author.bio p", 0, 40), ("article div.share a", 0, 40), ("article div.related a", 0, 60), ("article div.newsletter p", 0, 60),
     ("ul li a", 0, 250), ("div ul li a", 0, 150), ("div a", 0, 100), ("a", 0, 60), ("dialog p", 0, 80),
 ]
-#: Cost of a tag in words of weakest main text, pseudo-count of a label, log-odds of a word without
+#: Cost of a tag (a furniture run costs ten tags at most), pseudo-count of a label, log-odds of a word without
 #: context (main text is the larger part of a page), and the log-odds below which one label decides.
-TAG_COST, PRIOR, BASE, DECIDES = 0.6, 0.5, 0.6, -2.5
+TAG_COST, PRIOR, BASE, DECIDES = 0.1, 0.5, 0.6, -2.5
 
 
 def _label(tag: str, inside: bool, in_text: bool) -> str:
@@ -167,7 +167,7 @@ def extract_text(page: str | None) -> str:
     best, total, begin, region = 0.0, 0.0, 0, (0, 0)
     for i, (text, score, _) in enumerate(runs):
         if text is None or score <= 0:
-            gain = 0.0 if text is not None and text.isspace() else score
+            gain = -TAG_COST if text is None else 0.0 if text.isspace() else max(score, -10 * TAG_COST)
         else:
             gain = 0.0 if text.isspace() else score * (text.count(" ") + 1)
         if total <= 0:
