@@ -24,8 +24,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Resolved pre-tokens that a worker remembers before it starts anew; bounds its memory.
-MEMO_ENTRIES = 250_000
+#: Resolved pre-tokens of one memo generation.  A worker holds two: what is used again moves to the
+#: young one, and when that is full the old one goes, so memory is bounded and frequent words stay.
+MEMO_ENTRIES = 300_000
 #: Mean keys per bucket of the perfect hash.
 BUCKET_KEYS = 4
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -132,6 +133,7 @@ class Codec:
             self.split = regex.compile(self.pattern).findall
             self.rank = {x: i for i, x in enumerate(self.vocab) if x}
             self.memo: dict[str, tuple[str, tuple[int, ...]]] = {}
+            self.old_memo: dict[str, tuple[str, tuple[int, ...]]] = {}
         return self
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -183,9 +185,12 @@ class Codec:
             new = set(pieces).difference(self.memo)
             if new:
                 if len(self.memo) + len(new) > MEMO_ENTRIES:
-                    self.memo.clear()
+                    self.old_memo, self.memo = self.memo, {}
                     new = set(pieces)
-                self.resolve(list(new))
+                for piece in new.intersection(self.old_memo):
+                    self.memo[piece] = self.old_memo[piece]
+                if new := list(new.difference(self.memo)):
+                    self.resolve(new)
             found = list(map(self.memo.__getitem__, pieces))
             yield " ".join([x[0] for x in found]), list(chain.from_iterable([x[1] for x in found]))
 
