@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_text, sharding
+from tessera.llm import bpe, chat, decontaminate, html_text, sharding, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,11 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op9_html": op9_html}
-ORACLES = {"op2_sharding": sharding.oracle(), "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _read(spark, sf_dir, "pages").select("page_id", "url", url_filter.sample_time("page_id").alias("fetched"))
+    judged = url_filter.judge(captures, url_filter.sample_list(captures))
+    return judged.withColumn("kept", F.col("url_action") != "block")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op9_html": op9_html, "op10_url_filter": op10_url_filter}
+ORACLES = {"op2_sharding": sharding.oracle(), "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_url_filter": url_filter.ORACLE}
