@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_text, sharding, url_filter
+from tessera.llm import bpe, chat, decontaminate, html_text, langid, sharding, url_filter
+from tessera.llm.common import in_training
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 #: A conversation whose texts look like another template's control strings.
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -57,5 +64,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("kept", F.col("url_action") != "block")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op9_html": op9_html, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op9_html": op9_html, "op10_url_filter": op10_url_filter}
 ORACLES = {"op2_sharding": sharding.oracle(), "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_url_filter": url_filter.ORACLE}
