@@ -187,8 +187,8 @@ class Codec:
                 if len(self.memo) + len(new) > MEMO_ENTRIES:
                     self.old_memo, self.memo = self.memo, {}
                     new = set(pieces)
-                for piece in new.intersection(self.old_memo):
-                    self.memo[piece] = self.old_memo[piece]
+                old = self.old_memo
+                self.memo.update([(x, old[x]) for x in new if x in old])
                 if new := list(new.difference(self.memo)):
                     self.resolve(new)
             found = list(map(self.memo.__getitem__, pieces))
