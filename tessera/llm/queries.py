@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_text, langid, sharding, toxicity, url_filter
+from tessera.llm import bpe, chat, decontaminate, html_text, jaccard, langid, sharding, toxicity, url_filter
 from tessera.llm.common import in_training
 
 
@@ -61,6 +61,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("hit_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -72,5 +76,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("kept", F.col("url_action") != "block")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op9_html": op9_html, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_html": op9_html, "op10_url_filter": op10_url_filter}
 ORACLES = {"op2_sharding": sharding.oracle(), "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_url_filter": url_filter.ORACLE}
