@@ -61,9 +61,12 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     wanted = pairs.select("__host", "__segment", F.explode(_candidates(F.col("__host"), F.col("__segment"))).alias("pattern"))
     one = F.struct(F.length("pattern").alias("n"), "pattern", "since", "until", "action")
     rules = wanted.join(intervals(entries), "pattern").groupBy("__host", "__segment").agg(F.collect_list(one).alias("__rules"))
+    # Two salts: the join then has an exchange of its own on either side, whose skewed parts AQE splits.
+    rules = rules.withColumn("__salt", F.explode(F.array(F.lit(0), F.lit(1))))
+    keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64(url_col, time_col), F.lit(2)).cast("int"))
     at = F.col(time_col)
     live = F.filter("__rules", lambda r: (r["since"] <= at) & (r["until"].isNull() | (at < r["until"])))
-    found = keyed.join(rules, ["__host", "__segment"], "left").withColumn("__best", F.array_max(live))
+    found = keyed.join(rules, ["__host", "__segment", "__salt"], "left").withColumn("__best", F.array_max(live))
     best = F.col("__best")
     return found.select(*kept, F.coalesce(best["action"], F.lit(default)).alias("url_action"), best["pattern"].alias("url_pattern"), best["since"].alias("url_since"))
 
