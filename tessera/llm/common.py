@@ -32,17 +32,23 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-def bounded_sample(rows: DataFrame, key: str, text: str, label: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` distinct texts of each label, lowest text hashes first, as (text, label).
+#: Parts in which each label's sample is drawn, so that a frequent label is no single task.
+SAMPLE_PARTS = 32
 
-    Copies of a text count once (the lowest label of them), so no group of copies fills the sample.
-    The choice is made on hashes; texts are read again for the chosen keys only, whose number is
-    bounded by the parameter.
+
+def bounded_sample(rows: DataFrame, key: str, text: str, label: str, per_label: int, labels: DataFrame | None = None) -> DataFrame:
+    """About ``per_label`` distinct texts of each label at most, lowest text hashes first, as (text, label).
+
+    Labels are a column of ``rows``, or of ``labels`` by the same key.  Copies of a text count once
+    (with the lowest label of them), so no group of copies fills the sample.  The choice is made on
+    hashes; texts are read again for the chosen keys only, whose number is bounded by the parameter.
     """
-    hashed = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), F.col(label).alias("__label"))
-    distinct = hashed.groupBy("__hash").agg(F.min(F.struct("__label", "__key")).alias("__one")).select("__hash", "__one.*")
-    rank = F.row_number().over(W.Window.partitionBy("__label").orderBy("__hash"))
-    chosen = distinct.withColumn("__rank", rank).where(F.col("__rank") <= per_label).select("__key", "__label", "__hash")
-    found = rows.select(F.col(key).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    found = found.join(F.broadcast(chosen), "__key").where(F.xxhash64("text") == F.col("__hash"))
-    return found.select("text", F.col("__label").alias("label"))
+    texts = rows.where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    hashed = texts.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), *([F.col(label).alias("__label")] if labels is None else []))
+    if labels is not None:
+        hashed = hashed.join(labels.select(F.col(key).alias("__key"), F.col(label).alias("__label")), "__key")
+    distinct = hashed.where(F.col("__label").isNotNull()).groupBy("__hash").agg(F.min(F.struct("__label", "__key")).alias("__one")).select("__hash", "__one.*")
+    rank = F.row_number().over(W.Window.partitionBy("__label", F.pmod("__hash", F.lit(SAMPLE_PARTS))).orderBy("__hash"))
+    chosen = distinct.withColumn("__rank", rank).where(F.col("__rank") <= -(-per_label // SAMPLE_PARTS)).select("__key", "__label", "__hash")
+    found = texts.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
+    return found.where(F.xxhash64("text") == F.col("__hash")).select("text", F.col("__label").alias("label"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import bounded_sample, in_training, slices
+from tessera.llm.graph import checkpointed
 
 #: Distinct labelled texts of each class that the model learns from.
 SAMPLE_TEXTS = 6000
@@ -214,9 +215,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on a bounded sample of labelled rows that are not held out."""
-    marks = labels.where(F.col(label_col).isNotNull() & in_training(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("body")).join(marks, "__id")
-    sample = bounded_sample(rows, "__id", "body", "label", SAMPLE_TEXTS).select("text", (F.col("label") > 0).cast("int").alias("label"))
+    marks = labels.where(F.col(label_col).isNotNull() & in_training(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    sample = bounded_sample(rows, "id", "body", "label", SAMPLE_TEXTS, marks)
+    sample = checkpointed(sample.select("text", (F.col("label") > 0).cast("int").alias("label")))
     totals = dict(sample.groupBy("label").count().collect())
     model = Model()
     if not totals.get(0) or not totals.get(1):
