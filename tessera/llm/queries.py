@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False, with_digests=True)
+    return bpe.encode(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, outputs=("ids_sha256", "decoded_sha256"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
