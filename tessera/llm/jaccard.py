@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from tessera.llm.common import slices
 from tessera.llm.graph import checkpointed, connected
@@ -357,7 +358,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = checkpointed(_keys(rows, width))
     classes = keys.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"))
-    named = checkpointed(keys.join(classes, "digest", "left"))
+    # Two salts give this join exchanges of its own, so AQE can split a text with very many copies.
+    salted = classes.withColumn("salt", F.explode(F.array(F.lit(0), F.lit(1))))
+    named = checkpointed(keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt"))
     firsts = named.where("id = first").select("id").distinct()
     copies = named.where("first is null or id <> first").select("id").distinct().join(firsts, "id", "left_anti").where("id is not null")
     counted = copies.count()
@@ -375,3 +378,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = connected(links.unionByName(same)).select(F.col("node").alias("first"), "component")
     out = named.join(found, "first", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the smallest id's.
+
+    Only rows whose id is repeated are shuffled (one of them stays); rows of null id all stay.
+    """
+    found = near_groups(docs, id_col, text_col, width=width, percent=percent).select(F.col(id_col).alias("__id"), "component_id").where("__id is not null")
+    by_id = checkpointed(found.groupBy("__id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows")).where("component <> __id or rows > 1"))
+    gone, twice = by_id.where("component <> __id").select("__id"), by_id.where("component = __id").select("__id")
+
+    def sized(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_COPIES else ids.hint("shuffle_hash")
+
+    key = docs[id_col].cast("long") == F.col("__id")
+    kept = docs.join(sized(gone), key, "left_anti")
+    repeated = kept.join(sized(twice), key, "left_semi")
+    row = F.row_number().over(W.Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in (id_col, text_col) and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)))))
+    one = repeated.withColumn("__row", row).where("__row = 1").select(*docs.columns)
+    return kept.join(sized(twice), key, "left_anti").unionByName(one)
