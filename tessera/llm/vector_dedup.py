@@ -111,32 +111,31 @@ def compare(leaf: int, vectors: np.ndarray, leaves: np.ndarray, copies: np.ndarr
     each vector's root in the leaf's forest."""
     n = len(vectors)
     norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
-    counts, parent = np.zeros(n, np.int64), np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    counts, label = np.zeros(n, np.int64), np.arange(n)
+    # Vectors of a dense group lie in the same leaves: what two kinds share is found once a pair of kinds.
+    kinds, kind = np.unique(leaves, axis=0, return_inverse=True)
+    kind = kind.reshape(-1).astype(np.int64)
     for start in range(0, n, 512):
         rows = np.arange(start, min(n, start + 512))
         cosine = (vectors[rows] @ vectors[start:].T) / (norms[rows, None] * norms[None, start:])
-        i, j = np.nonzero(cosine >= threshold)
-        i, j = rows[i], j + start
-        ok = (j > i) & ((block[i] != block[j]) if cross else True)
-        i, j = i[ok], j[ok]
-        for a in range(0, len(i), 200_000):
-            x, y = i[a : a + 200_000], j[a : a + 200_000]
-            first = _first_shared(leaves[x], leaves[y]) == leaf
-            np.add.at(counts, x[first], copies[y[first]])
-            np.add.at(counts, y[first], copies[x[first]])
-            low = parent[x]  # cheap skips before the exact union
-            for u, v in zip(x[low != parent[y]].tolist(), y[low != parent[y]].tolist(), strict=True):
-                u, v = root(u), root(v)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-    return counts, np.array([root(k) for k in range(n)], np.int64)
+        near = cosine >= threshold
+        near &= np.arange(start, n)[None, :] > rows[:, None]
+        if cross:
+            near &= block[rows, None] != block[None, start:]
+        i, j = np.nonzero(near)
+        i, j = i + start, j + start
+        for a in range(0, len(i), 500_000):
+            x, y = i[a : a + 500_000], j[a : a + 500_000]
+            pairs, which = np.unique(kind[x] * len(kinds) + kind[y], return_inverse=True)
+            first = (_first_shared(kinds[pairs // len(kinds)], kinds[pairs % len(kinds)]) == leaf)[which.reshape(-1)]
+            counts += np.bincount(x[first], weights=copies[y[first]], minlength=n).astype(np.int64)
+            counts += np.bincount(y[first], weights=copies[x[first]], minlength=n).astype(np.int64)
+        for k in np.nonzero(near.any(axis=1))[0].tolist():
+            linked = np.append(np.nonzero(near[k])[0] + start, k + start)
+            names = np.unique(label[linked])
+            if len(names) > 1:
+                label[np.isin(label, names[1:])] = names[0]
+    return counts, label
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
