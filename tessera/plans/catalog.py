@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.plans.registry import Registry, table
+from tessera.plans import models, posterior, relational, scoring, text
+from tessera.plans.registry import Registry
 
 REGISTRY = Registry()
-FLAGSHIP = "region_names"
+for part in (text, scoring, posterior, relational, models):
+    for name, run in part.REG.queries.items():
+        REGISTRY.add(name, run, part.REG.oracles.get(name))
 
-REGISTRY.add("region_names", lambda s, d: table(s, d, "region").select("r_regionkey", "r_name"), "SELECT r_regionkey, r_name FROM region")
+#: The query that entry() runs: agreement of three labellers, as one aggregate over one join.
+FLAGSHIP = "agreement_funnel"
