@@ -13,6 +13,7 @@ and text columns named by the caller is read, so extra columns may have any name
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import re
 from collections.abc import Iterable, Iterator
@@ -26,14 +27,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, worker_state
 
 #: Resolved pre-tokens of one memo generation.  A worker holds two: what is used again moves to the
 #: young one, and when that is full the old one goes, so memory is bounded and frequent words stay.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 250_000
+#: Bytes of text that are split and looked up together.
+SLICE_BYTES = 1 << 20
 #: Mean keys per bucket of the perfect hash.
 BUCKET_KEYS = 4
-_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+#: Of a resolved pre-token: its ids as decimal text joined by one space, as numbers, and decoded.
+Piece = tuple[str, tuple[int, ...], bytes]
+_SAID, _IDS, _DECODED = itemgetter(0), itemgetter(1), itemgetter(2)
 #: Patterns with a form for the faster standard engine.  The two forms agree on texts without the
 #: characters below (numerals that are no decimal digits, and separators that are no white space).
 FASTER = {
@@ -126,6 +131,14 @@ class PerfectHash:
         return self.key_at[_slots(h, self.seeds[(h % np.uint64(self.buckets)).astype(np.int64)], self.n)]
 
 
+class Memo:
+    """Resolved pre-tokens of a worker, in two generations."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, Piece] = {}
+        self.old: dict[str, Piece] = {}
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; built once on the driver and sent to the workers."""
 
@@ -144,8 +157,8 @@ class Codec:
             self.split = regex.compile(self.pattern).findall
             self.split_fast = re.compile(FASTER[self.pattern]).findall if self.pattern in FASTER else None
             self.rank = {x: i for i, x in enumerate(self.vocab) if x}
-            self.memo: dict[str, tuple[str, tuple[int, ...]]] = {}
-            self.old_memo: dict[str, tuple[str, tuple[int, ...]]] = {}
+            self.first = [self.rank.get(bytes((a, b))) for a in range(256) for b in range(256)]
+            self.memo = Memo()
         return self
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -156,7 +169,8 @@ class Codec:
         """
         rank, n = self.rank, len(piece)
         get, pop, push = rank.get, heapq.heappop, heapq.heappush
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        first = self.first
+        heap = [(r, i, i + 2) for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False)) if (r := first[a << 8 | b]) is not None]
         heapq.heapify(heap)
         end, start = list(range(1, n + 1)), list(range(-1, n))
         while heap:
@@ -175,8 +189,8 @@ class Codec:
             i = end[i]
         return tuple(out)
 
-    def resolve(self, pieces: list[str]) -> dict[str, tuple[str, tuple[int, ...]]]:
-        """Ids of distinct pre-tokens, as decimal text joined by one space and as numbers."""
+    def resolve(self, pieces: list[str]) -> dict[str, Piece]:
+        """Ids of distinct pre-tokens, as decimal text and as numbers, and what they decode to."""
         raw = [x.encode() for x in pieces]
         short = [i for i, x in enumerate(raw) if len(x) <= self.longest]
         whole = np.full(len(raw), -1, np.int64)
@@ -185,68 +199,53 @@ class Codec:
         out = {}
         for piece, key, at in zip(pieces, raw, whole.tolist(), strict=True):
             if at >= 0 and self.vocab[self.ids[at]] == key:
-                out[piece] = (str(self.ids[at]), (self.ids[at],))
+                ids: tuple[int, ...] = (self.ids[at],)
             else:
                 ids = self.merge(key)
-                out[piece] = (" ".join(map(str, ids)), ids)
+            out[piece] = (" ".join(map(str, ids)), ids, self.decode(ids))
         return out
 
-    def remember(self, pieces: set[str]) -> None:
-        """Has the memo hold these pre-tokens, resolving those that neither generation knows."""
-        new = pieces.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.old_memo, self.memo = self.memo, {}
+    def remember(self, pieces: set[str]) -> dict[str, Piece]:
+        """These pre-tokens, from the memo, resolving those that neither generation knows."""
+        memo = self.memo
+        new = pieces.difference(memo.young)
+        if len(memo.young) + len(new) > MEMO_ENTRIES:
+            memo.old, memo.young = memo.young, {}
             new = pieces
-        old = self.old_memo
-        self.memo.update([(x, old[x]) for x in new if x in old])
-        if new := list(new.difference(self.memo)):
-            self.memo.update(self.resolve(new))
+        old = memo.old
+        memo.young.update([(x, old[x]) for x in new if x in old])
+        if new := list(new.difference(memo.young)):
+            memo.young.update(self.resolve(new))
+        return dict(zip(pieces, map(memo.young.__getitem__, pieces), strict=True))
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[tuple[str, tuple[int, ...]]]]:
-        """For each text its pre-tokens' ids; texts are held together, so new words are resolved at once.
+    def encode_batch(self, texts: list[str | None]) -> Iterator[list[Piece]]:
+        """For each text its resolved pre-tokens; texts are held together, so words are looked up once.
 
         The memo holds no pre-token with a character on which the two engines differ.  Such a
         character therefore shows among the new pre-tokens, and its texts are split again exactly.
         """
         self.ready()
         split = [(self.split_fast or self.split)(t) if t else [] for t in texts]
-        distinct = list(map(set, split))
-        every = set().union(*distinct)
-        odd = {x for x in every.difference(self.memo) if not _APART.isdisjoint(x)} if self.split_fast else set()
+        every = set().union(*split)
         special: dict[int, dict] = {}
-        if odd:
+        if self.split_fast and (odd := {x for x in every.difference(self.memo.young) if not _APART.isdisjoint(x)}):
             for i, text in enumerate(texts):
-                if not odd.isdisjoint(distinct[i]):
+                if not odd.isdisjoint(split[i]):
                     split[i] = self.split(text)
                     special[i] = self.resolve(list(set(split[i])))
-                    distinct[i] = set()
-            every = set().union(*distinct)
-        self.remember(every)
-        known = self.memo.__getitem__
+            every = set().union(*(x for i, x in enumerate(split) if i not in special))
+        known = self.remember(every)
         for i, pieces in enumerate(split):
-            own = special.get(i) or dict(zip(distinct[i], map(known, distinct[i]), strict=True))
-            yield list(map(own.__getitem__, pieces))
+            yield list(map((special.get(i) or known).__getitem__, pieces))
 
     @staticmethod
-    def ids_of(found: list[tuple[str, tuple[int, ...]]]) -> Iterator[int]:
-        return chain.from_iterable(map(_SECOND, found))
+    def ids_of(found: list[Piece]) -> Iterator[int]:
+        return chain.from_iterable(map(_IDS, found))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
 
 
-_KEPT: dict[str, Codec] = {}
-
-
-def _worker_codec(sent) -> Codec:
-    """One codec a worker process and vocabulary, so its memo outlives a task."""
-    key, codec = sent.value
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = codec
-    return _KEPT[key].ready()
-
-
 def broadcast_codec(spark: SparkSession, path: str, pattern: str):
     """The codec as a broadcast; its size is that of the vocabulary file, whatever the corpus."""
     vocab = read_ranks(spark, path)
@@ -254,7 +253,7 @@ def broadcast_codec(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((key, Codec(vocab, pattern)))
 
 
-_OUTPUTS = {"ids": (pa.list_(pa.int32()), "array<int>"), "decoded": (pa.binary(), "binary"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
+_OUTPUTS = {"n_tokens": (pa.int64(), "long"), "ids": (pa.list_(pa.int32()), "array<int>"), "decoded": (pa.binary(), "binary"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -267,23 +266,33 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     sent = broadcast_codec(df.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker_codec(sent)
-        for whole in batches:
-            for batch in slices(whole, 1):
-                counts: list[int] = []
-                cols: dict[str, list] = {k: [] for k in outputs}
-                for found in codec.encode_batch(batch.column(1).to_pylist()):
-                    said = " ".join(map(_FIRST, found))
-                    counts.append(said.count(" ") + 1 if said else 0)
-                    decoded = codec.decode(codec.ids_of(found))
-                    for k, col in cols.items():
-                        if k == "ids_sha256":
-                            col.append(sha256(said.encode()).hexdigest())
-                        else:
-                            col.append(list(codec.ids_of(found)) if k == "ids" else decoded if k == "decoded" else sha256(decoded).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(v, _OUTPUTS[k][0]) for k, v in cols.items())], names=["key", "n_tokens", *cols])
+        key, codec = sent.value
+        codec.ready().memo = worker_state(("bpe", key), Memo)
+        made = {
+            "n_tokens": lambda found, said, raw: said.count(" ") + 1 if said else 0,
+            "ids": lambda found, said, raw: list(codec.ids_of(found)),
+            "decoded": lambda found, said, raw: raw,
+            "ids_sha256": lambda found, said, raw: sha256(said.encode()).hexdigest(),
+            "decoded_sha256": lambda found, said, raw: sha256(raw).hexdigest(),
+        }
+        columns = ["n_tokens", *outputs]
+        gc.disable()  # nothing here is cyclic, and passes over the memo's many tuples cost a third more
+        try:
+            for whole in batches:
+                for batch in slices(whole, 1, SLICE_BYTES):
+                    texts = batch.column(1).to_pylist()
+                    distinct = list(dict.fromkeys(texts))
+                    rows = {}
+                    for text, found in zip(distinct, codec.encode_batch(distinct), strict=True):
+                        said, raw = " ".join(map(_SAID, found)), b"".join(map(_DECODED, found))
+                        rows[text] = [made[c](found, said, raw) for c in columns]
+                    cols = zip(*map(rows.__getitem__, texts), strict=True) if texts else [[] for _ in columns]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, _OUTPUTS[c][0]) for c, v in zip(columns, cols, strict=True))], names=["key", *columns])
+        finally:
+            gc.enable()
+            codec.memo = Memo()  # what is kept is the worker's
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"key {kind}", "n_tokens long", *(f"{k} {_OUTPUTS[k][1]}" for k in outputs)])
+    schema = ", ".join([f"key {kind}", *(f"{k} {_OUTPUTS[k][1]}" for k in ("n_tokens", *outputs))])
     out = df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("key", id_col)
