@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +14,20 @@ from pyspark.sql import window as W
 SLICE_BYTES = 4 << 20
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from one task to the next: of one operator at a time.
+
+    Workers are used again by later stages, so memory kept by one operator would add to the next's.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded text size."""
     held, start = 0, 0

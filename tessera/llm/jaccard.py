@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, worker_state
 from tessera.llm.graph import checkpointed, connected
 
 #: Words whose hashes a worker remembers; n-grams that a block of documents holds; members of a group
 #: that one trie task takes; copies whose ids are broadcast at most (more are joined by shuffle).
-MEMO_WORDS, BLOCK_GRAMS, GROUP_MEMBERS, BROADCAST_COPIES = 400_000, 2_000_000, 2_000, 2_000_000
+MEMO_WORDS, BLOCK_GRAMS, GROUP_MEMBERS, BROADCAST_COPIES = 300_000, 1_000_000, 2_000, 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -53,13 +53,10 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
-def grams_of(text: str | None, width: int) -> np.ndarray:
+def grams_of(text: str | None, width: int, hashes: dict) -> np.ndarray:
     """The sorted set of n-gram hashes; ASCII letters lower-cased, words split at ASCII white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
     n = min(width, len(h))
@@ -76,9 +73,10 @@ def _keys(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, digest) of every document, without its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_state("jaccard", _WordHashes)
         for whole in batches:
             for batch in slices(whole, 1):
-                sets = [grams_of(t, width) for t in batch.column(1).to_pylist()]
+                sets = [grams_of(t, width, hashes) for t in batch.column(1).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary())], names=["id", "n", "digest"])
 
@@ -123,11 +121,12 @@ def _packed(docs: DataFrame, width: int, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict(out, schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_state("jaccard", _WordHashes)
         block, ids, sets, held = TaskContext.get().partitionId() << 20, [], [], 0
         for whole in batches:
             for batch in slices(whole, 1):
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    s = grams_of(text, width)
+                    s = grams_of(text, width, hashes)
                     if len(s):
                         ids.append(i)
                         sets.append(s)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_sample, in_training, slices
+from tessera.llm.common import bounded_sample, in_training, slices, worker_state
 
 UND = "und"
 #: Bounds of the training sample: distinct texts of a language, characters of each that are used,
@@ -271,9 +271,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(sorted({(r[0], r[1]) for r in sample.collect()}))
 
 
-_KEPT: dict[int, Reader] = {}
-
-
 def predict(docs: DataFrame, net: Network, text_col: str = "text", *, spans: bool = False) -> DataFrame:
     """``docs`` with lang_pred and lang_score (and lang_spans); one pass, no shuffle."""
     own = ["lang_pred", "lang_score", *(["lang_spans"] if spans else [])]
@@ -284,10 +281,7 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", *, spans: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, network = sent.value
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = Reader(network)
-        reader = _KEPT[key]
+        reader = worker_state(("langid", key), lambda: Reader(network))
         for whole in batches:
             for batch in slices(whole, at):
                 texts = batch.column(at).to_pylist()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_sample, in_training, slices
+from tessera.llm.common import bounded_sample, in_training, slices, worker_state
 from tessera.llm.graph import checkpointed
 
 #: Distinct labelled texts of each class that the model learns from.
@@ -47,6 +47,8 @@ KARLIN_K = 0.1
 #: Length that the shortest texts count as, and length that a text without any passage counts as.
 LEAST_TOKENS, NO_PASSAGE_TOKENS = 100, 10_000
 THRESHOLD = 0.3
+#: Words whose scores a worker remembers.
+MEMO_WORDS = 300_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SPANS = re.compile(r"[^\W\d_]+").finditer
 
@@ -76,7 +78,7 @@ class Model:
         """Score of a token: the longest feature with evidence speaks for it, less the drift."""
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
             found = next((self.odds[f] for f in reversed(features(word)) if f in self.odds), 0.0) - DRIFT
             self.memo[word] = found
@@ -242,9 +244,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-_KEPT: dict[int, Model] = {}
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", *, spans: bool = False) -> DataFrame:
     """``docs`` with toxicity (and toxic_spans); one pass, no shuffle."""
     own = ["toxicity", *(["toxic_spans"] if spans else [])]
@@ -255,6 +254,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *, spans: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = sent.value
+        worker.memo = worker_state(("toxicity", worker.lam, worker.intercept), dict)
         for whole in batches:
             for batch in slices(whole, at):
                 texts = batch.column(at).to_pylist()
@@ -262,6 +262,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *, spans: bool
                 if spans:
                     added.append(pa.array([[{"start": a, "end": b, "bits": x} for a, b, x in worker.spans(t)] for t in texts], span_type))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, *own])
+        worker.memo = {}  # what is kept is the worker's
 
     fields = [T.StructField("toxicity", T.DoubleType())]
     if spans:
