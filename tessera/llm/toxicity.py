@@ -35,7 +35,7 @@ from tessera.llm.graph import checkpointed
 SAMPLE_TEXTS = 6000
 #: Prefix lengths of the nested priors; weight of each prior; least toxic texts of a feature.
 PREFIXES, PRIOR_WEIGHT, LEAST_TEXTS = (3, 4, 5, 6), 4.0, 3
-#: A prefix speaks for words that were not seen only if no one continuation has more of its texts.
+#: A prefix speaks for words that were not seen only if no one continuation has a larger part of it.
 MOST_SHARE = 0.6
 #: Taken from every token's log-odds, so that a passage must pay for its tokens.
 DRIFT = 0.7
@@ -162,11 +162,13 @@ def _count(sample: DataFrame) -> DataFrame:
 def _odds(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], float]:
     """Log-odds of features with evidence, and how often clean text has one."""
     seen = {f: (t, c) for f, t, c in rows}
-    largest: dict[str, int] = {}  # of what continues a prefix
+    largest: dict[str, int] = {}  # of what continues a prefix, and the sum of it
+    together: dict[str, int] = {}
     for f, (t, _) in seen.items():
         chain = features(f.rstrip("*"))
         if above := chain[: chain.index(f)]:
             largest[above[-1]] = max(largest.get(above[-1], 0), t)
+            together[above[-1]] = together.get(above[-1], 0) + t
     out: dict[str, float] = {}
     clean_hits = 0
     for feature, (t, c) in sorted(seen.items(), key=lambda x: (not x[0].endswith("*"), len(x[0]), x[0])):
@@ -179,7 +181,7 @@ def _odds(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple
             if f == feature:
                 break
         odds = math.log(share / (1 - share)) if 0 < share < 1 else 0.0
-        if t >= LEAST_TEXTS and odds - DRIFT >= EVIDENCE and (not feature.endswith("*") or largest.get(feature, 0) <= MOST_SHARE * t):
+        if t >= LEAST_TEXTS and odds - DRIFT >= EVIDENCE and (not feature.endswith("*") or largest.get(feature, 0) <= MOST_SHARE * max(t, together.get(feature, 0))):
             out[feature] = odds
             clean_hits += c
     return out, (clean_hits + 0.5) / (n_clean + 1)

@@ -1,0 +1,65 @@
+"""Registered queries of the subpackage against SQL twins, and the pipeline against brute force."""
+
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import decontaminate, queries
+
+DIR = "/root/testdata/sf0.001"
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, duck, name):
+    found = queries.QUERIES[name](spark, DIR)
+    got = found.collect()
+    if name not in queries.ORACLES:
+        assert got
+        return
+    result = duck.execute(queries.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(found.columns)
+    want = sorted(str([str(r[columns.index(c)]) for c in sorted(columns)]) for r in result.fetchall())
+    assert sorted(str([str(r[c]) for c in sorted(columns)]) for r in got) == want
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    benchmark = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    extra = spark.createDataFrame([(90_001, "1234 5678", "en", "s", 9), (90_002, None, "en", "s", 0)], docs.schema)
+    docs = docs.unionByName(extra)
+    before = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, before, DIR)
+        out.write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert after.schema.names == docs.schema.names
+            assert after.exceptAll(before).isEmpty()  # nothing is changed
+        if name == "language":
+            assert {r.doc_id for r in before.join(after, "doc_id", "left_anti").collect()} == {90_001, 90_002}
+        if name == "near_duplicates":
+            from test_pairs import brute_sets
+
+            rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            want = {i for i, _, c in brute_sets(rows, 5, 80) if i == c}
+            assert {r.doc_id for r in after.select("doc_id").collect()} == want
+        if name == "decontamination":
+            hit = decontaminate.find_windows(before, benchmark).where(F.size("hit_spans") > 0)
+            assert hit.count() > 0 and after.join(hit, "doc_id", "left_semi").isEmpty() and after.count() + hit.count() == before.count()
+        before = after
+    assert before.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+    assert before.where(F.size("ids") != F.col("n_tokens")).isEmpty()
