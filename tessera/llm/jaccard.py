@@ -397,3 +397,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     row = F.row_number().over(W.Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in (id_col, text_col) and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)))))
     one = repeated.withColumn("__row", row).where("__row = 1").select(*docs.columns)
     return kept.join(sized(twice), key, "left_anti").unionByName(one)
+
+
+#: DuckDB SQL of the query's groups (four words, 85 of 100), by joining shingles.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 100 * i >= 85 * (m.n + k.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM documents d JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""

@@ -81,4 +81,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_vectors": op5_vectors, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_html": op9_html, "op10_url_filter": op10_url_filter}
-ORACLES = {"op2_sharding": sharding.oracle(), "op5_vectors": vector_dedup.ORACLE, "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op2_sharding": sharding.oracle(), "op5_vectors": vector_dedup.ORACLE, "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_url_filter": url_filter.ORACLE}
