@@ -24,15 +24,7 @@ def pivot_longer(df: DataFrame, columns: list[str], names_to: str = "name", valu
 def pivot_longer_pattern(df: DataFrame, columns: list[str], pattern: str, names_to: list[str], values_to: str = "value") -> DataFrame:
     """Column names in parts: the groups of ``pattern`` go to ``names_to``; the part named ``.value``
     keeps its own column of values."""
-    ids = [c for c in df.columns if c not in columns]
-    parts = {c: dict(zip(names_to, re.fullmatch(pattern, c).groups(), strict=True)) for c in columns}
-    keys = [n for n in names_to if n != ".value"]
-    groups: dict[tuple, dict[str, str]] = {}
-    for c, p in parts.items():
-        groups.setdefault(tuple(p[k] for k in keys), {})[p.get(".value", values_to)] = c
-    values = list(dict.fromkeys(v for g in groups.values() for v in g))
-    rows = [F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, key, strict=True)), *((F.col(g[v]) if v in g else F.lit(None)).alias(v) for v in values)) for key, g in groups.items()]
-    return df.select(*ids, F.inline(F.array(*rows)))
+    return pivot_longer_spec(df, longer_spec(columns, pattern, names_to, values_to))
 
 
 def pivot_wider(df: DataFrame, ids: list[str], names_from: str, domain: list, value: Column, fill: object = None, prefix: str = "") -> DataFrame:
@@ -156,3 +148,78 @@ def fill_down(df: DataFrame, columns: list[str], order: list[str], by: list[str]
     up = lambda c: F.first(c, ignorenulls=True).over(after)
     value = {"down": down, "up": up, "downup": lambda c: F.coalesce(down(c), up(c)), "updown": lambda c: F.coalesce(up(c), down(c))}[direction]
     return df.withColumns({c: value(c) for c in columns})
+
+
+def longer_spec(columns: list[str], pattern: str, names_to: list[str], values_to: str = "value") -> list[dict[str, str]]:
+    """What each column becomes, as rows: its name, its value column (``.value``) and its name parts."""
+    out = []
+    for c in columns:
+        parts = dict(zip(names_to, re.fullmatch(pattern, c).groups(), strict=True))
+        out.append({".name": c, ".value": parts.pop(".value", values_to), **parts})
+    return out
+
+
+def pivot_longer_spec(df: DataFrame, spec: list[dict[str, str]]) -> DataFrame:
+    """Longer by a specification table; columns that it does not name are ids."""
+    keys = [k for k in spec[0] if not k.startswith(".")]
+    values = list(dict.fromkeys(r[".value"] for r in spec))
+    groups: dict[tuple, dict[str, str]] = {}
+    for r in spec:
+        groups.setdefault(tuple(r[k] for k in keys), {})[r[".value"]] = r[".name"]
+    rows = [F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, key, strict=True)), *((F.col(g[v]) if v in g else F.lit(None)).alias(v) for v in values)) for key, g in groups.items()]
+    named = {r[".name"] for r in spec}
+    return df.select(*(c for c in df.columns if c not in named), F.inline(F.array(*rows)))
+
+
+def wider_spec(domain: list[tuple], names_from: list[str], values_from: list[str], separator: str = "_") -> list[dict[str, object]]:
+    """One row a new column: its name, the value column it is filled from, and the key of its cells."""
+    many = len(values_from) > 1
+    return [{".name": separator.join(map(str, ([v] if many else []) + list(key))), ".value": v, **dict(zip(names_from, key, strict=True))} for v in values_from for key in domain]
+
+
+def pivot_wider_spec(df: DataFrame, spec: list[dict[str, object]], ids: list[str], value=F.first, fill: object = None) -> DataFrame:
+    """Wider by a specification table; ``value`` aggregates the rows of a cell."""
+    keys = [k for k in spec[0] if not k.startswith(".")]
+    cells = []
+    for r in spec:
+        test = F.lit(True)
+        for k in keys:
+            test = test & F.col(k).eqNullSafe(F.lit(r[k]))
+        cell = value(F.when(test, F.col(r[".value"])), ignorenulls=True) if value in (F.first, F.last) else value(F.when(test, F.col(r[".value"])))
+        cells.append((cell if fill is None else F.coalesce(cell, F.lit(fill))).alias(r[".name"]))
+    return df.groupBy(*ids).agg(*cells)
+
+
+def unnest_wider(df: DataFrame, name: str, separator: str = "") -> DataFrame:
+    """Fields of a struct column as columns, prefixed by its name if a separator is given."""
+    fields = df.schema[name].dataType.names
+    return df.select(*(c for c in df.columns if c != name), *(F.col(f"{name}.{f}").alias(f"{name}{separator}{f}" if separator else f) for f in fields))
+
+
+def unnest_auto(df: DataFrame, name: str) -> DataFrame:
+    """Structs go wider, lists longer."""
+    from pyspark.sql import types as T
+
+    return unnest_wider(df, name) if isinstance(df.schema[name].dataType, T.StructType) else unnest_longer(df, name)
+
+
+def nesting(df: DataFrame, *columns: str) -> DataFrame:
+    """Only the combinations that occur."""
+    return df.select(*columns).distinct()
+
+
+def expand_grid(spark, **domains: list) -> DataFrame:
+    """All combinations of given lists: a table of parameters."""
+    out = None
+    for name, values in domains.items():
+        one = spark.createDataFrame([(v,) for v in values], [name])
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
+def replace_na(df: DataFrame, values: dict) -> DataFrame:
+    return df.fillna(values)
+
+
+def drop_na(df: DataFrame, *columns: str) -> DataFrame:
+    return df.dropna(subset=list(columns) or df.columns)

@@ -166,3 +166,45 @@ def consecutive_id(df: DataFrame, value: str, order: list[str], by=(), name: str
     new = F.when(F.row_number().over(w) == 1, 1).when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)
     marked = df.withColumn("__new", new)
     return marked.withColumn(name, F.sum("__new").over(w.rowsBetween(W.Window.unboundedPreceding, 0))).drop("__new")
+
+
+def arrange(df: DataFrame, *order: Column | str, by=()) -> DataFrame:
+    """Rows in order, nulls last, groups first if asked for."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    return df.orderBy(*_names(by), *(c.asc_nulls_last() if isinstance(o, str) else c for o, c in zip(order, columns, strict=True)))
+
+
+def pull(df: DataFrame, column: str, order: str | None = None) -> list:
+    """One column as a list of the driver; for small results."""
+    return [r[0] for r in (df.orderBy(order) if order else df).select(column).collect()]
+
+
+def reframe(df: DataFrame, by, **columns: Column) -> DataFrame:
+    """Any number of rows a group: columns are aggregates that give arrays of one length."""
+    arrays = df.groupBy(*_names(by)).agg(*(c.alias(n) for n, c in columns.items()))
+    return arrays.select(*_names(by), F.inline(F.arrays_zip(*columns)))
+
+
+def group_apply(df: DataFrame, by, function, schema: str) -> DataFrame:
+    """A pandas function over each group; for groups that fit a task."""
+    return df.groupBy(*_names(by)).applyInPandas(function, schema)
+
+
+def slice_tail(df: DataFrame, n: int, by, order: list[str]) -> DataFrame:
+    return first_rows(df, _names(by), [F.col(c).desc() for c in order], n) if by else df.orderBy(*(F.col(c).desc() for c in order)).limit(n)
+
+
+def slice_range(df: DataFrame, first: int, last: int, order: list, by=()) -> DataFrame:
+    """Rows first to last of each group in order, from 1."""
+    w = W.Window.partitionBy(*_names(by)).orderBy(*order)
+    return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank").between(first, last)).drop("__rank")
+
+
+def slice_fraction(df: DataFrame, fraction: float, key: list[str], seed: int = 42) -> DataFrame:
+    """Rows whose hash falls in a fraction; the same rows however the table is partitioned."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) < int(fraction * 1_000_000))
+
+
+def rows_with_domain(df: DataFrame, domain: DataFrame, key: str, fill: dict) -> DataFrame:
+    """Groups of a domain, those without rows as well."""
+    return domain.join(df, key, "left").fillna(fill)

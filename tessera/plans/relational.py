@@ -386,3 +386,81 @@ def group_nest(s, d):
 def class_map(s, d):
     rows = s.createDataFrame([("Purple / Blue",), ("n/a",), ("GREENISH",), (" ",), ("white ",), ("pink",), ("None",)], "x string")
     return rows.select("x", C.to_class(F.col("x")).alias("class"))
+
+
+@REG.query("pivot_spec_round_trip", "SELECT s_suppkey, 'bal' AS kind, s_acctbal AS amount FROM supplier UNION ALL SELECT s_suppkey, 'nat', s_nationkey::DOUBLE FROM supplier")
+def pivot_spec_round_trip(s, d):
+    w = T(s, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v_bal"), F.col("s_nationkey").cast("double").alias("v_nat"))
+    long = R.pivot_longer_spec(w, R.longer_spec(["v_bal", "v_nat"], r"v_(\w+)", ["kind"], "amount"))
+    spec = R.wider_spec([("bal",), ("nat",)], ["kind"], ["amount"])
+    wide = R.pivot_wider_spec(long, spec, ["s_suppkey"])
+    return R.pivot_longer(wide, ["bal", "nat"], "kind", "amount")
+
+
+@REG.query("unnest_wider", "SELECT s_suppkey, s_name AS x_s_name, s_acctbal AS x_s_acctbal FROM supplier")
+def unnest_wider(s, d):
+    return R.unnest_wider(R.pack(T(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "x", ["s_name", "s_acctbal"]), "x", "_")
+
+
+@REG.query("nesting", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def nesting(s, d):
+    return R.nesting(T(s, d, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@REG.query("expand_grid", "SELECT a, b FROM (VALUES (1), (2), (3)) x(a), (VALUES ('u'), ('v')) y(b)")
+def expand_grid(s, d):
+    return R.expand_grid(s, a=[1, 2, 3], b=["u", "v"])
+
+
+@REG.query("replace_and_drop_na", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, -1) AS v FROM events WHERE event_id % 2 = 0")
+def replace_and_drop_na(s, d):
+    e = T(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"), F.when(F.col("event_id") % 2 == 0, 1).alias("w"))
+    return R.replace_na(R.drop_na(e, "w"), {"v": -1.0}).select("event_id", "v")
+
+
+@REG.query("reframe_quantiles", "SELECT event_type, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS p, unnest([quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75)]) AS q FROM events GROUP BY event_type")
+def reframe_quantiles(s, d):
+    p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    return V.reframe(T(s, d, "events"), "event_type", p=F.first(p), q=F.percentile("value", p))
+
+
+@REG.query("slice_rows", "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k BETWEEN 2 AND 4")
+def slice_rows(s, d):
+    return V.slice_range(T(s, d, "customer").select("c_nationkey", "c_custkey"), 2, 4, [F.col("c_custkey")], "c_nationkey")
+
+
+@REG.query("slice_tail", "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS k FROM customer) WHERE k <= 2")
+def slice_tail(s, d):
+    return V.slice_tail(T(s, d, "customer").select("c_nationkey", "c_custkey"), 2, "c_nationkey", ["c_custkey"])
+
+
+@REG.query("domain_groups", "SELECT n_nationkey, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey")
+def domain_groups(s, d):
+    counts = V.count(T(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey")
+    return V.rows_with_domain(counts, T(s, d, "nation").select("n_nationkey"), "n_nationkey", {"n": 0})
+
+
+@REG.query("group_apply")
+def group_apply(s, d):
+    def middle(pdf):
+        return pdf.sort_values(["c_acctbal", "c_custkey"]).iloc[[len(pdf) // 2]]
+
+    return V.group_apply(T(s, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), "c_nationkey", middle, "c_nationkey int, c_custkey long, c_acctbal double")
+
+
+@REG.query("arranged", "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey, n_name")
+def arranged(s, d):
+    return V.arrange(T(s, d, "nation").select("n_name", "n_regionkey"), "n_name", by="n_regionkey")
+
+
+@REG.query("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 3)")
+def cross_join(s, d):
+    """Every pair of two small tables: the verb itself, for domains and parameters."""
+    return T(s, d, "region").select("r_name").crossJoin(T(s, d, "nation").where("n_nationkey < 3").select("n_name"))
+
+
+@REG.query("semi_and_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS big FROM customer")
+def semi_and_anti(s, d):
+    c = T(s, d, "customer").select("c_custkey")
+    o = T(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(o, "c_custkey", "left_semi").withColumn("big", F.lit(True)).unionByName(c.join(o, "c_custkey", "left_anti").withColumn("big", F.lit(False)))

@@ -140,3 +140,18 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(df(spark, [], "a string, b string"), str(tmp_path / "empty"), ["a"])
     notes = df(spark, [("x", "y"), (None, "y"), ("x", " ")], "notes string, more string")
     assert rows(sinks.append_notes(notes, "notes", "more")) == [("x",), ("x | y",), ("y",)]
+
+
+def test_mutate_sees_earlier_columns_and_places_new_ones(spark):
+    t = df(spark, [(1, 2)], "a int, b int")
+    out = V.mutate(t, after="a", c=F.col("a") + 1, d=F.col("c") * 10)
+    assert out.columns == ["a", "c", "d", "b"] and tuple(out.first()) == (1, 2, 20, 2)
+    assert V.mutate(t, keep="none", c=F.col("a")).columns == ["c"]
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    t = spark.range(1000).withColumnRenamed("id", "k")
+    pick = lambda x: rows(V.slice_fraction(x, 0.1, ["k"]))
+    assert pick(t) == pick(t.repartition(7)) and 60 < len(pick(t)) < 140
+    assert V.pull(t.limit(3), "k", "k") == [0, 1, 2]
+    assert V.setequal(t, t.repartition(3)) and not V.setequal(t, t.limit(5))
