@@ -57,7 +57,7 @@ LABELLED = [
     ("article div.ad", 0, 150), ("article div.ad p", 0, 100), ("article div.advert p", 0, 80), ("article p.ad", 0, 80), ("div.cookie p", 0, 200), ("div.cookies", 0, 150), ("div.consent p", 0, 150), ("div.gdpr", 0, 60), ("div.notice p", 0, 200), ("div.notice", 0, 150), ("div.alert", 0, 150), ("div.warning", 0, 60), ("div.popup p", 0, 120), ("div.modal p", 0, 120), ("div.overlay", 0, 80), ("div.paywall p", 0, 80), ("div.disclaimer p", 0, 100), ("div.legal p", 0, 100), ("div.copyright", 0, 100),
     ("div.sidebar p", 0, 200), ("div.sidebar ul li a", 0, 200), ("div.side p", 0, 60), ("div.widget p", 0, 150), ("div.menu ul li a", 0, 200), ("ul.menu li a", 0, 150), ("div.navigation a", 0, 100), ("div.nav a", 0, 100), ("div.navbar a", 0, 60), ("div.breadcrumb a", 0, 100), ("div.breadcrumbs", 0, 60), ("ol.breadcrumb li a", 0, 60), ("div.pagination a", 0, 60), ("div.pager a", 0, 40), ("div.toolbar", 0, 60), ("div.topbar", 0, 60), ("div.masthead", 0, 60), ("div.header p", 0, 100), ("div.footer p", 0, 150), ("div.footer a", 0, 60),
     ("div.comments p", 0, 300), ("section.comments p", 0, 300), ("section.comments div.comment p", 0, 300), ("ul.comments li p", 0, 100), ("div.comment p", 0, 200), ("div.commentlist p", 0, 60), ("ol.comment.list li p", 0, 80), ("div.disqus", 0, 60), ("div.replies p", 0, 100), ("div.reply", 0, 60), ("div.reviews p", 0, 60), ("div.discussion p", 0, 80), ("article.comment p", 0, 100), ("article section.comments p", 0, 100), ("article div.comment p", 0, 100),
-    ("div.related ul li a", 0, 150), ("div.related p", 0, 100), ("div.recommended a", 0, 80), ("div.trending a", 0, 60), ("div.popular a", 0, 60), ("div.share a", 0, 100), ("div.social a", 0, 100), ("div.newsletter p", 0, 120), ("div.subscribe p", 0, 120), ("div.signup p", 0, 80), ("div.login p", 0, 60), ("div.search", 0, 60), ("div.tags a", 0, 60), ("div.meta", 0, 60), ("div.byline", 0, 40), ("div.author.bio p", 0, 40), ("article div.share a", 0, 40), ("article div.related a", 0, 60), ("article div.newsletter p", 0, 60),
+    ("div.related ul li a", 0, 150), ("div.related p", 0, 100), ("div.recommended a", 0, 80), ("div.trending a", 0, 60), ("div.popular a", 0, 60), ("div.share a", 0, 100), ("div.social a", 0, 100), ("div.newsletter p", 0, 120), ("div.subscribe p", 0, 120), ("div.signup p", 0, 80), ("div.login p", 0, 60), ("div.search", 0, 60), ("div.tags a", 0, 60), ("div.meta", 0, 60), ("div.byline", 0, 40), ("div.author.bio p", 0, 40), ("div.adsense", 0, 60), ("div.adbox", 0, 60), ("div.adv", 0, 60), ("div.commercial", 0, 40), ("div.crumbs", 0, 60), ("div.respond p", 0, 60), ("div.feedback p", 0, 60), ("div.toc a", 0, 60), ("a.skip", 0, 40), ("div.cta", 0, 40), ("div.rail p", 0, 60), ("div.complementary p", 0, 60), ("div.contentinfo p", 0, 60), ("div.outbrain", 0, 40), ("div.taboola", 0, 40), ("div.teaser p", 0, 40), ("div.subscription p", 0, 40), ("div.privacy p", 0, 60), ("div.message p", 0, 40), ("div.announcement p", 0, 60), ("article div.notice p", 0, 60), ("article p.notice", 0, 40), ("article div.comments p", 0, 80), ("article div.share a", 0, 40), ("article div.related a", 0, 60), ("article div.newsletter p", 0, 60),
     ("ul li a", 0, 250), ("div ul li a", 0, 150), ("div a", 0, 100), ("a", 0, 60), ("dialog p", 0, 80),
 ]
 #: Cost of a tag (a furniture run costs ten tags at most), pseudo-count of a label, log-odds of a word without
