@@ -43,23 +43,42 @@ WALL = frozenset("table td th article section aside nav header footer form main
 #: Elements that hold an article, and elements of running text.
 INSIDE, TEXT = frozenset(("article", "main")), frozenset("p h1 h2 h3 h4 h5 h6 td dd blockquote figcaption pre".split())
 
-#: Labelled pages: (context, main text or not, words).  A context is the path of open elements from
-#: the body, an element's class words after dots; contexts are what a page's furniture is made of.
-LABELLED = [
-    ("article h1", 1, 40), ("article h2", 1, 40), ("article p", 1, 1200), ("article p b", 1, 60), ("article p a", 1, 60), ("article p em", 1, 30), ("article p span", 1, 30),
-    ("article section p", 1, 200), ("article div p", 1, 300), ("article ul li", 1, 120), ("article ol li", 1, 80), ("article blockquote p", 1, 80), ("article blockquote", 1, 60), ("article pre", 1, 60),
-    ("article table tr td", 1, 80), ("article figure figcaption", 1, 40), ("article", 1, 120), ("article div", 1, 120), ("article.post div.entry.content p", 1, 300), ("main article p", 1, 300), ("main p", 1, 300), ("main div p", 1, 200), ("main h1", 1, 20), ("main h2", 1, 20),
-    ("main ul li", 1, 60), ("main table tr td", 1, 40), ("main section p", 1, 100), ("main section h2", 1, 20), ("div.content p", 1, 300), ("div.content h1", 1, 20), ("div.content h2", 1, 20), ("div.content ul li", 1, 60), ("div.article.body p", 1, 300), ("div.post p", 1, 200), ("div.entry p", 1, 200), ("div.story p", 1, 200), ("div.text p", 1, 200),
-    ("div p", 1, 300), ("div h1", 1, 30), ("p", 1, 300), ("h1", 1, 30), ("h2", 1, 30), ("section p", 1, 100), ("div blockquote p", 1, 40), ("div pre", 1, 30), ("article header h1", 1, 40), ("article li a", 1, 40), ("article td a", 1, 20), ("article h2 a", 1, 20), ("article span", 1, 20), ("article dl dd", 1, 40), ("article dl dt", 1, 20), ("div", 1, 250), ("div div", 1, 100), ("div span", 1, 60), ("div ul li", 1, 250), ("ul li", 1, 150), ("ol li", 1, 120), ("div ol li", 1, 120), ("h3", 1, 40), ("div h3", 1, 60), ("article h3", 1, 40), ("main h3", 1, 20), ("section h2", 1, 40), ("section h3", 1, 40), ("div table tr td", 1, 60), ("div dl dd", 1, 40), ("p b", 1, 20), ("p i", 1, 20), ("p em", 1, 20), ("p strong", 1, 20), ("p a", 1, 60), ("div p a", 1, 40),
-    ("nav ul li a", 0, 400), ("nav a", 0, 200), ("nav div a", 0, 100), ("nav", 0, 100), ("nav p", 0, 60), ("header a", 0, 150), ("header div", 0, 100), ("header h1", 0, 60), ("header h1 a", 0, 60), ("header p", 0, 150), ("header", 0, 100), ("header nav ul li a", 0, 100),
-    ("footer", 0, 300), ("footer p", 0, 300), ("footer a", 0, 200), ("footer ul li a", 0, 200), ("footer div p", 0, 100), ("aside p", 0, 300), ("aside", 0, 150), ("aside ul li a", 0, 200), ("aside h2", 0, 60), ("aside h3", 0, 60), ("article aside p", 0, 100), ("article footer p", 0, 80), ("article nav a", 0, 60), ("article form p", 0, 60),
-    ("form label", 0, 150), ("form p", 0, 150), ("form button", 0, 100), ("form", 0, 150), ("form div", 0, 80), ("button", 0, 80), ("label", 0, 60), ("div.ad", 0, 300), ("div.ad p", 0, 200), ("div.ads", 0, 150), ("div.advert", 0, 200), ("div.advertisement p", 0, 200), ("div.banner", 0, 200), ("div.banner p", 0, 150), ("div.sponsored p", 0, 200), ("div.sponsor", 0, 100), ("div.promo p", 0, 200), ("div.promotion", 0, 80),
-    ("article div.ad", 0, 150), ("article div.ad p", 0, 100), ("article div.advert p", 0, 80), ("article p.ad", 0, 80), ("div.cookie p", 0, 200), ("div.cookies", 0, 150), ("div.consent p", 0, 150), ("div.gdpr", 0, 60), ("div.notice p", 0, 200), ("div.notice", 0, 150), ("div.alert", 0, 150), ("div.warning", 0, 60), ("div.popup p", 0, 120), ("div.modal p", 0, 120), ("div.overlay", 0, 80), ("div.paywall p", 0, 80), ("div.disclaimer p", 0, 100), ("div.legal p", 0, 100), ("div.copyright", 0, 100),
-    ("div.sidebar p", 0, 200), ("div.sidebar ul li a", 0, 200), ("div.side p", 0, 60), ("div.widget p", 0, 150), ("div.menu ul li a", 0, 200), ("ul.menu li a", 0, 150), ("div.navigation a", 0, 100), ("div.nav a", 0, 100), ("div.navbar a", 0, 60), ("div.breadcrumb a", 0, 100), ("div.breadcrumbs", 0, 60), ("ol.breadcrumb li a", 0, 60), ("div.pagination a", 0, 60), ("div.pager a", 0, 40), ("div.toolbar", 0, 60), ("div.topbar", 0, 60), ("div.masthead", 0, 60), ("div.header p", 0, 100), ("div.footer p", 0, 150), ("div.footer a", 0, 60),
-    ("div.comments p", 0, 300), ("section.comments p", 0, 300), ("section.comments div.comment p", 0, 300), ("ul.comments li p", 0, 100), ("div.comment p", 0, 200), ("div.commentlist p", 0, 60), ("ol.comment.list li p", 0, 80), ("div.disqus", 0, 60), ("div.replies p", 0, 100), ("div.reply", 0, 60), ("div.reviews p", 0, 60), ("div.discussion p", 0, 80), ("article.comment p", 0, 100), ("article section.comments p", 0, 100), ("article div.comment p", 0, 100),
-    ("div.related ul li a", 0, 150), ("div.related p", 0, 100), ("div.recommended a", 0, 80), ("div.trending a", 0, 60), ("div.popular a", 0, 60), ("div.share a", 0, 100), ("div.social a", 0, 100), ("div.newsletter p", 0, 120), ("div.subscribe p", 0, 120), ("div.signup p", 0, 80), ("div.login p", 0, 60), ("div.search", 0, 60), ("div.tags a", 0, 60), ("div.meta", 0, 60), ("div.byline", 0, 40), ("div.author.bio p", 0, 40), ("div.adsense", 0, 60), ("div.adbox", 0, 60), ("div.adv", 0, 60), ("div.commercial", 0, 40), ("div.crumbs", 0, 60), ("div.respond p", 0, 60), ("div.feedback p", 0, 60), ("div.toc a", 0, 60), ("a.skip", 0, 40), ("div.cta", 0, 40), ("div.rail p", 0, 60), ("div.complementary p", 0, 60), ("div.contentinfo p", 0, 60), ("div.outbrain", 0, 40), ("div.taboola", 0, 40), ("div.teaser p", 0, 40), ("div.subscription p", 0, 40), ("div.privacy p", 0, 60), ("div.message p", 0, 40), ("div.announcement p", 0, 60), ("article div.notice p", 0, 60), ("article p.notice", 0, 40), ("article div.comments p", 0, 80), ("article div.share a", 0, 40), ("article div.related a", 0, 60), ("article div.newsletter p", 0, 60),
-    ("ul li a", 0, 250), ("div ul li a", 0, 150), ("div a", 0, 100), ("a", 0, 60), ("dialog p", 0, 80),
+#: Labelled pages, as contexts with their number of words.  A context is the path of open elements
+#: from the body, an element's class words after dots: first of main text, then of page furniture.
+MAIN = [
+    ("article h1", 40), ("article h2", 40), ("article p", 1200), ("article p b", 60), ("article p a", 60), ("article p em", 30), ("article p span", 30), ("article section p", 200),
+    ("article div p", 300), ("article ul li", 120), ("article ol li", 80), ("article blockquote p", 80), ("article blockquote", 60), ("article pre", 60), ("article table tr td", 80), ("article figure figcaption", 40),
+    ("article", 120), ("article div", 120), ("article.post div.entry.content p", 300), ("main article p", 300), ("main p", 300), ("main div p", 200), ("main h1", 20), ("main h2", 20),
+    ("main ul li", 60), ("main table tr td", 40), ("main section p", 100), ("main section h2", 20), ("div.content p", 300), ("div.content h1", 20), ("div.content h2", 20), ("div.content ul li", 60),
+    ("div.article.body p", 300), ("div.post p", 200), ("div.entry p", 200), ("div.story p", 200), ("div.text p", 200), ("div p", 300), ("div h1", 30), ("p", 300),
+    ("h1", 30), ("h2", 30), ("section p", 100), ("div blockquote p", 40), ("div pre", 30), ("article header h1", 40), ("article li a", 40), ("article td a", 20),
+    ("article h2 a", 20), ("article span", 20), ("article dl dd", 40), ("article dl dt", 20), ("div", 250), ("div div", 100), ("div span", 60), ("div ul li", 250),
+    ("ul li", 150), ("ol li", 120), ("div ol li", 120), ("h3", 40), ("div h3", 60), ("article h3", 40), ("main h3", 20), ("section h2", 40),
+    ("section h3", 40), ("div table tr td", 60), ("div dl dd", 40), ("p b", 20), ("p i", 20), ("p em", 20), ("p strong", 20), ("p a", 60),
+    ("div p a", 40),
+]
+FURNITURE = [
+    ("nav ul li a", 400), ("nav a", 200), ("nav div a", 100), ("nav", 100), ("nav p", 60), ("header a", 150), ("header div", 100), ("header h1", 60),
+    ("header h1 a", 60), ("header p", 150), ("header", 100), ("header nav ul li a", 100), ("footer", 300), ("footer p", 300), ("footer a", 200), ("footer ul li a", 200),
+    ("footer div p", 100), ("aside p", 300), ("aside", 150), ("aside ul li a", 200), ("aside h2", 60), ("aside h3", 60), ("article aside p", 100), ("article footer p", 80),
+    ("article nav a", 60), ("article form p", 60), ("form label", 150), ("form p", 150), ("form button", 100), ("form", 150), ("form div", 80), ("button", 80),
+    ("label", 60), ("ul li a", 250), ("div ul li a", 150), ("div a", 100), ("a", 60), ("dialog p", 80),
 ]
+#: Class words of furniture; each was seen on boxes of its own, with and without paragraphs or links,
+#: and inside articles.
+FURNITURE_WORDS = (
+    "ad ads advert advertisement banner sponsored sponsor promo promotion cookie cookies consent gdpr notice "
+    "alert warning popup modal overlay paywall disclaimer legal copyright sidebar side widget menu navigation "
+    "nav navbar breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer comments comment commentlist "
+    "disqus replies reply reviews discussion related recommended trending popular share social newsletter subscribe signup "
+    "login search tags meta byline adsense adbox adv commercial crumbs respond feedback toc skip "
+    "cta rail complementary contentinfo outbrain taboola teaser subscription privacy message announcement bio "
+).split()
+LABELLED = [
+    *((path, 1, n) for path, n in MAIN),
+    *((path, 0, n) for path, n in FURNITURE),
+    *((path.format(w), 0, 40) for w in FURNITURE_WORDS for path in ("div.{}", "div.{} p", "div.{} a", "article div.{} p")),
+]
 #: Cost of a tag (a furniture run costs ten tags at most), pseudo-count of a label, log-odds of a word without
 #: context (main text is the larger part of a page), and the log-odds below which one label decides.
 TAG_COST, PRIOR, BASE, DECIDES = 0.1, 0.5, 0.6, -2.5

@@ -10,7 +10,8 @@
 4. Each such group's ordered sets are stored in a path-compressed trie; a set is joined by walking the
    trie, so sets with a common beginning share their partial overlap, and a subtree is left when even
    all that remains below it, or in the set, cannot reach the overlap that a link needs.  Sets already
-   known to be connected are not compared again.  Large groups are dealt out as pairs of blocks.
+   known to be connected are not compared again.  Large groups are dealt out as pairs of blocks, very
+   large ones block by block, then what is not in the largest component against all blocks.
 5. Components of the links found are the groups of documents.
 
 Only links between different sets are made, and of those as many as connect them: enough for exact
@@ -42,6 +43,8 @@ from tessera.llm.graph import checkpointed, connected
 #: Words whose hashes a worker remembers; n-grams that a block of documents holds; members of a group
 #: that one trie task takes; copies whose ids are broadcast at most (more are joined by shuffle).
 MEMO_WORDS, BLOCK_GRAMS, GROUP_MEMBERS, BROADCAST_COPIES = 300_000, 1_000_000, 2_000, 2_000_000
+#: Blocks of a group up to which all pairs of blocks are joined; beyond it blocks are joined in phases.
+PAIRED_BLOCKS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -337,8 +340,16 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame:
     group = checkpointed(connected(near).select(F.col("node").alias("id"), F.col("component").alias("grp")))
     blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("blocks"))
     placed = candidates.select("id", "n", "grams").join(group.join(blocks, "grp"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "n", "grams", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    few = placed.where(F.col("blocks") <= PAIRED_BLOCKS).withColumn("other", other)
+    links = _joined(few.select("id", "n", "grams", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), percent)
+    if blocks.where(F.col("blocks") > PAIRED_BLOCKS).isEmpty():
+        return links
+    return links.unionByName(_large_group_links(checkpointed(placed.where(F.col("blocks") > PAIRED_BLOCKS)), percent))
+
+
+def _joined(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links within every cell (grp, i, j) of sets."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -351,6 +362,36 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _large_group_links(placed: DataFrame, percent: int) -> DataFrame:
+    """Links of groups of many blocks, without all pairs of blocks.
+
+    Each block is joined by itself; one set of each block's largest component stands for it among the
+    blocks.  Most of such a group (copies of one text with small changes) is then one component, and
+    sets within a component need no comparison.  What is not in a group's largest component, the
+    outsiders, is joined with every block: two sets of different components have an outsider.
+    """
+    cell = lambda df, i, j: df.select("id", "n", "grams", "grp", i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    def components(links: DataFrame) -> DataFrame:
+        found = connected(links).select(F.col("node").alias("id"), "component")
+        return placed.select("id", "grp", "own").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    within = checkpointed(_joined(cell(placed, F.col("own"), F.col("own")), percent))
+    sizes = components(within).groupBy("grp", "own", "component").agg(F.count("*").alias("size"))
+    stands = sizes.groupBy("grp", "own").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("c"))).alias("id")).select("id")
+    among = placed.join(stands, "id", "left_semi")
+    between = checkpointed(_joined(cell(among, F.pmod(F.xxhash64("id"), F.ceil(F.col("blocks") / GROUP_MEMBERS)), F.lit(-1)), percent))
+    known = checkpointed(components(within.unionByName(between)))
+    largest = known.groupBy("grp", "component").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("c"))).alias("largest"))
+    outside = known.join(largest, "grp").where(F.col("component") != F.col("largest")).select("id")
+    outsiders = placed.join(outside, "id", "left_semi")
+    chunks = outsiders.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("chunks"))
+    to_all = outsiders.join(chunks, "grp").withColumns({"j": F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")), "i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    at_home = placed.join(chunks, "grp").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    both = cell(to_all.where(F.col("i") != F.col("own")), F.col("i"), F.col("j")).unionByName(cell(at_home, F.col("own"), F.col("j")))
+    return within.unionByName(between).unionByName(_joined(both, percent))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row: its set's size, the smallest id linked to it."""
     spark = docs.sparkSession

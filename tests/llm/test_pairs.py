@@ -61,13 +61,17 @@ def near_copies(seed):
     return [*data, (900, None), (901, " \n"), (902, "one two"), (903, "One  two"), (904, "one")]
 
 
-@pytest.mark.parametrize(("seed", "width", "percent"), [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
-def test_join_equals_brute_force(spark, seed, width, percent, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP_MEMBERS", 40)  # groups are dealt in blocks
+@pytest.mark.parametrize(("seed", "width", "percent", "members"), [(1, 4, 85, 40), (2, 5, 80, 3), (3, 2, 60, 40), (4, 2, 50, 5)])
+def test_join_equals_brute_force(spark, seed, width, percent, members, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_MEMBERS", members)  # groups are dealt in blocks, in pairs or in phases
+    phased = []
+    plain = jaccard._large_group_links
+    monkeypatch.setattr(jaccard, "_large_group_links", lambda *a: phased.append(1) or plain(*a))
     data = near_copies(seed)
     random.Random(seed).shuffle(data)
     df = spark.createDataFrame([(i, t, 0) for i, t in data], "doc_id long, text string, n int")
     assert rows(jaccard.near_groups(df, width=width, percent=percent)) == brute_sets(data, width, percent)
+    assert bool(phased) == (members < 10)
 
 
 def test_join_of_a_group_finds_every_component():
