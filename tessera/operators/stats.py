@@ -24,15 +24,10 @@ def trimmed_mean(df: DataFrame, keys: list[str], columns: list[str], trim: float
     return sums.select(*keys, "variable", F.when(F.col("__k") > 0, F.col("__s") / F.col("__k")).alias("value"))
 
 
-def zscore(value: str, by: tuple[str, ...] = ()) -> Column:
-    w = W.Window.partitionBy(*by)
-    return (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w)
-
-
 def standardise(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """z-scores with the n-1 deviation; moments are aggregated and joined back, no group is one task."""
     moments = df.groupBy(*by).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
-    joined = df.join(F.broadcast(moments), list(by)) if by else df.join(F.broadcast(moments))
+    joined = df.join(moments, list(by)) if by else df.join(F.broadcast(moments))  # one row
     return joined.withColumn(out, (F.col(value) - F.col("__mean")) / F.col("__sd")).drop("__mean", "__sd")
 
 

@@ -143,7 +143,10 @@ def group_keys(df: DataFrame, *by: str) -> DataFrame:
 
 
 def group_ids(df: DataFrame, *by: str, name: str = "group_id") -> DataFrame:
-    """Each row with the number of its group in key order, from 1; numbered once over the distinct keys."""
+    """Each row with the number of its group in key order, from 1.
+
+    Only the distinct keys are ordered in one task, so this is for groups that are few beside rows.
+    """
     numbered = df.select(*by).distinct().withColumn(name, F.dense_rank().over(W.Window.orderBy(*by)))
     return df.join(numbered, list(by))
 
