@@ -9,7 +9,7 @@ are joined from the forests.
 Splits are fitted on a bounded sample (``SAMPLE_VECTORS``); every vector is then placed.  With the
 spill of ``SPILL`` a pair at the threshold is parted by a split with about 0.013 chance, so that five
 trees of depth 10 miss it with about 1e-5; what is found is verified, so nothing is linked below the
-threshold.  A node that a split would not part (most of it near the split) stays a leaf, and a large
+threshold.  A node that a split would not part (a dense group near the split) stays a leaf, and a large
 leaf is compared as pairs of blocks, so no group has to fit one task.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
@@ -33,6 +33,8 @@ from tessera.llm.graph import checkpointed, connected
 THRESHOLD = 0.98
 TREES, DEPTH, LEAF_VECTORS, SPILL = 5, 14, 256, 0.1
 SAMPLE_VECTORS, BLOCK_VECTORS = 20_000, 2048
+#: A split that places more than this many vectors for one does not part a dense group: it stays a leaf.
+MOST_SPILL = 1.25
 
 
 def _directions(dim: int) -> np.ndarray:
@@ -64,7 +66,7 @@ class Forest:
             x = p[own, level]
             cut = float(np.median(x))
             left, right = own[x < cut + margin], own[x >= cut - margin]
-            if max(len(left), len(right)) > 0.8 * len(own):
+            if len(left) + len(right) > MOST_SPILL * len(own):
                 continue
             out[node] = cut
             todo += [(2 * node, level + 1, left), (2 * node + 1, level + 1, right)]
