@@ -13,6 +13,7 @@ table gives an empty result; only the id, text and (to learn) language columns a
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -267,8 +268,15 @@ class Reader:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Trains on a bounded sample of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang")).where(in_training(F.col("id")))
-    sample = bounded_sample(rows, "id", "body", "lang", SAMPLE_TEXTS).select(F.substring("text", 1, SAMPLE_CHARS), "label")
-    return fit(sorted({(r[0], r[1]) for r in sample.collect()}))
+    sample = bounded_sample(rows, "id", "body", "lang", SAMPLE_TEXTS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "label")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = {(t, lang) for b in batches for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(texts)))], pa.binary())], names=["net"])
+
+    # In one task, as the sample is bounded: a worker's arrays use one thread, which small ones want.
+    trained = sample.repartition(1).mapInArrow(train, "net binary").first()
+    return pickle.loads(trained[0]) if trained else fit([])
 
 
 def predict(docs: DataFrame, net: Network, text_col: str = "text", *, spans: bool = False) -> DataFrame:
