@@ -152,3 +152,18 @@ def test_vectors_of_nothing(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     one = spark.createDataFrame([(7, [1.0, 0.0], 1), (8, [2.0, 0.0], 1), (9, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert rows(vector_dedup.near_vectors(one)) == [(7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False)]
+
+
+def test_an_unsplit_tree_after_a_split_one_is_used():
+    later = 0
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        v = r.normal(size=(3000, 16))
+        v[:1000] = r.normal(size=16) + 0.05 * r.normal(size=(1000, 16))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        forest = vector_dedup.Forest([(1, x) for x in v], 1.0)
+        split = [bool(s) for s in forest.splits[1, 16]]
+        if split[0] and not all(split):
+            later += 1
+            assert set.intersection(*map(set, forest.leaves(1, v)))  # all pairs are compared
+    assert later
