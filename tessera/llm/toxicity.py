@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import jaccard
 from tessera.llm.common import bounded_sample, in_training, slices, worker_state
 from tessera.llm.graph import checkpointed
 
@@ -35,6 +36,8 @@ from tessera.llm.graph import checkpointed
 SAMPLE_TEXTS = 6000
 #: Prefix lengths of the nested priors; weight of each prior; least toxic texts of a feature.
 PREFIXES, PRIOR_WEIGHT, LEAST_TEXTS = (3, 4, 5, 6), 4.0, 3
+#: Toxic texts that share so many per cent of their runs of so many words count as one text.
+COPY_WORDS, COPY_PERCENT = 5, 80
 #: A prefix speaks for words that were not seen only if no one continuation has a larger part of it.
 MOST_SHARE = 0.6
 #: Taken from every token's log-odds, so that a passage must pay for its tokens.
@@ -133,30 +136,38 @@ class Model:
         return [(places[a].start(), places[b - 1].end(), bits) for a, b, s in found if (bits := self.bits(s, len(places))) >= -math.log(SIGNIFICANT)]
 
 
+def _grouped(sample: DataFrame) -> DataFrame:
+    """The sample with ``copies``, for toxic texts the near-copy group that they count as one text of."""
+    toxic = checkpointed(sample.where("label = 1").select(F.xxhash64("text").alias("id"), "text"))
+    groups = jaccard.near_groups(toxic, "id", width=COPY_WORDS, percent=COPY_PERCENT).groupBy("id").agg(F.min("component_id").alias("copies"))
+    named = toxic.join(groups, "id").select("text", F.lit(1).alias("label"), "copies")
+    return checkpointed(sample.where("label = 0").withColumn("copies", F.lit(None).cast("long")).unionByName(named))
+
+
 def _count(sample: DataFrame) -> DataFrame:
     """(feature, toxic texts, clean texts) with partial counts before the shuffle.
 
-    A feature's toxic texts are no more than the distinct words before it in them, so that near
-    copies of one toxic text, which repeat neighbours too, do not make all their words toxic.
+    Near copies of one toxic text count once, so that they do not make all their words toxic.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        pairs: set[tuple[str, str]] = set()
+        clean: Counter = Counter()
+        pairs: set[tuple[str, int]] = set()
         for whole in batches:
             for batch in slices(whole, 0):
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = _WORDS(text.lower())
-                    counts[label].update({f for w in set(words) for f in features(w)})
+                for text, label, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    found = {f for w in set(_WORDS(text.lower())) for f in features(w)}
                     if label:
-                        pairs.update((f, before) for before, word in zip(["", *words], words, strict=False) for f in features(word))
-        for rows in ([(f, b, 0, 0) for f, b in pairs], [(f, None, n, 0) for f, n in counts[0].items()], [(f, None, 0, n) for f, n in counts[1].items()]):
+                        pairs.update((f, copies) for f in found)
+                    else:
+                        clean.update(found)
+        for rows in ([(f, c, 0) for f, c in pairs], [(f, None, n) for f, n in clean.items()]):
             for i in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000], strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["feature", "before", "clean", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000], strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["feature", "copies", "clean"])
 
-    each = sample.mapInArrow(run, "feature string, before string, clean long, toxic long")
-    by_pair = each.groupBy("feature", "before").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    return by_pair.groupBy("feature").agg(F.least(F.count("before"), F.sum("toxic")).alias("toxic"), F.sum("clean").alias("clean"))
+    each = sample.select("text", "label", "copies").mapInArrow(run, "feature string, copies long, clean long")
+    by_pair = each.groupBy("feature", "copies").agg(F.sum("clean").alias("clean"))
+    return by_pair.groupBy("feature").agg(F.count("copies").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _odds(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], float]:
@@ -222,8 +233,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col(label_col).isNotNull() & in_training(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     sample = bounded_sample(rows, "id", "body", "label", SAMPLE_TEXTS, marks)
-    sample = checkpointed(sample.select("text", (F.col("label") > 0).cast("int").alias("label")))
-    totals = dict(sample.groupBy("label").count().collect())
+    sample = _grouped(checkpointed(sample.select("text", (F.col("label") > 0).cast("int").alias("label"))))
+    totals = dict(sample.groupBy("label").agg(F.when(F.col("label") == 1, F.countDistinct("copies")).otherwise(F.count("*"))).collect())
     model = Model()
     if not totals.get(0) or not totals.get(1):
         return model

@@ -117,3 +117,14 @@ def test_without_labels_nothing_is_toxic(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).first().toxicity < toxicity.THRESHOLD
+
+
+def test_a_fixed_toxic_passage_counts_in_every_text_and_near_copies_once(spark):
+    other = [text("yy", i, 60) for i in range(200)]
+    same = text("xx", 999, 60).split()
+    texts = [(i, "vorgel brimtaz kluspen " + t if i % 4 == 0 else t, int(i % 4 == 0)) for i, t in enumerate(other)]
+    near = [(1000 + i, " ".join([*same, "plainword", f"end{i}"]), 1) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts + near], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in texts + near], "doc_id long, toxic int"))
+    assert {"vorgel", "brimtaz", "kluspen"} <= set(model.odds) and "plainword" not in model.odds
+    assert all((model.score(t) >= toxicity.THRESHOLD) == bool(y) for _, t, y in texts)
