@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tessera.functions import colour as C
 from tessera.functions import text as X
@@ -42,9 +43,10 @@ REG.add("max_psrf", lambda s, d: stats.psrf(draws(s, d), ["effect"]).agg(F.max("
 
 @REG.query("mpsrf")
 def mpsrf(s, d):
-    e = table(s, d, "events").where("user_id < 3").select(F.lit("m").alias("model"), F.concat(F.lit("x"), (F.col("event_id") % 2).cast("string")).alias("parameter"), F.col("user_id").cast("int").alias("chain"), F.floor(F.col("event_id") / 2).cast("long").alias("iter"), "value")
-    ranked = V.first_rows(e, ["model", "parameter", "chain"], [F.col("iter")], 1 << 30)
-    return stats.mpsrf(ranked, ["model"], "parameter")
+    """Effects are the parameters; their draws are numbered in each chain, so that iterations align."""
+    turn = F.row_number().over(W.Window.partitionBy("effect", "chain").orderBy("iter"))
+    numbered = draws(s, d).select(F.lit("m").alias("model"), F.col("effect").alias("parameter"), "chain", turn.alias("iter"), "value")
+    return stats.mpsrf(numbered, ["model"], "parameter")
 
 
 @REG.query("ess")

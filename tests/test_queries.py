@@ -5,6 +5,7 @@ import decimal
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.plans.catalog import REGISTRY
@@ -49,3 +50,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_mpsrf_of_all_draws_equals_brute_force(spark, duck):
+    chains: dict = {}
+    for effect, chain, value in duck.execute("SELECT event_type, user_id % 3, value - 50 FROM events ORDER BY event_id").fetchall():
+        chains.setdefault(chain, {}).setdefault(effect, []).append(value)
+    n = min(len(v) for c in chains.values() for v in c.values())
+    full = [np.array([c[e][:n] for e in sorted(c)]) for c in chains.values()]
+    assert len({f.shape for f in full}) == 1 and len(full) == 3
+    within = sum(np.cov(f) for f in full) / 3
+    between = np.cov(np.array([f.mean(axis=1) for f in full]).T)
+    want = np.sqrt(1 - 1 / n + 4 / 3 * max(np.linalg.eigvals(np.linalg.inv(within) @ between).real))
+    assert [r.mpsrf for r in REGISTRY.queries["mpsrf"](spark, DIR).collect()] == [pytest.approx(want, rel=1e-9)]
