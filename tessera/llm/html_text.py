@@ -4,8 +4,10 @@ A page is read as one sequence of word runs and tags.  Every word run scores its
 times the log-odds, for its open elements, of main text against page furniture (an element that is
 all but never main text decides alone, whatever holds it); a run of furniture costs a
 few tags, whatever its length, so that a long advert does not cut an article; every tag scores below zero.  One linear scan finds the contiguous region of highest sum.  Inside it, runs whose own
-log-odds are below zero (an advert between paragraphs) are left out.  All weights come from labelled
-pages (``LABELLED``), counted with a symmetric prior.
+log-odds are below zero (an advert between paragraphs) are left out.  A furniture word that is part of a
+class token counts only for boxes with at most half of the page's words, and not beside a word of layout
+("with-sidebar").  All weights come from page contexts set by hand (``LABELLED``), counted with a
+symmetric prior.
 
 Defined cases: null or empty html gives empty text; so does a page without a run that scores above
 zero; cut-off pages are read as far as they go (an open tag, comment or script at the end is markup);
@@ -43,7 +45,7 @@ WALL = frozenset("table td th article section aside nav header footer form main
 #: Elements that hold an article, and elements of running text.
 INSIDE, TEXT = frozenset(("article", "main")), frozenset("p h1 h2 h3 h4 h5 h6 td dd blockquote figcaption pre".split())
 
-#: Labelled pages, as contexts with their number of words.  A context is the path of open elements
+#: Page contexts, set by hand and not counted from real pages, with their number of words.  A context is the path of open elements
 #: from the body, an element's class words after dots: first of main text, then of page furniture.
 MAIN = [
     ("article h1", 40), ("article h2", 40), ("article p", 1200), ("article p b", 60), ("article p a", 60), ("article p em", 30), ("article p span", 30), ("article section p", 200),
@@ -64,8 +66,8 @@ FURNITURE = [
     ("article nav a", 60), ("article form p", 60), ("form label", 150), ("form p", 150), ("form button", 100), ("form", 150), ("form div", 80), ("button", 80),
     ("label", 60), ("ul li a", 250), ("div ul li a", 150), ("div a", 100), ("a", 60), ("dialog p", 80),
 ]
-#: Class words of furniture; each was seen on boxes of its own, with and without paragraphs or links,
-#: and inside articles.
+#: Class words of furniture, set by hand as well: on boxes of their own, with and without paragraphs or
+#: links, and inside articles.
 FURNITURE_WORDS = (
     "ad ads advert advertisement banner sponsored sponsor promo promotion cookie cookies consent gdpr notice "
     "alert warning popup modal overlay paywall disclaimer legal copyright sidebar side widget menu navigation "
@@ -74,6 +76,8 @@ FURNITURE_WORDS = (
     "login search tags meta byline adsense adbox adv commercial crumbs respond feedback toc skip "
     "cta rail complementary contentinfo outbrain taboola teaser subscription privacy message announcement bio "
 ).split()
+#: Words that make a class token tell of the page's layout, as "with-sidebar" or "comments-open" does.
+LAYOUT_WORDS = frozenset("with without has have no not open opened closed enabled disabled".split())
 LABELLED = [
     *((path, 1, n) for path, n in MAIN),
     *((path, 0, n) for path, n in FURNITURE),
@@ -113,35 +117,78 @@ def weights() -> dict[str, float]:
 
 
 class _Element:
-    __slots__ = ("tag", "total", "worst", "inside", "in_text")
+    __slots__ = ("tag", "total", "worst", "inside", "in_text", "box")
 
-    def __init__(self, tag: str, total: float, worst: float, inside: bool, in_text: bool) -> None:
-        self.tag, self.total, self.worst, self.inside, self.in_text = tag, total, worst, inside, in_text
+    def __init__(self, tag: str, total: float, worst: float, inside: bool, in_text: bool, box: int) -> None:
+        self.tag, self.total, self.worst, self.inside, self.in_text, self.box = tag, total, worst, inside, in_text, box
 
     def score(self) -> float:
         return self.worst if self.worst < DECIDES else self.total
 
 
+class _Boxes:
+    """Words of text in boxes that only a part of a class token marks as furniture."""
+
+    def __init__(self) -> None:
+        self.words, self.parent = [0], [-1]  # the first is the page
+
+    def open(self, parent: int) -> int:
+        self.words.append(0)
+        self.parent.append(parent)
+        return len(self.words) - 1
+
+    def large(self) -> frozenset[int]:
+        """Those with more than half of the page's words: no furniture."""
+        held = list(self.words)
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        return frozenset(k for k in range(1, len(held)) if 2 * held[k] > held[0])
+
+
 @lru_cache(65536)
-def _own_score(tag: str, attributes: str, inside: bool, in_text: bool) -> float:
-    """Log-odds that one element adds; of several class words the most telling counts."""
+def _own_score(tag: str, attributes: str, inside: bool, in_text: bool) -> tuple[float, float, bool]:
+    """Log-odds that one element adds, the same without furniture words that are part of a token, and
+    whether there are such words; of several class words the most telling counts."""
     odds = weights()
     score = odds.get(_label(tag, inside, in_text), 0.0)
     if tag in ("html", "body"):
-        return 0.0
-    marks = [odds["." + p] for m in _MARK.finditer(attributes) for p in map(str.lower, _PIECE.findall(m[1] or m[2] or m[3] or "")) if "." + p in odds]
-    mark = max(marks, key=abs) if marks else 0.0
-    return mark if mark < DECIDES else score + mark
+        return 0.0, 0.0, False
+    exact: list[float] = []
+    partial: list[float] = []
+    for m in _MARK.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            pieces = list(map(str.lower, _PIECE.findall(token)))
+            layout = not LAYOUT_WORDS.isdisjoint(pieces)
+            for own in (odds["." + p] for p in pieces if "." + p in odds):
+                if own >= 0 or len(pieces) == 1:
+                    exact.append(own)
+                elif not layout:
+                    partial.append(own)
 
+    def with_marks(marks: list[float]) -> float:
+        mark = max(marks, key=abs) if marks else 0.0
+        return mark if mark < DECIDES else score + mark
 
-def tokens(page: str) -> Iterator[tuple[str | None, float, bool]]:
+    return with_marks(exact + partial), with_marks(exact), bool(partial)
+
+
+def tokens(page: str) -> list[tuple[str | None, float, bool]]:
     """(text, score of its context, begins a block) for word runs; (None, cost, ...) for tags."""
-    stack = [_Element("", BASE, 0.0, False, False)]
+    boxes = _Boxes()
+    runs = list(_tokens(page, boxes, frozenset()))
+    large = boxes.large()
+    return list(_tokens(page, _Boxes(), large)) if large else runs
+
+
+def _tokens(page: str, boxes: _Boxes, large: frozenset[int]) -> Iterator[tuple[str | None, float, bool]]:
+    """As ``tokens``; boxes of ``large`` are not judged by a part of a class token."""
+    stack = [_Element("", BASE, 0.0, False, False, 0)]
     at, fresh, n = 0, True, len(page)
     while at < n:
         m = _MARKUP.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
+            boxes.words[stack[-1].box] += len(text.split())
             yield text, stack[-1].score(), fresh
             fresh = fresh and not text.strip()
         if not m:
@@ -174,15 +221,18 @@ def tokens(page: str) -> Iterator[tuple[str | None, float, bool]]:
                     if stack[k].tag in WALL or stack[k].tag in ("ul", "ol", "div"):
                         break
             top = stack[-1]
-            own = _own_score(tag, attributes, top.inside, top.in_text)
-            stack.append(_Element(tag, top.total + own, min(top.worst, own), top.inside or tag in INSIDE, tag in TEXT or top.in_text and tag not in BLOCK))
+            own, unmarked, partial = _own_score(tag, attributes, top.inside, top.in_text)
+            box = boxes.open(top.box) if partial else top.box
+            if partial and box in large:
+                own = unmarked
+            stack.append(_Element(tag, top.total + own, min(top.worst, own), top.inside or tag in INSIDE, tag in TEXT or top.in_text and tag not in BLOCK, box))
 
 
 def extract_text(page: str | None) -> str:
     """The main text: blocks in page order, white space inside a block as one space, joined by one space."""
     if not page:
         return ""
-    runs = list(tokens(page))
+    runs = tokens(page)
     best, total, begin, region = 0.0, 0.0, 0, (0, 0)
     for i, (text, score, _) in enumerate(runs):
         if text is None or score <= 0:

@@ -4,6 +4,7 @@ import datetime
 import json
 import re
 
+import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,3 +170,12 @@ def test_history_decides(spark):
     want = sorted((i, a, p or "-") for i, u, d, _ in caps + caps[:3] for a, p in [plain_judgement(u, d, entries)])
     assert got == want
     assert {r.url_action for r in url_filter.judge(df, lst.limit(0)).collect()} == {"allow"} and url_filter.judge(df.limit(0), lst).count() == 0
+
+
+@pytest.mark.parametrize("opening", ['<div class="container with-sidebar">', '<article class="post has-sidebar comments-open">', '<main class="no-sidebar">', '<div class="sidebar-right wrapper">'])
+def test_a_part_of_a_wrappers_class_does_not_hide_the_article(opening):
+    said = " ".join(f"<p>{'some words of the long main text here ' * 6}</p>" for _ in range(4))
+    close = f"</{opening[1:].split()[0]}>"
+    page = f'<body>{opening}{said}<div class="cookie-notice"><p>We use cookies</p></div>{close}<div class="site-footer"><p>All rights reserved</p></div></body>'
+    found = html_text.extract_text(page)
+    assert found.count("main text") == 24 and "cookies" not in found and "rights" not in found
