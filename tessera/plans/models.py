@@ -74,7 +74,7 @@ def pca_variance(s, d):
 def probit_gibbs_summary(s, d):
     rows = stats.standardise(env(s, d), "alt", "z").withColumns({f"is_{g.lower()}": C.onehot(F.col("color_group"), g) for g in ("WHITE", "YELLOW", "REDTYPE")})
     data = rows.select(F.lit("main").alias("variant"), "genus", "z", "is_white", "is_yellow", "is_redtype")
-    manifest = M.task_manifest(s, [("main", "part")], [("WHITE", "is_white"), ("YELLOW", "is_yellow")], [42, 123, 456])
+    manifest = M.task_manifest(s, [("main", "part")], [("WHITE", "is_white"), ("YELLOW", "is_yellow"), ("REDTYPE", "is_redtype")], [42, 123, 456])
     chains = M.fit_chains(manifest, data, "variant", lambda c: c, ["z"], "genus", 130, 30, 1)
     return stats.posterior_hpd(chains, ["color", "effect"])
 

@@ -63,3 +63,8 @@ def test_mpsrf_of_all_draws_equals_brute_force(spark, duck):
     between = np.cov(np.array([f.mean(axis=1) for f in full]).T)
     want = np.sqrt(1 - 1 / n + 4 / 3 * max(np.linalg.eigvals(np.linalg.inv(within) @ between).real))
     assert [r.mpsrf for r in REGISTRY.queries["mpsrf"](spark, DIR).collect()] == [pytest.approx(want, rel=1e-9)]
+
+
+def test_probit_models_are_those_of_the_three_colours(spark):
+    found = REGISTRY.queries["probit_gibbs_summary"](spark, DIR).select("color").distinct().collect()
+    assert sorted(r.color for r in found) == ["REDTYPE", "WHITE", "YELLOW"]
