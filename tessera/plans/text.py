@@ -60,7 +60,17 @@ def keyword_extract(s, d):
 
 @REG.query("token_counts", "SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents WHERE lang = 'en') GROUP BY 1")
 def token_counts(s, d):
-    tok = table(s, d, "documents").where("lang = 'en'").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
+    """Of English documents only, as its SQL twin; ``token_counts_all`` counts the whole corpus."""
+    return _token_counts(table(s, d, "documents").where("lang = 'en'"))
+
+
+@REG.query("token_counts_all")
+def token_counts_all(s, d):
+    return _token_counts(table(s, d, "documents"))
+
+
+def _token_counts(docs):
+    tok = docs.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
     per = tok.groupBy("token", "doc_id").agg(F.count("*").alias("m"))
     return per.groupBy("token").agg(F.sum("m").alias("n"), F.count("*").alias("docs"))
 

@@ -3,6 +3,8 @@
 import datetime
 import decimal
 import os
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -68,3 +70,13 @@ def test_mpsrf_of_all_draws_equals_brute_force(spark, duck):
 def test_probit_models_are_those_of_the_three_colours(spark):
     found = REGISTRY.queries["probit_gibbs_summary"](spark, DIR).select("color").distinct().collect()
     assert sorted(r.color for r in found) == ["REDTYPE", "WHITE", "YELLOW"]
+
+
+def test_tokens_of_all_documents_equal_brute_force(spark, duck):
+    n, docs = Counter(), Counter()
+    for _, text in duck.execute("SELECT doc_id, text FROM documents").fetchall():
+        found = re.findall("[a-z]{3,}", (text or "").lower())
+        n.update(found)
+        docs.update(set(found))
+    got = {r.token: (r.n, r.docs) for r in REGISTRY.queries["token_counts_all"](spark, DIR).collect()}
+    assert got == {t: (n[t], docs[t]) for t in n}
