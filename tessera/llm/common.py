@@ -8,7 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from tessera.llm.graph import checkpointed
 
 #: Bytes of text that one step of a Python operator holds at once (one row at least).
 SLICE_BYTES = 4 << 20
@@ -46,23 +47,35 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-#: Parts in which each label's sample is drawn, so that a frequent label is no single task.
-SAMPLE_PARTS = 32
+def held_out(doc_id: Column) -> Column:
+    """Rows that are tested on; a null id is no such row (nor one to learn from)."""
+    return F.coalesce(~in_training(doc_id), F.lit(False))
+
+
+#: Labels up to which their counts, and keys up to which a sample's choice, are sent to all tasks.
+BROADCAST_LABELS, BROADCAST_KEYS = 10_000, 200_000
+_HASH_RANGE = float(1 << 62)
 
 
 def bounded_sample(rows: DataFrame, key: str, text: str, label: str, per_label: int, labels: DataFrame | None = None) -> DataFrame:
-    """About ``per_label`` distinct texts of each label at most, lowest text hashes first, as (text, label).
+    """About ``per_label`` distinct texts of each label, or all if it has no more, as (text, label).
 
     Labels are a column of ``rows``, or of ``labels`` by the same key.  Copies of a text count once
-    (with the lowest label of them), so no group of copies fills the sample.  The choice is made on
-    hashes; texts are read again for the chosen keys only, whose number is bounded by the parameter.
+    (with the lowest label of them), so no group of copies fills the sample.  A text is chosen if its
+    hash is below the share that the sample has of its label's texts, so the choice needs no sort and
+    no label is one task; the number varies as that of fair draws does (a deviation of the bound's
+    square root).  Texts are read again for the chosen keys only.
     """
     texts = rows.where(F.col(text).isNotNull() & F.col(key).isNotNull())
     hashed = texts.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), *([F.col(label).alias("__label")] if labels is None else []))
     if labels is not None:
         hashed = hashed.join(labels.select(F.col(key).alias("__key"), F.col(label).alias("__label")), "__key")
     distinct = hashed.where(F.col("__label").isNotNull()).groupBy("__hash").agg(F.min(F.struct("__label", "__key")).alias("__one")).select("__hash", "__one.*")
-    rank = F.row_number().over(W.Window.partitionBy("__label", F.pmod("__hash", F.lit(SAMPLE_PARTS))).orderBy("__hash"))
-    chosen = distinct.withColumn("__rank", rank).where(F.col("__rank") <= -(-per_label // SAMPLE_PARTS)).select("__key", "__label", "__hash")
-    found = texts.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
-    return found.where(F.xxhash64("text") == F.col("__hash")).select("text", F.col("__label").alias("label"))
+    counts = checkpointed(distinct.groupBy("__label").agg(F.count("*").alias("__many")))
+    few = counts.count() <= BROADCAST_LABELS
+    place = F.pmod(F.xxhash64("__hash"), F.lit(1 << 62)) / F.lit(_HASH_RANGE)
+    chosen = distinct.join(F.broadcast(counts) if few else counts, "__label").where((F.col("__many") <= per_label) | (place * F.col("__many") < per_label))
+    chosen = checkpointed(chosen.select("__key", "__label", "__hash"))
+    sent = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
+    found = texts.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(sent, "__key").where(F.xxhash64("text") == F.col("__hash"))
+    return found.select("text", F.col("__label").alias("label")).distinct()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +9,11 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a checkpoint in the folder that the session names.
 
-    A folder of our own is set only where the session names none, as in tests on one machine.
+    Where the session names none, the folder lies in the warehouse, which a cluster shares as well.
     """
-    context = df.sparkSession.sparkContext
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, decontaminate, html_text, jaccard, langid, sharding, toxicity, url_filter, vector_dedup
-from tessera.llm.common import in_training
+from tessera.llm.common import held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
-    return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, _read(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model)
     predicted = (F.col("toxicity") >= toxicity.THRESHOLD).cast("int")
-    return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
 
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,8 +50,8 @@ KARLIN_K = 0.1
 #: Length that the shortest texts count as, and length that a text without any passage counts as.
 LEAST_TOKENS, NO_PASSAGE_TOKENS = 100, 10_000
 THRESHOLD = 0.3
-#: Words whose scores a worker remembers.
-MEMO_WORDS = 300_000
+#: Words whose scores a worker remembers, and their greatest length (longer ones are scored anew).
+MEMO_WORDS, MEMO_LENGTH = 300_000, 64
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SPANS = re.compile(r"[^\W\d_]+").finditer
 
@@ -84,27 +84,32 @@ class Model:
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
             found = next((self.odds[f] for f in reversed(features(word)) if f in self.odds), 0.0) - DRIFT
-            self.memo[word] = found
+            if len(word) <= MEMO_LENGTH:
+                self.memo[word] = found
         return found
 
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
-        """All maximal scoring subsequences as (first token, past the last, sum)."""
-        out: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum with
+        """All maximal scoring subsequences as (first token, past the last, sum).
+
+        Each one found links to the nearest earlier one with a smaller sum before it.  Searches follow
+        these links: what a search passes over, no later one meets again, so the scan is linear.
+        """
+        out: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum with, link
         total, last = 0.0, 0
         for i in np.nonzero(scores > 0)[0].tolist():
             total += float(i - last) * -DRIFT
             before, total, last = total, total + float(scores[i]), i + 1
-            first, end = i, i + 1
+            first, k = i, len(out) - 1
             while True:
-                k = len(out) - 1
                 while k >= 0 and out[k][2] >= before:
-                    k -= 1
+                    k = out[k][4]
                 if k < 0 or out[k][3] >= total:
-                    out.append((first, end, before, total))
+                    out.append((first, last, before, total, k))
                     break
-                first, before = out[k][0], out[k][2]
+                first, _, before, _, link = out[k]
                 del out[k:]
-        return [(a, b, y - x) for a, b, x, y in out]
+                k = link
+        return [(a, b, y - x) for a, b, x, y, _ in out]
 
     def bits(self, score: float, n: int) -> float:
         """-log of the passages of this score that chance gives in n tokens."""

@@ -1,10 +1,16 @@
 """Language identification and toxicity: gradients, held-out accuracy, defined cases."""
 
+import math
+import re
+import time
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, toxicity
+from tessera.llm import common, langid, toxicity
 from tessera.llm.common import bounded_sample, in_training
 
 WORDS = {"xx": "the thing oner ering thandor hesh wher that reeding".split(), "yy": "der ung keit schein verein üß ober zuein ichlich".split(), "zz": "ción ñado que los mente ezar rradó osllo".split()}
@@ -64,7 +70,24 @@ def test_language_query_learns_from_training_rows_only(spark):
 def test_sample_is_bounded_and_counts_copies_once(spark):
     df = spark.createDataFrame([(i, "copy" if i % 2 else f"t{i}", "ab"[i % 3 == 0]) for i in range(400)], "k long, t string, l string")
     got = bounded_sample(df, "k", "t", "l", 64).collect()
-    assert len(got) <= 2 * 64 and sum(r.text == "copy" for r in got) <= 1 and len({r.text for r in got}) == len(got)
+    assert len(got) <= 2 * 64 + 30 and sum(r.text == "copy" for r in got) <= 1 and len({r.text for r in got}) == len(got)
+    every = bounded_sample(df.unionByName(df), "k", "t", "l", 400).collect()
+    assert sorted(r.text for r in every) == sorted({f"t{i}" for i in range(0, 400, 2)} | {"copy"})  # all, if no more than the bound
+
+
+def test_sample_is_the_same_with_many_labels(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"t{i}", f"l{i % 40}") for i in range(800)], "k long, t string, l string")
+    want = sorted(map(tuple, bounded_sample(df, "k", "t", "l", 10).collect()))
+    monkeypatch.setattr(common, "BROADCAST_LABELS", 1)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 1)
+    assert sorted(map(tuple, bounded_sample(df, "k", "t", "l", 10).collect())) == want and 250 < len(want) < 550
+
+
+def test_a_null_id_is_neither_learned_from_nor_held_out(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,), (5,), (6,)], "doc_id long")
+    got = {r.doc_id: (r.t, r.h) for r in df.select("doc_id", in_training(F.col("doc_id")).alias("t"), common.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert got.pop(None) == (None, False)
+    assert all(t == (zlib.crc32(str(i).encode()) % 4 != 2) and h != t for i, (t, h) in got.items())
 
 
 def plain_segments(s):
@@ -86,6 +109,78 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for a, b, _ in model.passages(s)] == plain_segments(list(s))
 
 
+def test_long_texts_are_scanned_in_linear_time():
+    model = toxicity.Model()
+    for size in (200, 3000):  # falling prefix sums, of equal and of odd hits, against the definition's result
+        s = np.full(size, -toxicity.DRIFT)
+        s[:: 10] = 1.0
+        assert [(a, b) for a, b, _ in model.passages(s)] == [(i, i + 1) for i in range(0, size, 10)]
+    s = np.full(1_000_000, -toxicity.DRIFT)
+    s[::10] = np.random.default_rng(2).uniform(0.5, 4.0, 100_000)
+    start = time.perf_counter()
+    found = model.passages(s)
+    assert time.perf_counter() - start < 5 and len(found) > 1000
+    rising = np.where(np.arange(200_000) % 2, 1.0, -toxicity.DRIFT)
+    assert [(a, b) for a, b, _ in model.passages(rising)] == [(1, 200_000)]
+
+
+def plain_model(texts, groups):
+    """Odds, rates and document scores by their definitions, for (text, label); groups: copies of toxic texts."""
+    word_sets = [set(re.findall(r"[^\W\d_]+", t.lower())) for t, _ in texts]
+    chain = lambda w: [w[:n] + "*" for n in (3, 4, 5, 6) if len(w) >= n] + [w]
+    toxic, clean = {}, Counter()
+    for (_, y), words, g in zip(texts, word_sets, groups, strict=True):
+        for f in {f for w in words for f in chain(w)}:
+            if y:
+                toxic.setdefault(f, set()).add(g)
+            else:
+                clean[f] += 1
+    n1, n0 = len({g for (_, y), g in zip(texts, groups, strict=True) if y}), sum(not y for _, y in texts)
+
+    def share(f):
+        at = 0.5
+        for x in chain(f.rstrip("*")):
+            a, b = len(toxic.get(x, ())) / n1, clean[x] / n0
+            at = (a + 4.0 / n1 * at) / (a + b + 4.0 / n1)
+            if x == f:
+                return at
+
+    def spread(f):  # no one continuation holds most of a prefix
+        after = [len(g) for x, g in toxic.items() if f in chain(x.rstrip("*")) and (c := chain(x.rstrip("*"))).index(x) == c.index(f) + 1]
+        return not f.endswith("*") or max(after, default=0) <= 0.6 * max(len(toxic[f]), sum(after))
+
+    odds = {f: math.log(share(f) / (1 - share(f))) for f, g in toxic.items() if len(g) >= 3 and 0 < share(f) < 1 and spread(f)}
+    return {f: x for f, x in odds.items() if x - 0.7 >= 1.5}
+
+
+def plain_score(model, odds, text):
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    chain = lambda w: [w[:n] + "*" for n in (3, 4, 5, 6) if len(w) >= n] + [w]
+    s = [next((odds[f] for f in reversed(chain(w)) if f in odds), 0.0) - 0.7 for w in words]
+    bits = [model.lam * sum(s[a:b]) - math.log(0.1 * max(len(s), 100)) for a, b in plain_segments(s)]
+    strong = [x for x in bits if x >= -math.log(0.01)]
+    evidence = sum(strong) if strong else max(bits) if bits else -math.log(0.1 * 10_000)
+    return 1 / (1 + math.exp(-(model.intercept + model.slope * min(max(evidence, -40.0), 40.0))))
+
+
+def test_scores_equal_their_definition(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        words = list(r.choice(WORDS["yy"] + WORDS["xx"], 14))
+        if i % 3 == 0:
+            for k in r.choice(14, 3, replace=False):
+                words[k] = ["loweind", "loweiung", "loweitum", "scum"][int(r.integers(4))]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    train = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    odds = plain_model(train, range(len(train)))
+    assert model.odds == pytest.approx(odds) and odds
+    got = {x.doc_id: x.toxicity for x in toxicity.score(docs, model).collect()}
+    assert got == pytest.approx({i: plain_score(model, odds, t) for i, t, _ in rows})
+
+
 def toxic_rows():
     r = np.random.default_rng(1)
     stem = ["loweischaft", "loweind", "loweiung", "loweitum", "loweiing"]
