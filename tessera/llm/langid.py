@@ -2,7 +2,8 @@
 
 The network reads the bytes of each letter run (with a blank on either side) in both directions and
 labels every position; a document pools the positions' log-probabilities, each run as one vote.  It
-is trained here, in numpy, by backpropagation through time, on a bounded sample of labelled texts.
+is trained here, in numpy, by backpropagation through time, on a bounded sample of labelled texts, each
+of them whole and with all its runs.
 A run's labels depend on its bytes alone, so a worker reads each distinct run once and remembers it.
 
 Defined cases: null texts, and texts without a letter, are ``und`` with score 0; without any labelled
@@ -27,12 +28,13 @@ from pyspark.sql import types as T
 from tessera.llm.common import bounded_sample, in_training, slices, worker_state
 
 UND = "und"
-#: Bounds of the training sample: distinct texts of a language, characters of each that are used,
-#: distinct runs in all.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_RUNS = 300, 6000, 20_000
-HIDDEN, EMBEDDED, EPOCHS, BATCH, RATE = 16, 12, 4, 256, 0.01
-#: Longest piece of a run, and runs that a worker remembers (two generations).
-RUN_BYTES, MEMO_RUNS = 48, 250_000
+#: Bound of the training sample: distinct texts of a language.
+SAMPLE_TEXTS = 300
+HIDDEN, EMBEDDED, EPOCHS, BATCH, RATE = 16, 12, 2, 512, 0.015
+#: Steps of training at least; few runs are passed over more often.
+LEAST_STEPS = 120
+#: Longest piece of a run; runs that a worker remembers, and their length in all.
+RUN_BYTES, MEMO_RUNS, MEMO_LENGTH = 48, 250_000, 8 << 20
 _RUNS = re.compile(r"[^\W\d_]+").findall
 _SPANS = re.compile(r"[^\W\d_]+").finditer
 
@@ -117,7 +119,8 @@ class Network:
                 g[f"b{d}"] += d_in.sum(axis=0)
                 d_x[at[t]] += d_in @ W.T
                 carried = ds * z + d_a @ U.T
-        np.add.at(g["E"], turned.reshape(-1), d_x.reshape(-1, d_x.shape[2]))
+        for k in range(EMBEDDED):
+            g["E"][:, k] = np.bincount(turned.reshape(-1), d_x[:, :, k].reshape(-1), 256)
         return loss, g
 
     def run_logs(self, words: list[bytes]) -> np.ndarray:
@@ -147,10 +150,10 @@ def fit(texts: list[tuple[str, str]]) -> Network:
         return net
     counts: list[Counter] = [Counter() for _ in langs]
     for text, lang in texts:
-        for run in _RUNS(text[:SAMPLE_CHARS].lower()):
+        for run in _RUNS(text.lower()):
             counts[langs.index(lang)].update(pieces(run))
     totals = [max(1, sum(c.values())) for c in counts]
-    runs = sorted(set().union(*counts), key=lambda w: (-sum(c[w] / t for c, t in zip(counts, totals, strict=True)), w))[:SAMPLE_RUNS]
+    runs = sorted(set().union(*counts), key=lambda w: (-sum(c[w] / t for c, t in zip(counts, totals, strict=True)), w))
     share = np.array([[c[w] / t for c, t in zip(counts, totals, strict=True)] for w in runs], np.float32).reshape(len(runs), len(langs))
     weight = np.sqrt(share.sum(axis=1))
     target = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
@@ -162,8 +165,9 @@ def fit(texts: list[tuple[str, str]]) -> Network:
     for n in np.unique(lengths):
         own = draw.permutation(np.nonzero(lengths == n)[0])
         batches += [own[i : i + BATCH] for i in range(0, len(own), BATCH)]
-    step, steps = 0, EPOCHS * len(batches)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, len(batches))))
+    step, steps = 0, epochs * len(batches)
+    for _ in range(epochs):
         for k in draw.permutation(len(batches)):
             own = batches[k]
             _, g = net.gradients(_codes([runs[i] for i in own], int(lengths[own[0]])), target[own], weight[own])
@@ -181,7 +185,7 @@ def fit(texts: list[tuple[str, str]]) -> Network:
 def _temperature(net: Network, texts: list[tuple[str, str]]) -> float:
     """What divides a document's summed logs so that scores are probabilities, on the same sample."""
     reader = Reader(net)
-    sums = [(s, net.langs.index(lang)) for (text, lang), s in zip(texts, reader.sums([t[:SAMPLE_CHARS] for t, _ in texts]), strict=True) if s is not None]
+    sums = [(s, net.langs.index(lang)) for (text, lang), s in zip(texts, [s for i in range(0, len(texts), 100) for s in reader.sums([t for t, _ in texts[i : i + 100]])], strict=True) if s is not None]
     if not sums:
         return 1.0
     x, y = np.array([s for s, _ in sums]), np.array([k for _, k in sums])
@@ -200,12 +204,14 @@ class Reader:
     def __init__(self, net: Network) -> None:
         self.net = net
         self.young: dict[str, int] = {}
+        self.held = 0
         self.logs = np.zeros((0, len(net.langs)), np.float32)
 
     def _learn(self, runs: set[str]) -> None:
         """Runs without a letter (other numerals that regular expressions take for one) get row 0."""
-        if len(self.young) + len(runs) > MEMO_RUNS or not len(self.logs):
-            self.young, self.logs = {}, np.zeros((1, len(self.net.langs)), np.float32)
+        if self._full(runs) or not len(self.logs):
+            self.young, self.held, self.logs = {}, 0, np.zeros((1, len(self.net.langs)), np.float32)
+        self.held += sum(map(len, runs))
         new = sorted(r for r in runs if any(map(str.isalpha, r)))
         cut = [pieces(r) for r in new]
         each = self.net.run_logs([p for c in cut for p in c])
@@ -217,12 +223,15 @@ class Reader:
             self.logs = np.concatenate([self.logs, summed])
         self.young.update(dict.fromkeys(runs.difference(new), 0))
 
+    def _full(self, new: set[str]) -> bool:
+        return len(self.young) + len(new) > MEMO_RUNS or self.held + sum(map(len, new)) > MEMO_LENGTH
+
     def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Each text's summed logs, or None if it has no letter."""
         runs = [_RUNS(t.lower()) if t else [] for t in texts]
         new = set().union(*runs).difference(self.young)
         if new:
-            if len(self.young) + len(new) > MEMO_RUNS:
+            if self._full(new):
                 new = set().union(*runs)
             self._learn(new)
         out = []
@@ -268,7 +277,7 @@ class Reader:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """Trains on a bounded sample of the rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang")).where(in_training(F.col("id")))
-    sample = bounded_sample(rows, "id", "body", "lang", SAMPLE_TEXTS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "label")
+    sample = bounded_sample(rows, "id", "body", "lang", SAMPLE_TEXTS)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = {(t, lang) for b in batches for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}

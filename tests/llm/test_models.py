@@ -1,6 +1,7 @@
 """Language identification and toxicity: gradients, held-out accuracy, defined cases."""
 
 import math
+import os
 import re
 import time
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, langid, toxicity
+from tessera.llm import common, langid, queries, toxicity
 from tessera.llm.common import bounded_sample, in_training
 
 WORDS = {"xx": "the thing oner ering thandor hesh wher that reeding".split(), "yy": "der ung keit schein verein üß ober zuein ichlich".split(), "zz": "ción ñado que los mente ezar rradó osllo".split()}
@@ -67,6 +68,33 @@ def test_language_query_learns_from_training_rows_only(spark):
     assert {r.lang_pred for r in nobody.collect()} == {"und"} and nobody.limit(0).count() == 0
 
 
+def test_whole_texts_are_learned_from():
+    same = "aaa bbb ccc " * 1500
+    texts = [(same + text(lang, i), lang) for lang in WORDS for i in range(12)]  # what tells them apart comes late
+    net = langid.fit(texts)
+    assert [p for p, _ in langid.Reader(net).predict([text(lang, 99, 12) for lang in WORDS])] == list(WORDS)
+
+
+def test_memory_of_runs_is_bounded_by_their_length(net, monkeypatch):
+    texts = [text(lang, i) for i in range(30) for lang in WORDS] + ["thing" * 400]
+    want = langid.Reader(net).predict(texts)
+    monkeypatch.setattr(langid, "MEMO_LENGTH", 90)
+    small = langid.Reader(net)
+    assert [(p, pytest.approx(x)) for p, x in want] == [small.predict([t])[0] for t in texts]
+    assert sum(map(len, small.young)) <= 2000
+
+
+DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+def test_accuracy_on_held_out_documents(spark):
+    got = queries.op3_langid(spark, DIR).join(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out and r.lang and r.text and any(map(str.isalpha, r.text))]
+    assert len(held) > 200 and np.mean([r.lang_pred == r.lang for r in held]) >= 0.98
+    assert all((r.lang_pred == "und") == (not r.text or not any(map(str.isalpha, r.text))) and 0 <= r.score <= 1 for r in got)
+
+
 def test_sample_is_bounded_and_counts_copies_once(spark):
     df = spark.createDataFrame([(i, "copy" if i % 2 else f"t{i}", "ab"[i % 3 == 0]) for i in range(400)], "k long, t string, l string")
     got = bounded_sample(df, "k", "t", "l", 64).collect()
