@@ -42,6 +42,12 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def set_aside(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of an operator's own names renamed, and what restores the columns of ``docs``."""
+    names = {c: f"__aside_{k}" for k, c in enumerate(docs.columns) if c.lower() in own}
+    return docs.withColumnsRenamed(names), lambda found: found.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
 def in_training(doc_id: Column) -> Column:
     """Rows that models may learn from; the others are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2

@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_sample, in_training, slices, worker_state
+from tessera.llm.common import bounded_sample, in_training, set_aside, slices, worker_state
 
 UND = "und"
+#: Of a known language: what its runs' sureness has to reach, of the way from chance to certainty.
+LEAST_SURE = 0.2
 #: Bound of the training sample: distinct texts of a language.
 SAMPLE_TEXTS = 300
 HIDDEN, EMBEDDED, EPOCHS, BATCH, RATE = 16, 12, 2, 512, 0.015
@@ -206,6 +208,7 @@ class Reader:
         self.young: dict[str, int] = {}
         self.held = 0
         self.logs = np.zeros((0, len(net.langs)), np.float32)
+        self.sure = np.zeros(0, np.float32)  # probability of each run's likeliest language
 
     def _learn(self, runs: set[str]) -> None:
         """Runs without a letter (other numerals that regular expressions take for one) get row 0."""
@@ -221,6 +224,7 @@ class Reader:
             summed = np.add.reduceat(each * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
             self.young.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
             self.logs = np.concatenate([self.logs, summed])
+            self.sure = np.exp(self.logs.max(axis=1))
         self.young.update(dict.fromkeys(runs.difference(new), 0))
 
     def _full(self, new: set[str]) -> bool:
@@ -228,6 +232,10 @@ class Reader:
 
     def sums(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Each text's summed logs, or None if it has no letter."""
+        return [x and x[0] for x in self.pooled(texts)]
+
+    def pooled(self, texts: list[str | None]) -> list[tuple[np.ndarray, float] | None]:
+        """Each text's summed logs and how sure its runs are on average, or None if it has no letter."""
         runs = [_RUNS(t.lower()) if t else [] for t in texts]
         new = set().union(*runs).difference(self.young)
         if new:
@@ -238,20 +246,22 @@ class Reader:
         for r in runs:
             at = np.fromiter(map(self.young.__getitem__, r), np.int64, len(r))
             at = at[at > 0]
-            out.append(self.logs[at].sum(axis=0, dtype=np.float64) if len(at) else None)
+            out.append((self.logs[at].sum(axis=0, dtype=np.float64), float(self.sure[at].mean())) if len(at) else None)
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, its probability, how sure the runs are) of each text."""
         if not self.net.langs:
-            return [(UND, 0.0)] * len(texts)
+            return [(UND, 0.0, float(any(map(str.isalpha, t or "")))) for t in texts]
         out = []
-        for s in self.sums(texts):
-            if s is None:
-                out.append((UND, 0.0))
+        for found in self.pooled(texts):
+            if found is None:
+                out.append((UND, 0.0, 0.0))
             else:
+                s, sure = found
                 k = int(s.argmax())
                 z = np.exp((s - s[k]) / self.net.temperature)
-                out.append((self.net.langs[k], float(1 / z.sum())))
+                out.append((self.net.langs[k], float(1 / z.sum()), sure))
         return out
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -289,8 +299,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, net: Network, text_col: str = "text", *, spans: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and lang_score (and lang_spans); one pass, no shuffle."""
-    own = ["lang_pred", "lang_score", *(["lang_spans"] if spans else [])]
+    """``docs`` with lang_pred, lang_score and lang_sure (and lang_spans); one pass, no shuffle.
+
+    ``lang_sure`` is the mean probability of each run's likeliest language: near chance where no
+    language fits, high in a text of two.  It is 0 without a letter, and 1 if nothing was learned.
+    """
+    own = ["lang_pred", "lang_score", "lang_sure", *(["lang_spans"] if spans else [])]
     kept = [c for c in docs.columns if c not in own]
     at = kept.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast((hash(net.p["V"].tobytes()), net))
@@ -303,12 +317,25 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", *, spans: boo
             for batch in slices(whole, at):
                 texts = batch.column(at).to_pylist()
                 found = reader.predict(texts)
-                added = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+                added = [pa.array(x, kind) for x, kind in zip(zip(*found), (pa.string(), pa.float64(), pa.float64()), strict=True)]
                 if spans:
                     added.append(pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in reader.spans(t)] for t in texts], span_type))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kept, *own])
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_sure", T.DoubleType())]
     if spans:
         fields.append(T.StructField("lang_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))))
     return docs.select(*kept).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *fields]))
+
+
+def keep_known(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """The documents in whose letters the network sees a language it knows.
+
+    Rejected are null texts, texts without a letter, and texts whose runs are sure of no language: on
+    average less than ``LEAST_SURE`` of the way from chance to certainty.  If there was nothing to learn
+    from, only the first two kinds are.
+    """
+    chance = 1 / max(1, len(net.langs))
+    least = chance + LEAST_SURE * (1 - chance) if len(net.langs) > 1 else 0.0
+    fed, restore = set_aside(docs, ("lang_pred", "lang_score", "lang_sure"))
+    return restore(predict(fed, net, text_col).where((F.col("lang_sure") > 0) & (F.col("lang_sure") >= least)))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import jaccard
-from tessera.llm.common import bounded_sample, in_training, slices, worker_state
+from tessera.llm.common import bounded_sample, in_training, set_aside, slices, worker_state
 from tessera.llm.graph import checkpointed
 
 #: Distinct labelled texts of each class that the model learns from.
@@ -286,3 +286,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *, spans: bool
     if spans:
         fields.append(T.StructField("toxic_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("bits", T.DoubleType())]))))
     return docs.select(*kept).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *fields]))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose toxicity is below the threshold, with their own columns."""
+    fed, restore = set_aside(docs, ("toxicity",))
+    return restore(score(fed, model, text_col).where(F.col("toxicity") < threshold))

@@ -44,8 +44,8 @@ def test_gradients_are_the_slopes():
 
 def test_languages_and_spans(net):
     reader = langid.Reader(net)
-    assert [p for p, _ in reader.predict([text(lang, 99, 12) for lang in WORDS])] == list(WORDS)
-    assert reader.predict([None, "", "12 -- 34", "²½"]) == [("und", 0.0)] * 4
+    assert [p for p, *_ in reader.predict([text(lang, 99, 12) for lang in WORDS])] == list(WORDS)
+    assert reader.predict([None, "", "12 -- 34", "²½"]) == [("und", 0.0, 0.0)] * 4
     assert reader.predict(["thing²"])[0][0] == "xx"
     shown = "the thing 12 ción ñado"
     size = len(shown.encode())
@@ -54,7 +54,7 @@ def test_languages_and_spans(net):
     covered = {k for s, e, _ in reader.spans(shown) for k in range(s, e)}
     assert covered >= {*range(3), *range(4, 9), *range(13, 18), *range(19, size)}
     long = reader.predict(["thing" * 5000, "ción ñado los " * 3000])
-    assert [x for x, _ in long] == ["xx", "zz"] and all(0 <= s <= 1 for _, s in long)
+    assert [x for x, *_ in long] == ["xx", "zz"] and all(0 <= s <= 1 and 0 < u <= 1 for _, s, u in long)
 
 
 def test_language_query_learns_from_training_rows_only(spark):
@@ -72,7 +72,19 @@ def test_whole_texts_are_learned_from():
     same = "aaa bbb ccc " * 1500
     texts = [(same + text(lang, i), lang) for lang in WORDS for i in range(12)]  # what tells them apart comes late
     net = langid.fit(texts)
-    assert [p for p, _ in langid.Reader(net).predict([text(lang, 99, 12) for lang in WORDS])] == list(WORDS)
+    assert [p for p, *_ in langid.Reader(net).predict([text(lang, 99, 12) for lang in WORDS])] == list(WORDS)
+
+
+def test_the_network_decides_what_has_a_known_language(spark, net):
+    rows = [(1, text("xx", 5), "c"), (2, text("yy", 6, 20) + " " + text("zz", 7, 20), "c"), (3, None, "c"), (4, "12 - 34", "c"), (5, "", "c"), (5, "", "c"), (6, "ing der que " * 20_000, "c"), (1, text("xx", 5), "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string")
+    kept = langid.keep_known(docs, net)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 6]
+    unsure = langid.Network(list(WORDS))  # not trained: every run is near chance
+    unsure.p["V"] *= 0
+    assert langid.keep_known(docs, unsure).count() == 0
+    assert sorted(r.doc_id for r in langid.keep_known(docs, langid.fit([])).collect()) == [1, 1, 2, 6]
+    assert langid.keep_known(docs.limit(0), net).count() == 0
 
 
 def test_memory_of_runs_is_bounded_by_their_length(net, monkeypatch):
@@ -80,7 +92,7 @@ def test_memory_of_runs_is_bounded_by_their_length(net, monkeypatch):
     want = langid.Reader(net).predict(texts)
     monkeypatch.setattr(langid, "MEMO_LENGTH", 90)
     small = langid.Reader(net)
-    assert [(p, pytest.approx(x)) for p, x in want] == [small.predict([t])[0] for t in texts]
+    assert [(p, pytest.approx(x), pytest.approx(u)) for p, x, u in want] == [small.predict([t])[0] for t in texts]
     assert sum(map(len, small.young)) <= 2000
 
 
