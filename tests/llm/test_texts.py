@@ -3,7 +3,9 @@
 import datetime
 import json
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -79,16 +81,46 @@ def report(found):
     return sorted(((r.doc_id, r.hit_words, sum(s.end - s.start for s in r.hit_spans), tuple(r.hit_items)) for r in found.collect()), key=str)
 
 
-def test_hits_equal_brute_force(spark):
+def test_hits_equal_brute_force(spark, monkeypatch):
     docs, items = contamination_case()
     d, b = spark.createDataFrame([(*x, "keep") for x in docs], "doc_id long, text string, hit_words string"), spark.createDataFrame(items, "item_id long, text string")
     want = plain_hits(docs, items)
     assert report(decontaminate.find_windows(d, b)) == want
     assert report(decontaminate.find_windows(d, b, block_bytes=60)) == want  # block after block
+    for name, value in (("PASS_BLOCKS", 2), ("BUFFER_BYTES", 100), ("BUILD_BYTES", 1)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert report(decontaminate.find_windows(d, b, block_bytes=60)) == want  # pass after pass
     assert report(decontaminate.find_windows(d, b.limit(0))) == [(i, n, 0, ()) for i, n, _, _ in want]
     assert decontaminate.find_windows(d.limit(0), b).count() == 0
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    plain = decontaminate._rolled
+    monkeypatch.setattr(decontaminate, "_rolled", lambda ids, width: plain(ids, width) % np.uint64(3))
+    items = [("1", "a b c d"), ("2", "b c d e a"), ("3", "c d"), ("4", "a b c d"), (None, "e a b")]
+    windows = decontaminate._Windows(items, 3)
+    words = "x a b c d e a b c d".encode().split()
+    found = sorted((a, b, tuple(windows.items[k] or "-" for k in owners)) for a, b, _, owners in windows.scan(words, np.array([10, 1 << 62])))
+    got = {(a, b): set() for a, b, _ in found}
+    for a, b, owners in found:
+        got[a, b] |= set(owners)
+    assert got == {(1, 4): {"1", "4"}, (2, 5): {"1", "2", "4"}, (3, 6): {"2"}, (4, 7): {"2"}, (5, 8): {"-"}, (6, 9): {"1", "4"}, (7, 10): {"1", "2", "4"}, (3, 5): {"3"}, (8, 10): {"3"}}
+
+
+def test_a_large_block_is_held_in_bounded_memory():
+    r = np.random.default_rng(0)
+    words = np.array([f"w{k}" for k in range(60_000)])
+    items = [(str(k), " ".join(r.choice(words, 400))) for k in range(2000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    windows = decontaminate._Windows(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 16 * size + (32 << 20) and peak < 30 * size + (64 << 20)
+    said = items[77][1].encode().split()[5:30]
+    assert {windows.items[k] for *_, owners in windows.scan(said, np.array([25, 1 << 62])) for k in owners} == {"77"}
+
+
 def test_rolled_hashes_tell_windows_apart():
     words = [b"a", b"b", b"a", b"b", b"c"] * 3
     ids = decontaminate._word_ids(words)
