@@ -17,21 +17,24 @@ import gc
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import accumulate, chain
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, worker_state
 
-#: Resolved pre-tokens of one memo generation.  A worker holds two: what is used again moves to the
-#: young one, and when that is full the old one goes, so memory is bounded and frequent words stay.
-MEMO_ENTRIES = 250_000
+#: Resolved pre-tokens of one memo generation, and their length in all.  A worker holds two: what is used
+#: again moves to the young one, and when that is full the old one goes, so memory is bounded and frequent
+#: words stay.
+MEMO_ENTRIES, MEMO_LENGTH = 250_000, 4 << 20
 #: Bytes of text that are split and looked up together.
 SLICE_BYTES = 1 << 20
 #: Mean keys per bucket of the perfect hash.
@@ -39,12 +42,35 @@ BUCKET_KEYS = 4
 #: Of a resolved pre-token: its ids as decimal text joined by one space, as numbers, and decoded.
 Piece = tuple[str, tuple[int, ...], bytes]
 _SAID, _IDS, _DECODED = itemgetter(0), itemgetter(1), itemgetter(2)
-#: Patterns with a form for the faster standard engine.  The two forms agree on texts without the
-#: characters below (numerals that are no decimal digits, and separators that are no white space).
+#: Patterns with a form for the standard engine.  The forms agree on every text whose characters are of
+#: one class (letter, number, white space, other) to that engine and to the library that is followed.
 FASTER = {
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+",
 }
-_APART = frozenset(x for x in map(chr, range(0x110000)) if x.isalnum() and not x.isalpha() and not x.isdecimal() or "\x1c" <= x <= "\x1f")
+#: For each class its pattern, that of the standard engine, and a character on which no pattern depends.
+_CLASSES = ((r"\p{L}", r"[^\W\d_]", "\u0416"), (r"\p{N}", r"\d", "1"), (r"\s", r"\s", "\t"))
+_OTHER = "!"
+
+
+@lru_cache(1)
+def stand_ins() -> dict[int, str]:
+    """The characters that the standard engine classes otherwise, by a plain one of their true class.
+
+    The two engines know different versions of Unicode, and hold other things for numerals and white
+    space, so all code points are asked for; the truth is what the library itself matches.
+    """
+    every = "".join(map(chr, (x for x in range(0x110000) if not 0xD800 <= x < 0xE000)))
+    single = {bytes((i,)): i for i in range(256)}
+    out: dict[int, str] = {}
+    for pattern, ours, plain in _CLASSES:
+        matched = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
+        truth, found = set(bytes(matched).decode()), set(re.findall(ours, every))
+        out |= {ord(x): plain for x in truth - found}
+        for x in found - truth:
+            out.setdefault(ord(x), _OTHER)
+    return out
+
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -137,6 +163,7 @@ class Memo:
     def __init__(self) -> None:
         self.young: dict[str, Piece] = {}
         self.old: dict[str, Piece] = {}
+        self.length = 0
 
 
 class Codec:
@@ -147,20 +174,26 @@ class Codec:
         self.ids = [i for i, x in enumerate(vocab) if x]
         self.hash = PerfectHash([vocab[i] for i in self.ids])
         self.longest = max(map(len, vocab))
+        self.stand_ins = stand_ins() if pattern in FASTER else {}
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("vocab", "pattern", "ids", "hash", "longest")}
+        return {k: self.__dict__[k] for k in ("vocab", "pattern", "ids", "hash", "longest", "stand_ins")}
 
     def ready(self) -> "Codec":
         """Makes what is derived and not sent: the compiled pattern, ranks by bytes, the memo."""
         if not hasattr(self, "split"):
-            self.split = regex.compile(self.pattern).findall
-            self.split_fast = re.compile(FASTER[self.pattern]).findall if self.pattern in FASTER else None
+            self.split = re.compile(FASTER[self.pattern]).findall if self.pattern in FASTER else regex.compile(self.pattern).findall
+            self.apart = frozenset(map(chr, self.stand_ins))
             self.rank = {x: i for i, x in enumerate(self.vocab) if x}
             self.first = [self.rank.get(bytes((a, b))) for a in range(256) for b in range(256)]
             self.memo = Memo()
         return self
 
+    def split_exactly(self, text: str) -> list[str]:
+        """The pre-tokens of a text with characters that the engine classes otherwise."""
+        ends = list(accumulate(map(len, self.split(text.translate(self.stand_ins)))))
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Tier two: the lowest-ranked adjacent pair merges first, the leftmost of equals.
 
@@ -209,9 +242,11 @@ class Codec:
         """These pre-tokens, from the memo, resolving those that neither generation knows."""
         memo = self.memo
         new = pieces.difference(memo.young)
-        if len(memo.young) + len(new) > MEMO_ENTRIES:
-            memo.old, memo.young = memo.young, {}
-            new = pieces
+        added = sum(map(len, new))
+        if len(memo.young) + len(new) > MEMO_ENTRIES or memo.length + added > MEMO_LENGTH:
+            memo.old, memo.young, memo.length = memo.young, {}, 0
+            new, added = pieces, sum(map(len, pieces))
+        memo.length += added
         old = memo.old
         memo.young.update([(x, old[x]) for x in new if x in old])
         if new := list(new.difference(memo.young)):
@@ -221,17 +256,17 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> Iterator[list[Piece]]:
         """For each text its resolved pre-tokens; texts are held together, so words are looked up once.
 
-        The memo holds no pre-token with a character on which the two engines differ.  Such a
+        The memo holds no pre-token with a character that the engine classes otherwise.  Such a
         character therefore shows among the new pre-tokens, and its texts are split again exactly.
         """
         self.ready()
-        split = [(self.split_fast or self.split)(t) if t else [] for t in texts]
+        split = [self.split(t) if t else [] for t in texts]
         every = set().union(*split)
         special: dict[int, dict] = {}
-        if self.split_fast and (odd := {x for x in every.difference(self.memo.young) if not _APART.isdisjoint(x)}):
+        if odd := {x for x in every.difference(self.memo.young) if not self.apart.isdisjoint(x)}:
             for i, text in enumerate(texts):
                 if not odd.isdisjoint(split[i]):
-                    split[i] = self.split(text)
+                    split[i] = self.split_exactly(text)
                     special[i] = self.resolve(list(set(split[i])))
             every = set().union(*(x for i, x in enumerate(split) if i not in special))
         known = self.remember(every)

@@ -35,7 +35,7 @@ from tessera.llm.graph import checkpointed
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast may hold; blocks of one pass; bytes of documents that are
 #: scanned block by block, if there are several; bytes of benchmark that are split into words at once.
-BLOCK_BYTES, PASS_BLOCKS, BUFFER_BYTES, BUILD_BYTES = 32 << 20, 8, 64 << 20, 1 << 20
+BLOCK_BYTES, PASS_BLOCKS, BUFFER_BYTES, BUILD_BYTES = 16 << 20, 16, 64 << 20, 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _BASE = 0x9E3779B97F4A7C15

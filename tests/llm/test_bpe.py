@@ -42,6 +42,23 @@ def test_characters_on_which_engines_differ(codec, reference):
     assert ids(codec, texts) == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_code_points_that_engines_class_otherwise(codec, reference):
+    assert len(codec.stand_ins) > 1000 and 0x1C89 in codec.stand_ins
+    points = sorted({*codec.stand_ins, *range(0x20, 0x3000, 7), *random.Random(1).sample([x for x in range(0x110000) if not 0xD800 <= x < 0xE000], 4000)})
+    for form in ("{0}'s", "{0}'ll a{0}'re", "a{0}1 {0}x", "1{0} {0}{0}\n{0}!", " {0}' {0}"):
+        texts = [form.format(chr(x)) for x in points]
+        assert ids(codec, texts) == reference.encode_ordinary_batch(texts)
+
+
+def test_memory_of_words_is_bounded_by_their_length(codec, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_LENGTH", 3000)
+    codec.ready().memo = bpe.Memo()
+    for k in range(40):
+        texts = [f"{'x' * 200}{k} {'字' * 150}{k} shared"]
+        assert ids(codec, texts) == [reference.encode_ordinary(t) for t in texts]
+        assert max(sum(map(len, m)) for m in (codec.memo.young, codec.memo.old)) <= 3000
+
+
 def test_long_pieces_and_white_space(codec, reference):
     r = random.Random(5)
     texts = ["a" * 3000, "ab" * 2000, " " * 500 + "x", "\n\n \t", "<|endoftext|>", "".join(r.choice("tionhe ") for _ in range(20_000))]
