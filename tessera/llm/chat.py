@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import slices
+
 ASSISTANT = "assistant"
 #: Names of roles in other layouts (fixed values).
 ROLES = {"human": "user", "prompter": "user", "instruction": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant", "ai": "assistant"}
@@ -35,7 +37,8 @@ ROLES = {"human": "user", "prompter": "user", "instruction": "user", "gpt": "ass
 
 @dataclass(frozen=True)
 class Mapping:
-    """``each``: path of a list of turns with role and text fields; ``fields``: (role, field) in order."""
+    """``each``: path of a list of turns with role and text fields; ``fields``: (role, field) in order;
+    ``renames``: the layout has names of its own for roles (``ROLES``); in others a role stays as it is."""
 
     name: str
     required: tuple[str, ...]
@@ -44,14 +47,15 @@ class Mapping:
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
+    renames: bool = False
 
 
 #: A user turn of several fields joins the non-empty ones by a blank line.
 MAPPINGS = (
     Mapping("messages", ("messages[].role", "messages[].content"), ("messages[].turn", "messages[].name", "id"), "messages", "role", "content"),
     Mapping("messages-parts", ("messages[].role", "messages[].content[].type", "messages[].content[].text"), ("id",), "messages", "role", "content"),
-    Mapping("share", ("conversations[].from", "conversations[].value"), ("id", "system"), "conversations", "from", "value", (("system", "system"),)),
-    Mapping("turns", ("turns[].speaker", "turns[].text"), ("id",), "turns", "speaker", "text"),
+    Mapping("share", ("conversations[].from", "conversations[].value"), ("id", "system"), "conversations", "from", "value", (("system", "system"),), renames=True),
+    Mapping("turns", ("turns[].speaker", "turns[].text"), ("id",), "turns", "speaker", "text", renames=True),
     Mapping("dialog", ("dialog[].role", "dialog[].text"), ("id",), "dialog", "role", "text"),
     Mapping("instruction", ("instruction", "output"), ("input", "system", "id"), fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("instruction-response", ("instruction", "response"), ("context", "category", "system", "id"), fields=(("system", "system"), ("user", "context"), ("user", "instruction"), ("assistant", "response"))),
@@ -93,9 +97,9 @@ def _text(value: object) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def _role(value: object) -> str:
+def _role(value: object, renames: bool) -> str:
     said = _text(value)
-    return ROLES.get(said.lower(), said)
+    return ROLES.get(said.lower(), said) if renames else said
 
 
 def canonical(record: str | None) -> tuple[str | None, str | None, list[tuple[str, str]]]:
@@ -118,7 +122,7 @@ def canonical(record: str | None) -> tuple[str | None, str | None, list[tuple[st
                 turns[-1] = (role, f"{turns[-1][1]}\n\n{said}")
             else:
                 turns.append((role, said))
-    turns += [(_role(x.get(mapping.role)), _text(x.get(mapping.text))) for x in value.get(mapping.each, ())] if mapping.each else []
+    turns += [(_role(x.get(mapping.role), mapping.renames), _text(x.get(mapping.text))) for x in value.get(mapping.each, ())] if mapping.each else []
     return mark, mapping.name, turns
 
 
@@ -172,7 +176,7 @@ def format_records(df: DataFrame, record_col: str = "record") -> DataFrame:
     kept = [c for c in df.columns if c not in (record_col, *own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, len(kept))):
             done = [canonical(x) for x in batch.column(len(kept)).to_pylist()]
             shown = [render(t) for _, _, t in done]
             masks = [[{"start": a, "end": b} for a, b in m] for _, m in shown]
@@ -188,7 +192,7 @@ def read_back(df: DataFrame) -> DataFrame:
     at, mask_at = cols.index("formatted"), cols.index("loss_mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, at)):
             texts, masks = batch.column(at).to_pylist(), batch.column(mask_at).to_pylist()
             turns = [[{"role": r, "text": t} for r, t in parse(x or "")] for x in texts]
             loss = ["".join(unescape(x[s["start"] : s["end"]]) for s in m or ()) if x else "" for x, m in zip(texts, masks, strict=True)]

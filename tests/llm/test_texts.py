@@ -34,10 +34,19 @@ def test_layouts():
     assert done({"prompt": "p", "completion": "c", "id": 3}) == ("prompt", [("user", "p"), ("assistant", "c")])
     assert done({"question": "q", "answer": "a", "context": "c"})[1] == [("user", "c\n\nq"), ("assistant", "a")]
     assert done({"messages": [{"role": "user", "content": [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]}]})[1] == [("user", "xy")]
+    assert done({"turns": [{"speaker": "Bot", "text": "a"}]})[1] == [("assistant", "a")]
+    assert done({"messages": [{"role": "gpt", "content": "a"}]})[1] == [("gpt", "a")]  # canonical roles are what they say
     assert done({"strange": 1}) == (None, []) and chat.canonical(None) == (None, None, []) and chat.canonical("{") == (None, None, [])
     assert chat.canonical("[1]") == (None, None, [])
 
 
+def test_roles_of_rows_stay(spark):
+    said = ["gpt", "human", "Assistant", "assistant", "model", "ai", "user", "", "<|end|>", "as|>sistant"]
+    df = spark.createDataFrame([(1, k, r, f"t{k}") for k, r in enumerate(said)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_records(chat.gather(df))).first()
+    assert [(t.role, t.text) for t in got.turns] == [(r, f"t{k}") for k, r in enumerate(said)] and got.loss_text == "t3"
+
+
 def test_gathered_turns(spark):
     data = [(1, 1, "assistant", "b", "x"), (1, 0, "user", "a", "x"), (2, 0, "user", None, "x"), (2, 0, None, "<|end|>", "x"), (2, 0, "user", None, "x"), (None, 5, "assistant", "t" * 50_000, "x")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, formatted string")
