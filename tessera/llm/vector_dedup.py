@@ -6,23 +6,30 @@ vectors are compared in every leaf they share, by cosine in double precision, an
 one only, so no list of pairs is made: a leaf gives link counts and a spanning forest, and components
 are joined from the forests.
 
-Splits are fitted on a bounded sample (``SAMPLE_VECTORS``); every vector is then placed.  With the
-spill of ``SPILL`` a pair at the threshold is parted by a split with about 0.013 chance.  Five trees miss
-it with about 1.5e-4 at the full depth of 14, 3e-5 at 10 levels; what is found is verified, so nothing is
-linked below the threshold.  A node that a split would not part (a dense group near the split) stays a
-leaf, and a large leaf is compared as pairs of blocks, so no group has to fit one task.  Where a tree's
-root stays a leaf, that leaf compares all pairs of the (label, length) and the other trees are not used.
+Trees grow in rounds.  The first fits its splits on a sample of about ``SAMPLE_VECTORS``; every vector is
+then placed.  A leaf that is still large is a tree of its own in the next round, fitted on a sample of its
+own vectors, so leaves do not grow with the table and no fit sees more than a sample.  A node that a split
+would not part (a dense group near the split) stays a leaf, and a large leaf is compared as pairs of
+blocks, so no group has to fit one task.  Where a tree's root stays a leaf in the first round, that leaf
+compares all pairs of the (label, length) and the other trees are not used.
+
+With the spill of ``SPILL`` a pair at the threshold is parted by a split with about 0.013 chance.  Five
+trees miss it with about 3e-5 at 10 levels, 1.5e-4 at 14, 1.4e-3 at 24; what is found is verified, so
+nothing is linked below the threshold.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 of null label, link with nothing; vectors of different length are not compared; copies link with each
-other; rows that share an id are rows each, and belong together; null ids have a null component; an
+other; rows that share an id are rows each, with links of their own, and those with usable vectors belong
+together; null ids have a null component; an
 empty table gives an empty result; only the id, vector and label columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,71 +41,103 @@ from tessera.llm.graph import checkpointed, connected
 THRESHOLD = 0.98
 TREES, DEPTH, LEAF_VECTORS, SPILL = 5, 14, 256, 0.1
 SAMPLE_VECTORS, BLOCK_VECTORS = 20_000, 2048
+#: Vectors of a leaf from which it is split again, if it was left for want of sampled vectors or depth.
+LARGE_LEAF = 2048
 #: A split that places more than this many vectors for one does not part a dense group: it stays a leaf.
 MOST_SPILL = 1.25
+#: A leaf's number: its tree above (``TREES``: one leaf for all of them), a bit that says it is not to be
+#: split again, and a hash below.
+_TREE, _DONE = 60, 59
+#: Vectors of a leaf that one task places in a later round.
+PLACED_VECTORS = 100_000
+#: Parts in which a component's name goes to its classes.
+GROUP_SALTS = 8
 
 
-def _directions(dim: int) -> np.ndarray:
-    """(tree, level, component) unit vectors, the same for every run."""
-    draw = np.random.default_rng(1000 + dim).normal(size=(TREES, DEPTH, dim))
+@lru_cache(8)
+def _directions(dim: int, turn: int) -> np.ndarray:
+    """(tree, level, component) unit vectors of a round, the same for every run."""
+    draw = np.random.default_rng((1000 + dim) + (turn << 32)).normal(size=(TREES, DEPTH, dim))
     return draw / np.linalg.norm(draw, axis=2, keepdims=True)
 
 
-class Forest:
-    """Split points by (label, length): for each tree, node number (root 1) to threshold."""
-
-    def __init__(self, sample: list[tuple[int, np.ndarray]], scale: float) -> None:
-        self.splits: dict[tuple[int, int], list[dict[int, float]]] = {}
-        groups: dict[tuple[int, int], list[np.ndarray]] = {}
-        for label, v in sample:
-            groups.setdefault((label, len(v)), []).append(v)
-        for key, vectors in groups.items():
-            projected = np.einsum("nd,tld->tnl", np.array(vectors), _directions(key[1]))
-            self.splits[key] = [self._fit(p, scale, SPILL / np.sqrt(key[1])) for p in projected]
+class Tree:
+    """Splits of one tree: node number (root 1) to threshold; nodes that no split would part."""
 
-    @staticmethod
-    def _fit(p: np.ndarray, scale: float, margin: float) -> dict[int, float]:
-        out: dict[int, float] = {}
-        todo = [(1, 0, np.arange(len(p)))]
+    def __init__(self, projected: np.ndarray, scale: float, margin: float) -> None:
+        """Fitted on sampled vectors' projections (vector, level); a sampled vector stands for ``scale``."""
+        self.splits: dict[int, float] = {}
+        self.dense: set[int] = set()
+        todo = [(1, 0, np.arange(len(projected)))]
         while todo:
             node, level, own = todo.pop()
             if level == DEPTH or len(own) * scale <= LEAF_VECTORS or len(own) < 8:
                 continue
-            x = p[own, level]
+            x = projected[own, level]
             cut = float(np.median(x))
             left, right = own[x < cut + margin], own[x >= cut - margin]
             if len(left) + len(right) > MOST_SPILL * len(own):
+                self.dense.add(node)
                 continue
-            out[node] = cut
+            self.splits[node] = cut
             todo += [(2 * node, level + 1, left), (2 * node + 1, level + 1, right)]
-        return out
+
+    def place(self, projected: np.ndarray, margin: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf node, vectors in it)."""
+        todo = [(1, 0, np.arange(len(projected)))]
+        while todo:
+            node, level, own = todo.pop()
+            cut = self.splits.get(node)
+            if not len(own):
+                continue
+            if cut is None:
+                yield node, own
+            else:
+                x = projected[own, level]
+                todo += [(2 * node, level + 1, own[x < cut + margin]), (2 * node + 1, level + 1, own[x >= cut - margin])]
+
+
+def _number(tree: int, done: bool, *path: object) -> int:
+    low = int.from_bytes(hashlib.blake2b(",".join(map(str, path)).encode(), digest_size=8).digest(), "big") & (1 << _DONE) - 1
+    return tree << _TREE | int(done) << _DONE | low
+
+
+def _place(trees: dict[int, Tree], vectors: np.ndarray, turn: int, *path: object) -> list[list[int]]:
+    """For each unit vector its leaves, rising.  Where a tree's root is dense, that leaf holds all for all
+    trees; where no tree splits anything, so does one leaf, to be split in the next round if it is large."""
+    n, dim = vectors.shape
+    whole = next((t for t, tree in trees.items() if 1 in tree.dense), None)
+    if whole is not None or not any(tree.splits for tree in trees.values()):
+        number = _number(TREES, False, *path) if whole is None and len(trees) != 1 else _number(min(trees) if whole is None else whole, True, *path, 1)
+        return [[number] for _ in range(n)]
+    out: list[list[int]] = [[] for _ in range(n)]
+    for t, tree in trees.items():
+        for node, own in tree.place(vectors @ _directions(dim, turn)[t].T, SPILL / np.sqrt(dim)):
+            leaf = _number(t, node in tree.dense, *path, t, node)
+            for k in own.tolist():
+                out[k].append(leaf)
+    return [sorted(x) for x in out]
+
+
+class Forest:
+    """The first round's trees by (label, length)."""
+
+    def __init__(self, sample: list[tuple[int, np.ndarray]], scale: float) -> None:
+        self.trees: dict[tuple[int, int], dict[int, Tree]] = {}
+        groups: dict[tuple[int, int], list[np.ndarray]] = {}
+        for label, v in sample:
+            groups.setdefault((label, len(v)), []).append(v)
+        for key, vectors in groups.items():
+            projected = np.einsum("nd,tld->tnl", np.array(vectors), _directions(key[1], 0))
+            self.trees[key] = {t: Tree(p, scale, SPILL / np.sqrt(key[1])) for t, p in enumerate(projected)}
 
     def leaves(self, label: int, vectors: np.ndarray) -> list[list[int]]:
-        """For each vector its leaves as numbers; those of one tree come before the next tree's."""
-        n, dim = vectors.shape
-        trees = self.splits.get((label, dim)) or [{}] * TREES
-        projected = np.einsum("nd,tld->tnl", vectors, _directions(dim))
-        margin = SPILL / np.sqrt(dim)
-        salt = int.from_bytes(hashlib.blake2b(f"{label},{dim}".encode(), digest_size=5).digest(), "big") & (1 << 40) - 1
-        out: list[list[int]] = [[] for _ in range(n)]
-        whole = next((t for t, splits in enumerate(trees) if not splits), None)
-        for t, (splits, p) in enumerate(zip(trees, projected, strict=True)):
-            if whole is not None and t != whole:
-                continue  # the leaf of the first unsplit tree holds all, so other trees find nothing more
-            todo = [(1, 0, np.arange(n))]
-            while todo:
-                node, level, own = todo.pop()
-                if not len(own):
-                    continue
-                cut = splits.get(node)
-                if cut is None:
-                    leaf = (t << 60) | (node << 40) ^ salt
-                    for k in own.tolist():
-                        out[k].append(leaf)
-                else:
-                    x = p[own, level]
-                    todo += [(2 * node, level + 1, own[x < cut + margin]), (2 * node + 1, level + 1, own[x >= cut - margin])]
-        return out
+        return _place(self.trees.get((label, vectors.shape[1]), {}), vectors, 0, label, vectors.shape[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,6 +181,59 @@ def compare(leaf: int, vectors: np.ndarray, leaves: np.ndarray, copies: np.ndarr
     return counts, label
 
 
+def _fit_leaves(sample: DataFrame, turn: int) -> DataFrame:
+    """(label, dim, leaf, trees) of large leaves, each fitted on its own sampled vectors, in a task each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        one = table.slice(0, 1)
+        leaf, dim, many = (one.column(c)[0].as_py() for c in ("leaf", "dim", "size"))
+        vectors = _unit(table.column("v").combine_chunks().values.to_numpy().reshape(-1, dim))
+        vectors = vectors[np.lexsort(vectors.T[::-1])]
+        own = range(TREES) if leaf >> _TREE == TREES else [leaf >> _TREE]
+        trees = {t: Tree(vectors @ _directions(dim, turn)[t].T, many / len(vectors), SPILL / np.sqrt(dim)) for t in own}
+        return pa.table({**{c: one.column(c) for c in ("label", "dim", "leaf")}, "trees": pa.array([pickle.dumps(trees)], pa.binary())})
+
+    return sample.groupBy("label", "dim", "leaf").applyInArrow(run, "label long, dim int, leaf long, trees binary")
+
+
+def _split_large(placed: DataFrame, turn: int) -> DataFrame | None:
+    """The placed vectors with their large leaves split once more, or None if no leaf is to be split.
+
+    A leaf's trees travel once to each task that places its vectors, ahead of them in the sort order.
+    """
+    key = ["label", "dim", "leaf"]
+    each = placed.select("label", "dim", F.explode("leaves").alias("leaf"))
+    sizes = each.where(F.col("leaf").bitwiseAND(F.lit(1 << _DONE)) == 0).groupBy(*key).agg(F.count("*").alias("size"))
+    large = checkpointed(sizes.where(F.col("size") > LARGE_LEAF).withColumn("parts", F.ceil(F.col("size") / PLACED_VECTORS).cast("int")))
+    if large.isEmpty():
+        return None
+    rows = placed.select("class", "label", "dim", "v", F.explode("leaves").alias("leaf")).join(large, key)
+    share = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1 << 62)) / F.lit(float(1 << 62)) * F.col("size") < SAMPLE_VECTORS
+    trees = checkpointed(_fit_leaves(rows.where(share).select(*key, "size", "v"), turn))
+    ahead = trees.join(large, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("class"), F.lit(None).cast("array<double>").alias("v"), "trees")
+    behind = rows.select(*key, F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class", "v", F.lit(None).cast("binary").alias("trees"))
+    order = [*key, "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[int, Tree] = {}
+        for batch in batches:
+            kinds, classes, vectors = (batch.column(c).to_pylist() for c in ("trees", "class", "v"))
+            heads = [k for k, x in enumerate(kinds) if x is not None]
+            for a, b in zip([0, *heads], [*heads, len(kinds)], strict=True):
+                if a < b and kinds[a] is not None:
+                    trees, a = pickle.loads(kinds[a]), a + 1
+                if a < b:
+                    label, dim, leaf = (batch.column(c)[a].as_py() for c in key)
+                    now = _place(trees, _unit(np.array(vectors[a:b])), turn, label, dim, leaf)
+                    yield pa.RecordBatch.from_arrays([pa.array(classes[a:b], pa.int64()), pa.array([leaf] * (b - a), pa.int64()), pa.array(now, pa.list_(pa.int64()))], names=["class", "leaf", "now"])
+
+    again = ahead.unionByName(behind).repartition(*order).sortWithinPartitions(*order, F.col("class").asc_nulls_first()).mapInArrow(run, "class long, leaf long, now array<long>")
+    changed = again.groupBy("class").agg(F.collect_list("leaf").alias("old"), F.flatten(F.collect_list("now")).alias("now"))  # of one vector: some leaves of five trees
+    none = F.array().cast("array<long>")
+    leaves = F.sort_array(F.concat(F.array_except("leaves", F.coalesce("old", none)), F.coalesce("now", none)))
+    return checkpointed(placed.join(changed, "class", "left").select("class", "copies", "label", "dim", "v", leaves.alias("leaves")))
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     spark = df.sparkSession
@@ -149,10 +241,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.where(F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull())
     hashed = usable.select("id", "label", "v", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256).alias("digest"))
-    classes = checkpointed(hashed.groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
+    grouped = hashed.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    # A number of its own for each class, fixed by the checkpoint: an id may have several vectors.
+    classes = checkpointed(grouped.withColumn("class", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     total = classes.count()
-    picked = classes.orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE_VECTORS).select("label", "v").collect()
-    unit = [(r.label, np.array(r.v) / np.linalg.norm(r.v)) for r in picked]
+    share = F.pmod(F.xxhash64("digest"), F.lit(1 << 62)) / F.lit(float(1 << 62)) * F.lit(total) < SAMPLE_VECTORS
+    picked = classes.where(share).orderBy("digest").select("label", "v").collect()  # about SAMPLE_VECTORS
+    unit = [(r.label, _unit(np.array([r.v]))[0]) for r in picked]
     sent = spark.sparkContext.broadcast(Forest(unit, total / max(1, len(unit))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,17 +260,19 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     groups.setdefault((label, len(v)), []).append(k)
                 found: list = [None] * len(vectors)
                 for (label, _), own in groups.items():
-                    stacked = np.array([vectors[k] for k in own])
-                    stacked /= np.abs(stacked).max(axis=1, keepdims=True)
-                    for k, leaf in zip(own, sent.value.leaves(label, stacked / np.linalg.norm(stacked, axis=1, keepdims=True)), strict=True):
+                    for k, leaf in zip(own, sent.value.leaves(label, _unit(np.array([vectors[k] for k in own]))), strict=True):
                         found[k] = leaf
-                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("copies"), batch.column("v"), pa.array(found, pa.list_(pa.int64()))], names=["class", "copies", "v", "leaves"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "copies", "label", "dim", "v")), pa.array(found, pa.list_(pa.int64()))], names=["class", "copies", "label", "dim", "v", "leaves"])
 
-    placed = checkpointed(classes.select("class", "copies", "label", "v").mapInArrow(place, "class long, copies long, v array<double>, leaves array<long>"))
-    sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = sizes.select("leaf", F.ceil(F.col("size") / BLOCK_VECTORS).cast("int").alias("blocks"))
-    each = placed.withColumn("leaf", F.explode("leaves")).join(blocks, "leaf").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("leaf", "class", "copies", "v", "leaves", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = checkpointed(classes.select("class", "copies", "label", "dim", "v").mapInArrow(place, "class long, copies long, label long, dim int, v array<double>, leaves array<long>"))
+    turn = 1
+    while (deeper := _split_large(placed, turn)) is not None:
+        placed, turn = deeper, turn + 1
+    leaf = ["label", "dim", "leaf"]
+    sizes = placed.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*leaf).agg(F.count("*").alias("size")).where("size > 1")
+    blocks = sizes.select(*leaf, F.ceil(F.col("size") / BLOCK_VECTORS).cast("int").alias("blocks"))
+    each = placed.withColumn("leaf", F.explode("leaves")).join(blocks, leaf).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*leaf, "class", "copies", "v", "leaves", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("class").to_numpy()
@@ -191,14 +288,20 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         kept = (counts > 0) | (roots != np.arange(len(ids)))
         return pa.table({"class": ids[kept], "links": counts[kept], "root": ids[roots[kept]]})
 
-    found = checkpointed(dealt.groupBy("leaf", "i", "j").applyInArrow(run, "class long, links long, root long"))
+    found = checkpointed(dealt.groupBy(*leaf, "i", "j").applyInArrow(run, "class long, links long, root long"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    components = connected(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("class"), "component")
-    known = classes.select("digest", "class", "copies").join(links, "class", "left").join(components, "class", "left")
     # Two salts give the join its own exchanges, so AQE can split a vector with very many copies.
-    known = known.withColumn("salt", F.explode(F.array(F.lit(0), F.lit(1))))
-    joined = hashed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("salt")).join(known, ["digest", "salt"])
-    linked = joined.select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
+    named = classes.select("digest", "class", "copies", F.explode(F.array(F.lit(0), F.lit(1))).alias("salt"))
+    owned = checkpointed(hashed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("salt")).join(named, ["digest", "salt"]).select("id", "class", "copies"))
+    # Rows of one id belong together: its classes hang on their least.
+    shared = owned.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b < most").select("id", "b")
+    same = owned.join(shared, "id").select(F.col("class").alias("a"), "b")
+    groups = connected(found.select(F.col("class").alias("a"), F.col("root").alias("b")).unionByName(same)).select(F.col("node").alias("class"), F.col("component").alias("grp"))
+    member = checkpointed(classes.select("class", "first").join(groups, "class").withColumn("salt", F.pmod("class", F.lit(GROUP_SALTS)).cast("int")))
+    least = member.groupBy("grp").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(GROUP_SALTS - 1))))
+    known = classes.select("class", "first").join(member.join(least, ["grp", "salt"]).select("class", "component_id"), "class", "left").join(links, "class", "left")
+    known = known.select("class", F.coalesce("component_id", "first").alias("component_id"), "links", F.explode(F.array(F.lit(0), F.lit(1))).alias("salt"))
+    linked = owned.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")).join(known, ["class", "salt"]).select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     others = rows.where(~(F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("id").isNotNull())).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(others)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

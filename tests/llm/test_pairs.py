@@ -135,17 +135,30 @@ def vectors(seed, n=400):
     return data + [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [1.0, None], 1), (1004, [1.0, 2.0], 1), (1005, [1.0, 2.0], 1), (1006, data[0][1], None), (1007, [], 1), (1008, [float("inf"), 1.0], 1)]
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_vectors_equal_brute_force(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("case", ["plain", "blocks", "rounds"])
+def test_vectors_equal_brute_force(spark, monkeypatch, case):
     monkeypatch.setattr(vector_dedup, "LEAF_VECTORS", 24)
-    if blocks:
+    if case == "blocks":
         monkeypatch.setattr(vector_dedup, "BLOCK_VECTORS", 16)
-    data = vectors(5)
+    turns = []
+    if case == "rounds":  # few sampled vectors: most of the trees grow later, on their leaves' own
+        for name, value in (("SAMPLE_VECTORS", 40), ("LARGE_LEAF", 30), ("PLACED_VECTORS", 20), ("LEAF_VECTORS", 8)):
+            monkeypatch.setattr(vector_dedup, name, value)
+        plain = vector_dedup._split_large
+        monkeypatch.setattr(vector_dedup, "_split_large", lambda p, t: turns.append(t) or plain(p, t))
+    data = vectors(5, 400 if case != "rounds" else 990)
     df = spark.createDataFrame([(*x, "c") for x in data], "vec_id long, embedding array<float>, label int, kept string")
     got, want = rows(vector_dedup.near_vectors(df)), brute_vectors(data)
     linked = sum(w[1] for w in want)
     assert sum(g[1] for g in got) >= 0.99 * linked and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.98 * len(want)
+    assert (len(turns) >= 2) == (case == "rounds")
+
+
+def test_an_id_with_two_vectors(spark):
+    data = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (3, [0.001, 1.0], 1), (9, None, 1), (9, [1.0, 0.0], 2)]
+    got = rows(vector_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (9, 0, 9, True), (9, 0, 9, True)]
 
 
 def test_vectors_of_nothing(spark):
@@ -162,7 +175,7 @@ def test_an_unsplit_tree_after_a_split_one_is_used():
         v[:1000] = r.normal(size=16) + 0.05 * r.normal(size=(1000, 16))
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         forest = vector_dedup.Forest([(1, x) for x in v], 1.0)
-        split = [bool(s) for s in forest.splits[1, 16]]
+        split = [bool(t.splits) for t in forest.trees[1, 16].values()]
         if split[0] and not all(split):
             later += 1
             assert set.intersection(*map(set, forest.leaves(1, v)))  # all pairs are compared
