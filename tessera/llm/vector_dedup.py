@@ -1,16 +1,17 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
-Equal vectors of a label become one class first.  Each tree halves the vectors again and again at the
-median of a random direction (one direction a level); a vector near a split goes to both sides.  Two
+Equal vectors of a label become one class first.  Each tree parts the vectors again and again along
+a random direction (one a level), near the median but outside of dense groups; a vector near a split goes to
+both sides.  Two
 vectors are compared in every leaf they share, by cosine in double precision, and counted in the first
 one only, so no list of pairs is made: a leaf gives link counts and a spanning forest, and components
 are joined from the forests.
 
 Trees grow in rounds.  The first fits its splits on a sample of about ``SAMPLE_VECTORS``; every vector is
 then placed.  A leaf that is still large is a tree of its own in the next round, fitted on a sample of its
-own vectors, so leaves do not grow with the table and no fit sees more than a sample.  A node that a split
-would not part (a dense group near the split) stays a leaf, and a large leaf is compared as pairs of
-blocks, so no group has to fit one task.  Where a tree's root stays a leaf in the first round, that leaf
+own vectors, so leaves do not grow with the table and no fit sees more than a sample.  A node that is
+little else than one dense group stays a leaf, and a large leaf is compared as pairs of blocks, so no group
+has to fit one task.  Where a tree's root stays a leaf in the first round, that leaf
 compares all pairs of the (label, length) and the other trees are not used.
 
 With the spill of ``SPILL`` a pair at the threshold is parted by a split with about 0.013 chance.  Five
@@ -41,10 +42,13 @@ from tessera.llm.graph import checkpointed, connected
 THRESHOLD = 0.98
 TREES, DEPTH, LEAF_VECTORS, SPILL = 5, 14, 256, 0.1
 SAMPLE_VECTORS, BLOCK_VECTORS = 20_000, 2048
+#: Sampled vectors by which a node is split or judged dense; with fewer it waits for the next round.
+LEAST_SAMPLED = 64
 #: Vectors of a leaf from which it is split again, if it was left for want of sampled vectors or depth.
 LARGE_LEAF = 2048
-#: A split that places more than this many vectors for one does not part a dense group: it stays a leaf.
-MOST_SPILL = 1.25
+#: Where a node may be split, what a split is charged for lying off the median, and the share of vectors that
+#: it may place on both sides: beyond that, all but a few vectors are one dense group, and the node stays a leaf.
+QUANTILES, OFF_CENTRE, MOST_SPILL = np.linspace(0.1, 0.9, 17), 0.2, 0.25
 #: A leaf's number: its tree above (``TREES``: one leaf for all of them), a bit that says it is not to be
 #: split again, and a hash below.
 _TREE, _DONE = 60, 59
@@ -71,15 +75,18 @@ class Tree:
         todo = [(1, 0, np.arange(len(projected)))]
         while todo:
             node, level, own = todo.pop()
-            if level == DEPTH or len(own) * scale <= LEAF_VECTORS or len(own) < 8:
+            if level == DEPTH or len(own) * scale <= LEAF_VECTORS or len(own) < (LEAST_SAMPLED if scale > 1 else 8):
                 continue
             x = projected[own, level]
-            cut = float(np.median(x))
-            left, right = own[x < cut + margin], own[x >= cut - margin]
-            if len(left) + len(right) > MOST_SPILL * len(own):
+            cuts = np.quantile(x, QUANTILES)
+            ordered = np.sort(x)
+            spill = (np.searchsorted(ordered, cuts + margin) - np.searchsorted(ordered, cuts - margin)) / len(own)
+            best = int(np.argmin(spill + OFF_CENTRE * np.abs(QUANTILES - 0.5)))
+            if spill[best] > MOST_SPILL:
                 self.dense.add(node)
                 continue
-            self.splits[node] = cut
+            self.splits[node] = cut = float(cuts[best])
+            left, right = own[x < cut + margin], own[x >= cut - margin]
             todo += [(2 * node, level + 1, left), (2 * node + 1, level + 1, right)]
 
     def place(self, projected: np.ndarray, margin: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,8 +115,8 @@ def _place(trees: dict[int, Tree], vectors: np.ndarray, turn: int, *path: object
     n, dim = vectors.shape
     whole = next((t for t, tree in trees.items() if 1 in tree.dense), None)
     if whole is not None or not any(tree.splits for tree in trees.values()):
-        number = _number(TREES, False, *path) if whole is None and len(trees) != 1 else _number(min(trees) if whole is None else whole, True, *path, 1)
-        return [[number] for _ in range(n)]
+        tree = whole if whole is not None else min(trees) if len(trees) == 1 else TREES
+        return [[_number(tree, whole is not None or turn > 0, *path, 1)] for _ in range(n)]
     out: list[list[int]] = [[] for _ in range(n)]
     for t, tree in trees.items():
         for node, own in tree.place(vectors @ _directions(dim, turn)[t].T, SPILL / np.sqrt(dim)):

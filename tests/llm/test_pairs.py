@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,7 +143,7 @@ def test_vectors_equal_brute_force(spark, monkeypatch, case):
         monkeypatch.setattr(vector_dedup, "BLOCK_VECTORS", 16)
     turns = []
     if case == "rounds":  # few sampled vectors: most of the trees grow later, on their leaves' own
-        for name, value in (("SAMPLE_VECTORS", 40), ("LARGE_LEAF", 30), ("PLACED_VECTORS", 20), ("LEAF_VECTORS", 8)):
+        for name, value in (("SAMPLE_VECTORS", 120), ("LARGE_LEAF", 30), ("PLACED_VECTORS", 20), ("LEAF_VECTORS", 8), ("LEAST_SAMPLED", 10)):
             monkeypatch.setattr(vector_dedup, name, value)
         plain = vector_dedup._split_large
         monkeypatch.setattr(vector_dedup, "_split_large", lambda p, t: turns.append(t) or plain(p, t))
@@ -167,14 +168,26 @@ def test_vectors_of_nothing(spark):
     assert rows(vector_dedup.near_vectors(one)) == [(7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False)]
 
 
+def dense_forest(seed, dense):
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(3000, 16))
+    v[:dense] = r.normal(size=16) + 0.05 * r.normal(size=(dense, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v, vector_dedup.Forest([(1, x) for x in v], 1.0)
+
+
+def test_a_dense_third_does_not_hinder_splits():
+    for seed in range(10):
+        v, forest = dense_forest(seed, 1000)
+        assert all(t.splits for t in forest.trees[1, 16].values())
+        sizes = Counter(leaf for x in forest.leaves(1, v) for leaf in x)
+        assert max(sizes.values()) < 1400 and sorted(sizes.values())[-6] < 700  # the group, once a tree, and small leaves
+
+
 def test_an_unsplit_tree_after_a_split_one_is_used():
     later = 0
     for seed in range(40):
-        r = np.random.default_rng(seed)
-        v = r.normal(size=(3000, 16))
-        v[:1000] = r.normal(size=16) + 0.05 * r.normal(size=(1000, 16))
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        forest = vector_dedup.Forest([(1, x) for x in v], 1.0)
+        v, forest = dense_forest(seed, 2650)
         split = [bool(t.splits) for t in forest.trees[1, 16].values()]
         if split[0] and not all(split):
             later += 1
