@@ -5,13 +5,16 @@
 2. Document frequencies of all n-grams of all classes are counted exactly: n-grams travel packed, by
    hash range, and those of two classes or more travel back to their documents.  The global order is
    by frequency, then hash; an n-gram that no other class has comes first and takes part in no link.
-3. Two sets that link share an n-gram of the first ``n - ceil(t n) + 1`` of either (their prefixes).
-   Classes whose prefixes share an n-gram are put together, through stars, not pairs.
+3. Sets that can link differ in a bounded number of n-grams, so when both are dealt by hash into more parts
+   than that, some parts are equal.  Hashes of parts are a set's keys, and classes that share a key are put
+   together, through stars, not pairs.  A part holds several n-grams, so single n-grams that texts share by
+   chance bring nothing together; a set with too many empty parts also has the n-grams of its prefix as keys.
 4. Each such group's ordered sets are stored in a path-compressed trie; a set is joined by walking the
    trie, so sets with a common beginning share their partial overlap, and a subtree is left when even
    all that remains below it, or in the set, cannot reach the overlap that a link needs.  Sets already
-   known to be connected are not compared again.  Large groups are dealt out as pairs of blocks, very
-   large ones block by block, then what is not in the largest component against all blocks.
+   known to be connected are not compared again.  Groups over ``GROUP_MEMBERS`` sets are joined block by
+   block, then one set of each block with those of others; what is then not in the largest component is
+   joined with the blocks, or, if that is much, with the sets of other components that share a key.
 5. Components of the links found are the groups of documents.
 
 Only links between different sets are made, and of those as many as connect them: enough for exact
@@ -27,12 +30,13 @@ text columns are read, and the result is joined by id, so extra columns may have
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
@@ -40,11 +44,14 @@ from pyspark.sql import window as W
 from tessera.llm.common import slices, worker_state
 from tessera.llm.graph import checkpointed, connected
 
-#: Words whose hashes a worker remembers; n-grams that a block of documents holds; members of a group
-#: that one trie task takes; copies whose ids are broadcast at most (more are joined by shuffle).
-MEMO_WORDS, BLOCK_GRAMS, GROUP_MEMBERS, BROADCAST_COPIES = 300_000, 1_000_000, 2_000, 2_000_000
-#: Blocks of a group up to which all pairs of blocks are joined; beyond it blocks are joined in phases.
-PAIRED_BLOCKS = 4
+#: Words whose hashes a worker remembers, and their greatest length (longer ones are hashed anew); members
+#: of a group that one trie task takes; copies whose ids are broadcast at most (more are joined by shuffle).
+MEMO_WORDS, MEMO_LENGTH, GROUP_MEMBERS, BROADCAST_COPIES = 300_000, 64, 500, 2_000_000
+#: N-grams that a block of documents holds (more when there are very many hash ranges), that a hash range
+#: holds on average, and that one task reads.
+BLOCK_GRAMS, RANGE_GRAMS, TASK_GRAMS = 1_000_000, 4_000_000, 8_000_000
+#: Outsiders of a group, in units of ``GROUP_MEMBERS``, up to which they are joined with its blocks.
+OUTSIDE_CHUNKS = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -52,7 +59,9 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_LENGTH:
+            self[word] = value
         return value
 
 
@@ -113,10 +122,9 @@ def _packed(docs: DataFrame, width: int, bits: int) -> DataFrame:
         order = np.argsort(part, kind="stable")  # within a part by document
         part, low = part[order], grams[order].view(np.uint8).reshape(-1, 8)[:, :7]
         doc = np.repeat(np.arange(len(sets)), sizes)[order]
-        starts = np.searchsorted(part, np.arange((1 << bits) + 1))
+        present, starts = np.unique(part, return_index=True)
         out: dict[str, list] = {k: [] for k in _PACKED.names}
-        for p in np.nonzero(np.diff(starts))[0].tolist():
-            a, b = starts[p], starts[p + 1]
+        for p, a, b in zip(present.tolist(), starts, [*starts[1:], len(part)], strict=True):
             for k, x in zip(_PACKED.names, (p, block, low[a:b].tobytes(), _pack_steps(doc[a:b]), None), strict=True):
                 out[k].append(x)
         for k, x in zip(_PACKED.names, (block % (1 << bits), block, None, np.array(ids, np.int64).tobytes(), sizes.tobytes()), strict=True):
@@ -124,7 +132,7 @@ def _packed(docs: DataFrame, width: int, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict(out, schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_state("jaccard", _WordHashes)
+        hashes, most = worker_state("jaccard", _WordHashes), BLOCK_GRAMS << min(max(bits - 14, 0), 3)
         block, ids, sets, held = TaskContext.get().partitionId() << 20, [], [], 0
         for whole in batches:
             for batch in slices(whole, 1):
@@ -134,7 +142,7 @@ def _packed(docs: DataFrame, width: int, bits: int) -> DataFrame:
                         ids.append(i)
                         sets.append(s)
                         held += len(s)
-                    if held >= BLOCK_GRAMS:
+                    if held >= most:
                         yield from rows(block, ids, sets)
                         block, ids, sets, held = block + 1, [], [], 0
         if ids:
@@ -143,7 +151,7 @@ def _packed(docs: DataFrame, width: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "part int, block long, grams binary, docs binary, sizes binary")
 
 
-def _shared(packed: DataFrame, bits: int) -> DataFrame:
+def _shared(packed: DataFrame, bits: int, tasks: int) -> DataFrame:
     """Of each block the n-grams that two documents or more have, with their frequencies."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -175,14 +183,58 @@ def _shared(packed: DataFrame, bits: int) -> DataFrame:
                         out[k].append(x)
         return pa.Table.from_pydict(out, schema=_PACKED)
 
-    return packed.groupBy("part").applyInArrow(run, "part int, block long, grams binary, docs binary, sizes binary")
+    return packed.repartition(tasks, "part").groupBy("part").applyInArrow(run, "part int, block long, grams binary, docs binary, sizes binary")
+
 
+@lru_cache(16)
+def _bands(percent: int) -> np.ndarray:
+    """Bounds of size bands: sets that link are of one band or of two neighbours."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
+    return np.array(out, np.int64)
 
-_CANDIDATES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _B
+    x = (x ^ (x >> np.uint64(29))) * _C
+    return x ^ (x >> np.uint64(32))
 
-def _candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """Documents whose shared n-grams suffice for a link, in global order, with their prefixes."""
+
+def keys_of(gram: np.ndarray, doc: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, key) of sets' n-grams by doc, and which docs have too many empty parts.
+
+    Two sets that link have at least ``percent`` of their union in common, so of n-grams that one of them
+    alone has there are at most ``most`` for their band.  Dealt into ``most + spare + 1`` parts, more than
+    ``spare`` parts are equal.  A set with ``spare`` empty parts at most has one of those that is not empty.
+    N-grams that no other set has may be left out of the sets: they only add to what differs.
+    """
+    bounds = _bands(percent)
+    band = np.searchsorted(bounds, sizes, side="right") - 1
+    docs, keys, poor = [], [], np.zeros(len(sizes), bool)
+    for turn in (band, band + 1):  # with the sets of the band below, and of the band above
+        most = 2 * (bounds[turn + 1] - 1) * (100 - percent) // (100 + percent)
+        spare = 2 + most // 10
+        parts = most + spare + 1
+        salt = _mixed(turn.astype(np.uint64) + _A)
+        begin = np.concatenate([[0], np.cumsum(parts)])
+        slot = begin[doc] + (_mixed(gram ^ salt[doc]) % parts[doc].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot, at = slot[order], doc[order]
+        first = np.nonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))[0]
+        content = np.add.reduceat(_mixed(gram[order] * _A), first)
+        owner = at[first]
+        docs.append(owner)
+        keys.append(_mixed(content + salt[owner] * (slot[first] - begin[owner] + 1).astype(np.uint64)))
+        poor |= parts - np.bincount(owner, minlength=len(sizes)) > spare
+    return np.concatenate(docs), np.concatenate(keys), poor
+
+
+_CANDIDATES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+
+def _candidates(shared: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Documents whose shared n-grams suffice for a link, in global order, with their keys."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = sizes = None
@@ -195,23 +247,26 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
                 docs.append(np.frombuffer(row["docs"], np.uint32))
                 frequencies.append(np.frombuffer(row["sizes"], np.uint32))
         out: dict[str, list] = {k: [] for k in _CANDIDATES.names}
-        if grams:
-            gram, doc, frequency = np.concatenate(grams), np.concatenate(docs), np.concatenate(frequencies)
-            need = -(-percent * sizes // 100)
-            enough = np.bincount(doc, minlength=len(ids)) >= need
-            held = enough[doc]
-            gram, doc, frequency = gram[held], doc[held], frequency[held]
+        need = -(-percent * sizes // 100)
+        doc = np.concatenate(docs).astype(np.int64) if grams else np.zeros(0, np.int64)
+        held = (np.bincount(doc, minlength=len(ids)) >= need)[doc]
+        if held.any():
+            gram, doc, frequency = np.concatenate(grams)[held], doc[held], np.concatenate(frequencies)[held]
             order = np.lexsort((gram, frequency, doc))
             gram, doc = gram[order], doc[order]
             starts = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for k in np.nonzero(np.diff(starts))[0].tolist():
+            who, number = np.unique(doc, return_inverse=True)
+            owner, keys, poor = keys_of(gram, number, sizes[who], percent)
+            keys = keys[np.argsort(owner, kind="stable")].view(np.int64)
+            ends = np.cumsum(np.bincount(owner, minlength=len(who)))
+            for k, a, b, short in zip(who.tolist(), [0, *ends[:-1]], ends, poor, strict=True):
                 own = gram[starts[k] : starts[k + 1]]
-                prefix = own[: len(own) - need[k] + 1]  # the private ones, before these, are in no other set
-                for c, x in zip(_CANDIDATES.names, (ids[k], sizes[k], own.tobytes(), prefix.view(np.int64)), strict=True):
+                prefix = own[: len(own) - need[k] + 1] if short else own[:0]  # those before it are in no other set
+                for c, x in zip(_CANDIDATES.names, (ids[k], sizes[k], own.tobytes(), np.concatenate([keys[a:b], prefix.view(np.int64)])), strict=True):
                     out[c].append(x)
         return pa.Table.from_pydict(out, schema=_CANDIDATES)
 
-    return shared.groupBy("block").applyInArrow(run, "id long, n long, grams binary, prefix array<long>")
+    return shared.repartition(tasks, "block").groupBy("block").applyInArrow(run, "id long, n long, grams binary, keys array<long>")
 
 
 class _Node:
@@ -281,8 +336,8 @@ class Trie:
             stack += [(child, overlap, passed) for child in node.children.values()]
 
 
-def join_group(sets: list[tuple[list[int], int]], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all linked sets (n-grams in order, size) of a group.
+def join_group(sets: list[tuple[list[int], int]], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets (n-grams in order, size) of a group; ``known``: their components.
 
     Leaders first: a set is joined with the trie of leaders and becomes one itself if it links with
     none.  Then only a set that follows a leader can have links unseen, to sets of other components:
@@ -304,18 +359,26 @@ def join_group(sets: list[tuple[list[int], int]], percent: int) -> list[tuple[in
             parent[max(x, y)] = min(x, y)
             out.append((a, b))
 
+    led: set[int] = set()  # components that have a leader, of those known before
+    if known is not None:
+        first: dict[int, int] = {}
+        for i, c in enumerate(known):
+            parent[i] = first.setdefault(c, i)
     leaders, followers = Trie(percent), []
     places = [{g: i for i, g in enumerate(grams)} for grams, _ in sets] if len(sets) < 4 * GROUP_MEMBERS else None
     place = (lambda i: places[i]) if places else (lambda i: {g: k for k, g in enumerate(sets[i][0])})
     for i, (grams, size) in enumerate(sets):
-        found = False
-        for other in leaders.linked(place(i), size):
-            link(i, other)
-            found = True
+        found = known is not None and known[i] in led
+        if not found:
+            for other in leaders.linked(place(i), size):
+                link(i, other)
+                found = True
         if found:
             followers.append(i)
         else:
             leaders.insert(grams, size, i)
+            if known is not None:
+                led.add(known[i])
     by_root: dict[int, list[int]] = {}
     for i in followers:
         by_root.setdefault(root(i), []).append(i)
@@ -333,63 +396,77 @@ def join_group(sets: list[tuple[list[int], int]], percent: int) -> list[tuple[in
 
 
 def _links(candidates: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between candidate documents, from tries over groups that share prefix n-grams."""
-    each = candidates.select("id", F.explode("prefix").alias("gram"))
-    star = each.groupBy("gram").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("gram", "least")
-    near = each.join(star, "gram").where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    """Links (a, b) between candidate documents, from tries over groups that share keys."""
+    each = candidates.select("id", F.explode("keys").alias("key"))
+    star = each.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("key", "least")
+    near = each.join(star, "key").where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
     group = checkpointed(connected(near).select(F.col("node").alias("id"), F.col("component").alias("grp")))
     blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("blocks"))
     placed = candidates.select("id", "n", "grams").join(group.join(blocks, "grp"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    few = placed.where(F.col("blocks") <= PAIRED_BLOCKS).withColumn("other", other)
-    links = _joined(few.select("id", "n", "grams", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), percent)
-    if blocks.where(F.col("blocks") > PAIRED_BLOCKS).isEmpty():
-        return links
-    return links.unionByName(_large_group_links(checkpointed(placed.where(F.col("blocks") > PAIRED_BLOCKS)), percent))
+    links = _joined(_cells(placed.where("blocks = 1"), F.lit(0), F.lit(0)), percent)
+    large = checkpointed(placed.where("blocks > 1"))
+    return links if large.isEmpty() else links.unionByName(_large_group_links(large, each, percent))
+
+
+def _cells(df: DataFrame, i: Column, j: Column, known: Column | None = None) -> DataFrame:
+    return df.select("id", "n", "grams", "grp", i.cast("int").alias("i"), j.cast("int").alias("j"), (F.lit(None).cast("long") if known is None else known).alias("known"))
 
 
 def _joined(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links within every cell (grp, i, j) of sets."""
+    """Links within every cell (grp, i, j) of sets, of which known components need none."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable").tolist()
-        rows, sizes = table.column("grams").to_pylist(), table.column("n").to_pylist()
+        rows, sizes, known = (table.column(c).to_pylist() for c in ("grams", "n", "known"))
         sets = [(np.frombuffer(rows[k], np.uint64).tolist(), sizes[k]) for k in order]
-        found = join_group(sets, percent)
+        found = join_group(sets, percent, None if known[0] is None else [known[k] for k in order])
         return pa.table({"a": pa.array([int(ids[order[a]]) for a, _ in found], pa.int64()), "b": pa.array([int(ids[order[b]]) for _, b in found], pa.int64())})
 
     return dealt.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _large_group_links(placed: DataFrame, percent: int) -> DataFrame:
-    """Links of groups of many blocks, without all pairs of blocks.
+def _large_group_links(placed: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """Links of groups of several blocks, without all pairs of blocks.
 
     Each block is joined by itself; one set of each block's largest component stands for it among the
     blocks.  Most of such a group (copies of one text with small changes) is then one component, and
     sets within a component need no comparison.  What is not in a group's largest component, the
-    outsiders, is joined with every block: two sets of different components have an outsider.
+    outsiders, is joined with every block if it is little: two sets of different components have an
+    outsider.  Where there are many outsiders (texts of one frame, alike but not enough), only sets of
+    different components that share a key are joined: each set goes to as many cells as it has such keys,
+    however large the group is.
     """
-    cell = lambda df, i, j: df.select("id", "n", "grams", "grp", i.cast("int").alias("i"), j.cast("int").alias("j"))
 
     def components(links: DataFrame) -> DataFrame:
         found = connected(links).select(F.col("node").alias("id"), "component")
         return placed.select("id", "grp", "own").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    within = checkpointed(_joined(cell(placed, F.col("own"), F.col("own")), percent))
+    within = checkpointed(_joined(_cells(placed, F.col("own"), F.col("own")), percent))
     sizes = components(within).groupBy("grp", "own", "component").agg(F.count("*").alias("size"))
     stands = sizes.groupBy("grp", "own").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("c"))).alias("id")).select("id")
     among = placed.join(stands, "id", "left_semi")
-    between = checkpointed(_joined(cell(among, F.pmod(F.xxhash64("id"), F.ceil(F.col("blocks") / GROUP_MEMBERS)), F.lit(-1)), percent))
+    between = checkpointed(_joined(_cells(among, F.pmod(F.xxhash64("id"), F.ceil(F.col("blocks") / GROUP_MEMBERS)), F.lit(-1)), percent))
     known = checkpointed(components(within.unionByName(between)))
     largest = known.groupBy("grp", "component").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("c"))).alias("largest"))
-    outside = known.join(largest, "grp").where(F.col("component") != F.col("largest")).select("id")
-    outsiders = placed.join(outside, "id", "left_semi")
-    chunks = outsiders.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("chunks"))
-    to_all = outsiders.join(chunks, "grp").withColumns({"j": F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")), "i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    at_home = placed.join(chunks, "grp").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    both = cell(to_all.where(F.col("i") != F.col("own")), F.col("i"), F.col("j")).unionByName(cell(at_home, F.col("own"), F.col("j")))
-    return within.unionByName(between).unionByName(_joined(both, percent))
+    outside = known.join(largest, "grp").where(F.col("component") != F.col("largest")).select("id", "grp")
+    chunks = checkpointed(outside.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("chunks")))
+    links = within.unionByName(between)
+    few = chunks.where(F.col("chunks") <= OUTSIDE_CHUNKS)
+    if not few.isEmpty():
+        outsiders = placed.join(outside.select("id"), "id", "left_semi").join(few, "grp")
+        to_all = outsiders.withColumns({"j": F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")), "i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+        at_home = placed.join(few, "grp").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        both = _cells(to_all.where(F.col("i") != F.col("own")), F.col("i"), F.col("j")).unionByName(_cells(at_home, F.col("own"), F.col("j")))
+        links = links.unionByName(_joined(both, percent))
+    many = chunks.where(F.col("chunks") > OUTSIDE_CHUNKS)
+    if not many.isEmpty():
+        member = keys.join(known.join(many, "grp", "left_semi").select("id", "component"), "id")
+        mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("blocks")).where("low < high").select("key", "blocks")
+        at = member.join(mixed, "key").distinct().withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = placed.select("id", "n", "grams").join(at.select("id", F.col("key").alias("grp"), "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "id")
+        links = links.unionByName(_joined(_cells(dealt, F.col("i"), F.col("j"), F.col("component")), percent))
+    return links
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -403,15 +480,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = checkpointed(keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt"))
     firsts = named.where("id = first").select("id").distinct()
     copies = named.where("first is null or id <> first").select("id").distinct().join(firsts, "id", "left_anti").where("id is not null")
-    counted = copies.count()
     texts = rows.where("id is not null")
-    if counted <= BROADCAST_COPIES:
+    if copies.count() <= BROADCAST_COPIES:
         texts = texts.join(F.broadcast(copies), "id", "left_anti")
     else:  # sorted, so that a task that runs again makes the same blocks
-        texts = texts.join(copies.hint("shuffle_hash"), "id", "left_anti").sortWithinPartitions("id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    bits = min(max(8, (4 * parts - 1).bit_length()), 14)
-    candidates = checkpointed(_candidates(_shared(_packed(texts, width, bits), bits), percent))
+        texts = texts.join(copies.hint("merge"), "id", "left_anti").sortWithinPartitions("id", "text")
+    # Hash ranges and tasks grow with the n-grams of the texts that go on.
+    total = named.where("id = first").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(8, (total // RANGE_GRAMS).bit_length())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // TASK_GRAMS)
+    candidates = checkpointed(_candidates(_shared(_packed(texts, width, bits), bits, tasks), percent, tasks))
     links = _links(candidates, percent)
     # An id with several texts is one node; its texts' classes hang together through it.
     same = named.where("first is not null and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).join(firsts.select(F.col("id").alias("a")), "a", "left_semi")
@@ -430,7 +508,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     gone, twice = by_id.where("component <> __id").select("__id"), by_id.where("component = __id").select("__id")
 
     def sized(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_COPIES else ids.hint("shuffle_hash")
+        return F.broadcast(ids) if ids.count() <= BROADCAST_COPIES else ids.hint("merge")
 
     key = docs[id_col].cast("long") == F.col("__id")
     kept = docs.join(sized(gone), key, "left_anti")

@@ -59,12 +59,24 @@ def near_copies(seed):
         if r.random() < 0.2:
             words += passage
         data.append((i * 3 - 50, " ".join(words).upper() if r.random() < 0.2 else "\t".join(words)))
-    return [*data, (900, None), (901, " \n"), (902, "one two"), (903, "One  two"), (904, "one")]
-
-
-@pytest.mark.parametrize(("seed", "width", "percent", "members"), [(1, 4, 85, 40), (2, 5, 80, 1), (3, 2, 60, 40), (4, 2, 50, 2)])
-def test_join_equals_brute_force(spark, seed, width, percent, members, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP_MEMBERS", members)  # groups are dealt in blocks, in pairs or in phases
+    return [*data, (899, " ".join(f"long{k % 40_000}" for k in range(90_000))), (898, " ".join(f"long{k % 40_000}" for k in range(89_000)) + " end"), (900, None), (901, " \n"), (902, "one two"), (903, "One  two"), (904, "one")]
+
+
+@pytest.mark.parametrize(
+    ("seed", "width", "percent", "change"),
+    [
+        (1, 4, 85, {}),
+        (2, 5, 80, {"GROUP_MEMBERS": 1}),  # blocks of one set
+        (3, 2, 60, {"GROUP_MEMBERS": 40, "RANGE_GRAMS": 1, "BLOCK_GRAMS": 300, "TASK_GRAMS": 2000}),  # very many hash ranges
+        (4, 2, 50, {"GROUP_MEMBERS": 2, "OUTSIDE_CHUNKS": 0}),  # outsiders by key
+        (5, 4, 85, {"GROUP_MEMBERS": 3, "BROADCAST_COPIES": 0}),
+        (6, 3, 70, {"GROUP_MEMBERS": 4, "OUTSIDE_CHUNKS": 1}),
+        (7, 1, 100, {}),
+    ],
+)
+def test_join_equals_brute_force(spark, seed, width, percent, change, monkeypatch):
+    for name, value in change.items():
+        monkeypatch.setattr(jaccard, name, value)
     phased = []
     plain = jaccard._large_group_links
     monkeypatch.setattr(jaccard, "_large_group_links", lambda *a: phased.append(1) or plain(*a))
@@ -72,10 +84,38 @@ def test_join_equals_brute_force(spark, seed, width, percent, members, monkeypat
     random.Random(seed).shuffle(data)
     df = spark.createDataFrame([(i, t, 0) for i, t in data], "doc_id long, text string, n int")
     assert rows(jaccard.near_groups(df, width=width, percent=percent)) == brute_sets(data, width, percent)
-    assert bool(phased) == (members < 10)
-
-
-def test_join_of_a_group_finds_every_component():
+    assert bool(phased) == (change.get("GROUP_MEMBERS", 500) < 50)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 99])
+def test_sets_that_link_share_a_key(percent):
+    r = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(r.choice([1, 2, 3, 5, 9, 30, 150, 700]))
+        union = r.integers(0, 1 << 63, n).astype(np.uint64)
+        lost = int(r.integers(0, n * (100 - percent) // 100 + 1))  # so many of the union in one set only, as a link allows
+        side = r.random(lost) < r.choice([0.0, 0.5, 1.0])
+        a, b = (np.sort(np.concatenate([union[lost:], union[:lost][side == x]])) for x in (False, True))
+        assert 100 * (n - lost) >= percent * n
+        if not len(a) or not len(b):
+            continue
+        gram, doc = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
+        owner, keys, poor = jaccard.keys_of(gram, doc, np.array([len(a), len(b)]), percent)
+        assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()) or poor.all()
+
+
+def test_texts_that_share_single_passages_are_no_group():
+    r = np.random.default_rng(0)
+    passage = r.integers(0, 1 << 63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, r.integers(0, 1 << 63, 480).astype(np.uint64)])) for _ in range(50)]
+    doc = np.repeat(np.arange(50), [len(s) for s in sets])
+    owner, keys, poor = jaccard.keys_of(np.concatenate(sets), doc, np.array([len(s) for s in sets]), 85)
+    shared = Counter(keys.tolist())
+    assert not poor.any() and sum(v > 1 for v in shared.values()) < 0.01 * len(shared)
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_join_of_a_group_finds_every_component(known):
     r = random.Random(9)
     for _ in range(60):
         sets = []
@@ -83,8 +123,10 @@ def test_join_of_a_group_finds_every_component():
             own = set(r.sample(range(40), r.randrange(3, 14))) if not sets or r.random() < 0.3 else {x for x in r.choice(sets) if r.random() < 0.9} | set(r.sample(range(40), 1))
             sets.append(own)
         links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])]
-        found = jaccard.join_group([(sorted(s), len(s)) for s in sets], 70)
-        assert components(range(len(sets)), found) == components(range(len(sets)), links)
+        before = [x for x in links if r.random() < 0.4] if known else []
+        comp = components(range(len(sets)), before)
+        found = jaccard.join_group([(sorted(s), len(s)) for s in sets], 70, [comp[i] for i in range(len(sets))] if known else None)
+        assert components(range(len(sets)), found + before) == components(range(len(sets)), links)
         assert set(found) <= {(max(a, b), min(a, b)) for a, b in links} | set(links)
 
 
@@ -104,6 +146,15 @@ def test_keep_one_of_each_group(spark):
     assert jaccard.keep_one(df.limit(0)).count() == 0
 
 
+def test_groups_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, component_id string")
+    found = jaccard.near_groups(empty)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"] and found.count() == 0
+    same = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "a b"), (5, None), (5, None), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.near_groups(same).collect()), key=str)
+    assert got == [(3, 1, 3), (3, 1, 3), (5, 0, 5), (5, 0, 5), (None, 0, None), (None, 1, None)]
+
+
 def test_an_id_with_two_texts_is_one_node(spark):
     t1, t2 = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     df = spark.createDataFrame([(1, t1), (2, t1), (2, t2), (3, t2)], "doc_id long, text string")
