@@ -495,7 +495,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = named.where("first is not null and id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).join(firsts.select(F.col("id").alias("a")), "a", "left_semi")
     found = connected(links.unionByName(same)).select(F.col("node").alias("first"), "component")
     out = named.join(found, "first", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:

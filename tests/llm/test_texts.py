@@ -1,9 +1,13 @@
 """Chat formatting, decontamination, HTML and URL filters: round trips, brute force, defined cases."""
 
 import datetime
+import html
 import json
+import os
 import re
+import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html_text, url_filter
+from tessera.llm import chat, decontaminate, html_text, queries, url_filter
 
 TEXT = st.text(st.sampled_from("ab<|>\\ /end\n%7C2né"), max_size=12)
 
@@ -220,3 +224,44 @@ def test_a_part_of_a_wrappers_class_does_not_hide_the_article(opening):
     page = f'<body>{opening}{said}<div class="cookie-notice"><p>We use cookies</p></div>{close}<div class="site-footer"><p>All rights reserved</p></div></body>'
     found = html_text.extract_text(page)
     assert found.count("main text") == 24 and "cookies" not in found and "rights" not in found
+
+
+def test_weights_are_learned_from_labelled_pages():
+    pages = html_text.labelled_pages()
+    learned = html_text.Extractor(html_text.learn(pages[: len(pages) // 2]))
+    right = found = wanted = 0
+    for page in pages[len(pages) // 2 :]:
+        got = Counter(learned.text(page).split())
+        want = Counter(w for t, main, _ in html_text.labelled_runs(page) if main for w in t.split())
+        right, found, wanted = right + (got & want).total(), found + got.total(), wanted + want.total()
+    assert wanted > 4000 and right / found > 0.98 and right / wanted > 0.98
+    nothing = html_text.Extractor(html_text.learn([]))
+    assert "Home" in nothing.text("<nav><a href=x>Home</a></nav>")  # without pages no element says anything
+
+
+def test_tags_without_partners_are_read_in_linear_time():
+    n = 60_000
+    for page in ("<div>" * n + "</p>" * n, "<b><table>" + "<div>" * n + "</b>" * n, "<p>" * n, "<li>" * n + "</ul>" * n, "<div><span>" * n + "<p></div>" * n, "<table><tr><td>" * n + "</b>" * n):
+        start = time.perf_counter()
+        html_text.extract_text(page)
+        assert time.perf_counter() - start < 5, page[:20]
+
+
+def plain_article(page):
+    """The article of a page of the tables: markup taken out, blocks joined."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)
+    if not body:
+        return ""
+    blocks = re.split(r"</?(?:p|h1|br|li|ul|div)[^>]*>", body[1])
+    return " ".join(x for b in blocks if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split())))
+
+
+DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+def test_query_finds_the_articles_of_the_tables(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
+    got = queries.op9_html(spark, DIR).collect()
+    assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got)
+    assert [r.page_id for r in got if r.text != plain_article(pages[r.page_id] or "")] == []
