@@ -29,6 +29,7 @@ text columns are read, and the result is joined by id, so extra columns may have
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,6 +51,8 @@ MEMO_WORDS, MEMO_LENGTH, GROUP_MEMBERS, BROADCAST_COPIES = 300_000, 64, 500, 2_0
 #: N-grams that a block of documents holds (more when there are very many hash ranges), that a hash range
 #: holds on average, and that one task reads.
 BLOCK_GRAMS, RANGE_GRAMS, TASK_GRAMS = 1_000_000, 4_000_000, 8_000_000
+#: Parts in which a group's number of blocks goes to its members.
+SALTS = 16
 #: Outsiders of a group, in units of ``GROUP_MEMBERS``, up to which they are joined with its blocks.
 OUTSIDE_CHUNKS = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -189,9 +192,9 @@ def _shared(packed: DataFrame, bits: int, tasks: int) -> DataFrame:
 @lru_cache(16)
 def _bands(percent: int) -> np.ndarray:
     """Bounds of size bands: sets that link are of one band or of two neighbours."""
-    out = [1]
+    out, ratio = [1], min(percent, 95)
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
+        out.append(-(-out[-1] * 100 // ratio))
     return np.array(out, np.int64)
 
 
@@ -336,6 +339,22 @@ class Trie:
             stack += [(child, overlap, passed) for child in node.children.values()]
 
 
+def components_of(n: int, links: list[tuple[int, int]]) -> list[int]:
+    """Each node's component, by its smallest node."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(x) for x in range(n)]
+
+
 def join_group(sets: list[tuple[list[int], int]], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect all linked sets (n-grams in order, size) of a group; ``known``: their components.
 
@@ -401,8 +420,11 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame:
     star = each.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("many")).where("many > 1").select("key", "least")
     near = each.join(star, "key").where(F.col("id") != F.col("least")).select(F.col("id").alias("a"), F.col("least").alias("b"))
     group = checkpointed(connected(near).select(F.col("node").alias("id"), F.col("component").alias("grp")))
-    blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("blocks"))
-    placed = candidates.select("id", "n", "grams").join(group.join(blocks, "grp"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Only large groups have a number of blocks, which goes to their members in salted parts.
+    blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = group.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(blocks, ["grp", "salt"], "left").select("id", "grp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    placed = candidates.select("id", "n", "grams").join(sized, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     links = _joined(_cells(placed.where("blocks = 1"), F.lit(0), F.lit(0)), percent)
     large = checkpointed(placed.where("blocks > 1"))
     return links if large.isEmpty() else links.unionByName(_large_group_links(large, each, percent))
@@ -413,7 +435,11 @@ def _cells(df: DataFrame, i: Column, j: Column, known: Column | None = None) ->
 
 
 def _joined(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links within every cell (grp, i, j) of sets, of which known components need none."""
+    """Links within every cell (grp, i, j) of sets, of which known components need none.
+
+    Of each cell also a link of one set with itself: the smallest id of the largest component.  Cells are
+    dealt out one by one, whatever the partitioning before, so that no group is one task.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -421,9 +447,12 @@ def _joined(dealt: DataFrame, percent: int) -> DataFrame:
         rows, sizes, known = (table.column(c).to_pylist() for c in ("grams", "n", "known"))
         sets = [(np.frombuffer(rows[k], np.uint64).tolist(), sizes[k]) for k in order]
         found = join_group(sets, percent, None if known[0] is None else [known[k] for k in order])
+        roots = components_of(len(sets), found)
+        sizes = Counter(roots)
+        found.append((stands := max(sizes, key=lambda k: (sizes[k], -k)), stands))
         return pa.table({"a": pa.array([int(ids[order[a]]) for a, _ in found], pa.int64()), "b": pa.array([int(ids[order[b]]) for _, b in found], pa.int64())})
 
-    return dealt.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.repartition("grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _large_group_links(placed: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
@@ -438,16 +467,11 @@ def _large_group_links(placed: DataFrame, keys: DataFrame, percent: int) -> Data
     however large the group is.
     """
 
-    def components(links: DataFrame) -> DataFrame:
-        found = connected(links).select(F.col("node").alias("id"), "component")
-        return placed.select("id", "grp", "own").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
     within = checkpointed(_joined(_cells(placed, F.col("own"), F.col("own")), percent))
-    sizes = components(within).groupBy("grp", "own", "component").agg(F.count("*").alias("size"))
-    stands = sizes.groupBy("grp", "own").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("c"))).alias("id")).select("id")
-    among = placed.join(stands, "id", "left_semi")
+    among = placed.join(within.where("a = b").select(F.col("a").alias("id")), "id", "left_semi")
     between = checkpointed(_joined(_cells(among, F.pmod(F.xxhash64("id"), F.ceil(F.col("blocks") / GROUP_MEMBERS)), F.lit(-1)), percent))
-    known = checkpointed(components(within.unionByName(between)))
+    found = connected(within.unionByName(between)).select(F.col("node").alias("id"), "component")
+    known = checkpointed(placed.select("id", "grp", "own").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     largest = known.groupBy("grp", "component").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max_by("component", F.struct("size", (-F.col("component")).alias("c"))).alias("largest"))
     outside = known.join(largest, "grp").where(F.col("component") != F.col("largest")).select("id", "grp")
     chunks = checkpointed(outside.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("chunks")))

@@ -295,7 +295,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         kept = (counts > 0) | (roots != np.arange(len(ids)))
         return pa.table({"class": ids[kept], "links": counts[kept], "root": ids[roots[kept]]})
 
-    found = checkpointed(dealt.groupBy(*leaf, "i", "j").applyInArrow(run, "class long, links long, root long"))
+    # Dealt out by pairs of blocks, whatever the partitioning before, so that no leaf is one task.
+    found = checkpointed(dealt.repartition(*leaf, "i", "j").groupBy(*leaf, "i", "j").applyInArrow(run, "class long, links long, root long"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     # Two salts give the join its own exchanges, so AQE can split a vector with very many copies.
     named = classes.select("digest", "class", "copies", F.explode(F.array(F.lit(0), F.lit(1))).alias("salt"))
