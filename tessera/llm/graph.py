@@ -26,7 +26,8 @@ def connected(links: DataFrame) -> DataFrame:
     the links throughout, and minima are taken with partial sums before each shuffle, so a node with
     many links is no hot task.  Self links and null ends are ignored.
     """
-    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    # Cut off at once: every round reads its edges several times, and plans would hold what made them as often.
+    edges = checkpointed(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
