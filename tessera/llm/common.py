@@ -60,6 +60,8 @@ def held_out(doc_id: Column) -> Column:
 
 #: Labels up to which their counts, and keys up to which a sample's choice, are sent to all tasks.
 BROADCAST_LABELS, BROADCAST_KEYS = 10_000, 200_000
+#: Tasks that a sample is dealt out to.
+SAMPLE_PARTS = 32
 _HASH_RANGE = float(1 << 62)
 
 
@@ -76,7 +78,8 @@ def bounded_sample(rows: DataFrame, key: str, text: str, label: str, per_label:
     hashed = texts.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), *([F.col(label).alias("__label")] if labels is None else []))
     if labels is not None:
         hashed = hashed.join(labels.select(F.col(key).alias("__key"), F.col(label).alias("__label")), "__key")
-    distinct = hashed.where(F.col("__label").isNotNull()).groupBy("__hash").agg(F.min(F.struct("__label", "__key")).alias("__one")).select("__hash", "__one.*")
+    # Written, as it is read twice and costs a scan of all texts.
+    distinct = checkpointed(hashed.where(F.col("__label").isNotNull()).groupBy("__hash").agg(F.min(F.struct("__label", "__key")).alias("__one")).select("__hash", "__one.*"))
     counts = checkpointed(distinct.groupBy("__label").agg(F.count("*").alias("__many")))
     few = counts.count() <= BROADCAST_LABELS
     place = F.pmod(F.xxhash64("__hash"), F.lit(1 << 62)) / F.lit(_HASH_RANGE)
@@ -84,4 +87,4 @@ def bounded_sample(rows: DataFrame, key: str, text: str, label: str, per_label:
     chosen = checkpointed(chosen.select("__key", "__label", "__hash"))
     sent = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
     found = texts.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(sent, "__key").where(F.xxhash64("text") == F.col("__hash"))
-    return found.select("text", F.col("__label").alias("label")).distinct()
+    return found.select("text", F.col("__label").alias("label")).repartition(SAMPLE_PARTS, "text", "label").distinct()

@@ -50,6 +50,8 @@ KARLIN_K = 0.1
 #: Length that the shortest texts count as, and length that a text without any passage counts as.
 LEAST_TOKENS, NO_PASSAGE_TOKENS = 100, 10_000
 THRESHOLD = 0.3
+#: Features that a task counts before it passes them on.
+COUNTED = 300_000
 #: Words whose scores a worker remembers, and their greatest length (longer ones are scored anew).
 MEMO_WORDS, MEMO_LENGTH = 300_000, 64
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -158,6 +160,14 @@ def _count(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean: Counter = Counter()
         pairs: set[tuple[str, int]] = set()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for rows in ([(f, c, 0) for f, c in pairs], [(f, None, n) for f, n in clean.items()]):
+                for i in range(0, len(rows), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000], strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["feature", "copies", "clean"])
+            pairs.clear()
+            clean.clear()
+
         for whole in batches:
             for batch in slices(whole, 0):
                 for text, label, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -166,9 +176,9 @@ def _count(sample: DataFrame) -> DataFrame:
                         pairs.update((f, copies) for f in found)
                     else:
                         clean.update(found)
-        for rows in ([(f, c, 0) for f, c in pairs], [(f, None, n) for f, n in clean.items()]):
-            for i in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50_000], strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["feature", "copies", "clean"])
+                    if len(pairs) + len(clean) > COUNTED:
+                        yield from counted()
+        yield from counted()
 
     each = sample.select("text", "label", "copies").mapInArrow(run, "feature string, copies long, clean long")
     by_pair = each.groupBy("feature", "copies").agg(F.sum("clean").alias("clean"))
