@@ -19,13 +19,12 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate, chain
+from itertools import accumulate
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +33,14 @@ from tessera.llm.common import slices, worker_state
 #: Resolved pre-tokens of one memo generation, and their length in all.  A worker holds two: what is used
 #: again moves to the young one, and when that is full the old one goes, so memory is bounded and frequent
 #: words stay.
-MEMO_ENTRIES, MEMO_LENGTH = 250_000, 4 << 20
+MEMO_ENTRIES, MEMO_LENGTH = 200_000, 3 << 20
 #: Bytes of text that are split and looked up together.
 SLICE_BYTES = 1 << 20
 #: Mean keys per bucket of the perfect hash.
 BUCKET_KEYS = 4
-#: Of a resolved pre-token: its ids as decimal text joined by one space, as numbers, and decoded.
-Piece = tuple[str, tuple[int, ...], bytes]
-_SAID, _IDS, _DECODED = itemgetter(0), itemgetter(1), itemgetter(2)
+#: Of a resolved pre-token: its ids as decimal text joined by one space, and what they decode to.
+Piece = tuple[str, bytes]
+_SAID, _DECODED = itemgetter(0), itemgetter(1)
 #: Patterns with a form for the standard engine.  The forms agree on every text whose characters are of
 #: one class (letter, number, white space, other) to that engine and to the library that is followed.
 FASTER = {
@@ -59,6 +58,8 @@ def stand_ins() -> dict[int, str]:
     The two engines know different versions of Unicode, and hold other things for numerals and white
     space, so all code points are asked for; the truth is what the library itself matches.
     """
+    import tiktoken  # on the driver only: workers get the result
+
     every = "".join(map(chr, (x for x in range(0x110000) if not 0xD800 <= x < 0xE000)))
     single = {bytes((i,)): i for i in range(256)}
     out: dict[int, str] = {}
@@ -223,7 +224,7 @@ class Codec:
         return tuple(out)
 
     def resolve(self, pieces: list[str]) -> dict[str, Piece]:
-        """Ids of distinct pre-tokens, as decimal text and as numbers, and what they decode to."""
+        """Ids of distinct pre-tokens, as decimal text, and what they decode to."""
         raw = [x.encode() for x in pieces]
         short = [i for i, x in enumerate(raw) if len(x) <= self.longest]
         whole = np.full(len(raw), -1, np.int64)
@@ -235,7 +236,7 @@ class Codec:
                 ids: tuple[int, ...] = (self.ids[at],)
             else:
                 ids = self.merge(key)
-            out[piece] = (" ".join(map(str, ids)), ids, self.decode(ids))
+            out[piece] = (" ".join(map(str, ids)), self.decode(ids))
         return out
 
     def remember(self, pieces: set[str]) -> dict[str, Piece]:
@@ -275,7 +276,7 @@ class Codec:
 
     @staticmethod
     def ids_of(found: list[Piece]) -> Iterator[int]:
-        return chain.from_iterable(map(_IDS, found))
+        return map(int, " ".join(map(_SAID, found)).split())
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -305,7 +306,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         codec.ready().memo = worker_state(("bpe", key), Memo)
         made = {
             "n_tokens": lambda found, said, raw: said.count(" ") + 1 if said else 0,
-            "ids": lambda found, said, raw: list(codec.ids_of(found)),
+            "ids": lambda found, said, raw: np.array(said.split(), np.int32),
             "decoded": lambda found, said, raw: raw,
             "ids_sha256": lambda found, said, raw: sha256(said.encode()).hexdigest(),
             "decoded_sha256": lambda found, said, raw: sha256(raw).hexdigest(),
