@@ -17,6 +17,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that a task of a round takes, so that a small graph is not dealt out to hundreds of tasks.
+TASK_EDGES = 100_000
+
+
+def _tasks(edges: int) -> int:
+    return max(1, -(-edges // TASK_EDGES))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (a, b); a component's name is its smallest node.
 
@@ -28,17 +36,18 @@ def connected(links: DataFrame) -> DataFrame:
     """
     # Cut off at once: every round reads its edges several times, and plans would hold what made them as often.
     edges = checkpointed(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state, tasks = None, _tasks(edges.count())
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        held = edges.coalesce(tasks)
+        both = held.select("u", "v").unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         under = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(under, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = checkpointed(small.where(F.col("u") != F.col("v")).distinct())
+        edges = checkpointed(small.where(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, tasks = now, _tasks(now[0])
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
