@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.operators.verbs import last_wins
+from tessera.operators.verbs import join_groups, last_wins
 
 
 def null_safe(left: list[str], right: list[str]) -> Column:
@@ -53,7 +53,7 @@ def mutating_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left"
 
 def lookup(a: DataFrame, b: DataFrame, key: str, values: dict[str, object]) -> DataFrame:
     """Values of ``b`` by key, each with a default where there is none; ``b`` has a key once."""
-    joined = a.join(b.select(key, *values), key, "left")
+    joined = join_groups(a, b.select(key, *values), [key], "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in values.items()})
 
 
@@ -87,25 +87,31 @@ def two_hop(predictions: DataFrame, links: DataFrame, targets: DataFrame, first:
 
 
 def nest_join(a: DataFrame, b: DataFrame, key: str, name: str = "matches") -> DataFrame:
-    """Matches of each row as a list of structs, empty where there is none."""
+    """Matches of each row as a list of structs, empty where there is none; null keys meet."""
     rest = [c for c in b.columns if c != key]
     lists = b.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
     kind = lists.schema[name].dataType.simpleString()
-    return a.join(lists, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+    return join_groups(a, lists, [key], "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
 
 
-def asof_join(a: DataFrame, b: DataFrame, by: list[str], time_a: str, time_b: str, columns: list[str], tie: str) -> DataFrame:
-    """For each row the last row of ``b`` not after its time.
+def asof_join(a: DataFrame, b: DataFrame, by: list[str], time_a: str, time_b: str, columns: list[str], tie: str, closest: str = ">=") -> DataFrame:
+    """For each row the closest row of ``b`` whose time stands to its own as asked: ``closest`` is the
+    test of the left time against the right one, ``>=`` and ``>`` (the last before), ``<=`` and ``<`` (the
+    first after).  Of equal times the largest ``tie`` counts, or the smallest for those after.  A null time is close to none.
 
     Both sides are one sequence by key and time; the last value seen is carried forward by a window.
     No row meets another, so nothing is multiplied; a key's rows are sorted, not collected.
     """
+    back, strict = closest in (">=", ">"), closest in (">", "<")
+    if closest not in (">=", ">", "<=", "<"):
+        raise ValueError(f"{closest} is no order")
     right = F.struct(*(F.col(c) for c in columns))
-    left_rows = a.select(*by, F.col(time_a).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(b.schema[tie].dataType).alias("__tie"), F.struct(*a.columns).alias("__a"), F.lit(None).cast(b.select(right.alias("x")).schema["x"].dataType).alias("__b"))
-    right_rows = b.select(*by, F.col(time_b).alias("__t"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left_rows.schema["__a"].dataType).alias("__a"), right.alias("__b"))
-    w = W.Window.partitionBy(*by).orderBy("__t", "__side", "__tie").rowsBetween(W.Window.unboundedPreceding, 0)
+    left_rows = a.select(*by, F.col(time_a).alias("__t"), F.lit(0 if strict else 2).alias("__side"), F.lit(None).cast(b.schema[tie].dataType).alias("__tie"), F.struct(*a.columns).alias("__a"), F.lit(None).cast(b.select(right.alias("x")).schema["x"].dataType).alias("__b"))
+    right_rows = b.where(F.col(time_b).isNotNull()).select(*by, F.col(time_b).alias("__t"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left_rows.schema["__a"].dataType).alias("__a"), right.alias("__b"))
+    turned = (lambda c: F.col(c).asc()) if back else (lambda c: F.col(c).desc())
+    w = W.Window.partitionBy(*by).orderBy(turned("__t"), F.col("__side").asc(), turned("__tie")).rowsBetween(W.Window.unboundedPreceding, 0)
     both = left_rows.unionByName(right_rows).withColumn("__last", F.last("__b", ignorenulls=True).over(w))
-    return both.where("__side = 1").select("__a.*", *(F.col(f"__last.{c}").alias(c) for c in columns))
+    return both.where("__side <> 1").select("__a.*", *(F.when(F.col("__t").isNotNull(), F.col(f"__last.{c}")).alias(c) for c in columns))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, point: str, lower: str, upper: str, width: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -135,37 +141,60 @@ def rows_append(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def _unlike(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join of ``a`` with the keys of ``b``; null keys meet."""
+    side = b.select(*(F.col(f"`{k}`").alias(f"__right_{k}") for k in keys)).distinct()
+    return a.join(side, null_safe(keys, [f"__right_{k}" for k in keys]), how)
+
+
 def rows_insert(a: DataFrame, b: DataFrame, keys: list[str], conflict: str = "error") -> DataFrame:
-    """Adds rows of new keys; a key that exists is an error or ignored."""
-    if conflict == "error" and not b.join(a, keys, "left_semi").isEmpty():
+    """Adds rows of new keys; a key that exists is an error or ignored.  Null is a key."""
+    if conflict == "error" and not _unlike(b, a, keys, "left_semi").isEmpty():
         raise ValueError("a key exists already")
-    return a.unionByName(b.join(a.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    return a.unionByName(_unlike(b, a, keys, "left_anti"), allowMissingColumns=True)
+
+
+def _one_row_a_key(b: DataFrame, keys: list[str]) -> None:
+    if not b.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("the changes repeat a key")
+
+
+def _all_matched(a: DataFrame, b: DataFrame, keys: list[str], unmatched: str) -> None:
+    if unmatched == "error" and not _unlike(b, a, keys, "left_anti").isEmpty():
+        raise ValueError("a key of the changes is not in the table")
 
 
-def _changed(a: DataFrame, b: DataFrame, keys: list[str], how: str, value) -> DataFrame:
+def _changed(a: DataFrame, b: DataFrame, keys: list[str], value) -> DataFrame:
+    """``a`` with values of ``b``, which must have a key once; null keys meet."""
+    _one_row_a_key(b, keys)
     new = [c for c in b.columns if c not in keys]
-    side = b.select(*keys, *(F.col(c).alias(f"__new_{c}") for c in new), F.lit(True).alias("__found"))
-    joined = a.withColumn("__old", F.lit(True)).join(side, keys, how)
+    side = b.select(*(F.col(f"`{k}`").alias(f"__right_{k}") for k in keys), *(F.col(c).alias(f"__new_{c}") for c in new), F.lit(True).alias("__found"))
+    joined = a.join(side, null_safe(keys, [f"__right_{k}" for k in keys]), "left")
     return joined.select(*(value(c).alias(c) if c in new else F.col(c) for c in a.columns))
 
 
-def rows_update(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Replaces the values of keys in both."""
-    return _changed(a, b, keys, "left", lambda c: F.when(F.col("__found"), F.col(f"__new_{c}")).otherwise(F.col(c)))
+def rows_update(a: DataFrame, b: DataFrame, keys: list[str], unmatched: str = "error") -> DataFrame:
+    """Replaces the values of keys in both; a key of ``b`` that ``a`` has not is an error or ignored."""
+    _all_matched(a, b, keys, unmatched)
+    return _changed(a, b, keys, lambda c: F.when(F.col("__found"), F.col(f"__new_{c}")).otherwise(F.col(c)))
 
 
-def rows_patch(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Fills only nulls of keys in both."""
-    return _changed(a, b, keys, "left", lambda c: F.coalesce(F.col(c), F.col(f"__new_{c}")))
+def rows_patch(a: DataFrame, b: DataFrame, keys: list[str], unmatched: str = "error") -> DataFrame:
+    """Fills only nulls of keys in both; a key of ``b`` that ``a`` has not is an error or ignored."""
+    _all_matched(a, b, keys, unmatched)
+    return _changed(a, b, keys, lambda c: F.coalesce(F.col(c), F.col(f"__new_{c}")))
 
 
 def rows_upsert(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Replaces values of keys in both and adds the others."""
-    return _changed(a, b, keys, "full", lambda c: F.when(F.col("__found"), F.col(f"__new_{c}")).otherwise(F.col(c)))
+    changed = _changed(a, b, keys, lambda c: F.when(F.col("__found"), F.col(f"__new_{c}")).otherwise(F.col(c)))
+    return changed.unionByName(_unlike(b, a, keys, "left_anti"), allowMissingColumns=True)
 
 
-def rows_delete(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.join(b.select(*keys).distinct(), keys, "left_anti")
+def rows_delete(a: DataFrame, b: DataFrame, keys: list[str], unmatched: str = "error") -> DataFrame:
+    """Rows whose key is not in ``b``; a key of ``b`` that ``a`` has not is an error or ignored."""
+    _all_matched(a, b, keys, unmatched)
+    return _unlike(a, b, keys, "left_anti")
 
 
 def pair_wide(df: DataFrame, key: list[str], side: str, sides: tuple[str, str], columns: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tessera.operators.verbs import join_groups
+
 
 def pivot_longer(df: DataFrame, columns: list[str], names_to: str = "name", values_to: str = "value", prefix: str = "", drop_na: bool = False) -> DataFrame:
     ids = [c for c in df.columns if c not in columns]
@@ -108,12 +110,15 @@ def separate_wider_regex(df: DataFrame, name: str, pattern: str, into: list[str]
 
 
 def separate_longer(df: DataFrame, name: str, delimiter: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.split(F.col(name), re.escape(delimiter))))
+    """A row for each part; a null stays a row."""
+    return df.withColumn(name, F.explode_outer(F.split(F.col(name), re.escape(delimiter))))
 
 
 def separate_longer_position(df: DataFrame, name: str, width: int) -> DataFrame:
-    starts = F.sequence(F.lit(1), F.length(name), F.lit(width))
-    return df.where(F.length(name) > 0).withColumn(name, F.explode(F.transform(starts, lambda s: F.substring(F.col(name), s, F.lit(width)))))
+    """A row for each piece of so many characters; a null stays a row, an empty text has no piece."""
+    starts = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name), F.lit(width)))
+    kept = df.where((F.length(name) > 0) | F.col(name).isNull())
+    return kept.withColumn(name, F.explode_outer(F.transform(starts, lambda s: F.substring(F.col(name), s, F.lit(width)))))
 
 
 def unite(df: DataFrame, name: str, columns: list[str], separator: str = "_", remove: bool = True) -> DataFrame:
@@ -131,7 +136,9 @@ def expand(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def complete(df: DataFrame, *columns: str, fill: dict | None = None) -> DataFrame:
-    return expand(df, *columns).join(df, list(columns), "left").fillna(fill or {})
+    """Rows for all combinations of the columns' values, null among them; new ones hold null or ``fill``."""
+    found = join_groups(expand(df, *columns), df, columns, "left").select(*columns, *(c for c in df.columns if c not in columns))
+    return found.fillna(fill or {})
 
 
 def full_seq(df: DataFrame, column: str, step: int = 1) -> DataFrame:

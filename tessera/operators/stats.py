@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tessera.operators.verbs import join_groups
+
 
 def trimmed_mean(df: DataFrame, keys: list[str], columns: list[str], trim: float = 0.2) -> DataFrame:
     """Mean without the lowest and highest ``floor(trim * n)`` values of each column, by key, nulls aside.
@@ -25,9 +27,12 @@ def trimmed_mean(df: DataFrame, keys: list[str], columns: list[str], trim: float
 
 
 def standardise(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """z-scores with the n-1 deviation; moments are aggregated and joined back, no group is one task."""
+    """z-scores with the n-1 deviation; moments are aggregated and joined back, no group is one task.
+
+    A null key is a group like any other.
+    """
     moments = df.groupBy(*by).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
-    joined = df.join(moments, list(by)) if by else df.join(F.broadcast(moments))  # one row
+    joined = join_groups(df, moments, by) if by else df.join(F.broadcast(moments))  # one row
     return joined.withColumn(out, (F.col(value) - F.col("__mean")) / F.col("__sd")).drop("__mean", "__sd")
 
 

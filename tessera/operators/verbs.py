@@ -142,13 +142,22 @@ def group_keys(df: DataFrame, *by: str) -> DataFrame:
     return df.select(*by).distinct().orderBy(*by)
 
 
+def join_groups(df: DataFrame, groups: DataFrame, by, how: str = "inner") -> DataFrame:
+    """``df`` with the other columns of ``groups``, by keys of which null is one like any other."""
+    test = F.lit(True)
+    for c in by:
+        test = test & F.col(f"`{c}`").eqNullSafe(F.col(f"`__group_{c}`"))
+    side = groups.withColumnsRenamed({c: f"__group_{c}" for c in by})
+    return df.join(side, test, how).drop(*(f"__group_{c}" for c in by))
+
+
 def group_ids(df: DataFrame, *by: str, name: str = "group_id") -> DataFrame:
-    """Each row with the number of its group in key order, from 1.
+    """Each row with the number of its group in key order, from 1; a null key is a group, the last.
 
     Only the distinct keys are ordered in one task, so this is for groups that are few beside rows.
     """
-    numbered = df.select(*by).distinct().withColumn(name, F.dense_rank().over(W.Window.orderBy(*by)))
-    return df.join(numbered, list(by))
+    numbered = df.select(*by).distinct().withColumn(name, F.dense_rank().over(W.Window.orderBy(*(F.col(c).asc_nulls_last() for c in by))))
+    return join_groups(df, numbered, by)
 
 
 def group_nest(df: DataFrame, by, name: str = "data") -> DataFrame:

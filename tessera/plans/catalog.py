@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.plans import models, posterior, relational, scoring, text
+from tessera.plans import models, null_keys, posterior, relational, scoring, text
 from tessera.plans.registry import Registry
 
 REGISTRY = Registry()
-for part in (text, scoring, posterior, relational, models):
+for part in (text, scoring, posterior, relational, null_keys, models):
     for name, run in part.REG.queries.items():
         REGISTRY.add(name, run, part.REG.oracles.get(name))
 

@@ -134,10 +134,10 @@ def _ab(s, d):
 
 REG.add("rows_insert", lambda s, d: J.rows_insert(*_ab(s, d), ["k"], "ignore"), f"WITH {_BASE} SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)")
 REG.add("rows_append", lambda s, d: J.rows_append(*_ab(s, d)), f"WITH {_BASE} SELECT * FROM a UNION ALL SELECT * FROM b")
-REG.add("rows_update", lambda s, d: J.rows_update(*_ab(s, d), ["k"]), f"WITH {_BASE} SELECT a.k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v, CASE WHEN b.k IS NOT NULL THEN b.w ELSE a.w END AS w FROM a LEFT JOIN b ON a.k = b.k")
-REG.add("rows_patch", lambda s, d: J.rows_patch(*_ab(s, d), ["k"]), f"WITH {_BASE} SELECT a.k, coalesce(a.v, b.v) AS v, coalesce(a.w, b.w) AS w FROM a LEFT JOIN b ON a.k = b.k")
+REG.add("rows_update", lambda s, d: J.rows_update(*_ab(s, d), ["k"], "ignore"), f"WITH {_BASE} SELECT a.k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v, CASE WHEN b.k IS NOT NULL THEN b.w ELSE a.w END AS w FROM a LEFT JOIN b ON a.k = b.k")
+REG.add("rows_patch", lambda s, d: J.rows_patch(*_ab(s, d), ["k"], "ignore"), f"WITH {_BASE} SELECT a.k, coalesce(a.v, b.v) AS v, coalesce(a.w, b.w) AS w FROM a LEFT JOIN b ON a.k = b.k")
 REG.add("rows_upsert", lambda s, d: J.rows_upsert(*_ab(s, d), ["k"]), f"WITH {_BASE} SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v, CASE WHEN b.k IS NOT NULL THEN b.w ELSE a.w END AS w FROM a FULL JOIN b ON a.k = b.k")
-REG.add("rows_delete", lambda s, d: J.rows_delete(*_ab(s, d), ["k"]), f"WITH {_BASE} SELECT * FROM a WHERE k NOT IN (SELECT k FROM b)")
+REG.add("rows_delete", lambda s, d: J.rows_delete(*_ab(s, d), ["k"], "ignore"), f"WITH {_BASE} SELECT * FROM a WHERE k NOT IN (SELECT k FROM b)")
 
 
 @REG.query("pivot_longer", "SELECT p_partkey, 'size' AS name, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'retailprice', p_retailprice FROM part")

@@ -58,19 +58,9 @@ def keyword_extract(s, d):
     return phrases(s, d).select("id", C.keyword_extract(F.col("txt")).alias("said"))
 
 
-@REG.query("token_counts", "SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents WHERE lang = 'en') GROUP BY 1")
+@REG.query("token_counts", "SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) GROUP BY 1")
 def token_counts(s, d):
-    """Of English documents only, as its SQL twin; ``token_counts_all`` counts the whole corpus."""
-    return _token_counts(table(s, d, "documents").where("lang = 'en'"))
-
-
-@REG.query("token_counts_all")
-def token_counts_all(s, d):
-    return _token_counts(table(s, d, "documents"))
-
-
-def _token_counts(docs):
-    tok = docs.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
+    tok = table(s, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
     per = tok.groupBy("token", "doc_id").agg(F.count("*").alias("m"))
     return per.groupBy("token").agg(F.sum("m").alias("n"), F.count("*").alias("docs"))
 
@@ -177,9 +167,24 @@ def locator_rates(s, d):
     return O.recovery_rates(found, "grp", "control")
 
 
-@REG.query("validator_flags")
+_HAS = lambda pattern, text: f"regexp_matches({text}, '(?i){pattern}')"
+
+
+@REG.query(
+    "validator_flags",
+    # Every source is shorter than the window on either side of a colour, so the window is the text.
+    f"""WITH {V2_SQL}, r AS (SELECT id, txt AS phrase, 'Flowers ' || txt || '. Fruits red, on ' || CASE WHEN id LIKE '%1' THEN 'hairy leaves' ELSE 'stalks' END || ', in hills, common, rarely seen.' AS source, {CLASS_SQL} AS p FROM v2),
+c AS (SELECT *, {" , ".join(f"{_HAS(w, 'source')} AS in_{k}" for k, w in O.CLASS_WORDS.items())}, {" , ".join(f"{_HAS(w, 'phrase')} AS said_{k}" for k, w in O.CLASS_WORDS.items())}, {_HAS(O.FLORAL_TERMS, 'source')} AS floral FROM r),
+f AS (SELECT *, CASE p WHEN 'WHITE' THEN in_WHITE WHEN 'YELLOW' THEN in_YELLOW WHEN 'REDTYPE' THEN in_REDTYPE ELSE false END AS found, p IN ('WHITE', 'YELLOW', 'REDTYPE') AS known FROM c),
+g AS (SELECT *, CASE WHEN known THEN found AND floral ELSE NOT (floral AND (in_WHITE OR in_YELLOW OR in_REDTYPE)) END AS supported FROM f)
+SELECT id, floral AS floral_term_in_source, found AS predicted_colour_in_source, supported AS supported_floral_evidence, found AND NOT floral AND {_HAS(O.OTHER_CONTEXT, 'source')} AND NOT supported AS wrong_context_evidence,
+  said_WHITE::INTEGER + said_YELLOW::INTEGER + said_REDTYPE::INTEGER > 1 OR {_HAS(O.SEVERAL, 'phrase')} AS multi_colour_phrase,
+  concat_ws('|', CASE WHEN said_WHITE THEN 'WHITE' END, CASE WHEN said_YELLOW THEN 'YELLOW' END, CASE WHEN said_REDTYPE THEN 'REDTYPE' END) AS classes_in_prediction,
+  length(source) < {O.SHORTEST} OR {_HAS(O.KEY_STUB, 'source')} AS malformed_or_key_stub, known AND NOT supported AS unsupported_known_colour FROM g""",
+)
 def validator_flags(s, d):
-    rows = phrases(s, d).withColumns({"source": F.concat(F.lit("Herbs with ovate leaves and many branched stems, to two metres. "), F.initcap("txt"), F.lit(". Fruits red. Distrib. widely in hills and plains of the north.")), "class": C.to_class(C.categorise_v2(F.col("txt")))})
+    ground = F.when(F.col("id").endswith("1"), "hairy leaves").otherwise("stalks")
+    rows = phrases(s, d).withColumns({"source": F.concat(F.lit("Flowers "), "txt", F.lit(". Fruits red, on "), ground, F.lit(", in hills, common, rarely seen.")), "class": C.to_class(C.categorise_v2(F.col("txt")))})
     return O.validator_flags(rows, "source", "class", "txt").select("id", "flags.*")
 
 

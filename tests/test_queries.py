@@ -78,5 +78,5 @@ def test_tokens_of_all_documents_equal_brute_force(spark, duck):
         found = re.findall("[a-z]{3,}", (text or "").lower())
         n.update(found)
         docs.update(set(found))
-    got = {r.token: (r.n, r.docs) for r in REGISTRY.queries["token_counts_all"](spark, DIR).collect()}
+    got = {r.token: (r.n, r.docs) for r in REGISTRY.queries["token_counts"](spark, DIR).collect()}
     assert got == {t: (n[t], docs[t]) for t in n}

@@ -66,7 +66,7 @@ def test_wide_pairs_need_one_row_of_each(spark):
 def test_row_changes(spark):
     a, b = df(spark, [(1, None), (2, "b")], "k int, v string"), df(spark, [(1, "x"), (3, "y")], "k int, v string")
     assert rows(J.rows_upsert(a, b, ["k"])) == [(1, "x"), (2, "b"), (3, "y")]
-    assert rows(J.rows_patch(a, b, ["k"])) == [(1, "x"), (2, "b")]
+    assert rows(J.rows_patch(a, b, ["k"], "ignore")) == [(1, "x"), (2, "b")]
     with pytest.raises(ValueError, match="exists"):
         J.rows_insert(a, b, ["k"])
 
