@@ -50,7 +50,7 @@ _FEATURES = [f"x{k}" for k in range(6)]
 
 def _features(s, d):
     """Vectors as columns, with a class from their label and a group."""
-    e = table(s, d, "embeddings").where("label is not null and embedding is not null").select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("class"), F.concat(F.lit("g"), (F.col("vec_id") % 40).cast("string")).alias("grp"), *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(6)))
+    e = table(s, d, "embeddings").where("label is not null and embedding is not null").select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("class"), F.concat(F.lit("g"), (F.col("vec_id") % 40).cast("string")).alias("grp"), *(F.get("embedding", F.lit(k)).cast("double").alias(x) for k, x in enumerate(_FEATURES)))
     return e.dropna()
 
 
@@ -117,7 +117,13 @@ REG.add("logreg_cv", _cv("logistic"))
 REG.add("rf_cv", _cv("forest"))
 
 
-@REG.query("grouped_folds")
+@REG.query(
+    "grouped_folds",
+    """WITH e AS (SELECT 'c' || (label % 3) AS class, 'g' || (vec_id % 40) AS grp FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding[1:6], lambda x: x IS NOT NULL AND NOT isnan(x))) = 6),
+c AS (SELECT grp, class, count(*) AS n FROM e GROUP BY ALL), l AS (SELECT grp, sum(n) AS size, arg_max(class, (n, -substr(class, 2)::INTEGER)) AS lead FROM c GROUP BY 1),
+p AS (SELECT grp, size, (row_number() OVER (PARTITION BY lead ORDER BY size DESC, grp) - 1) % 10 AS place FROM l)
+SELECT CASE WHEN place < 5 THEN place ELSE 9 - place END::INTEGER AS fold, sum(size)::BIGINT AS n, count(*) AS groups FROM p GROUP BY 1""",
+)
 def grouped_folds(s, d):
     """Rows and groups of each fold; a group is in one fold."""
     f = M.grouped_folds(_features(s, d), "grp", "class", 5)

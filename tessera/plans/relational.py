@@ -440,7 +440,7 @@ def domain_groups(s, d):
     return V.rows_with_domain(counts, T(s, d, "nation").select("n_nationkey"), "n_nationkey", {"n": 0})
 
 
-@REG.query("group_apply")
+@REG.query("group_apply", "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)) WHERE r = n // 2")
 def group_apply(s, d):
     def middle(pdf):
         return pdf.sort_values(["c_acctbal", "c_custkey"]).iloc[[len(pdf) // 2]]

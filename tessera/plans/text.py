@@ -82,6 +82,16 @@ def junk_flags(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), X.junk_flags(name, n).alias("flags"))
 
 
+@REG.query("noise_signs", r"""WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'see 1.0' || p_name ELSE p_name END AS text, split_part(p_name, ' ', 1) AS epithet FROM part),
+f AS (SELECT id, 'zero_O_boundary' AS signature, regexp_matches(text, '\d+\.0[a-z]{3,}') AS hit FROM t UNION ALL SELECT id, 'truncated_epithet_suspect', regexp_matches(epithet, '^[a-z]{3,8}$') AND NOT regexp_matches(epithet, '[aeious]$') FROM t)
+SELECT signature, count(*) FILTER (hit) AS count, round(100.0 * count(*) FILTER (hit) / count(*), 3) AS pct FROM f GROUP BY 1""")
+def noise_signs(s, d):
+    """The operator's own signatures that SQL can say, on part names as texts and epithets."""
+    name, key = F.col("p_name"), F.col("p_partkey")
+    rows = table(s, d, "part").select(F.when(key % 3 == 0, F.concat(F.lit("see 1.0"), name)).otherwise(name).alias("text"), F.split_part(name, F.lit(" "), F.lit(1)).alias("epithet"), F.lpad(key.cast("string"), 9, "0").alias("name"))
+    return O.noise_signatures(rows, "text", "epithet", "name").where("signature in ('zero_O_boundary', 'truncated_epithet_suspect')").select("signature", "count", "pct")
+
+
 _HINTS = " OR ".join(f"contains(t, '{h}')" for h in X.HINTS)
 STRATUM_SQL = f"CASE WHEN fine = 'UNKNOWN' THEN 'no_mention' WHEN {_HINTS} THEN 'ambiguous' WHEN fine = 'WHITE' THEN 'clear_white' WHEN fine = 'YELLOW' THEN 'clear_yellow' WHEN fine IN ('RED', 'PINK', 'PURPLE/BLUE') THEN 'clear_redtype' END"
 
