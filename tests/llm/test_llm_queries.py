@@ -63,3 +63,28 @@ def test_pipeline_stages(spark, tmp_path):
         before = after
     assert before.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     assert before.where(F.size("ids") != F.col("n_tokens")).isEmpty()
+
+
+def test_stages_on_nulls_ties_repeated_rows_and_clashing_names(spark, tmp_path):
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(45)], "doc_id long, toxic int")
+    item = " ".join(f"item{k}" for k in range(12))
+    spark.createDataFrame([(1, item), (1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"word{k % 5000}" for k in range(60_000))
+    said = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st"]
+    plain = [f"some plain words of text {said[i // 10]} {said[i % 10]} and more" for i in range(50)]
+    rows = [(i, t + " grobscum vilfoul dreckwit" * (i % 5 == 0), "en", "s", 9) for i, t in enumerate(plain)]
+    rows += [(100, None, "en", "s", 0), (101, "", None, None, 0), (102, "12 34", "en", "s", 5), (103, long, "en", "s", 1), (104, long, "en", "s", 1), (105, f"a {item.upper()} b", None, "s", 1), (106, "twice said words here", "en", "s", 1), (106, "twice said words here", "en", "s", 1), (None, "a text of no id at all", "en", "s", 1)]
+    own = ["lang_pred", "lang_score", "lang_sure", "toxicity", "hit_words", "hit_spans", "hit_items", "component_id", "n_shingles"]
+    docs = spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in own)) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in own))
+    gone = {"language": {100, 101, 102}, "toxicity": set(range(0, 50, 5)), "near_duplicates": {104}, "decontamination": {105}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        got = sorted(map(tuple, kept.collect()), key=str)
+        twice = [r for r in rows if r[0] == 106][: 1 if name == "near_duplicates" else 2]
+        want = [r for r in rows if r[0] not in gone[name] | {106}] + twice
+        assert got == sorted(((*r, *(f"{c} {r[0]}" for c in own)) for r in want), key=str), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(tokens) == len(rows) and sum(r.n_tokens == 0 for r in tokens) == 2
