@@ -20,7 +20,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import accumulate
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +32,13 @@ from tessera.llm.common import slices, worker_state
 #: Resolved pre-tokens of one memo generation, and their length in all.  A worker holds two: what is used
 #: again moves to the young one, and when that is full the old one goes, so memory is bounded and frequent
 #: words stay.
-MEMO_ENTRIES, MEMO_LENGTH = 200_000, 3 << 20
+MEMO_ENTRIES, MEMO_LENGTH = 270_000, 4 << 20
 #: Bytes of text that are split and looked up together.
 SLICE_BYTES = 1 << 20
 #: Mean keys per bucket of the perfect hash.
 BUCKET_KEYS = 4
-#: Of a resolved pre-token: its ids as decimal text joined by one space, and what they decode to.
-Piece = tuple[str, bytes]
-_SAID, _DECODED = itemgetter(0), itemgetter(1)
+#: A resolved pre-token: its ids as decimal text joined by one space.
+Piece = str
 #: Patterns with a form for the standard engine.  The forms agree on every text whose characters are of
 #: one class (letter, number, white space, other) to that engine and to the library that is followed.
 FASTER = {
@@ -185,6 +183,7 @@ class Codec:
         if not hasattr(self, "split"):
             self.split = re.compile(FASTER[self.pattern]).findall if self.pattern in FASTER else regex.compile(self.pattern).findall
             self.apart = frozenset(map(chr, self.stand_ins))
+            self.named = {str(i): x for i, x in enumerate(self.vocab)}
             self.rank = {x: i for i, x in enumerate(self.vocab) if x}
             self.first = [self.rank.get(bytes((a, b))) for a in range(256) for b in range(256)]
             self.memo = Memo()
@@ -224,7 +223,7 @@ class Codec:
         return tuple(out)
 
     def resolve(self, pieces: list[str]) -> dict[str, Piece]:
-        """Ids of distinct pre-tokens, as decimal text, and what they decode to."""
+        """Ids of distinct pre-tokens as decimal text."""
         raw = [x.encode() for x in pieces]
         short = [i for i, x in enumerate(raw) if len(x) <= self.longest]
         whole = np.full(len(raw), -1, np.int64)
@@ -236,7 +235,7 @@ class Codec:
                 ids: tuple[int, ...] = (self.ids[at],)
             else:
                 ids = self.merge(key)
-            out[piece] = (" ".join(map(str, ids)), self.decode(ids))
+            out[piece] = " ".join(map(str, ids))
         return out
 
     def remember(self, pieces: set[str]) -> dict[str, Piece]:
@@ -276,11 +275,15 @@ class Codec:
 
     @staticmethod
     def ids_of(found: list[Piece]) -> Iterator[int]:
-        return map(int, " ".join(map(_SAID, found)).split())
+        return map(int, " ".join(found).split())
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
 
+    def decode_said(self, said: str) -> bytes:
+        """The bytes of ids given as decimal text."""
+        return b"".join(map(self.named.__getitem__, said.split()))
+
 
 def broadcast_codec(spark: SparkSession, path: str, pattern: str):
     """The codec as a broadcast; its size is that of the vocabulary file, whatever the corpus."""
@@ -312,6 +315,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             "decoded_sha256": lambda found, said, raw: sha256(raw).hexdigest(),
         }
         columns = ["n_tokens", *outputs]
+        decodes = not {"decoded", "decoded_sha256"}.isdisjoint(outputs)
         gc.disable()  # nothing here is cyclic, and passes over the memo's many tuples cost a third more
         try:
             for whole in batches:
@@ -320,7 +324,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                     distinct = list(dict.fromkeys(texts))
                     rows = {}
                     for text, found in zip(distinct, codec.encode_batch(distinct), strict=True):
-                        said, raw = " ".join(map(_SAID, found)), b"".join(map(_DECODED, found))
+                        said = " ".join(found)
+                        raw = codec.decode_said(said) if decodes else b""
                         rows[text] = [made[c](found, said, raw) for c in columns]
                     cols = zip(*map(rows.__getitem__, texts), strict=True) if texts else [[] for _ in columns]
                     yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, _OUTPUTS[c][0]) for c, v in zip(columns, cols, strict=True))], names=["key", *columns])
