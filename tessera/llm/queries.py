@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_text, jaccard, langid, sharding, toxicity, url_filter, vector_dedup
+from tessera.llm import bpe, chat, decontaminate, html_text, jaccard, langid, periodic, sharding, token_counts, toxicity, url_filter, vector_dedup
 from tessera.llm.common import held_out
 
 
@@ -80,5 +80,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("kept", F.col("url_action") != "block")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_vectors": op5_vectors, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_html": op9_html, "op10_url_filter": op10_url_filter}
+#: Tokens beyond which a document is over the limit.
+TOKEN_LIMIT = 1024
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), budget=TOKEN_LIMIT)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = periodic.find_runs(docs.select("doc_id", periodic.with_planted_run(F.col("doc_id"), F.col("text")).alias("text")))
+    best = periodic.longest(F.col("runs"))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise("")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    exponent = F.floor(F.col("best.length") * 1000 / F.col("best.period"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_vectors": op5_vectors, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_html": op9_html, "op10_url_filter": op10_url_filter, "op12_token_counts": op12_token_counts, "op13_runs": op13_runs}
 ORACLES = {"op2_sharding": sharding.oracle(), "op5_vectors": vector_dedup.ORACLE, "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_url_filter": url_filter.ORACLE}
