@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_text, jaccard, langid, periodic, sharding, token_counts, toxicity, url_filter, vector_dedup
+from tessera.llm import bpe, chat, decontaminate, hard_negatives, html_text, jaccard, langid, periodic, sharding, token_counts, toxicity, url_filter, vector_dedup
 from tessera.llm.common import held_out
 
 
@@ -80,6 +80,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("kept", F.col("url_action") != "block")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
 #: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 1024
 
@@ -102,5 +108,5 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_vectors": op5_vectors, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_html": op9_html, "op10_url_filter": op10_url_filter, "op12_token_counts": op12_token_counts, "op13_runs": op13_runs}
-ORACLES = {"op2_sharding": sharding.oracle(), "op5_vectors": vector_dedup.ORACLE, "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_url_filter": url_filter.ORACLE}
+QUERIES = {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_vectors": op5_vectors, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_html": op9_html, "op10_url_filter": op10_url_filter, "op11_hard_negatives": op11_hard_negatives, "op12_token_counts": op12_token_counts, "op13_runs": op13_runs}
+ORACLES = {"op2_sharding": sharding.oracle(), "op5_vectors": vector_dedup.ORACLE, "op6_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op8_jaccard": jaccard.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
