@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import colour as C
 from tessera.functions import text as X
+from tessera.operators import locator as L
 from tessera.operators import text_ops as O
 from tessera.operators import verbs as V
 from tessera.plans.inputs import PHRASE_SQL, phrases
@@ -141,15 +142,19 @@ def whitespace_keys(s, d):
     return table(s, d, "documents").select("doc_id", X.name_key(raw).alias("key"), X.file_safe(F.concat("source", F.lit(" "), "lang")).alias("file"))
 
 
-def _volumes(s, d):
-    """Numbered headings made of part names, by brand as volume."""
-    n, k = F.col("p_name"), F.col("p_partkey")
+def _treatment(k, n):
+    """A numbered heading made of a part's key and name, with a body."""
     genus = F.initcap(F.element_at(F.split(n, " "), 2))
     epithet = F.element_at(F.split(n, " "), 1)
     head = F.when(k % 4 == 0, genus).when(k % 4 == 1, F.concat(genus, F.lit(" "), epithet)).when(k % 4 == 2, F.concat(F.substring(genus, 1, 1), F.lit(". "), epithet)).otherwise(F.concat(F.upper(genus), F.lit(" "), epithet))
     body = F.when(k % 3 == 0, F.lit("Herbs erect. Leaves ovate. Flowers white.\nFl. May. Fr. June.")).otherwise(F.lit("see page 12"))
-    part = F.concat(F.lit("\n"), k.cast("string"), F.lit(". "), head, F.lit("\n"), body)
-    return table(s, d, "part").groupBy(F.col("p_brand").alias("volume")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), part.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    return F.concat(F.lit("\n"), k.cast("string"), F.lit(". "), head, F.lit("\n"), body)
+
+
+def _volumes(s, d):
+    """Headings of part names, by brand as volume."""
+    one = F.struct(F.col("p_partkey").alias("k"), _treatment(F.col("p_partkey"), F.col("p_name")).alias("t"))
+    return table(s, d, "part").groupBy(F.col("p_brand").alias("volume")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["t"]), "").alias("text"))
 
 
 @REG.query(
@@ -163,18 +168,43 @@ def segment_blocks(s, d):
     return O.segment(_volumes(s, d), "text", "volume").select("volume", "pos", "number", "genus", "epithet", "score", "outcome")
 
 
-@REG.query("locate_window")
+#: Headings of a text of a volume.
+PAGE = 100
+
+
+def _pages(s, d):
+    """The texts of the volumes: headings of part names by brand, a hundred keys a text."""
+    page = F.floor(F.col("p_partkey") / PAGE)
+    return table(s, d, "part").select(F.col("p_brand").alias("volume"), F.lpad(page.cast("string"), 12, "0").alias("page"), "p_partkey", _treatment(F.col("p_partkey"), F.col("p_name")).alias("t")).groupBy("volume", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "t"))), lambda x: x["t"]), "").alias("text"))
+
+
+# A mention is a heading with the name whole, in capitals or with its genus abbreviated; its window starts where the heading ends.
+_LOCATED = rf"""p AS (SELECT p_brand AS volume, p_partkey AS k, p_partkey // {PAGE} AS page, upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS genus, split_part(p_name, ' ', 1) AS epithet FROM part),
+h AS (SELECT *, chr(10) || k || '. ' || CASE k % 4 WHEN 0 THEN genus WHEN 1 THEN genus || ' ' || epithet WHEN 2 THEN left(genus, 1) || '. ' || epithet ELSE upper(genus) || ' ' || epithet END AS head, chr(10) || CASE WHEN k % 3 = 0 THEN 'Herbs erect. Leaves ovate. Flowers white.' || chr(10) || 'Fl. May. Fr. June.' ELSE 'see page 12' END AS body FROM p),
+t AS (SELECT volume, page, string_agg(head || body, '' ORDER BY k) AS text FROM h GROUP BY ALL),
+e AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY volume, page ORDER BY k) - length(body) AS place FROM h),
+w AS (SELECT n.volume, n.genus, n.epithet, e.page, e.place, regexp_extract(substr(text, e.place::INT + 1, 2200), '(?s)^(.*?)(?:\n\s*\d{{1,3}}\s*\.\s+[A-Z][a-z]{{2,}}\s+[a-z]{{3,}}|\bFig\s*\.?\s*\d+|\n\s*[A-Z]{{4,}}(?:\s+[A-Z]{{4,}})*\s*\n|$)', 1) AS win
+  FROM (SELECT DISTINCT volume, genus, epithet FROM p) n JOIN e ON n.volume = e.volume AND n.epithet = e.epithet AND ((e.k % 4 IN (1, 3) AND n.genus = e.genus) OR (e.k % 4 = 2 AND left(n.genus, 1) = left(e.genus, 1))) JOIN t ON t.volume = e.volume AND t.page = e.page),
+g AS (SELECT *, CASE WHEN win = '' OR length(regexp_replace(left(win, 400), '\D', '', 'g')) > 0.22 * length(left(win, 400)) THEN 0 ELSE len(list_distinct(regexp_extract_all(lower(win), '{L.MORPH}'))) END AS terms FROM w),
+b AS (SELECT volume, genus, epithet, arg_min(win, row(-terms, page, place)) AS win FROM g WHERE terms >= 3 GROUP BY ALL),
+c AS (SELECT win, lower(substr(win, i, 12)) AS rest, regexp_matches(substr(win, greatest(1, i - 70), least(70, i - 1) + 70 + length(regexp_extract(lower(substr(win, i, 12)), '^{L.COLOURS}', 1))), '(?i){L.ORGANS}') AS organ, i FROM (SELECT win, unnest(range(1, length(win) + 1)) AS i FROM (SELECT DISTINCT win FROM b)) WHERE i = 1 OR regexp_matches(substr(win, i - 1, 1), '\W')),
+f AS (SELECT win, arg_min(regexp_extract(rest, '^{L.COLOURS}', 1), i) AS colour FROM c WHERE organ AND regexp_matches(rest, '^{L.COLOURS}') GROUP BY win),
+located AS (SELECT n.*, win AS window, colour, CASE WHEN win IS NULL THEN 'not_located' WHEN colour IS NOT NULL THEN 'RECOVERABLE' ELSE 'located_no_colour' END AS status
+  FROM (SELECT volume, genus, epithet, min(k) AS p_partkey FROM p GROUP BY ALL) n LEFT JOIN b USING (volume, genus, epithet) LEFT JOIN f USING (win))"""
+
+
+@REG.query("locate_window", f"WITH {_LOCATED} SELECT * FROM located")
 def locate_window(s, d):
     """Names of a volume with the window that describes them."""
     names = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("volume"), F.initcap(F.element_at(F.split("p_name", " "), 2)).alias("genus"), F.element_at(F.split("p_name", " "), 1).alias("epithet"))
     distinct = names.groupBy("volume", "genus", "epithet").agg(F.min("p_partkey").alias("p_partkey"))
-    return O.locate_treatments(distinct, _volumes(s, d), "volume", "text", "genus", "epithet")
+    return L.locate_treatments(distinct, _pages(s, d), "volume", "text", "genus", "epithet", "page")
 
 
-@REG.query("locator_rates")
+@REG.query("locator_rates", f"WITH {_LOCATED}, r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'control' ELSE 'other' END AS grp, count(*) AS n, avg((status <> 'not_located')::INT) AS located, avg((status = 'RECOVERABLE')::INT) AS recoverable FROM located GROUP BY 1) SELECT r.*, (SELECT located >= 0.8 FROM r WHERE grp = 'control') AS trusted FROM r")
 def locator_rates(s, d):
     found = locate_window(s, d).withColumn("grp", F.when(F.col("p_partkey") % 2 == 0, "control").otherwise("other"))
-    return O.recovery_rates(found, "grp", "control")
+    return L.recovery_rates(found, "grp", "control")
 
 
 _HAS = lambda pattern, text: f"regexp_matches({text}, '(?i){pattern}')"

@@ -40,15 +40,6 @@ def test_segmentation(spark):
     assert [(r.number, r.genus, r.epithet, r.outcome) for r in found.orderBy("pos").collect()] == [("1", None, None, "drop_genus_hdr"), ("2", "Clematis", "montana", "accept_full"), ("3", "Clematis", "nutans", "accept_abbrev"), ("4", None, "xyzz", "drop_key"), ("5", None, "foo", "drop_garbled")]
 
 
-def test_locator_takes_the_best_window_and_skips_an_index():
-    good = "Herbs with ovate leaves and erect stems; racemes glabrous. Flowers white in panicles."
-    text = f"Rosa alba 12, 13, 14, 15, 16, 17, 18, 19, 20\n\n{' ' * 10}R. alba {good}"
-    assert "racemes" in O.locate(text, "Rosa", "alba")
-    assert O.locate(text, "Rosa", "nigra") is None and O.locate(None, "Rosa", "alba") is None
-    assert O.colour_on_organ("Leaves with white hairs. " + "x" * 60 + " Flowers yellow here") == "yellow"
-    assert O.colour_on_organ("") is None
-
-
 def test_validator():
     source = "Shrubs to two metres tall with many branches. Flowers white, in dense panicles at ends of branches; fruits red when they are ripe."
     flags = O.validate(source, "WHITE", "flowers white")
