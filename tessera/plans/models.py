@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import audit as A
 from tessera.operators import models as M
 from tessera.operators import scoring as S
+from tessera.operators import similarity
 from tessera.operators import stats
 from tessera.operators import text_ops as O
 from tessera.plans.inputs import ENV_SQL, GOLD_SQL, env
@@ -35,13 +36,27 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, item_id D
 @REG.query("tfidf_topk_loo", _TOPK)
 def tfidf_topk_loo(s, d):
     docs = table(s, d, "benchmark").select("item_id")
-    return O.top_similar(docs, docs, "item_id", _weights(s, d), 3).select("query", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return similarity.top_similar(docs, docs, "item_id", _weights(s, d), 3).select("query", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@REG.query("fewshot_prompt")
+@REG.query("similar_documents", f"""WITH {TFIDF_SQL.replace("item_id", "doc_id").replace("benchmark", "documents")}, sim AS (SELECT x.doc_id AS query, y.doc_id, round(sum(x.weight * y.weight), 9) AS s FROM tfidf x JOIN tfidf y USING (term) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doc_id DESC) AS rank FROM sim) SELECT query, doc_id, round(s, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 3 AND s > 0""")
+def similar_documents(s, d):
+    """The three documents most like each document, of those that share a term with it."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    found = similarity.top_similar(docs, docs, "doc_id", O.tfidf(docs, "doc_id", "text"), 3)
+    return found.where("similarity > 0").select("query", "doc_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+_PROMPT = rf"""{_TOPK.split("SELECT query, item_id, round")[0]}, d AS (SELECT query, count(*) AS n_demos, string_agg('Example ' || rank || ':' || chr(10) || 'Description: ' || left(text, 500) || chr(10) || 'Flower colour: ' || trim(left(text, 12)) || chr(10), '' ORDER BY rank) AS examples FROM r JOIN benchmark USING (item_id) WHERE rank <= 3 GROUP BY query)
+SELECT b.item_id AS query, coalesce(n_demos, 0) AS n_demos, CASE WHEN examples IS NULL THEN 'Species description:' || chr(10) || chr(10) || text ELSE 'Here are similar labelled examples:' || chr(10) || examples || chr(10) || 'Now extract the flower colour for this description:' || chr(10) || chr(10) || text END || chr(10) || chr(10) || 'What is the flower colour?' AS prompt
+FROM benchmark b LEFT JOIN d ON d.query = b.item_id"""
+
+
+@REG.query("fewshot_prompt", _PROMPT)
 def fewshot_prompt(s, d):
     docs = table(s, d, "benchmark").select("item_id", "text", F.substring("text", 1, 12).alias("answer"))
-    similar = O.top_similar(docs.select("item_id"), docs.select("item_id"), "item_id", _weights(s, d), 3)
+    similar = similarity.top_similar(docs.select("item_id"), docs.select("item_id"), "item_id", _weights(s, d), 3)
     return O.fewshot_prompt(docs, similar, docs, "item_id", "text", "answer")
 
 

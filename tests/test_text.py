@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import similarity
 from tessera.operators import text_ops as O
 
 
@@ -51,7 +52,7 @@ def test_validator():
 def test_tfidf_top_k_counts_texts_without_shared_terms(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha beta"), (3, "gamma delta"), (4, "gamma delta"), (5, "zz")], "k long, t string")
     w = O.tfidf(docs, "k", "t")
-    top = O.top_similar(docs.select("k"), docs.select("k"), "k", w, 2)
+    top = similarity.top_similar(docs.select("k"), docs.select("k"), "k", w, 2)
     got = {(r.query, r["rank"]): (r.k, round(r.similarity, 3)) for r in top.collect()}
     assert got[(1, 1)][0] == 2 and got[(1, 2)] == (5, 0.0)
     assert got[(5, 1)] == (4, 0.0) and got[(5, 2)] == (3, 0.0)
