@@ -132,6 +132,79 @@ def grouped_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFram
     return df.join(lead.select(group, fold.alias("fold")), group)
 
 
+#: Group vectors that one task balances.
+BALANCED = 20_000
+
+
+def balance(vectors: list[tuple[float, ...]], k: int) -> list[int]:
+    """A fold for each class-count vector, one after the other: where the squared shares of its classes grow
+    least, then the fold of fewest rows, then the first."""
+    totals = np.sum(np.array(vectors), axis=0)
+    weight = 1 / np.maximum(totals, 1) ** 2
+    held, rows, out = np.zeros((k, len(totals))), np.zeros(k), []
+    for v in np.array(vectors):
+        cost = np.round((held * (v * weight)[None]).sum(axis=1), 12)
+        fold = int(np.lexsort((np.arange(k), rows, cost))[0])
+        held[fold] += v
+        rows[fold] += v.sum()
+        out.append(fold)
+    return out
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, balanced: int | None = None) -> DataFrame:
+    """Folds that keep groups whole and spread every class evenly.
+
+    Groups of equal class counts are interchangeable: of m such, k * (m div k) are dealt round by the order
+    of their names.  The rest, fewer than k of each kind, are balanced greedily as whole vectors,
+    largest group first, then by name (``balance``).  Beyond ``BALANCED`` groups parts of that many are balanced each on their own, and
+    their folds, as groups of a next level, among each other.  A null group is one group; a null class is a class.
+    """
+    from tessera.operators.ordered import row_number_within
+    from tessera.operators.verbs import join_groups
+
+    most = balanced or BALANCED
+    kind = df.schema[group].dataType.simpleString()
+    counts = df.groupBy(group, F.col(label).cast("string").alias("__class")).agg(F.count("*").alias("__n"))
+    vectors = counts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("__class", "__n"))).alias("__v"), F.sum("__n").alias("__size"))  # a group's classes
+    kinds = vectors.groupBy("__v").agg(F.count("*").alias("__m"))
+    numbered = row_number_within(vectors, ["__v"], [group], "__k").join(kinds, "__v").withColumn("__k", F.col("__k") - 1)
+    even = F.col("__k") < F.col("__m") - F.col("__m") % k
+    dealt = numbered.where(even).select(group, (F.col("__k") % k).cast("int").alias("fold"))
+    level = numbered.where(~even).select(F.col(group).alias("__item"), "__v", "__size").persist()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(__null=pdf["__item"].isna()).sort_values(["__size", "__null", "__item"], ascending=[False, True, True], kind="stable")
+        vectors = [{x["__class"]: x["__n"] for x in v} for v in pdf["__v"]]
+        classes = sorted({c for v in vectors for c in v}, key=lambda c: (c is not None, c or ""))
+        return pd.DataFrame({"__part": pdf["__part"], "__item": pdf["__item"], "__bundle": balance([tuple(float(v.get(c, 0)) for c in classes) for v in vectors], k)})
+
+    steps: list[DataFrame] = []
+    while True:
+        many = level.count()
+        parts = max(1, -(-many // most))
+        placed = level.withColumn("__part", F.pmod(F.xxhash64("__item"), F.lit(parts)).cast("int") if parts > 1 else F.lit(0))
+        bundled = placed.groupBy("__part").applyInPandas(run, f"__part int, __item {level.schema['__item'].dataType.simpleString()}, __bundle int").persist()
+        steps.append(bundled)
+        if parts == 1:
+            break
+        # The bundles of all parts are the groups of the next level.
+        each = placed.join(bundled, placed["__item"].eqNullSafe(bundled["__item"])).select((bundled["__part"] * k + bundled["__bundle"]).cast("long").alias("__item"), F.explode("__v").alias("c"))
+        sums = each.groupBy("__item", "c.__class").agg(F.sum("c.__n").alias("__n"))
+        level = sums.groupBy("__item").agg(F.sort_array(F.collect_list(F.struct("__class", "__n"))).alias("__v"), F.sum("__n").alias("__size")).persist()
+    folds = steps[-1].select("__item", F.col("__bundle").alias("fold"))
+    for below in reversed(steps[:-1]):
+        named = below.select(F.col("__item").alias("__own"), (F.col("__part") * k + F.col("__bundle")).cast("long").alias("__item"))
+        folds = named.join(folds, "__item").select(F.col("__own").alias("__item"), "fold")
+    every = dealt.unionByName(folds.select(F.col("__item").cast(kind).alias(group), "fold"))
+    return join_groups(df, every, [group])
+
+
+def fold_deviation(df: DataFrame, label: str, fold: str = "fold", k: int = 5) -> DataFrame:
+    """(class, n, least, most): rows of each class, and its fewest and most in one of k folds."""
+    counts = df.groupBy(label, fold).agg(F.count("*").alias("m"))
+    return counts.groupBy(label).agg(F.sum("m").alias("n"), F.when(F.count("*") < k, F.lit(0)).otherwise(F.min("m")).alias("least"), F.max("m").alias("most"))
+
+
 def group_prior(df: DataFrame, group: str, label: str, fold: str, ingest: str) -> DataFrame:
     """Out-of-fold prediction: the group's commonest class in the other folds, else the commonest of all.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tessera.operators.quantiles import exact_quantiles
 from tessera.operators.verbs import join_groups
 
 
@@ -38,7 +39,8 @@ def standardise(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -
 
 def band_summary(df: DataFrame, band: str, flags: list[str], value: str) -> DataFrame:
     """n, sums and percentages of 0/1 flags, and the median of a value, by band."""
-    return df.groupBy(band).agg(F.count("*").alias("n"), *(F.sum(f).alias(f"n_{f}") for f in flags), *((100 * F.avg(f)).alias(f"pct_{f}") for f in flags), F.percentile(value, 0.5).alias("median"))
+    sums = df.groupBy(band).agg(F.count("*").alias("n"), *(F.sum(f).alias(f"n_{f}") for f in flags), *((100 * F.avg(f)).alias(f"pct_{f}") for f in flags))
+    return join_groups(sums, exact_quantiles(df, [band], value, [0.5]), [band]).withColumn("median", F.col("q")[0]).drop("q")
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -101,10 +103,10 @@ def bh(df: DataFrame, p: str, family: list[str], out: str = "q") -> DataFrame:
 
 def posterior_quantile(draws: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Mean, 2.5 and 97.5 % quantiles (linear), two-sided tail, and whether the interval excludes 0."""
-    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
     above, below = F.avg((F.col(value) > 0).cast("int")), F.avg((F.col(value) < 0).cast("int"))
-    out = draws.groupBy(*by).agg(F.avg(value).alias("post_mean"), q.alias("__q"), (2 * F.least(above, below)).alias("pMCMC"))
-    lower, upper = F.col("__q")[0], F.col("__q")[1]
+    means = draws.groupBy(*by).agg(F.avg(value).alias("post_mean"), (2 * F.least(above, below)).alias("pMCMC"))
+    out = join_groups(means, exact_quantiles(draws, by, value, [0.025, 0.975]), by)
+    lower, upper = F.col("q")[0], F.col("q")[1]
     return out.select(*by, "post_mean", lower.alias("lower95"), upper.alias("upper95"), "pMCMC", ((lower > 0) | (upper < 0)).alias("significant"))
 
 
@@ -256,9 +258,10 @@ def flow_offsets(df: DataFrame, left: str, right: str, n: str = "n") -> DataFram
 
 
 def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
     names = ("minimum", "lower_quartile", "median", "upper_quartile", "maximum")
-    return df.groupBy(*by).agg(F.count(value).alias("n"), q.alias("__q")).select(*by, "n", *(F.col("__q")[k].alias(name) for k, name in enumerate(names)))
+    counts = df.groupBy(*by).agg(F.count(value).alias("n"))
+    out = join_groups(counts, exact_quantiles(df, by, value, [0.0, 0.25, 0.5, 0.75, 1.0]), by)
+    return out.select(*by, "n", *(F.col("q")[k].alias(name) for k, name in enumerate(names)))
 
 
 def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -152,12 +152,10 @@ def join_groups(df: DataFrame, groups: DataFrame, by, how: str = "inner") -> Dat
 
 
 def group_ids(df: DataFrame, *by: str, name: str = "group_id") -> DataFrame:
-    """Each row with the number of its group in key order, from 1; a null key is a group, the last.
+    """Each row with the number of its group in key order, from 1; a null key is a group, the last."""
+    from tessera.operators.ordered import ranks
 
-    Only the distinct keys are ordered in one task, so this is for groups that are few beside rows.
-    """
-    numbered = df.select(*by).distinct().withColumn(name, F.dense_rank().over(W.Window.orderBy(*(F.col(c).asc_nulls_last() for c in by))))
-    return join_groups(df, numbered, by)
+    return ranks(df, list(by), dense_rank=name).withColumn(name, F.col(name).cast("int"))
 
 
 def group_nest(df: DataFrame, by, name: str = "data") -> DataFrame:

@@ -145,6 +145,28 @@ def grouped_folds(s, d):
     return f.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("groups"))
 
 
+@REG.query(
+    "stratified_group_folds",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS grp, o_orderpriority AS class FROM orders),
+cl AS (SELECT class, row_number() OVER (ORDER BY class) AS c FROM (SELECT DISTINCT class FROM o)),
+v AS (SELECT grp, list(coalesce(n, 0)::DOUBLE ORDER BY c) AS v, sum(n)::BIGINT AS size FROM (SELECT DISTINCT grp FROM o) CROSS JOIN cl LEFT JOIN (SELECT grp, class, count(*) AS n FROM o GROUP BY ALL) USING (grp, class) GROUP BY grp),
+m AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY grp) - 1 AS k, count(*) OVER (PARTITION BY v) AS many FROM v),
+dealt AS (SELECT grp, k % 5 AS fold FROM m WHERE k < many - many % 5),
+l AS (SELECT grp, v, size, row_number() OVER (ORDER BY size DESC, grp) AS i FROM m WHERE k >= many - many % 5),
+t AS (SELECT list(w ORDER BY c) AS w FROM (SELECT c, 1 / greatest(sum(v[c]), 1) ** 2 AS w FROM l, cl GROUP BY c)),
+z AS (SELECT w, list_transform(w, lambda x: 0::DOUBLE) AS zero FROM t),
+s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS grp, -1 AS fold, [zero, zero, zero, zero, zero] AS held, [0, 0, 0, 0, 0]::DOUBLE[] AS filled, w FROM z
+UNION ALL SELECT i, grp, fold, list_transform(held, lambda h, f: CASE WHEN f = fold + 1 THEN list_transform(h, lambda x, c: x + v[c]) ELSE h END), list_transform(filled, lambda r, f: CASE WHEN f = fold + 1 THEN r + size ELSE r END), w
+  FROM (SELECT l.i, l.grp, l.v, l.size, held, filled, w, list_sort(list_transform(held, lambda h, f: {'cost': round(list_sum(list_transform(h, lambda x, c: x * (l.v[c] * w[c]))), 12), 'filled': filled[f], 'fold': f - 1}))[1].fold AS fold FROM s JOIN l ON l.i = s.i + 1)),
+f AS (SELECT grp, fold FROM dealt UNION ALL SELECT grp, fold FROM s WHERE i > 0)
+SELECT grp, fold::INTEGER AS fold FROM f""",
+)
+def stratified_group_folds(s, d):
+    """The fold of each customer, such that order priorities are spread evenly."""
+    orders = table(s, d, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("class"))
+    return M.stratified_group_folds(orders, "grp", "class", 5).select("grp", "fold").distinct()
+
+
 @REG.query("perm_importance")
 def perm_importance(s, d):
     return M.permutation_importance(_features(s, d), _FEATURES[:3], "class", "vec_id", "logistic", repeats=3)

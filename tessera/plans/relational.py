@@ -10,9 +10,11 @@ from tessera.functions import text as X
 from tessera.functions import values as Y
 from tessera.operators import joins as J
 from tessera.operators import models as M
+from tessera.operators import ordered
 from tessera.operators import reshape as R
 from tessera.operators import select as Z
 from tessera.operators import verbs as V
+from tessera.operators.quantiles import exact_quantiles
 from tessera.plans.registry import Registry, table
 
 REG = Registry()
@@ -307,6 +309,32 @@ def add_count(s, d):
     return V.add_count(T(s, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey").select("s_suppkey", "n")
 
 
+@REG.query("whole_table_numbers", "SELECT o_orderkey, row_number() OVER w AS place, ntile(7) OVER w AS bucket FROM orders WINDOW w AS (ORDER BY o_orderdate DESC, o_orderkey)")
+def whole_table_numbers(s, d):
+    orders = T(s, d, "orders").select("o_orderkey", "o_orderdate")
+    order = ["-o_orderdate", "o_orderkey"]
+    return ordered.row_number(ordered.ntile(orders, order, 7), order, "place").select("o_orderkey", "place", F.col("bucket").cast("long").alias("bucket"))
+
+
+@REG.query("whole_table_sums", "SELECT l_orderkey, l_linenumber, (sum(l_quantity::BIGINT) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))::BIGINT AS quantity FROM lineitem")
+def whole_table_sums(s, d):
+    lines = T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.col("l_quantity").cast("long").alias("q"))
+    return ordered.scanned(lines, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q"], quantity=F.col("q")).select("l_orderkey", "l_linenumber", "quantity")
+
+
+@REG.query("whole_table_ranks", "SELECT l_orderkey, l_linenumber, rank() OVER w AS least, dense_rank() OVER w AS dense, round(percent_rank() OVER w, 9) AS percent, round(cume_dist() OVER w, 9) AS share FROM lineitem WINDOW w AS (ORDER BY l_quantity, l_returnflag DESC)")
+def whole_table_ranks(s, d):
+    lines = T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    found = ordered.ranks(lines, ["l_quantity", "-l_returnflag"], "least", "dense", "percent", "share")
+    return found.select("l_orderkey", "l_linenumber", "least", "dense", F.round("percent", 9).alias("percent"), F.round("share", 9).alias("share"))
+
+
+@REG.query("numbers_within_hot_keys", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def numbers_within_hot_keys(s, d):
+    orders = T(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return ordered.row_number_within(orders, ["o_orderstatus"], ["-o_totalprice", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
 @REG.query("group_ids", "SELECT s_suppkey, dense_rank() OVER (ORDER BY s_nationkey) AS group_id FROM supplier")
 def group_ids(s, d):
     return V.group_ids(T(s, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey").select("s_suppkey", "group_id")
@@ -420,8 +448,9 @@ def replace_and_drop_na(s, d):
 
 @REG.query("reframe_quantiles", "SELECT event_type, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS p, unnest([quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75)]) AS q FROM events GROUP BY event_type")
 def reframe_quantiles(s, d):
-    p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return V.reframe(T(s, d, "events"), "event_type", p=F.first(p), q=F.percentile("value", p))
+    p = [0.25, 0.5, 0.75]
+    found = exact_quantiles(T(s, d, "events"), ["event_type"], "value", p)
+    return V.reframe(found, "event_type", p=F.first(F.array(*map(F.lit, p))), q=F.first("q"))
 
 
 @REG.query("slice_rows", "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k BETWEEN 2 AND 4")

@@ -131,3 +131,45 @@ def test_audit_states(spark):
     assert A.exit_code(a.table()) == 1
     with pytest.raises(Exception, match="is null"):
         A.stop_on_null(one, "y").collect()
+
+
+def brute_group_folds(rows, k):
+    """Equal vectors dealt round, the others one by one; on plain lists."""
+    classes = sorted({c for _, c in rows}, key=lambda c: (c is not None, c or ""))
+    vectors = {}
+    for g, c in rows:
+        vectors.setdefault(g, [0] * len(classes))[classes.index(c)] += 1
+    kinds = {}
+    for g in sorted(vectors, key=lambda g: (g is None, g)):
+        kinds.setdefault(tuple(vectors[g]), []).append(g)
+    folds, rest = {}, []
+    for v, own in kinds.items():
+        even = len(own) - len(own) % k
+        folds |= {g: n % k for n, g in enumerate(own[:even])}
+        rest += [(-sum(v), g is None, g, v) for g in own[even:]]
+    total = [max(1, sum(r[3][c] for r in rest)) for c in range(len(classes))]
+    held = [[0] * len(classes) for _ in range(k)]
+    for _, _, g, v in sorted(rest, key=lambda r: r[:2] + (r[2] or "",)):
+        cost = [(round(sum(h[c] * v[c] / total[c] ** 2 for c in range(len(classes))), 12), sum(h), f) for f, h in enumerate(held)]
+        fold = min(cost)[2]
+        held[fold] = [a + b for a, b in zip(held[fold], v, strict=True)]
+        folds[g] = fold
+    return folds
+
+
+def test_balanced_group_folds_equal_brute_force_and_spread_classes(spark):
+    r = np.random.default_rng(8)
+    rows = [(f"g{g:03}", "abc"[min(2, int(r.exponential(0.8)))]) for g in range(160) for _ in range(int(r.exponential(4)) + 1)] + [("g000", "a")] * 60 + [(None, "b"), ("g001", None)]
+    df = spark.createDataFrame(rows, "g string, c string")
+    got = M.stratified_group_folds(df, "g", "c", 5)
+    assert got.count() == len(rows)
+    folds = {x.g: x.fold for x in got.select("g", "fold").distinct().collect()}
+    assert folds == brute_group_folds(rows, 5)
+    spread = {x.c: (x.n, x.least, x.most) for x in M.fold_deviation(got, "c").collect()}
+    assert all(spread[c][2] - spread[c][1] <= 0.05 * spread[c][0] + 2 for c in "bc") and spread[None] == (1, 0, 1)
+    # In parts of few groups, level by level: groups stay whole and classes even.
+    parts = M.stratified_group_folds(df, "g", "c", 5, balanced=30)
+    assert parts.count() == len(rows) and parts.select("g", "fold").distinct().count() == len(folds)
+    spread = {x.c: (x.n, x.least, x.most) for x in M.fold_deviation(parts, "c").collect()}
+    assert all(spread[c][2] - spread[c][1] <= 0.08 * spread[c][0] + 2 for c in "bc")
+    assert M.stratified_group_folds(df.limit(0), "g", "c").count() == 0
