@@ -1,15 +1,19 @@
 """Joins by intent: lookups, range, rolling and overlap joins, keyed row changes.
 
-Range and rolling joins are bucketed: the range side is dealt to the buckets it covers, the other side
-falls into one, and an equi-join with a filter replaces the nested loop.
+Range and rolling joins are equi-joins: sides are cut into ranges, or intervals are stored in cells of a
+hierarchy, and a filter on what meets there replaces the nested loop.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from tessera.operators.ordered import MOST_RANGES, in_ranges, sorting
 from tessera.operators.verbs import join_groups, last_wins
 
 
@@ -94,41 +98,195 @@ def nest_join(a: DataFrame, b: DataFrame, key: str, name: str = "matches") -> Da
     return join_groups(a, lists, [key], "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
 
 
-def asof_join(a: DataFrame, b: DataFrame, by: list[str], time_a: str, time_b: str, columns: list[str], tie: str, closest: str = ">=") -> DataFrame:
+def asof_join(a: DataFrame, b: DataFrame, by: list[str], time_a: str, time_b: str, columns: list[str], tie: str, closest: str = ">=", ranges: int | None = None) -> DataFrame:
     """For each row the closest row of ``b`` whose time stands to its own as asked: ``closest`` is the
     test of the left time against the right one, ``>=`` and ``>`` (the last before), ``<=`` and ``<`` (the
     first after).  Of equal times the largest ``tie`` counts, or the smallest for those after.  A null time is close to none.
 
-    Both sides are one sequence by key and time; the last value seen is carried forward by a window.
-    No row meets another, so nothing is multiplied; a key's rows are sorted, not collected.
+    Both sides are one sequence by key and time, cut into ranges of time whatever the key, so a key of most rows
+    is many tasks.  A window carries the last value forward inside a range; keys that go on in a later
+    range, at most one a range, bring their last value along.
     """
     back, strict = closest in (">=", ">"), closest in (">", "<")
     if closest not in (">=", ">", "<=", "<"):
         raise ValueError(f"{closest} is no order")
     right = F.struct(*(F.col(c) for c in columns))
-    left_rows = a.select(*by, F.col(time_a).alias("__t"), F.lit(0 if strict else 2).alias("__side"), F.lit(None).cast(b.schema[tie].dataType).alias("__tie"), F.struct(*a.columns).alias("__a"), F.lit(None).cast(b.select(right.alias("x")).schema["x"].dataType).alias("__b"))
-    right_rows = b.where(F.col(time_b).isNotNull()).select(*by, F.col(time_b).alias("__t"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left_rows.schema["__a"].dataType).alias("__a"), right.alias("__b"))
-    turned = (lambda c: F.col(c).asc()) if back else (lambda c: F.col(c).desc())
-    w = W.Window.partitionBy(*by).orderBy(turned("__t"), F.col("__side").asc(), turned("__tie")).rowsBetween(W.Window.unboundedPreceding, 0)
-    both = left_rows.unionByName(right_rows).withColumn("__last", F.last("__b", ignorenulls=True).over(w))
-    return both.where("__side <> 1").select("__a.*", *(F.when(F.col("__t").isNotNull(), F.col(f"__last.{c}")).alias(c) for c in columns))
-
-
-def interval_join(points: DataFrame, intervals: DataFrame, point: str, lower: str, upper: str, width: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Points within closed intervals of numbers, by buckets of a width near the intervals' length."""
-    number = lambda c: F.floor(F.col(c) / width).cast("long")
-    dealt = intervals.withColumn("__bucket", F.explode(F.sequence(number(lower), number(upper))))
-    return points.withColumn("__bucket", number(point)).join(dealt, ["__bucket", *by]).where(F.col(point).between(F.col(lower), F.col(upper))).drop("__bucket")
-
-
-def overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], width: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of closed intervals that overlap; a pair is made in the first bucket that both cover."""
-    number = lambda c: F.floor(F.col(c) / width).cast("long")
-    left = a.withColumn("__bucket", F.explode(F.sequence(number(a_range[0]), number(a_range[1]))))
-    right = b.withColumn("__bucket", F.explode(F.sequence(number(b_range[0]), number(b_range[1]))))
-    met = left.join(right, ["__bucket", *by]).where((F.col(a_range[0]) <= F.col(b_range[1])) & (F.col(b_range[0]) <= F.col(a_range[1])))
-    first = F.greatest(number(a_range[0]), number(b_range[0]))
-    return met.where(F.col("__bucket") == first).drop("__bucket")
+    keys = [f"__k{k}" for k in range(len(by))]
+    key = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    left_rows = a.select(*key, F.col(time_a).alias("__t"), F.lit(0 if strict else 2).alias("__side"), F.lit(None).cast(b.schema[tie].dataType).alias("__tie"), F.struct(*a.columns).alias("__a"), F.lit(None).cast(b.select(right.alias("x")).schema["x"].dataType).alias("__b"))
+    right_rows = b.where(F.col(time_b).isNotNull()).select(*key, F.col(time_b).alias("__t"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left_rows.schema["__a"].dataType).alias("__a"), right.alias("__b"))
+    turned = "" if back else "-"
+    order = [f"{turned}__t", "__side", f"{turned}__tied", f"{turned}__tie"]
+    placed = in_ranges(left_rows.unionByName(right_rows).withColumn("__tied", F.col("__tie").isNotNull()), [*keys, *order], ranges)
+    w = W.Window.partitionBy("__range", *keys).orderBy(*sorting(order)).rowsBetween(W.Window.unboundedPreceding, 0)
+    inside = placed.withColumn("__last", F.last("__b", ignorenulls=True).over(w))
+    spans = placed.groupBy(*keys).agg(F.min("__range").alias("__from"), F.max("__range").alias("__to")).where(F.col("__from") < F.col("__to"))
+    spans = F.broadcast(spans)  # each bound between ranges lies in one key
+    place = F.struct(*(F.col(c) for c in ("__t", "__tie")))
+    latest = F.max_by("__b", place) if back else F.min_by("__b", place)
+    ends = join_groups(placed.where("__side = 1"), spans, keys).groupBy("__range", *keys).agg(latest.alias("__end"))
+    every = spans.select(*keys, F.explode(F.sequence(F.col("__from") + 1, F.col("__to"))).alias("__range"))
+    sequence = every.withColumn("__end", F.lit(None).cast(ends.schema["__end"].dataType)).withColumn("__asks", F.lit(1)).unionByName(ends.withColumn("__asks", F.lit(2)))
+    before = W.Window.partitionBy(*keys).orderBy("__range", "__asks").rowsBetween(W.Window.unboundedPreceding, -1)
+    carried = sequence.withColumn("__before", F.last("__end", ignorenulls=True).over(before)).where("__asks = 1").select("__range", *keys, "__before")
+    both = join_groups(inside.where("__side <> 1"), F.broadcast(carried), ["__range", *keys], "left").withColumn("__last", F.coalesce("__last", "__before"))
+    return both.select("__a.*", *(F.when(F.col("__t").isNotNull(), F.col(f"__last.{c}")).alias(c) for c in columns))
+
+
+_TESTS = {">=": lambda x, y: x >= y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, "<": lambda x, y: x < y}
+
+
+def inequality_join(a: DataFrame, b: DataFrame, left: str, test: str, right: str, by: tuple[str, ...] = (), how: str = "inner", ranges: int | None = None) -> DataFrame:
+    """Pairs with ``left test right`` (>=, >, <= or <) and equal ``by`` columns, in the columns of both sides.
+
+    Both sides are cut at the same bounds.  A range of ``a`` meets its own range of ``b`` and all on the side that
+    the test asks for, to which rows of ``b`` are dealt; so beside the pairs of one range all that meet are results,
+    no range holds all, and nothing is compared in a nested loop.  ``semi`` and ``anti`` ask for the
+    extreme of ``b`` only.  Null values and null keys meet nothing; other columns of both sides must differ in name.
+    """
+    if test not in _TESTS:
+        raise ValueError(f"{test} is no order")
+    rising = test in (">=", ">")
+    if how in ("semi", "anti"):
+        extreme = b.groupBy(*(F.col(c).alias(f"__e_{c}") for c in by)).agg((F.min if rising else F.max)(right).alias("__extreme"))
+        same = F.lit(True)
+        for c in by:
+            same = same & (F.col(c) == F.col(f"__e_{c}"))
+        known = a.join(extreme, same, "left") if by else a.join(F.broadcast(extreme))  # one row
+        holds = F.coalesce(_TESTS[test](F.col(left), F.col("__extreme")), F.lit(False))
+        return known.where(holds if how == "semi" else ~holds).select(*a.columns)
+    kept_a, kept_b = a.where(F.col(left).isNotNull()), b.where(F.col(right).isNotNull())
+    kind = a.schema[left].dataType if a.schema[left].dataType == b.schema[right].dataType else T.DoubleType()
+    one = kept_a.select(F.col(left).cast(kind).alias("__x"), F.lit(0).alias("__side"), F.struct(*a.columns).alias("__a"), F.lit(None).cast(T.StructType(b.schema.fields)).alias("__b"))
+    two = kept_b.select(F.col(right).cast(kind).alias("__x"), F.lit(1).alias("__side"), F.lit(None).cast(T.StructType(a.schema.fields)).alias("__a"), F.struct(*b.columns).alias("__b"))
+    many = ranges or min(MOST_RANGES, -(-(kept_a.count() + kept_b.count()) // MET_ROWS))
+    placed = in_ranges(one.unionByName(two), ["__x"], max(1, many))
+    last = max(1, many) - 1
+    side_a = placed.where("__side = 0").select("__range", "__a.*")
+    reach = F.sequence(F.col("__range"), F.lit(last)) if rising else F.sequence(F.lit(0), F.col("__range"))
+    side_b = placed.where("__side = 1").select(F.explode(reach).alias("__range"), "__b.*")
+    met = side_a.join(side_b, ["__range", *by])
+    pairs = met.where(_TESTS[test](F.col(left), F.col(right))).drop("__range")
+    columns = [*a.columns, *(c for c in b.columns if c not in by)]
+    if how == "inner":
+        return pairs.select(*columns)
+    alone = inequality_join(a, b, left, test, right, by, "anti")
+    return pairs.select(*columns).unionByName(alone, allowMissingColumns=True)
+
+
+#: Rows of both sides of an inequality join in one range.
+MET_ROWS = 500_000
+#: Levels of the hierarchy of lengths below that of the whole span.
+LEVELS = 40
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    """A number or time as a double."""
+    time = isinstance(df.schema[c].dataType, (T.TimestampNTZType, T.DateType))
+    return (F.col(c).cast("timestamp") if time else F.col(c)).cast("double")
+
+
+class Hierarchy:
+    """Interval ends of two tables on one scale: an interval is stored at the level of its length, the next
+    power of two, where it covers two cells or three; a missing end lies beyond all others."""
+
+    def __init__(self, *tables: tuple[DataFrame, tuple[str, ...]]) -> None:
+        found: list[float] = []
+        for df, columns in tables:
+            finite = [F.when(F.abs(x) < float("inf"), x) for x in (_number(df, c) for c in columns)]
+            found += [x for x in df.agg(*(f(x) for x in finite for f in (F.min, F.max))).first() if x is not None]
+        low, high = min(found, default=0.0), max(found, default=0.0)
+        room = max(high - low, 1e-9 * max(abs(low), abs(high), 1.0)) * 0.001
+        self.low, self.high = low - room, high + room
+        self.top = math.ceil(math.log2(self.high - self.low))
+
+    def on_scale(self, x: Column) -> Column:
+        return F.greatest(F.lit(self.low), F.least(F.lit(self.high), x))
+
+    def ends(self, df: DataFrame, lower: str, upper: str) -> tuple[Column, Column]:
+        return self.on_scale(F.coalesce(_number(df, lower), F.lit(self.low))), self.on_scale(F.coalesce(_number(df, upper), F.lit(self.high)))
+
+    def level(self, lower: Column, upper: Column) -> Column:
+        exact = F.ceil(F.log2(F.greatest(upper - lower, F.lit(2.0 ** (self.top - LEVELS))))).cast("int")
+        return F.greatest(F.lit(self.top - LEVELS), F.least(F.lit(self.top), exact))
+
+    def cell(self, x: Column, level: Column) -> Column:
+        return F.floor((x - self.low) / F.pow(F.lit(2.0), level.cast("double"))).cast("long")
+
+
+def _stored(df: DataFrame, scale: Hierarchy, lower: str, upper: str, prefix: str) -> DataFrame:
+    """Intervals with their ends and level; those that end before they begin are none."""
+    low, high = scale.ends(df, lower, upper)
+    ends = df.withColumns({f"{prefix}low": low, f"{prefix}high": high}).where(F.col(f"{prefix}low") <= F.col(f"{prefix}high"))
+    return ends.withColumn(f"{prefix}level", scale.level(F.col(f"{prefix}low"), F.col(f"{prefix}high")))
+
+
+def _levels(df: DataFrame, level: str) -> list[int]:
+    """The levels that a table has; ``LEVELS`` + 1 at most."""
+    return sorted(r[0] for r in df.select(level).distinct().collect())
+
+
+def _met(probe: DataFrame, stored: DataFrame, scale: Hierarchy, p: str, s: str, levels: Column, by: tuple[str, ...]) -> DataFrame:
+    """Pairs that share a cell of the stored side's level, each in the first cell that both cover."""
+    cells = lambda x, at: F.explode(F.sequence(scale.cell(F.col(f"{x}low"), at), scale.cell(F.col(f"{x}high"), at)))
+    left = probe.withColumn("__level", F.explode(levels)).withColumn("__cell", cells(p, F.col("__level")))
+    right = stored.withColumn("__level", F.col(f"{s}level")).withColumn("__cell", cells(s, F.col("__level")))
+    met = left.join(right, ["__level", "__cell", *by])
+    first = F.greatest(scale.cell(F.col(f"{p}low"), F.col("__level")), scale.cell(F.col(f"{s}low"), F.col("__level")))
+    return met.where(F.col("__cell") == first).drop("__level", "__cell")
+
+
+def _within(x: Column, lower: str, upper: str, bounds: str) -> Column:
+    """Whether a value lies in an interval; a null end is no bound."""
+    above = x >= F.col(lower) if bounds[0] == "[" else x > F.col(lower)
+    below = x <= F.col(upper) if bounds[1] == "]" else x < F.col(upper)
+    return (F.col(lower).isNull() | above) & (F.col(upper).isNull() | below)
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, lower: str, upper: str, by: tuple[str, ...] = (), bounds: str = "[]") -> DataFrame:
+    """Points within intervals of numbers or times (``between``); an end of an interval may be null, that is open.
+
+    Intervals stand at the level of their length, points ask every level that there is, so no width is
+    asked for and a very long interval is stored two or three times.  Null points and null keys meet nothing.
+    """
+    scale = Hierarchy((points, (point,)), (intervals, (lower, upper)))
+    stored = _stored(intervals, scale, lower, upper, "__s_")
+    asked = points.where(F.col(point).isNotNull()).withColumns({"__p_low": scale.on_scale(_number(points, point)), "__p_high": scale.on_scale(_number(points, point))})
+    levels = _levels(stored, "__s_level")
+    met = _met(asked, stored, scale, "__p_", "__s_", F.array(*map(F.lit, levels)).cast("array<int>"), by)
+    return met.where(_within(F.col(point), lower, upper, bounds)).drop(*(f"__{x}_{y}" for x in "ps" for y in ("low", "high", "level")))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], by: tuple[str, ...] = (), bounds: str = "[]", kind: str = "overlaps") -> DataFrame:
+    """Pairs of intervals that share a value, or with ``within`` those of ``a`` that lie in one of ``b``.
+
+    ``bounds`` say whether ends belong to the intervals of both sides; a null end is no bound.  The shorter
+    of a pair asks at the level of the longer, so each pair meets once.  Intervals that hold no value meet
+    nothing, nor do null keys.
+    """
+    if kind not in ("overlaps", "within"):
+        raise ValueError(f"{kind} is no relation of intervals")
+    scale = Hierarchy((a, a_range), (b, b_range))
+    left, right = _stored(a, scale, *a_range, "__a_"), _stored(b, scale, *b_range, "__b_")
+    if bounds != "[]":
+        holds = lambda lower, upper: F.col(lower).isNull() | F.col(upper).isNull() | (F.col(lower) < F.col(upper))
+        left, right = left.where(holds(*a_range)), right.where(holds(*b_range))
+    above = lambda have, level, equal: F.filter(F.array(*map(F.lit, have)).cast("array<int>"), lambda x: x >= F.col(level) if equal else x > F.col(level))
+    met = _met(left, right, scale, "__a_", "__b_", above(_levels(right, "__b_level"), "__a_level", True), by)
+    if kind == "overlaps":
+        met = met.unionByName(_met(right, left, scale, "__b_", "__a_", above(_levels(left, "__a_level"), "__b_level", False), by))
+    free = lambda x, y, test: F.col(x).isNull() | F.col(y).isNull() | test(F.col(x), F.col(y))
+    closed = bounds == "[]"
+    if kind == "overlaps":
+        reach = (lambda x, y: x <= y) if closed else (lambda x, y: x < y)
+        holds = free(a_range[0], b_range[1], reach) & free(b_range[0], a_range[1], reach)
+    else:
+        no_end = lambda y, infinite: F.col(y).isNull() | (_number(b, y) == F.lit(infinite))
+        no_less = no_end(b_range[0], float("-inf")) | F.coalesce(F.col(a_range[0]) >= F.col(b_range[0]), F.lit(False))
+        no_more = no_end(b_range[1], float("inf")) | F.coalesce(F.col(a_range[1]) <= F.col(b_range[1]), F.lit(False))
+        holds = no_less & no_more
+    columns = [*a.columns, *(c for c in b.columns if c not in by)]
+    return met.where(holds).select(*columns)
 
 
 def grid_lookup(points: DataFrame, grid: DataFrame, x: str, y: str, size: float) -> DataFrame:

@@ -23,7 +23,7 @@ def _falls(name: str) -> tuple[str, bool]:
     return (name[1:], True) if name.startswith("-") else (name, False)
 
 
-def _sorting(order: list[str]) -> list[Column]:
+def sorting(order: list[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in map(_falls, order)]
 
 
@@ -80,7 +80,7 @@ def scanned(df: DataFrame, order: list[str], ranges: int | None = None, **column
     placed = in_ranges(df, order, ranges)
     values = {n: F.lit(1).cast("long") if c is None else c for n, c in columns.items()}
     offsets = _sums_before(placed, {n: F.sum(c) for n, c in values.items()})
-    w = W.Window.partitionBy("__range").orderBy(*_sorting(order)).rowsBetween(W.Window.unboundedPreceding, 0)
+    w = W.Window.partitionBy("__range").orderBy(*sorting(order)).rowsBetween(W.Window.unboundedPreceding, 0)
     inside = placed.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in values.items()})
     out = inside.join(F.broadcast(offsets), "__range").withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in columns})  # a row a range
     return out.drop("__range", *(f"__before_{n}" for n in columns))

@@ -101,20 +101,63 @@ def asof_join(s, d):
 def interval_join(s, d):
     points = T(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), "c_acctbal")
     ranges = T(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 500).alias("hi"))
-    return J.interval_join(points, ranges, "c_acctbal", "lo", "hi", 500.0, ("n",)).select("c_custkey", "s_suppkey")
+    return J.interval_join(points, ranges, "c_acctbal", "lo", "hi", ("n",)).select("c_custkey", "s_suppkey")
 
 
 @REG.query("overlap_join", "SELECT a.s_suppkey AS a_key, b.c_custkey AS b_key FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND a.s_acctbal <= b.c_acctbal + 300 AND b.c_acctbal <= a.s_acctbal + 400")
 def overlap_join(s, d):
     a = T(s, d, "supplier").select(F.col("s_suppkey").alias("a_key"), F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("a0"), (F.col("s_acctbal") + 400).alias("a1"))
     b = T(s, d, "customer").select(F.col("c_custkey").alias("b_key"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("b0"), (F.col("c_acctbal") + 300).alias("b1"))
-    return J.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), 400.0, ("n",)).select("a_key", "b_key")
+    return J.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), ("n",)).select("a_key", "b_key")
 
 
 @REG.query("inequality_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey >= r_regionkey")
 def inequality_join(s, d):
     a, b = T(s, d, "nation").select("n_name", "n_regionkey"), T(s, d, "region").select("r_name", "r_regionkey")
-    return a.join(F.broadcast(b), a["n_regionkey"] >= b["r_regionkey"]).select("n_name", "r_name")
+    return J.inequality_join(a, b, "n_regionkey", ">=", "r_regionkey").select("n_name", "r_name")
+
+
+@REG.query("inequality_join_orders", "SELECT o_orderkey, event_id FROM orders JOIN events ON o_custkey = user_id AND o_totalprice / 1000 < value")
+def inequality_join_orders(s, d):
+    orders = T(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_totalprice") / 1000).alias("price"))
+    return J.inequality_join(orders, T(s, d, "events").select("event_id", "user_id", "value"), "price", "<", "value", ("user_id",)).select("o_orderkey", "event_id")
+
+
+@REG.query("inequality_pairs", "SELECT o_orderpriority, count(*) AS pairs, count(DISTINCT o_orderkey) AS orders FROM orders JOIN supplier ON o_totalprice / 50 >= s_acctbal GROUP BY 1")
+def inequality_pairs(s, d):
+    """Pairs of all orders and suppliers without a key that they share."""
+    orders = T(s, d, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_totalprice") / 50).alias("price"))
+    met = J.inequality_join(orders, T(s, d, "supplier").select("s_suppkey", "s_acctbal"), "price", ">=", "s_acctbal")
+    per = met.groupBy("o_orderpriority", "o_orderkey").agg(F.count("*").alias("m"))
+    return per.groupBy("o_orderpriority").agg(F.sum("m").alias("pairs"), F.count("*").alias("orders"))
+
+
+_SPANS = "s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal - c_custkey % 90 END AS lo, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_acctbal + c_custkey % 70 END AS hi FROM customer), q AS (SELECT s_suppkey AS key, s_acctbal AS from_, s_acctbal + CASE WHEN s_suppkey % 10 = 0 THEN 5000 ELSE s_suppkey % 30 END AS to_ FROM supplier)"
+
+
+def _spans(s, d):
+    """Intervals of customers, some without an end, and of suppliers, some very long."""
+    c, k, p = F.col("c_acctbal"), F.col("c_custkey"), F.col("s_suppkey")
+    a = T(s, d, "customer").select(k.alias("id"), F.when(k % 11 != 0, c - k % 90).alias("lo"), F.when(k % 13 != 0, c + k % 70).alias("hi"))
+    b = T(s, d, "supplier").select(p.alias("key"), F.col("s_acctbal").alias("from_"), (F.col("s_acctbal") + F.when(p % 10 == 0, 5000).otherwise(p % 30)).alias("to_"))
+    return a, b
+
+
+@REG.query("overlaps_open_ends", f"WITH {_SPANS} SELECT id, key FROM s JOIN q ON coalesce(lo < to_, true) AND coalesce(from_ < hi, true) AND from_ < to_ AND coalesce(lo < hi, true)")
+def overlaps_open_ends(s, d):
+    return J.overlap_join(*_spans(s, d), ("lo", "hi"), ("from_", "to_"), bounds="[)").select("id", "key")
+
+
+@REG.query("within_intervals", f"WITH {_SPANS} SELECT key, id FROM q JOIN s ON coalesce(from_ >= lo, true) AND coalesce(to_ <= hi, true)")
+def within_intervals(s, d):
+    a, b = _spans(s, d)
+    return J.overlap_join(b, a, ("from_", "to_"), ("lo", "hi"), kind="within").select("key", "id")
+
+
+@REG.query("between_open_ends", f"WITH {_SPANS} SELECT key, id FROM q JOIN s ON coalesce(from_ > lo, true) AND coalesce(from_ <= hi, true)")
+def between_open_ends(s, d):
+    a, b = _spans(s, d)
+    return J.interval_join(b.select("key", "from_"), a, "from_", "lo", "hi", bounds="(]").select("key", "id")
 
 
 @REG.query("nest_join", "SELECT n_nationkey, count(s_suppkey) AS matches, coalesce(sum(s_suppkey), 0)::BIGINT AS total FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1")
