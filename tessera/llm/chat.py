@@ -2,7 +2,9 @@
 
 A record is a JSON object of any known layout.  Its fingerprint is a hash of its sorted nested field
 paths (array elements share one path).  Each layout is one ``Mapping``; the fingerprints of all its
-combinations of optional fields lead to it, so choosing a mapping is one dictionary probe.  The
+combinations of optional fields lead to it, so choosing a mapping is one dictionary probe.  A record with
+other fields besides goes to the mapping of most required paths among those that it holds, remembered
+by its paths; what is left is counted by fingerprint (``unknown_layouts``).  The
 template writes a turn as ``<|role|>``, newline, text, ``<|end|>``, newline.  Inside texts and roles
 ``<|`` is escaped by a backslash (and ``<\\|`` by one more), which unescaping undoes exactly, so no
 text can forge a marker.  The loss mask covers assistant texts.
@@ -77,7 +79,7 @@ def paths(value: object, at: str = "") -> Iterator[str]:
         yield at
 
 
-def fingerprint(found: set[str]) -> str:
+def fingerprint(found: set[str] | frozenset[str]) -> str:
     return blake2b("\n".join(sorted(found)).encode(), digest_size=8).hexdigest()
 
 
@@ -91,6 +93,14 @@ def known() -> dict[str, Mapping]:
     return out
 
 
+@lru_cache(4096)
+def nearest(found: frozenset[str]) -> Mapping | None:
+    """The mapping for paths with others among them: of those whose required paths are all there the one with
+    most, the first of equals."""
+    fitting = [m for m in MAPPINGS if found.issuperset(m.required)]
+    return max(fitting, key=lambda m: len(m.required), default=None)
+
+
 def _text(value: object) -> str:
     if isinstance(value, list):  # parts of one content
         return "".join(_text(x.get("text") if isinstance(x, dict) else x) for x in value)
@@ -110,8 +120,9 @@ def canonical(record: str | None) -> tuple[str | None, str | None, list[tuple[st
         value = None
     if not isinstance(value, dict):
         return None, None, []
-    mark = fingerprint(set(paths(value)))
-    mapping = known().get(mark)
+    found = frozenset(paths(value))
+    mark = fingerprint(found)
+    mapping = known().get(mark) or nearest(found)
     if mapping is None:
         return mark, None, []
     turns: list[tuple[str, str]] = []
@@ -122,7 +133,9 @@ def canonical(record: str | None) -> tuple[str | None, str | None, list[tuple[st
                 turns[-1] = (role, f"{turns[-1][1]}\n\n{said}")
             else:
                 turns.append((role, said))
-    turns += [(_role(x.get(mapping.role), mapping.renames), _text(x.get(mapping.text))) for x in value.get(mapping.each, ())] if mapping.each else []
+    for x in value.get(mapping.each, ()) if mapping.each else ():
+        # An element that is no object has no role, and is its text.
+        turns.append((_role(x.get(mapping.role), mapping.renames), _text(x.get(mapping.text))) if isinstance(x, dict) else ("", _text(x)))
     return mark, mapping.name, turns
 
 
@@ -186,6 +199,11 @@ def format_records(df: DataFrame, record_col: str = "record") -> DataFrame:
     return df.select(*kept, F.col(record_col).cast("string").alias(record_col)).mapInArrow(run, schema)
 
 
+def unknown_layouts(formatted: DataFrame) -> DataFrame:
+    """(schema_hash, n): records that no mapping takes, by fingerprint; invalid ones have none."""
+    return formatted.where(F.col("mapping").isNull()).groupBy("schema_hash").agg(F.count("*").alias("n"))
+
+
 def read_back(df: DataFrame) -> DataFrame:
     """Adds turns and loss_text, read from formatted and loss_mask alone."""
     cols = df.columns

@@ -12,7 +12,8 @@ The weights of elements and class words are counted, with a symmetric prior, on
 of ``labelled``, whose main text lies between marks.  They are counted on the driver and sent along.
 
 Defined cases: null or empty html gives empty text; so does a page without a run that scores above
-zero; cut-off pages are read as far as they go (an open tag, comment or script at the end is markup);
+zero; cut-off pages are read as far as they go (an open tag, comment or script at the end is markup); a quote opens
+a string only as an attribute's value, so that ``title=O'Brien`` ends with its tag;
 pages of any length are read whole; equal sums keep the earliest, then the shortest region; repeated
 rows give equal results; an empty table gives an empty result; only the named columns are read.
 """
@@ -34,12 +35,15 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import slices
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What stands in a tag: names, and after ``=`` a value, in which alone a quote opens a string.
+_ATTRIBUTES = r"""(?:[\s/]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|[^\s/>=]++)*+"""
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
+_MARKED = frozenset(("class", "id", "role"))
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title head".split())
+RAW = frozenset("script style noscript template textarea iframe select title head".split())
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of these ends an open p; one of these ends an open element of its own name.
 ENDS_P = BLOCK - {"br", "button", "label", "option"}
@@ -140,8 +144,8 @@ class _Boxes:
 
 def _class_words(attributes: str) -> Iterator[list[str]]:
     """The words of each class token, id and role."""
-    for m in _MARK.finditer(attributes):
-        for token in (m[1] or m[2] or m[3] or "").split():
+    for m in _ATTRIBUTE.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").split() if m[1].lower() in _MARKED else ():
             yield list(map(str.lower, _PIECE.findall(token)))
 
 
@@ -158,12 +162,12 @@ def _walk(page: str, push: Callable[[str, str, _Element], _Element], note: Calla
         if not m:
             return
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             if note:
                 note(m[0])
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        closing, attributes = m[1], m[3] or ""
         if tag in BLOCK:
             fresh = True
         yield None, stack.open[-1], fresh
@@ -299,7 +303,7 @@ class Extractor:
             if text is None or score <= 0:
                 gain = -TAG_COST if text is None else 0.0 if text.isspace() else max(score, -10 * TAG_COST)
             else:
-                gain = 0.0 if text.isspace() else score * (text.count(" ") + 1)
+                gain = 0.0 if text.isspace() else score * len(text.split())
             if total <= 0:
                 total, begin = 0.0, i
             total += gain
@@ -311,7 +315,7 @@ class Extractor:
                 blocks.append([])
             if text is not None and score > 0:
                 blocks[-1].append(text)
-        joined = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+        joined = (" ".join("".join(map(entities.unescape, b)).split()) for b in blocks)  # a reference does not reach over markup
         return " ".join(x for x in joined if x)
 
 
