@@ -78,26 +78,32 @@ def epithet_lead(token: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(token, "^([a-z][a-z-]{2,})", 1), "-+$", ""), F.lit(""))
 
 
-# Messages of the junk flags.
-FLAG = "AUTO-FLAG: "
+# The patterns and messages of the junk flags.
+HEADING_NUMBER, LOWER_WORD, FULL_GENUS, ABBREVIATED_GENUS = r"^\s*\d+\.?\s*", "^[a-z][a-z-]{2,}", "^[A-Z][a-z]{2,}$", r"^[A-Z]\.?$"
+COMMON_NOUN = "(?i)^(Shrubs?|Herbs?|Trees?|Leaves|Flowers?|Stems?|Fruits?|Seeds?)[,.]?$"
+NO_HEADING = "AUTO-FLAG: species_id is not a real taxon heading (matched mid-description text) - verify the row before labelling, may need to re-check raw text"
+ABBREVIATED = "AUTO-FLAG: abbreviated genus ('%s') - this is likely a duplicate identification-key stub, not the real species treatment; the full name may appear elsewhere in the volume"
+GARBLED = "AUTO-FLAG: species_id looks garbled/non-taxonomic (genus token='%s') - verify before labelling"
+GENUS_HEADER = "AUTO-FLAG: possible genus-level header (epithet token='%s', not lowercase) - likely describes the whole genus, not one species"
+NO_EPITHET = "AUTO-FLAG: could not find a second token (epithet) - inspect species_id manually"
+SHORT = "AUTO-FLAG: very short description snippet - may lack real info"
 SHORT_SNIPPET = 60
 
 
 def junk_flags(name: Column, snippet: Column) -> Column:
     """Reasons why a row's name is no species, joined by `` | ``; empty if there is none."""
-    plain = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s*\d+\.?\s*", ""))
+    plain = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), HEADING_NUMBER, ""))
     genus, epithet = F.regexp_extract(plain, r"^(\S+)", 1), F.regexp_extract(plain, r"^\S+\s+(\S+)", 1)
-    lower, full = epithet.rlike("^[a-z][a-z-]{2,}"), genus.rlike("^[A-Z][a-z]{2,}$")
-    named = (genus != "") & (epithet != "")
+    lower, full, named = epithet.rlike(LOWER_WORD), genus.rlike(FULL_GENUS), (genus != "") & (epithet != "")
     first = (
-        F.when(genus.rlike("(?i)^(shrubs?|herbs?|trees?|leaves|flowers?|stems?|fruits?|seeds?)[,.]?$"), "not a taxon heading")
-        .when(genus.rlike(r"^[A-Z]\.?$"), "abbreviated genus")
-        .when(named & ~lower & ~full, "garbled name")
-        .when(named & ~lower, "genus-level header")
-        .when(epithet == "", "no epithet")
+        F.when(genus.rlike(COMMON_NOUN), NO_HEADING)
+        .when(genus.rlike(ABBREVIATED_GENUS), F.format_string(ABBREVIATED, genus))
+        .when(named & ~lower & ~full, F.format_string(GARBLED, genus))
+        .when(named & ~lower, F.format_string(GENUS_HEADER, epithet))
+        .when(epithet == "", NO_EPITHET)
     )
-    short = F.when(F.length(F.trim(F.coalesce(snippet, F.lit("")))) < SHORT_SNIPPET, "short snippet")
-    return F.concat_ws(" | ", F.concat(F.lit(FLAG), first), F.concat(F.lit(FLAG), short))
+    short = F.when(F.length(F.trim(F.coalesce(snippet, F.lit("")))) < SHORT_SNIPPET, SHORT)
+    return F.concat_ws(" | ", first, short)
 
 
 # Substrings that make a phrase ambiguous.

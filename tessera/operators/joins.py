@@ -62,32 +62,37 @@ def lookup(a: DataFrame, b: DataFrame, key: str, values: dict[str, object]) -> D
 
 
 def only_new_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Left join of those columns of ``b`` that ``a`` has not."""
-    return a.join(b.drop(*[c for c in b.columns if c in a.columns and c != key]), key, "left")
+    """Left join of those columns of ``b`` that ``a`` has not; null keys meet."""
+    return join_groups(a, b.drop(*[c for c in b.columns if c in a.columns and c != key]), [key], "left")
 
 
 def resume(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows of the source whose key is not done yet (a blank key is a key)."""
-    return source.join(done.select(key).distinct(), key, "left_anti")
+    """Rows of the source whose key is not done yet (a blank or null key is a key)."""
+    return _unlike(source, done, [key], "left_anti")
 
 
 def replace_overlap(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows, and old ones whose key is not among them."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    """New rows, and old ones whose key is not among them; null keys meet."""
+    return _unlike(old, new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def fill_only(base: DataFrame, later: DataFrame, key: str, label: str, *travelling: str) -> DataFrame:
     """Adds keys and fills empty labels from a later source; a label is never overwritten, and the
-    travelling columns come from the source of the label."""
-    joined = base.select(key, F.col(label).alias("__a"), *(F.col(t).alias(f"__a_{t}") for t in travelling)).join(later.select(key, F.col(label).alias("__b"), *(F.col(t).alias(f"__b_{t}") for t in travelling)), key, "full")
+    travelling columns come from the source of the label.  Null keys meet."""
+    left = base.select(F.col(key).alias("__a_key"), F.col(label).alias("__a"), *(F.col(t).alias(f"__a_{t}") for t in travelling))
+    right = later.select(F.col(key).alias("__b_key"), F.col(label).alias("__b"), *(F.col(t).alias(f"__b_{t}") for t in travelling))
+    joined = left.join(right, null_safe(["__a_key"], ["__b_key"]), "full").withColumn(key, F.coalesce("__a_key", "__b_key"))
     old = F.nullif(F.col("__a"), F.lit(""))
     return joined.select(key, F.coalesce(old, F.col("__b"), F.col("__a")).alias(label), *(F.when(old.isNotNull() | F.col("__b").isNull(), F.col(f"__a_{t}")).otherwise(F.col(f"__b_{t}")).alias(t) for t in travelling))
 
 
 def two_hop(predictions: DataFrame, links: DataFrame, targets: DataFrame, first: str, second: str, ingest: str) -> DataFrame:
-    """Predictions by one key to targets by another; a later prediction of one target key replaces an earlier."""
-    reached = predictions.join(links, first)
-    return targets.join(last_wins(reached, second, ingest).drop(first), second, "left")
+    """Predictions by one key to targets by another; a later prediction of one target key replaces an earlier.
+
+    Null keys meet, as they do in a lookup table.
+    """
+    reached = join_groups(predictions, links, [first])
+    return join_groups(targets, last_wins(reached, second, ingest).drop(first), [second], "left")
 
 
 def nest_join(a: DataFrame, b: DataFrame, key: str, name: str = "matches") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -66,21 +68,50 @@ def _normal_quantile(p: np.ndarray) -> np.ndarray:
     return x
 
 
+@dataclass
+class ChainState:
+    """Where a chain stands: its parameters, its iteration and its generator."""
+
+    beta: list[float]
+    intercepts: list[float]
+    variance: float
+    iteration: int
+    generator: dict
+
+    @classmethod
+    def first(cls, effects: int, groups: int, seed: int) -> "ChainState":
+        return cls([0.0] * effects, [0.0] * groups, 1.0, 0, np.random.default_rng(seed).bit_generator.state)
+
+    def said(self) -> str:
+        return json.dumps(self.__dict__)
+
+    @classmethod
+    def read(cls, said: str) -> "ChainState":
+        return cls(**json.loads(said))
+
+
 def gibbs(y: np.ndarray, X: np.ndarray, group: np.ndarray, iterations: int, burnin: int, thin: int, seed: int, prior_v: float = 1.0, prior_nu: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
-    """Draws of fixed effects and group variance of a binary threshold model with a random intercept.
+    """Draws of fixed effects and group variance of a chain from its beginning to its end."""
+    start = ChainState.first(X.shape[1], int(group.max()) + 1, seed)
+    return gibbs_segment(y, X, group, start, iterations, burnin, thin, prior_v, prior_nu)[:2]
+
+
+def gibbs_segment(y: np.ndarray, X: np.ndarray, group: np.ndarray, state: ChainState, iterations: int, burnin: int, thin: int, prior_v: float = 1.0, prior_nu: float = 0.002) -> tuple[np.ndarray, np.ndarray, ChainState]:
+    """The next ``iterations`` of a binary threshold model with a random intercept, and where they end.
 
     Latent normals of residual variance 1 are drawn by inverse distribution function, fixed effects
     under a flat prior, intercepts given the variance, the variance under a scaled inverse chi-square.
     """
-    draw = np.random.default_rng(seed)
+    draw = np.random.default_rng()
+    draw.bit_generator.state = state.generator
     n, p = X.shape
-    q = int(group.max()) + 1
+    q = len(state.intercepts)
     sizes = np.bincount(group, minlength=q).astype(float)
     precision = X.T @ X + 1e-8 * np.eye(p)
     half = np.linalg.cholesky(np.linalg.inv(precision))
-    beta, u, variance = np.zeros(p), np.zeros(q), 1.0
+    beta, u, variance = np.array(state.beta), np.array(state.intercepts), state.variance
     kept_b, kept_v = [], []
-    for it in range(iterations):
+    for it in range(state.iteration, state.iteration + iterations):
         mean = X @ beta + u[group]
         edge = _normal_cdf(-mean)
         low, high = np.where(y == 1, edge, 0.0), np.where(y == 1, 1.0, edge)
@@ -92,7 +123,65 @@ def gibbs(y: np.ndarray, X: np.ndarray, group: np.ndarray, iterations: int, burn
         if it >= burnin and (it - burnin) % thin == 0:
             kept_b.append(beta)
             kept_v.append(variance)
-    return np.array(kept_b), np.array(kept_v)
+    ended = ChainState(beta.tolist(), u.tolist(), variance, state.iteration + iterations, draw.bit_generator.state)
+    return np.array(kept_b).reshape(-1, p), np.array(kept_v), ended
+
+
+_SEGMENT = "task_id int, variant string, color string, chain int, effect string, iter int, value double, state string"
+
+
+def _complete(spark, path: str) -> bool:
+    """Whether a job has written this folder to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def run_segments(manifest: DataFrame, data: DataFrame, variant: str, response: Callable[[str], str], effects: list[str], group: str, folder: str, iterations: int, burnin: int, thin: int, segment: int = 1000, until: float | None = None, most: int | None = None) -> DataFrame:
+    """Draws as ``fit_chains`` gives them, made in segments that survive a killed run.
+
+    A segment is a job: it continues every chain from the states that the segment before it wrote, and
+    writes draws and states in one folder below ``folder`` (shared storage), complete with its mark of success.
+    Called again, complete segments are read and the chains go on behind them with the same numbers.
+    ``until``: between segments chains end early once every effect's scale reduction is below it;
+    ``most``: segments to run in this call.  ``segment`` and ``thin`` must stay as they were.
+    """
+    from tessera.operators.stats import psrf
+
+    spark = manifest.sparkSession
+    place = lambda k: f"{folder.rstrip('/')}/segment={k:06}"
+    done = 0
+    while _complete(spark, place(done)):
+        done += 1
+    ran, total = 0, -(-iterations // segment)
+    draws = lambda: spark.read.parquet(*(place(k) for k in range(done))).where("state IS NULL").select("task_id", "variant", "color", "chain", "effect", "iter", "value")
+
+    def settled() -> bool:
+        if until is None or not done:
+            return False
+        worst = psrf(draws(), ["variant", "color", "effect"], iteration="iter", second_half=True).agg(F.max("psrf")).first()[0]
+        return worst is not None and worst < until
+
+    while done < total and (most is None or ran < most) and not settled():
+        states = spark.read.parquet(place(done - 1)).where("state IS NOT NULL").select("task_id", "state") if done else manifest.select("task_id", F.lit(None).cast("string").alias("state"))
+        steps = min(segment, iterations - done * segment)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            first = pdf.iloc[0]
+            pdf = pdf.sort_values([group, *effects])
+            y = pdf[response(first["response_col"])].to_numpy(int)
+            X = np.column_stack([np.ones(len(pdf)), *(pdf[e].to_numpy(float) for e in effects)])
+            groups = pd.factorize(pdf[group], sort=True)[0]
+            start = ChainState.read(first["state"]) if first["state"] else ChainState.first(X.shape[1], int(groups.max()) + 1, int(first["seed"]))
+            betas, variances, ended = gibbs_segment(y, X, groups, start, steps, burnin, thin)  # noqa: B023  written before the next turn
+            names = ["(Intercept)", *effects, f"var_{group}"]
+            before = max(0, -(-(start.iteration - burnin) // thin))
+            long = pd.DataFrame(np.column_stack([betas, variances]), columns=names).assign(iter=np.arange(before + 1, before + 1 + len(variances))).melt("iter", var_name="effect", value_name="value")
+            long = pd.concat([long.assign(state=None), pd.DataFrame({"iter": [0], "effect": [""], "value": [0.0], "state": [ended.said()]})])
+            return long.assign(task_id=int(first["task_id"]), variant=first[variant], color=first["color_label"], chain=int(first["chain"]))[[c.split()[0] for c in _SEGMENT.split(", ")]]
+
+        manifest.join(states, "task_id").join(data, variant).groupBy("task_id").applyInPandas(run, _SEGMENT).write.mode("overwrite").parquet(place(done))
+        done, ran = done + 1, ran + 1
+    return draws()
 
 
 def fit_chains(manifest: DataFrame, data: DataFrame, variant: str, response: Callable[[str], str], effects: list[str], group: str, iterations: int, burnin: int, thin: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from tessera.operators.quantiles import exact_quantiles
@@ -58,7 +59,7 @@ def chi_square_tail(statistic: str = "statistic", df: str = "df") -> Column:
     """Upper tail of the chi-square distribution: the regularised incomplete gamma function."""
     import math
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def tail(x: pd.Series, k: pd.Series) -> pd.Series:
         def one(x: float, k: float) -> float:
             if x <= 0:
@@ -150,42 +151,87 @@ def psrf(draws: DataFrame, by: list[str], chain: str = "chain", value: str = "va
     return agg.select(*by, F.col("__k").cast("int").alias("chains"), point.alias("psrf"))
 
 
-def _group_arrays(draws: DataFrame, by: list[str], columns: str, run):
-    return draws.groupBy(*by).applyInPandas(run, ", ".join([*(f"{b} {draws.schema[b].dataType.simpleString()}" for b in by), columns]))
+#: Draws of a chain that are multiplied with each other in one array.
+CHUNK = 4096
 
 
 def mpsrf(draws: DataFrame, by: list[str], parameter: str, chain: str = "chain", iteration: str = "iter", value: str = "value") -> DataFrame:
-    """Multivariate scale reduction of each model: largest eigenvalue over all its parameters."""
+    """Multivariate scale reduction of each model: largest eigenvalue over all its parameters.
+
+    Iterations without a value of every parameter are left out, and longer chains cut to the shortest.  Scatter
+    matrices are sums over iterations, made in part before any shuffle, so a long chain is many tasks;
+    only a model's matrices meet in one.
+    """
     import numpy as np
 
+    from tessera.operators.ordered import row_number_within
+
+    cells = draws.groupBy(*by, chain, iteration, parameter).agg(F.avg(value).alias("__x")).where(F.col("__x").isNotNull())
+    sizes = cells.groupBy(*by).agg(F.countDistinct(parameter).alias("__p"))
+    rows = cells.groupBy(*by, chain, iteration).agg(F.sort_array(F.collect_list(F.struct(F.col(parameter).alias("k"), F.col("__x").alias("x")))).alias("__v"))  # a model's parameters
+    whole = join_groups(rows, sizes, by).where(F.size("__v") == F.col("__p")).withColumn("__v", F.transform("__v", lambda e: e["x"]))
+    placed = row_number_within(whole, [*by, chain], [iteration], "__place")
+    least = whole.groupBy(*by, chain).agg(F.count("*").alias("__n")).groupBy(*by).agg(F.min("__n").alias("__n"))
+    used = join_groups(placed, least, by).where(F.col("__place") <= F.col("__n"))
+    means = used.select(*by, chain, F.posexplode("__v").alias("a", "x")).groupBy(*by, chain, "a").agg(F.avg("x").alias("m")).groupBy(*by, chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "m"))), lambda e: e["m"]).alias("__m"))
+    centred = join_groups(used, means, [*by, chain]).withColumn("__c", F.zip_with("__v", "__m", lambda x, m: x - m))
+    products = centred.select(*by, chain, F.posexplode(F.flatten(F.transform("__c", lambda x: F.transform("__c", lambda y: x * y)))).alias("ab", "xy"))
+    scatter = products.groupBy(*by, chain, "ab").agg(F.sum("xy").alias("s")).groupBy(*by, chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("ab", "s"))), lambda e: e["s"]).alias("__s"))
+    known = join_groups(join_groups(scatter, means, [*by, chain]), least, by)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=[chain, iteration], columns=parameter, values=value).dropna()
-        groups = [g.to_numpy() for _, g in wide.groupby(level=0)]
-        m, n = len(groups), min(map(len, groups), default=0)
-        out = float("nan")
+        m, n, out = len(pdf), int(pdf["__n"].iloc[0]), float("nan")
         if m > 1 and n > 1:
-            w = np.mean([np.atleast_2d(np.cov(g[:n], rowvar=False)) for g in groups], axis=0)
-            b = np.atleast_2d(np.cov(np.array([g[:n].mean(axis=0) for g in groups]), rowvar=False))
+            p = len(pdf["__m"].iloc[0])
+            w = np.mean([np.array(s).reshape(p, p) / (n - 1) for s in pdf["__s"]], axis=0)
+            b = np.atleast_2d(np.cov(np.array(pdf["__m"].tolist()), rowvar=False))
             top = float(np.linalg.eigvals(np.linalg.solve(w, b)).real.max())
             out = float(np.sqrt((1 - 1 / n) + (1 + 1 / m) * top))
         return pd.DataFrame([[*pdf[by].iloc[0], out]], columns=[*by, "mpsrf"])
 
-    return _group_arrays(draws, by, "mpsrf double", run)
+    kinds = ", ".join(f"{c} {draws.schema[c].dataType.simpleString()}" for c in by)
+    return known.groupBy(*by).applyInPandas(run, f"{kinds}, mpsrf double")  # a row a chain
 
 
-def effective_size(draws: DataFrame, by: list[str], chain: str = "chain", iteration: str = "iter", value: str = "value") -> DataFrame:
-    """Effective sample size summed over chains, from the spectrum at 0 of an autoregression (order by AIC)."""
+def lagged_products(draws: DataFrame, by: list[str], iteration: str, value: str) -> DataFrame:
+    """(by, n, products): for each chain the sums of centred x(i) x(i + k), k = 0, 1, ... up to 10 log10(n).
+
+    A chain is cut into chunks of ``CHUNK`` draws, each with the first draws of the next as its edge.
+    """
+    from tessera.operators.ordered import row_number_within
+
+    known = draws.where(F.col(value).isNotNull())
+    moments = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("__mean"))
+    lags = moments.withColumn("__lags", F.least(F.col("n") - 1, F.floor(10 * F.log10("n"))).cast("int"))
+    placed = join_groups(row_number_within(known.select(*by, iteration, value), by, [iteration], "__place"), lags, by)
+    at = F.col("__place") - 1
+    own = F.floor(at / CHUNK)
+    chunks = F.when((at % CHUNK < F.col("__lags")) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    one = placed.select(*by, "n", "__lags", F.explode(chunks).alias("__chunk"), F.struct(at.alias("i"), (F.col(value) - F.col("__mean")).alias("x")).alias("d"))
+    held = one.groupBy(*by, "n", "__lags", "__chunk").agg(F.sort_array(F.collect_list("d")).alias("d"))  # CHUNK and an edge
+    x = F.transform("d", lambda e: e["x"])
+    cut = held.select(*by, "n", "__lags", x.alias("x"), F.least(F.size("d"), F.lit(CHUNK)).alias("core"))
+
+    def product(k):
+        many = F.least(F.col("core"), F.size("x") - k)
+        return F.when(many > 0, F.aggregate(F.zip_with(F.slice("x", F.lit(1), many), F.slice("x", k + 1, many), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)).otherwise(0.0)
+
+    each = cut.select(*by, "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("__lags")), product)).alias("lag", "s"))
+    sums = each.groupBy(*by, "n", "lag").agg(F.sum("s").alias("s"))
+    return sums.groupBy(*by, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("lag", "s"))), lambda e: e["s"]).alias("products"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _chain_size(n: pd.Series, products: pd.Series) -> pd.Series:
+    """Effective size of a chain from its lagged products: the spectrum at 0 of an autoregression, order by AIC."""
     import numpy as np
 
-    def one(x: np.ndarray) -> float:
-        n, x = len(x), x - x.mean()
-        var = float(x @ x / n)
-        if n < 3 or var == 0:
+    def one(n: int, products) -> float:
+        acov = np.array(products, float) / n
+        if n < 3 or acov[0] <= 0:
             return 0.0
-        most = min(n - 1, int(10 * np.log10(n)))
-        acov = np.array([x[: n - k] @ x[k:] / n for k in range(most + 1)])
-        best, coefficients, error = (n * np.log(acov[0]) if acov[0] > 0 else 0.0, np.zeros(0), acov[0]), np.zeros(0), acov[0]
-        for k in range(1, most + 1):  # Levinson-Durbin
+        best, coefficients, error = (n * np.log(acov[0]), np.zeros(0), acov[0]), np.zeros(0), acov[0]
+        for k in range(1, len(acov)):  # Levinson-Durbin
             reflection = (acov[k] - coefficients @ acov[1:k][::-1]) / error
             coefficients = np.append(coefficients - reflection * coefficients[::-1], reflection)
             error *= 1 - reflection**2
@@ -196,14 +242,15 @@ def effective_size(draws: DataFrame, by: list[str], chain: str = "chain", iterat
                 best = (aic, coefficients, error)
         _, phi, noise = best
         noise *= n / (n - (len(phi) + 1))
-        spectrum = noise / (1 - phi.sum()) ** 2
-        return float(n * x.var(ddof=1) / spectrum)
+        return float(n * (acov[0] * n / (n - 1)) / (noise / (1 - phi.sum()) ** 2))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ess = sum(one(g.sort_values(iteration)[value].to_numpy(float)) for _, g in pdf.groupby(chain))
-        return pd.DataFrame([[*pdf[by].iloc[0], ess]], columns=[*by, "ess"])
+    return pd.Series([one(int(a), b) for a, b in zip(n, products, strict=True)], dtype=float)
 
-    return _group_arrays(draws, by, "ess double", run)
+
+def effective_size(draws: DataFrame, by: list[str], chain: str = "chain", iteration: str = "iter", value: str = "value") -> DataFrame:
+    """Effective sample size summed over chains; chains of any length, from their lagged products."""
+    per = lagged_products(draws, [*by, chain], iteration, value)
+    return per.withColumn("e", _chain_size(F.col("n"), F.col("products"))).groupBy(*by).agg(F.sum("e").alias("ess"))
 
 
 def converged(diagnostics: DataFrame, columns: list[str], threshold: float = 1.01) -> DataFrame:

@@ -108,6 +108,47 @@ def slice_sample(df: DataFrame, n: int, key: list[str], by=(), seed: int = 42) -
     return slice_head(df, n, by, order)
 
 
+def _uniform(*parts: Column) -> Column:
+    """A number in (0, 1) that depends on nothing but its parts."""
+    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def weighted_sample(df: DataFrame, n: int, weight: str, key: list[str], by=(), seed: int = 42) -> DataFrame:
+    """A reproducible sample without replacement, each next row with a chance in proportion to its weight.
+
+    Every row waits an exponential time of its weight as rate, and the first n are taken.  Rows of no or null weight
+    are never drawn, so fewer than n may come.
+    """
+    wait = -F.log(_uniform(F.lit(seed), *map(F.col, key))) / F.col(weight)
+    waiting = df.where(F.col(weight) > 0).withColumn("__wait", wait)
+    return slice_head(waiting, n, by, [F.col("__wait"), *map(F.col, key)]).drop("__wait")
+
+
+def replacement_sample(df: DataFrame, n: int, key: list[str], weight: str | None = None, by=(), seed: int = 42, ranges: int | None = None) -> DataFrame:
+    """n draws with replacement of each group, rows as often as they are drawn, with the ``draw`` they are.
+
+    Each row owns a stretch of its group's weights in order of the key, by a running sum over ranges; each
+    draw is a point of that line by hash of (seed, group, draw).  So the sample is the same however the table is
+    partitioned, and no group is one task.  Weights count in millionths of the largest; groups without one yield nothing.
+    """
+    from tessera.operators.joins import interval_join
+    from tessera.operators.ordered import scanned
+
+    by = _names(by)
+    if weight:
+        largest = df.agg(F.max(weight).alias("__largest"))
+        weighed = df.join(F.broadcast(largest)).withColumn("__w", F.round(F.col(weight) / F.col("__largest") * 1_000_000).cast("long")).drop("__largest")  # one row
+    else:
+        weighed = df.withColumn("__w", F.lit(1).cast("long"))
+    rows = weighed.where(F.col("__w") > 0)
+    line = scanned(rows, [*by, *key], ranges, __upto=F.col("__w")).withColumn("__from", F.col("__upto") - F.col("__w"))
+    groups = line.groupBy(*by).agg(F.min("__from").alias("__start"), F.max("__upto").alias("__stop"))
+    draws = groups.select("__start", "__stop", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"), *(F.col(c).alias(f"__g_{c}") for c in by))
+    share = _uniform(F.lit(seed), F.col("draw"), *(F.coalesce(F.col(f"__g_{c}").cast("string"), F.lit("\0")) for c in by))
+    points = draws.select("draw", (F.col("__start") + F.floor(share * (F.col("__stop") - F.col("__start")))).alias("__point"))
+    return interval_join(points, line, "__point", "__from", "__upto", bounds="[)").select(*df.columns, "draw")
+
+
 def quota_sample(df: DataFrame, stratum: str, quota: dict[str, int], key: list[str], seed: int = 42) -> DataFrame:
     """So many rows of each stratum, by hash order; strata without a quota are left out."""
     table = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv))

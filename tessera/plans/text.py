@@ -71,9 +71,12 @@ def token_counts(s, d):
     r"""WITH n AS (SELECT p_partkey AS id, p_name AS snippet, CASE p_partkey % 5 WHEN 0 THEN '12. ' || p_name WHEN 1 THEN upper(left(p_name, 1)) || substr(p_name, 2) WHEN 2 THEN upper(left(p_name, 1)) || '. ' || p_name WHEN 3 THEN 'Shrubs, ' || p_name ELSE upper(p_name) END AS name FROM part),
 p AS (SELECT id, snippet, trim(regexp_replace(name, '^\s*\d+\.?\s*', '')) AS x FROM n),
 t AS (SELECT id, snippet, regexp_extract(x, '^(\S+)', 1) AS g, regexp_extract(x, '^\S+\s+(\S+)', 1) AS e FROM p)
-SELECT id, concat_ws(' | ', CASE WHEN regexp_matches(lower(g), '^(shrubs?|herbs?|trees?|leaves|flowers?|stems?|fruits?|seeds?)[,.]?$') THEN 'AUTO-FLAG: not a taxon heading' WHEN regexp_matches(g, '^[A-Z]\.?$') THEN 'AUTO-FLAG: abbreviated genus'
-  WHEN g <> '' AND e <> '' AND NOT regexp_matches(e, '^[a-z][a-z-]{2,}') AND NOT regexp_matches(g, '^[A-Z][a-z]{2,}$') THEN 'AUTO-FLAG: garbled name' WHEN g <> '' AND e <> '' AND NOT regexp_matches(e, '^[a-z][a-z-]{2,}') THEN 'AUTO-FLAG: genus-level header' WHEN e = '' THEN 'AUTO-FLAG: no epithet' END,
-  CASE WHEN length(trim(snippet)) < 60 THEN 'AUTO-FLAG: short snippet' END) AS flags FROM t""",
+SELECT id, concat_ws(' | ', CASE WHEN regexp_matches(lower(g), '^(shrubs?|herbs?|trees?|leaves|flowers?|stems?|fruits?|seeds?)[,.]?$') THEN 'AUTO-FLAG: species_id is not a real taxon heading (matched mid-description text) - verify the row before labelling, may need to re-check raw text'
+  WHEN regexp_matches(g, '^[A-Z]\.?$') THEN 'AUTO-FLAG: abbreviated genus (''' || g || ''') - this is likely a duplicate identification-key stub, not the real species treatment; the full name may appear elsewhere in the volume'
+  WHEN g <> '' AND e <> '' AND NOT regexp_matches(e, '^[a-z][a-z-]{2,}') AND NOT regexp_matches(g, '^[A-Z][a-z]{2,}$') THEN 'AUTO-FLAG: species_id looks garbled/non-taxonomic (genus token=''' || g || ''') - verify before labelling'
+  WHEN g <> '' AND e <> '' AND NOT regexp_matches(e, '^[a-z][a-z-]{2,}') THEN 'AUTO-FLAG: possible genus-level header (epithet token=''' || e || ''', not lowercase) - likely describes the whole genus, not one species'
+  WHEN e = '' THEN 'AUTO-FLAG: could not find a second token (epithet) - inspect species_id manually' END,
+  CASE WHEN length(trim(snippet)) < 60 THEN 'AUTO-FLAG: very short description snippet - may lack real info' END) AS flags FROM t""",
 )
 def junk_flags(s, d):
     n = F.col("p_name")

@@ -92,9 +92,9 @@ def parse_tasks(specs: list[str]) -> list[Task]:
 
 
 def fetch_records(keys: DataFrame, key: str, cache: DataFrame | None, client: Callable[[str], tuple[str, list[dict]]], schema: str) -> DataFrame:
-    """Records of keys that the cache does not hold: (key, status, fields of ``schema``).
+    """Records of keys that the cache does not hold: (key, status, message, fields of ``schema``).
 
-    ``client`` answers (status, records); an exception is status ``error``; a key without records has
+    ``client`` answers (status, records); an exception is status ``error``, with its text as message; a key without records has
     one row of nulls, so it is not asked for again.  One client call a key, spread over the tasks.
     """
     todo = keys.select(key).distinct() if cache is None else resume(keys.select(key).distinct(), cache, key)
@@ -104,14 +104,15 @@ def fetch_records(keys: DataFrame, key: str, cache: DataFrame | None, client: Ca
         for pdf in batches:
             rows = []
             for k in pdf[key]:
+                message = None
                 try:
                     status, records = client(k)
                 except Exception as e:  # noqa: BLE001  the status says so
-                    status, records = f"error: {e}"[:200], []
-                rows += [{key: k, "status": status, **r} for r in records] or [{key: k, "status": status}]
-            yield pd.DataFrame(rows, columns=[key, "status", *names])
+                    status, records, message = "error", [], str(e)
+                rows += [{key: k, "status": status, "message": message, **r} for r in records] or [{key: k, "status": status, "message": message}]
+            yield pd.DataFrame(rows, columns=[key, "status", "message", *names])
 
-    return todo.mapInPandas(run, f"{key} string, status string, {schema}")
+    return todo.mapInPandas(run, f"{key} string, status string, message string, {schema}")
 
 
 def extract(df: DataFrame, key: str, text: str, extractor: Callable[[str], str], out: str = "flower_color_free_text") -> DataFrame:

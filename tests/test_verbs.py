@@ -118,8 +118,8 @@ def test_fetch_asks_for_what_is_missing(spark):
             raise RuntimeError("down")
         return "success", [{"lat": 1.0}, {"lat": 2.0}]
 
-    got = rows(readers.fetch_records(keys, "name", cache, client, "lat double").na.fill(-1))
-    assert got == [("b", "success", 1.0), ("b", "success", 2.0), ("c", "error: down", -1.0)]
+    got = rows(readers.fetch_records(keys, "name", cache, client, "lat double").na.fill(-1).na.fill(""))
+    assert got == [("b", "success", "", 1.0), ("b", "success", "", 2.0), ("c", "error", "down", -1.0)]
 
 
 def test_append_is_resumable_and_streams(spark, tmp_path):
