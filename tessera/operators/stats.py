@@ -314,23 +314,3 @@ def five_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
     bin_no = F.least(F.lit(bins), F.width_bucket(F.col(value).cast("double"), F.lit(low), F.lit(high), F.lit(bins)))
     return df.where(F.col(value).isNotNull()).groupBy(*by, bin_no.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
-def density(df: DataFrame, by: list[str], value: str, low: float, high: float, points: int = 64, bins: int = 1024) -> DataFrame:
-    """Gaussian kernel density on a grid, by rule-of-thumb bandwidth, from binned counts."""
-    import numpy as np
-
-    bin_no = F.width_bucket(F.col(value).cast("double"), F.lit(low), F.lit(high), F.lit(bins)).cast("int")
-    counts = df.where(F.col(value).between(low, high)).groupBy(*by, F.least(bin_no, F.lit(bins)).alias("bin")).agg(F.count("*").alias("m"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = low + (pdf["bin"].to_numpy() - 0.5) * (high - low) / bins
-        m = pdf["m"].to_numpy(float)
-        mean = (x * m).sum() / m.sum()
-        sd = np.sqrt((m * (x - mean) ** 2).sum() / max(m.sum() - 1, 1)) or (high - low) / bins
-        h = 0.9 * sd * m.sum() ** -0.2
-        grid = np.linspace(low, high, points)
-        y = (np.exp(-0.5 * ((grid[:, None] - x[None]) / h) ** 2) * m[None]).sum(axis=1) / (m.sum() * h * np.sqrt(2 * np.pi))
-        return pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "x": grid, "density": y})[[*by, "x", "density"]]
-
-    return counts.groupBy(*by).applyInPandas(run, ", ".join([*(f"{b} {df.schema[b].dataType.simpleString()}" for b in by), "x double, density double"]))

@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 from tessera.functions import colour as C
 from tessera.functions import text as X
 from tessera.operators import joins as J
-from tessera.operators import stats
+from tessera.operators import graphics, stats
 from tessera.operators import verbs as V
 from tessera.operators.reshape import crosstab
 from tessera.plans.inputs import DRAW_SQL, ENV_SQL, draws, env
@@ -162,9 +162,55 @@ def histogram(s, d):
     return stats.histogram(table(s, d, "events").where("value between 0 and 100"), ["event_type"], "value", 0.0, 100.0, 20)
 
 
-@REG.query("density")
+_IN = "value BETWEEN 0 AND 100"
+_POINTS = "(SELECT 0e0 + k * (100e0 / {}) AS x FROM range({}) t(k))"
+
+
+@REG.query(
+    "density",
+    f"""WITH c AS (SELECT event_type, least(1024, floor(1024 * (value - 0e0) / 100e0)::INT + 1) AS bin, count(*) AS m FROM events WHERE {_IN} GROUP BY ALL), a AS (SELECT *, (bin - 0.5e0) * (100e0 / 1024) AS c FROM c),
+n AS (SELECT event_type, sum(m)::DOUBLE AS n, sum(m * c) / sum(m) AS mean FROM a GROUP BY 1), s AS (SELECT event_type, any_value(n) AS n, sqrt(sum(m * (c - mean) ** 2) / greatest(any_value(n) - 1, 1)) AS sd FROM a JOIN n USING (event_type) GROUP BY 1),
+h AS (SELECT event_type, n, 0.9e0 * CASE WHEN sd > 0 THEN sd ELSE 100e0 / 1024 END * n ** -0.2e0 AS h FROM s)
+SELECT event_type, round(x, 6) AS x, round(sum(m * exp(-0.5e0 * ((x - c) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM a JOIN h USING (event_type) CROSS JOIN {_POINTS.format(63, 64)} GROUP BY event_type, x""",
+)
 def density(s, d):
-    return stats.density(table(s, d, "events"), ["event_type"], "value", 0.0, 100.0)
+    return graphics.density(table(s, d, "events"), ["event_type"], "value", 0.0, 100.0).select("event_type", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+@REG.query("ecdf", "SELECT DISTINCT event_type, value, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 9) AS ecdf FROM events WHERE value IS NOT NULL")
+def ecdf(s, d):
+    return graphics.ecdf(table(s, d, "events"), ["event_type"], "value").select("event_type", "value", F.round("ecdf", 9).alias("ecdf"))
+
+
+@REG.query("qq_normal", f"WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL), p AS (SELECT event_id, (i - CASE WHEN n <= 10 THEN 0.375e0 ELSE 0.5e0 END) / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375e0 ELSE 0.5e0 END) AS p FROM r) SELECT event_id, round({graphics.normal_quantile_sql('p')}, 7) AS theoretical FROM p")
+def qq_normal(s, d):
+    rows = table(s, d, "events").select("event_id", "event_type", "value")
+    return graphics.qq_normal(rows, ["event_type"], "value", ["event_id"]).select("event_id", F.round("theoretical", 7).alias("theoretical"))
+
+
+@REG.query(
+    "smooth",
+    f"""WITH e AS (SELECT event_type, value AS x, (user_id % 97)::DOUBLE AS y FROM events WHERE {_IN}), b AS (SELECT event_type, least(1024, floor(1024 * (x - 0e0) / 100e0)::INT + 1) AS bin, count(*) AS m, avg(x) AS bx, avg(y) AS yy FROM e GROUP BY ALL),
+w AS (SELECT event_type, x, bx - x AS d, yy, m * CASE WHEN abs(bx - x) / 15e0 < 1 THEN (1 - (abs(bx - x) / 15e0) ** 3) ** 3 ELSE 0 END AS w FROM b CROSS JOIN {_POINTS.format(79, 80)}),
+f AS (SELECT event_type, x, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * yy) AS t0, sum(w * d * yy) AS t1 FROM w GROUP BY ALL)
+SELECT event_type, round(x, 6) AS x, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-12 * s0 * s2 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) WHEN s0 > 0 THEN t0 / s0 END, 6) AS fitted FROM f""",
+)
+def smooth(s, d):
+    rows = table(s, d, "events").select("event_type", "value", (F.col("user_id") % 97).alias("y"))
+    return graphics.smooth(rows, ["event_type"], "value", "y", 0.0, 100.0, 15.0).select("event_type", F.round("x", 6).alias("x"), F.round("fitted", 6).alias("fitted"))
+
+
+@REG.query("bin_2d", 'SELECT event_type, floor(value / 5)::BIGINT AS "column", floor(user_id / 20)::BIGINT AS "row", count(*) AS n FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL')
+def bin_2d(s, d):
+    return graphics.bin_2d(table(s, d, "events"), ["event_type"], "value", "user_id", 5.0, 20.0)
+
+
+@REG.query(
+    "bin_hex",
+    "WITH c AS (SELECT value::DOUBLE / 5e0 AS a, user_id::DOUBLE / 8.7e0 AS u FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL), d AS (SELECT *, a - floor(a + 0.5e0) AS a1, u - floor(u + 0.5e0) AS u1, a - (floor(a) + 0.5e0) AS a2, u - (floor(u) + 0.5e0) AS u2 FROM c), f AS (SELECT *, a1 * a1 + 3 * (u1 * u1) <= a2 * a2 + 3 * (u2 * u2) AS first FROM d) SELECT round(CASE WHEN first THEN floor(a + 0.5e0) ELSE floor(a) + 0.5e0 END * 5e0, 6) AS hex_x, round(CASE WHEN first THEN floor(u + 0.5e0) ELSE floor(u) + 0.5e0 END * 8.7e0, 6) AS hex_y, count(*) AS n FROM f GROUP BY ALL",
+)
+def bin_hex(s, d):
+    return graphics.bin_hex(table(s, d, "events"), [], "value", "user_id", 5.0, 8.7).select(F.round("hex_x", 6).alias("hex_x"), F.round("hex_y", 6).alias("hex_y"), "n")
 
 
 @REG.query("flow_offsets", f"WITH {ENV_SQL}, c AS (SELECT genus, color_group, count(*) AS n FROM env GROUP BY ALL) SELECT *, coalesce(sum(n) OVER (ORDER BY genus, color_group ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_start, coalesce(sum(n) OVER (ORDER BY color_group, genus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS right_start FROM c")
