@@ -60,29 +60,31 @@ def fewshot_prompt(s, d):
     return O.fewshot_prompt(docs, similar, docs, "item_id", "text", "answer")
 
 
-_FEATURES = [f"x{k}" for k in range(6)]
+#: All components of a vector, and the first few for the models that are fitted again and again.
+_ALL = [f"x{k}" for k in range(64)]
+_FEATURES = _ALL[:6]
 
 
-def _features(s, d):
+def _features(s, d, features=_FEATURES):
     """Vectors as columns, with a class from their label and a group."""
-    e = table(s, d, "embeddings").where("label is not null and embedding is not null").select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("class"), F.concat(F.lit("g"), (F.col("vec_id") % 40).cast("string")).alias("grp"), *(F.get("embedding", F.lit(k)).cast("double").alias(x) for k, x in enumerate(_FEATURES)))
+    e = table(s, d, "embeddings").where("label is not null and embedding is not null").select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("class"), F.concat(F.lit("g"), (F.col("vec_id") % 40).cast("string")).alias("grp"), *(F.get("embedding", F.lit(k)).cast("double").alias(x) for k, x in enumerate(features)))
     return e.dropna()
 
 
 @REG.query("pca_loadings")
 def pca_loadings(s, d):
-    return M.Components(_features(s, d), _FEATURES, 4).loading_table(s)
+    return M.Components(_features(s, d, _ALL), _ALL, 4).loading_table(s)
 
 
 @REG.query("pca_scores")
 def pca_scores(s, d):
-    rows = _features(s, d)
-    return M.Components(rows, _FEATURES, 3).scores(rows).select("vec_id", "PC1", "PC2", "PC3")
+    rows = _features(s, d, _ALL)
+    return M.Components(rows, _ALL, 3).scores(rows).select("vec_id", "PC1", "PC2", "PC3")
 
 
 @REG.query("pca_variance")
 def pca_variance(s, d):
-    return M.Components(_features(s, d), _FEATURES, 4).variance_table(s)
+    return M.Components(_features(s, d, _ALL), _ALL, 4).variance_table(s)
 
 
 @REG.query("probit_gibbs_summary")
@@ -134,14 +136,14 @@ REG.add("rf_cv", _cv("forest"))
 
 @REG.query(
     "grouped_folds",
-    """WITH e AS (SELECT 'c' || (label % 3) AS class, 'g' || (vec_id % 40) AS grp FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding[1:6], lambda x: x IS NOT NULL AND NOT isnan(x))) = 6),
+    """WITH e AS (SELECT 'c' || (label % 3) AS class, 'g' || (vec_id % 40) AS grp FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding[1:64], lambda x: x IS NOT NULL AND NOT isnan(x))) = 64),
 c AS (SELECT grp, class, count(*) AS n FROM e GROUP BY ALL), l AS (SELECT grp, sum(n) AS size, arg_max(class, (n, -substr(class, 2)::INTEGER)) AS lead FROM c GROUP BY 1),
 p AS (SELECT grp, size, (row_number() OVER (PARTITION BY lead ORDER BY size DESC, grp) - 1) % 10 AS place FROM l)
 SELECT CASE WHEN place < 5 THEN place ELSE 9 - place END::INTEGER AS fold, sum(size)::BIGINT AS n, count(*) AS groups FROM p GROUP BY 1""",
 )
 def grouped_folds(s, d):
     """Rows and groups of each fold; a group is in one fold."""
-    f = M.grouped_folds(_features(s, d), "grp", "class", 5)
+    f = M.grouped_folds(_features(s, d, _ALL), "grp", "class", 5)
     return f.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("groups"))
 
 

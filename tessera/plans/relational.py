@@ -64,9 +64,11 @@ def semi_min_records(s, d):
     return V.count(V.having_count(T(s, d, "lineitem").select("l_partkey"), "l_partkey", 6), "l_partkey")
 
 
-@REG.query("task_manifest", "SELECT (row_number() OVER (ORDER BY v, c, k) - 1)::INTEGER AS task_id, variant, dataset_path, color_label, response_col, k::INTEGER AS chain, seed::INTEGER AS seed FROM (VALUES (1, 'a', 'a.csv'), (2, 'b', 'b.csv')) x(v, variant, dataset_path), (VALUES (1, 'WHITE', 'is_white'), (2, 'YELLOW', 'is_yellow'), (3, 'REDTYPE', 'is_redtype')) y(c, color_label, response_col), (VALUES (1, 42), (2, 123), (3, 456)) z(k, seed)")
+@REG.query("task_manifest", "SELECT (row_number() OVER (ORDER BY r_name, c, k) - 1)::INTEGER AS task_id, r_name AS variant, lower(r_name) || '.csv' AS dataset_path, color_label, response_col, k::INTEGER AS chain, seed::INTEGER AS seed FROM region, (VALUES (1, 'WHITE', 'is_white'), (2, 'YELLOW', 'is_yellow'), (3, 'REDTYPE', 'is_redtype')) y(c, color_label, response_col), (VALUES (1, 42), (2, 123), (3, 456)) z(k, seed)")
 def task_manifest(s, d):
-    return M.task_manifest(s, [("a", "a.csv"), ("b", "b.csv")], [("WHITE", "is_white"), ("YELLOW", "is_yellow"), ("REDTYPE", "is_redtype")], [42, 123, 456])
+    """A task for each region as data set, colour and chain."""
+    variants = [(name, f"{name.lower()}.csv") for name in V.pull(T(s, d, "region"), "r_name", "r_name")]
+    return M.task_manifest(s, variants, [("WHITE", "is_white"), ("YELLOW", "is_yellow"), ("REDTYPE", "is_redtype")], [42, 123, 456])
 
 
 @REG.query("two_hop_join", "WITH r AS (SELECT o_custkey, c_nationkey, o_orderkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT c_nationkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey DESC) AS k FROM r) SELECT n_nationkey, n_name, o_orderkey, o_orderpriority FROM nation LEFT JOIN l ON n_nationkey = c_nationkey AND k = 1")
@@ -453,10 +455,13 @@ def group_nest(s, d):
     return g.select("n_regionkey", F.size("data").cast("long").alias("n"), F.array_join(F.transform("data", lambda x: x["n_name"]), ",").alias("names"))
 
 
-@REG.query("class_map", "SELECT x, CASE WHEN upper(replace(trim(x), ' ', '')) IN ('WHITE', 'YELLOW') THEN upper(trim(x)) WHEN upper(replace(trim(x), ' ', '')) IN ('RED', 'PINK', 'PURPLE/BLUE', 'PURPLEBLUE', 'REDTYPE') THEN 'REDTYPE' WHEN upper(replace(trim(x), ' ', '')) IN ('UNKNOWN', 'NONE', 'NA', 'N/A', '') THEN 'UNKNOWN' ELSE 'OTHER' END AS class FROM (VALUES ('Purple / Blue'), ('n/a'), ('GREENISH'), (' '), ('white '), ('pink'), ('None')) v(x)")
+_LABEL = "CASE WHEN p_partkey % 13 = 0 THEN 'Purple / Blue' WHEN p_partkey % 11 = 0 THEN 'n/a' WHEN p_partkey % 17 = 0 THEN ' ' WHEN p_partkey % 5 = 0 THEN 'GREENISH' WHEN p_partkey % 3 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE ' ' || split_part(p_name, ' ', 1) || ' ' END"
+
+
+@REG.query("class_map", f"SELECT id, x, CASE WHEN upper(replace(trim(x), ' ', '')) IN ('WHITE', 'YELLOW') THEN upper(trim(x)) WHEN upper(replace(trim(x), ' ', '')) IN ('RED', 'PINK', 'PURPLE/BLUE', 'PURPLEBLUE', 'REDTYPE') THEN 'REDTYPE' WHEN upper(replace(trim(x), ' ', '')) IN ('UNKNOWN', 'NONE', 'NA', 'N/A', '') THEN 'UNKNOWN' ELSE 'OTHER' END AS class FROM (SELECT p_partkey AS id, {_LABEL} AS x FROM part)")
 def class_map(s, d):
-    rows = s.createDataFrame([("Purple / Blue",), ("n/a",), ("GREENISH",), (" ",), ("white ",), ("pink",), ("None",)], "x string")
-    return rows.select("x", C.to_class(F.col("x")).alias("class"))
+    """Colour words of part names as labels, in several spellings."""
+    return T(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_LABEL).alias("x")).withColumn("class", C.to_class(F.col("x")))
 
 
 @REG.query("pivot_spec_round_trip", "SELECT s_suppkey, 'bal' AS kind, s_acctbal AS amount FROM supplier UNION ALL SELECT s_suppkey, 'nat', s_nationkey::DOUBLE FROM supplier")
@@ -478,9 +483,10 @@ def nesting(s, d):
     return R.nesting(T(s, d, "customer"), "c_nationkey", "c_mktsegment")
 
 
-@REG.query("expand_grid", "SELECT a, b FROM (VALUES (1), (2), (3)) x(a), (VALUES ('u'), ('v')) y(b)")
+@REG.query("expand_grid", "SELECT r_regionkey AS a, n_name AS b FROM region, nation")
 def expand_grid(s, d):
-    return R.expand_grid(s, a=[1, 2, 3], b=["u", "v"])
+    """All combinations of two small domains, read from tables."""
+    return R.expand_grid(s, a=V.pull(T(s, d, "region"), "r_regionkey"), b=V.pull(T(s, d, "nation"), "n_name"))
 
 
 @REG.query("replace_and_drop_na", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, -1) AS v FROM events WHERE event_id % 2 = 0")
