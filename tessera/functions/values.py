@@ -100,3 +100,22 @@ def excludes_zero(lower: Column, upper: Column) -> Column:
 
 def extract_numeric(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9.-]+", "").try_cast("double")
+
+
+def parse_time(text: Column, *formats: str) -> Column:
+    """A time by the first of some formats that fits; null where none does."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
+
+
+def parse_date(text: Column, *formats: str) -> Column:
+    return parse_time(text, *formats).cast("date")
+
+
+def comma(number: Column, digits: int = 0) -> Column:
+    """A number with commas between thousands."""
+    return F.format_number(number, digits)
+
+
+def percent(share: Column, digits: int = 0) -> Column:
+    """A share as a percentage."""
+    return F.concat(F.format_number(100 * share, digits), F.lit("%"))

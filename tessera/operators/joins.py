@@ -33,16 +33,23 @@ def check_relationship(a: DataFrame, b: DataFrame, keys: list[str], relationship
             raise ValueError(f"the {side} side repeats a key; the relationship is {relationship}")
 
 
-def mutating_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left", suffix: tuple[str, str] = (".x", ".y"), relationship: str = "many-to-many", unmatched: str = "drop", multiple: str = "all", order: list | None = None) -> DataFrame:
+def mutating_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left", suffix: tuple[str, str] = (".x", ".y"), relationship: str = "many-to-many", unmatched: str = "drop", multiple: str = "all", order: list | None = None, keep: bool = False, unmatched_right: str = "drop") -> DataFrame:
     """Left, inner, right or full join with null-safe keys, suffixes for clashing columns and checks.
 
-    ``multiple`` first, last or any keeps one match of each left row by ``order``.
+    ``multiple``: ``first`` or ``last`` keeps one match of each left row by ``order``, ``any`` one whatever it is (the
+    least of its columns); ``error`` refuses several.  ``unmatched="error"`` refuses left rows without a match,
+    ``unmatched_right="error"`` right rows without one, which a left or inner join would drop.
+    ``keep`` returns the keys of both sides, with suffixes.
     """
     check_relationship(a, b, keys, relationship)
+    if unmatched_right == "error" and not _unlike(b, a, keys, "left_anti").isEmpty():
+        raise ValueError("a right row has no match")
+    if multiple == "error" and not a.join(b.groupBy(*(F.col(k).alias(f"__right_{k}") for k in keys)).count().where("count > 1"), null_safe(keys, [f"__right_{k}" for k in keys]), "left_semi").isEmpty():
+        raise ValueError("a left row has several matches")
     if unmatched == "error" and not a.join(b.select(*(F.col(k).alias(f"__right_{k}") for k in keys)), null_safe(keys, [f"__right_{k}" for k in keys]), "left_anti").isEmpty():
         raise ValueError("a left row has no match")
-    if multiple != "all":
-        wanted = order or [F.col(c) for c in b.columns if c not in keys]
+    if multiple in ("first", "last", "any"):
+        wanted = (order if multiple != "any" else None) or [F.col(c) for c in b.columns if c not in keys]
         w = W.Window.partitionBy(*keys).orderBy(*([F.desc(c) if isinstance(c, str) else c.desc() for c in wanted] if multiple == "last" else wanted))
         b = b.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
     clash = set(a.columns) & set(b.columns) - set(keys)
@@ -50,6 +57,8 @@ def mutating_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left"
     joined = a.join(side, null_safe(keys, [f"__right_{k}" for k in keys]), how)
     pair = lambda k: (F.col(f"`{k}`"), F.col(f"`__right_{k}`"))
     key = [(F.coalesce(*pair(k)) if how == "full" else pair(k)[how == "right"]).alias(k) for k in keys]
+    if keep:
+        key = [side.alias(k + x) for k in keys for side, x in zip(pair(k), suffix, strict=True)]
     left = [pair(c)[0].alias(c + suffix[0] * (c in clash)) for c in a.columns if c not in keys]
     right = [pair(c)[1].alias(c + suffix[1] * (c in clash)) for c in b.columns if c not in keys]
     return joined.select(*key, *left, *right)

@@ -7,6 +7,7 @@ find them, and cells are made by partial aggregation.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,56 @@ def pivot_wider(df: DataFrame, ids: list[str], names_from: str, domain: list, va
     return out.select(*ids, *named)
 
 
+def pivot_wider_values(df: DataFrame, ids: list[str], domain: dict[str, list], values: dict[str, Column], only: list[tuple] | None = None, fill: dict[str, object] | None = None, names_sep: str = "_", names_glue: str | None = None, id_expand: bool = False, unused: dict[str, Column] | None = None) -> DataFrame:
+    """One column for each combination of the name columns' values and each of several aggregates.
+
+    ``domain``: name columns with their values, all combinations of which become columns, or those of ``only``.
+    ``names_glue`` names them, with ``{.value}`` and the name columns in braces; else the aggregate's name (if there are
+    several) and the values are joined by ``names_sep``.  ``id_expand`` makes rows for all combinations of
+    the id columns' values; ``unused`` are aggregates over all rows of an id.  Cells without rows hold null or ``fill``.
+    """
+    names = list(domain)
+    cells = only if only is not None else list(product(*domain.values()))
+    at = F.lit(None).cast("int")
+    for k, cell in reversed(list(enumerate(cells))):
+        same = F.lit(True)
+        for c, v in zip(names, cell, strict=True):
+            same = same & F.col(c).eqNullSafe(F.lit(v))
+        at = F.when(same, k).otherwise(at)
+    # Two aggregates at least, so that pivoted names always hold the aggregate's.
+    wide = df.withColumn("__cell", at).groupBy(*ids).pivot("__cell", list(range(len(cells)))).agg(*(c.alias(n) for n, c in values.items()), F.lit(0).alias("__"))
+
+    def called(value: str, cell: tuple) -> str:
+        parts = {c: "NA" if v is None else str(v) for c, v in zip(names, cell, strict=True)}
+        if names_glue:
+            return names_glue.replace("{.value}", "{__value}").format(__value=value, **parts)
+        return names_sep.join([*([value] if len(values) > 1 else []), *parts.values()])
+
+    def filled(value: str, k: int) -> Column:
+        cell = F.col(f"`{k}_{value}`")
+        return F.coalesce(cell, F.lit(fill[value])) if fill and value in fill else cell
+
+    if id_expand:
+        wide = join_groups(expand(df, *ids), wide, ids, "left")
+    if unused:
+        wide = join_groups(wide, df.groupBy(*ids).agg(*(c.alias(n) for n, c in unused.items())), ids, "left")
+    return wide.select(*ids, *(filled(v, k).alias(called(v, cell)) for v in values for k, cell in enumerate(cells)), *(unused or ()))
+
+
+def pivot_longer_sep(df: DataFrame, columns: list[str], separator: str, names_to: list[str], values_to: str = "value", transform: dict[str, str] | None = None) -> DataFrame:
+    """Column names cut at a separator into ``names_to``, some of them cast by ``transform``; ``.value`` as in
+    ``pivot_longer_pattern``."""
+    pattern = re.escape(separator).join(["(.+?)"] * (len(names_to) - 1) + ["(.+)"])
+    out = pivot_longer_pattern(df, columns, f"^{pattern}$", names_to, values_to)
+    return out.withColumns({c: F.col(c).cast(t) for c, t in (transform or {}).items()})
+
+
+def arrange_longer(df: DataFrame, keys: list[str], names_to: str, columns: list[str], cols_vary: str = "fastest") -> DataFrame:
+    """A longer table in order: the columns of a row together (``fastest``), or the rows of a column (``slowest``)."""
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col(names_to))
+    return df.orderBy(*([*keys, place] if cols_vary == "fastest" else [place, *keys]))
+
+
 def crosstab(df: DataFrame, rows: str, columns: str, row_domain: list, column_domain: list) -> DataFrame:
     """Counts of every cell of two domains, 0 where there is none; rows of other values are left out."""
     counts = pivot_wider(df, [rows], columns, column_domain, F.count(F.lit(1)), fill=0)
@@ -109,6 +160,35 @@ def separate_wider_regex(df: DataFrame, name: str, pattern: str, into: list[str]
     return df.withColumns({new: F.when(found, F.regexp_extract(name, pattern, k + 1)) for k, new in enumerate(into)}).drop(name)
 
 
+def separate_wider_delim(df: DataFrame, name: str, delimiter: str, into: list[str], too_few: str = "error", too_many: str = "error", remove: bool = True) -> DataFrame:
+    """Parts of a text as columns, with a rule for other numbers of parts than columns.
+
+    ``too_few``: ``error``, ``align_start`` (nulls behind), ``align_end`` (nulls before) or ``debug``;
+    ``too_many``: ``error``, ``drop``, ``merge`` (the rest stays in the last) or ``debug``.  With ``debug`` the text stays,
+    and ``_ok``, ``_pieces`` and ``_remainder`` tell of each row.  A null text has null parts and is no error.
+    """
+    want = len(into)
+    parts = F.split(F.col(name), re.escape(delimiter))
+    n = F.size(parts)
+    shift = F.when((n < want) & F.lit(too_few == "align_end"), want - n).otherwise(0)
+    rest = F.array_join(F.slice(parts, F.lit(want), F.greatest(n - want + 1, F.lit(1))), delimiter)
+
+    def part(k: int) -> Column:
+        got = F.get(parts, F.lit(k) - shift)
+        return F.when(n > want, rest).otherwise(got) if too_many == "merge" and k == want - 1 else got
+
+    wrong = [F.when(n < want, F.raise_error(F.concat(F.lit(f"too few parts of {name}: "), F.col(name))))] if too_few == "error" else []
+    wrong += [F.when(n > want, F.raise_error(F.concat(F.lit(f"too many parts of {name}: "), F.col(name))))] if too_many == "error" else []
+    checked = df.where(F.coalesce(*(w.cast("boolean") for w in wrong), F.lit(True))) if wrong else df
+    out = checked.withColumns({new: part(k) for k, new in enumerate(into)})
+    debug = "debug" in (too_few, too_many)
+    if debug:
+        over = F.array_join(F.slice(parts, F.lit(want + 1), F.greatest(n - want, F.lit(0))), delimiter)
+        left = F.when(n > want, F.concat(F.lit(delimiter), over)).when(F.col(name).isNotNull(), "")
+        out = out.withColumns({f"{name}_ok": F.coalesce(n == want, F.lit(True)), f"{name}_pieces": F.when(F.col(name).isNotNull(), n), f"{name}_remainder": left})
+    return out.drop(name) if remove and not debug and name not in into else out
+
+
 def separate_longer(df: DataFrame, name: str, delimiter: str) -> DataFrame:
     """A row for each part; a null stays a row."""
     return df.withColumn(name, F.explode_outer(F.split(F.col(name), re.escape(delimiter))))
@@ -121,9 +201,10 @@ def separate_longer_position(df: DataFrame, name: str, width: int) -> DataFrame:
     return kept.withColumn(name, F.explode_outer(F.transform(starts, lambda s: F.substring(F.col(name), s, F.lit(width)))))
 
 
-def unite(df: DataFrame, name: str, columns: list[str], separator: str = "_", remove: bool = True) -> DataFrame:
-    """Columns joined by a separator; nulls are left out."""
-    out = df.withColumn(name, F.concat_ws(separator, *(F.col(c).cast("string") for c in columns)))
+def unite(df: DataFrame, name: str, columns: list[str], separator: str = "_", remove: bool = True, na_rm: bool = True) -> DataFrame:
+    """Columns joined by a separator; nulls are left out, or with ``na_rm=False`` said as NA."""
+    said = [F.col(c).cast("string") for c in columns]
+    out = df.withColumn(name, F.concat_ws(separator, *(said if na_rm else [F.coalesce(c, F.lit("NA")) for c in said])))
     return out.drop(*[c for c in columns if c != name]) if remove else out
 
 

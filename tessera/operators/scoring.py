@@ -6,6 +6,8 @@ whatever the number of scored rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +74,12 @@ def disagreements(df: DataFrame, columns: dict[str, int], gold: str = "gold", pr
     return df.where(~F.col(gold).eqNullSafe(F.col(pred))).withColumns(cut)
 
 
-def metric_bootstrap(counts: DataFrame, by: list[str], metric: str, replicates: int, seed: int) -> DataFrame:
+def metric_bootstrap(counts: DataFrame, by: list[str], metric: "str | Callable", replicates: int, seed: int) -> DataFrame:
     """Percentile interval (95 %) of a metric over resampled rows.
 
+    ``metric``: ``accuracy``, ``kappa``, ``macro_f1``, or a function of (draws, gold, pred): a matrix of row counts, a
+    line a replicate and a column a cell, and the labels of the cells; it gives one number a replicate.
+
     A resample of rows is a multinomial draw over their cells, so replicates cost the cells only,
     whatever the number of rows.  Replicates of fewer than two reference classes are left out.
     """
@@ -92,7 +97,9 @@ def metric_bootstrap(counts: DataFrame, by: list[str], metric: str, replicates:
         support = np.stack([draws[:, gold == c].sum(axis=1) for c in classes], axis=1)
         called = np.stack([draws[:, pred == c].sum(axis=1) for c in classes], axis=1)
         total = draws.sum(axis=1)
-        if metric == "accuracy":
+        if callable(metric):
+            values = np.asarray(metric(draws, gold, pred), float)
+        elif metric == "accuracy":
             values = tp.sum(axis=1) / total
         elif metric == "kappa":
             pe = (support * called).sum(axis=1) / total**2.0

@@ -130,3 +130,13 @@ def require(df: DataFrame, names: list[str]) -> DataFrame:
 def across(df: DataFrame, rules: list, functions: dict[str, Callable], names: str = "{col}_{fn}", keys: tuple[str, ...] = ()) -> list:
     """Columns of every function over every chosen column but the keys."""
     return [fn(F.col(c)).alias(names.format(col=c, fn=n)) for c in resolve(df, *rules) if c not in keys for n, fn in functions.items()]
+
+
+def pick(df: DataFrame, *rules: Rule | str) -> list[Column]:
+    """The chosen columns, for ``groupBy``, ``select`` or as fields of a struct."""
+    return [F.col(f"`{c}`") for c in resolve(df, *rules)]
+
+
+def c_across(df: DataFrame, *rules: Rule | str) -> Column:
+    """The chosen columns of a row as one array, to be summed up row by row."""
+    return F.array(*pick(df, *rules))

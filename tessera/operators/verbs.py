@@ -5,6 +5,8 @@ Ties are always broken by an explicit key, never by arrival.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -56,6 +58,23 @@ def add_count(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     return df.join(sizes, test).select(*df.columns, name)
 
 
+class Grouped(NamedTuple):
+    """A table and the columns that it is grouped by."""
+
+    df: DataFrame
+    by: tuple[str, ...]
+
+
+def summarise_groups(grouped: Grouped, groups: str = "drop_last", **columns: Column) -> Grouped:
+    """One row a group, and what stays of the grouping: all but the last column, ``drop`` none, ``keep`` all,
+    ``rowwise`` every column, so that each row is a group."""
+    out = summarise(grouped.df, list(grouped.by), **columns)
+    rest = {"drop_last": grouped.by[:-1], "drop": (), "keep": grouped.by, "rowwise": tuple(out.columns)}
+    if groups not in rest:
+        raise ValueError(f"{groups} is no grouping")
+    return Grouped(out, rest[groups])
+
+
 def summarise(df: DataFrame, by, **columns: Column) -> DataFrame:
     return df.groupBy(*_names(by)).agg(*(c.alias(n) for n, c in columns.items()))
 
@@ -259,3 +278,13 @@ def slice_fraction(df: DataFrame, fraction: float, key: list[str], seed: int = 4
 def rows_with_domain(df: DataFrame, domain: DataFrame, key: str, fill: dict) -> DataFrame:
     """Groups of a domain, those without rows as well."""
     return domain.join(df, key, "left").fillna(fill)
+
+
+def pack_counts(df: DataFrame, by, value: str, name: str = "counts") -> DataFrame:
+    """For each group its values with their counts as one JSON object, the most frequent first, then by value.
+
+    Nulls are not counted.  A group's object has as many entries as the group has distinct values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*_names(by), F.col(value).cast("string").alias("k")).agg(F.count("*").alias("n"))
+    entries = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "k")))
+    return counted.groupBy(*_names(by)).agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"], -e["m"])))).alias(name))

@@ -542,3 +542,63 @@ def semi_and_anti(s, d):
     c = T(s, d, "customer").select("c_custkey")
     o = T(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return c.join(o, "c_custkey", "left_semi").withColumn("big", F.lit(True)).unionByName(c.join(o, "c_custkey", "left_anti").withColumn("big", F.lit(False)))
+
+
+@REG.query(
+    "pivot_wider_values",
+    """SELECT o_orderstatus, count(*) FILTER (p = 1 AND y = 0) AS "n of 1 in 0", count(*) FILTER (p = 1 AND y = 1) AS "n of 1 in 1", count(*) FILTER (p = 2 AND y = 0) AS "n of 2 in 0", count(*) FILTER (p = 2 AND y = 1) AS "n of 2 in 1",
+  max(o_orderkey) FILTER (p = 1 AND y = 0) AS "last of 1 in 0", max(o_orderkey) FILTER (p = 1 AND y = 1) AS "last of 1 in 1", max(o_orderkey) FILTER (p = 2 AND y = 0) AS "last of 2 in 0", max(o_orderkey) FILTER (p = 2 AND y = 1) AS "last of 2 in 1", count(DISTINCT o_custkey) AS customers
+FROM (SELECT *, left(o_orderpriority, 1)::INT AS p, (o_custkey % 2)::INT AS y FROM orders) GROUP BY 1""",
+)
+def pivot_wider_values(s, d):
+    orders = T(s, d, "orders").select("o_orderstatus", "o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("p"), (F.col("o_custkey") % 2).cast("int").alias("y"))
+    values = {"n": F.count(F.lit(1)), "last": F.max("o_orderkey")}
+    return R.pivot_wider_values(orders, ["o_orderstatus"], {"p": [1, 2], "y": [0, 1]}, values, fill={"n": 0}, names_glue="{.value} of {p} in {y}", unused={"customers": F.countDistinct("o_custkey")})
+
+
+@REG.query("pivot_longer_sep", "SELECT s_suppkey, 'bal' AS kind, 1 AS turn, s_acctbal AS amount FROM supplier UNION ALL SELECT s_suppkey, 'nat', 2, s_nationkey::DOUBLE FROM supplier")
+def pivot_longer_sep(s, d):
+    wide = T(s, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("bal-1"), F.col("s_nationkey").cast("double").alias("nat-2"))
+    return R.pivot_longer_sep(wide, ["bal-1", "nat-2"], "-", ["kind", "turn"], "amount", {"turn": "int"})
+
+
+@REG.query("separate_uneven", "SELECT p_partkey, w[1] AS first, w[2] AS second, CASE WHEN len(w) > 2 THEN array_to_string(w[3:], ' ') ELSE w[3] END AS rest FROM (SELECT p_partkey, string_split(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' and more' WHEN p_partkey % 3 = 1 THEN ' one' ELSE '' END, ' ') AS w FROM part)")
+def separate_uneven(s, d):
+    k = F.col("p_partkey") % 3
+    named = T(s, d, "part").select("p_partkey", F.concat("p_name", F.when(k == 0, " and more").when(k == 1, " one").otherwise("")).alias("name"))
+    return R.separate_wider_delim(named, "name", " ", ["first", "second", "rest"], too_few="align_start", too_many="merge")
+
+
+@REG.query("packed_counts", "SELECT event_type, '{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY n DESC, k) || '}' AS counts FROM (SELECT event_type, (user_id % 7)::VARCHAR AS k, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL) GROUP BY 1")
+def packed_counts(s, d):
+    events = T(s, d, "events").select("event_type", (F.col("user_id") % 7).alias("k"))
+    return V.pack_counts(events, "event_type", "k")
+
+
+@REG.query("parsed_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS day FROM orders")
+def parsed_dates(s, d):
+    """Dates read from texts of two formats and some without a date."""
+    k = F.col("o_orderkey") % 3
+    said = F.when(k == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("undated")
+    return T(s, d, "orders").select("o_orderkey", Y.parse_date(said, "yyyy-MM-dd", "dd/MM/yyyy").alias("day"))
+
+
+@REG.query("printed_labels", "SELECT event_type, format('{:,}', count(*) * 1000) AS n, (round(100.0 * count(*) FILTER (value > 50) / count(*), 1))::DECIMAL(9, 1)::VARCHAR || '%' AS share FROM events GROUP BY 1")
+def printed_labels(s, d):
+    counts = T(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("m"))
+    return counts.select("event_type", Y.comma(F.col("n") * 1000).alias("n"), Y.percent(F.col("m") / F.col("n"), 1).alias("share"))
+
+
+@REG.query("picked_rows", "SELECT l_orderkey, l_linenumber, greatest(l_quantity, l_discount, l_tax) AS most FROM lineitem WHERE l_quantity + l_discount + l_tax > 30")
+def picked_rows(s, d):
+    lines = T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    each = Z.c_across(lines, "l_quantity", "l_discount", "l_tax")
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return lines.where(total > 30).select(*Z.pick(lines, "l_orderkey", "l_linenumber"), F.array_max(each).alias("most"))
+
+
+@REG.query("summarise_twice", "SELECT o_orderstatus, count(*) AS priorities, max(n) AS most FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1")
+def summarise_twice(s, d):
+    """Counts by two columns, of which the first stays the grouping of the next summary."""
+    first = V.summarise_groups(V.Grouped(T(s, d, "orders"), ("o_orderstatus", "o_orderpriority")), n=F.count("*"))
+    return V.summarise_groups(first, priorities=F.count("*"), most=F.max("n")).df

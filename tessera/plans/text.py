@@ -139,6 +139,18 @@ def html_links(s, d):
     return O.page_links(table(s, d, "pages").select("page_id", "html"), "html", "https://example.org")
 
 
+_TABLE_ROW = "'<tr><td>' || s_suppkey || '</td><td><b>' || s_name || '</b> x</td><td><a class=\"f\" href=\"' || CASE WHEN s_suppkey % 2 = 0 THEN 'http://e.org/' ELSE '/v' END || s_suppkey || '.pdf\">get</a></td></tr>'"
+
+
+@REG.query("table_links", "SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY s_suppkey)::INT AS position, s_name || ' x' AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'http://e.org/' ELSE 'https://example.org/v' END || s_suppkey || '.pdf' AS link FROM (SELECT s_nationkey AS nation, s_suppkey, s_name FROM supplier)")
+def table_links(s, d):
+    """Links of HTML tables made of suppliers, one table a nation, with a row of too few cells first."""
+    rows = table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.expr(_TABLE_ROW).alias("row"))
+    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "row"))), lambda x: x["row"]), "\n")
+    pages = rows.groupBy("nation").agg(F.concat(F.lit("<table><tr><th>n</th><td>head</td></tr>"), one, F.lit("</table>")).alias("html"))
+    return O.table_links(pages, "html", "https://example.org")
+
+
 @REG.query("whitespace_keys", r"SELECT doc_id, lower(trim(regexp_replace(source || '  ' || lang || chr(10) || ' X', '\s+', ' ', 'g'))) AS key, regexp_replace(source || ' ' || lang, '[^A-Za-z0-9]', '_', 'g') AS file FROM documents")
 def whitespace_keys(s, d):
     raw = F.concat("source", F.lit("  "), "lang", F.lit("\n X"))
