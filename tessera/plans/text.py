@@ -243,10 +243,38 @@ def validator_flags(s, d):
     return O.validator_flags(rows, "source", "class", "txt").select("id", "flags.*")
 
 
-@REG.query("error_taxonomy")
+#: Labels, texts and notes made of a part's key and name, so that every rule of the error classes is met.
+_CASES = {
+    "gold": "CASE WHEN k IN (3, 11) THEN 'REDTYPE' WHEN k IN (5, 6) THEN 'UNKNOWN' ELSE 'WHITE' END",
+    "pred": "CASE WHEN k IN (0, 3) THEN 'WHITE' WHEN k = 7 THEN 'UNKNOWN' ELSE 'YELLOW' END",
+    "notes": "CASE WHEN k = 1 THEN 'AUTO-FLAG: ' || p_name WHEN k = 2 THEN 'two different colours' WHEN k = 10 AND p_size > 25 THEN 'a Genus-Level note' END",
+    "raw": "CASE WHEN k = 4 THEN repeat('Text of a treatment. ', 3) || 'Distrib. Hills. DIPTEROCARPACEAE ' || repeat('More of it. ', p_size) WHEN k = 5 THEN 'Fruit a berry. ' || p_name WHEN k = 9 THEN 'Leaves hairy. ' || p_name ELSE p_name END",
+    "gold_text": "CASE WHEN k = 3 THEN 'flowers red and white' WHEN k = 8 THEN 'white, rarely pink' WHEN k = 11 THEN p_name END",
+    "pred_text": "CASE WHEN k = 9 THEN 'white' WHEN k = 11 THEN 'yellow' ELSE '' END",
+}
+_CASE_ROWS = f"SELECT p_partkey AS id, {', '.join(f'{x} AS {c}' for c, x in _CASES.items())} FROM (SELECT *, (p_partkey % 12)::INT AS k FROM part)"
+_SAID = "lower(coalesce(gold_text, '') || ' ' || coalesce(pred_text, ''))"
+_FOUND = lambda *words: f"regexp_matches({_SAID}, '\\b({'|'.join(words)})\\b')"
+
+
+@REG.query(
+    "error_taxonomy",
+    rf"""WITH r AS ({_CASE_ROWS}), f AS (SELECT *, {_FOUND(*O.REDDISH)} AS red, {_FOUND('white', 'whitish')} AS white, {_FOUND('yellow', 'golden')} AS yellow, regexp_extract(raw, '{O.FAMILY}', 1) AS family FROM r),
+t AS (SELECT *, strpos(raw, family) - 1 AS place FROM f)
+SELECT id, gold, pred, CASE WHEN gold = pred THEN 'CORRECT'
+  WHEN coalesce(notes, '') LIKE 'AUTO-FLAG%' OR contains(lower(coalesce(notes, '')), 'genus-level') OR contains(lower(coalesce(notes, '')), 'abbreviated genus') THEN 'JUNK_NON_SPECIES'
+  WHEN regexp_matches(upper(coalesce(notes, '')), 'TWO DIFFERENT COLOURS|CONTAMIN|CORYMBOSA') THEN 'CONTAMINATION'
+  WHEN red AND ((white AND gold = 'REDTYPE' AND pred = 'WHITE') OR (yellow AND gold = 'REDTYPE' AND pred = 'YELLOW') OR (yellow AND gold = 'YELLOW' AND pred = 'REDTYPE')) THEN 'CATEGORY_PRIORITY'
+  WHEN family <> '' AND place > 50 AND regexp_matches(substr(raw, greatest(1, place - 79), least(80, place)), '{O.ENDING}') AND length(raw) - place > 150 THEN 'CONTAMINATION'
+  WHEN regexp_matches(raw, '(?i){O.FRUIT}') AND pred <> 'UNKNOWN' AND gold = 'UNKNOWN' THEN 'FRUIT_BERRY_COLOR'
+  WHEN gold = 'UNKNOWN' AND pred <> 'UNKNOWN' THEN 'FALSE_POSITIVE' WHEN gold <> 'UNKNOWN' AND pred = 'UNKNOWN' THEN 'FALSE_NEGATIVE'
+  WHEN regexp_matches(coalesce(gold_text, ''), '(?i){O.SEVERAL_ERROR}') OR regexp_matches(coalesce(pred_text, ''), '(?i){O.SEVERAL_ERROR}') OR regexp_matches(left(raw, 500), '(?i){O.SEVERAL_ERROR}') THEN 'MULTI_COLOUR'
+  WHEN regexp_matches(raw, '(?i){O.INDUMENT}') AND (contains(lower(coalesce(pred_text, '')), 'white') OR contains(lower(coalesce(gold_text, '')), 'white')) THEN 'INDUMENT_TEXTURE' ELSE 'OTHER_MISMATCH' END AS error_class FROM t""",
+)
 def error_taxonomy(s, d):
-    rows = phrases(s, d).withColumns({"gold": C.to_class(C.categorise_v2(F.col("txt"))), "pred": C.to_class(C.categorise_v1(F.col("txt"))), "raw": F.concat(F.lit("Fruit a berry. "), "txt")})
-    return rows.select("id", "gold", "pred", O.error_class(F.col("raw"), F.col("txt"), F.col("txt"), F.lit(""), F.col("gold"), F.col("pred")).alias("error_class"))
+    rows = table(s, d, "part").withColumn("k", (F.col("p_partkey") % 12).cast("int")).select(F.col("p_partkey").alias("id"), *(F.expr(x).alias(c) for c, x in _CASES.items()))
+    found = O.error_class(*(F.col(c) for c in ("raw", "gold_text", "pred_text", "notes", "gold", "pred")))
+    return rows.select("id", "gold", "pred", found.alias("error_class"))
 
 
 @REG.query("description_scores", r"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 1 END AS score, p_partkey % 3 = 0 AS strong FROM part")
