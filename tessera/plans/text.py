@@ -86,14 +86,23 @@ def junk_flags(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), X.junk_flags(name, n).alias("flags"))
 
 
-@REG.query("noise_signs", r"""WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'see 1.0' || p_name ELSE p_name END AS text, split_part(p_name, ' ', 1) AS epithet FROM part),
-f AS (SELECT id, 'zero_O_boundary' AS signature, regexp_matches(text, '\d+\.0[a-z]{3,}') AS hit FROM t UNION ALL SELECT id, 'truncated_epithet_suspect', regexp_matches(epithet, '^[a-z]{3,8}$') AND NOT regexp_matches(epithet, '[aeious]$') FROM t)
-SELECT signature, count(*) FILTER (hit) AS count, round(100.0 * count(*) FILTER (hit) / count(*), 3) AS pct FROM f GROUP BY 1""")
+#: Texts of part names with each sign of noise in some; a fruit word and what is near it make the whole text.
+_NOISY = "CASE p_partkey % 6 WHEN 0 THEN 'see 1.0' || p_name WHEN 1 THEN repeat('Text of a treatment. ', 3) || 'Cultivated in hills. DIPTEROCARPACEAE ' || repeat('More. ', p_size) WHEN 2 THEN 'berries ' || p_name WHEN 3 THEN p_name || ' fruit and flower' ELSE p_name END"
+
+
+@REG.query(
+    "noise_signs",
+    rf"""WITH t AS (SELECT {_NOISY} AS text, split_part(p_name, ' ', 1) AS epithet, lpad(p_partkey::VARCHAR, 9, '0') AS name FROM part), p AS (SELECT *, regexp_extract(text, '{O.FAMILY}', 1) AS family FROM t), q AS (SELECT *, strpos(text, family) - 1 AS place FROM p),
+f AS (SELECT name, 'zero_O_boundary' AS signature, regexp_matches(text, '\d+\.0[a-z]{{3,}}') AS hit FROM q UNION ALL SELECT name, 'truncated_epithet_suspect', regexp_matches(epithet, '^[a-z]{{3,8}}$') AND NOT regexp_matches(epithet, '[aeious]$') FROM q
+  UNION ALL SELECT name, 'cross_family_contamination', family <> '' AND place > 50 AND regexp_matches(substr(text, greatest(1, place - 79), least(80, place)), '{O.ENDING}') AND length(text) - place > 150 FROM q
+  UNION ALL SELECT name, 'fruit_near_color', regexp_matches(text, '(?i){O.FRUIT}') AND regexp_matches(text, '(?i){O.ERROR_COLOURS}') AND NOT regexp_matches(text, '(?i){O.FLOWER}') FROM q),
+e AS (SELECT signature, string_agg(name, '; ' ORDER BY name) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY name) AS r FROM f WHERE hit) WHERE r <= 8 GROUP BY 1)
+SELECT signature, count(*) FILTER (hit) AS count, round(100.0 * count(*) FILTER (hit) / count(*), 3) AS pct, coalesce(any_value(examples), '') AS examples FROM f LEFT JOIN e USING (signature) GROUP BY 1""",
+)
 def noise_signs(s, d):
-    """The operator's own signatures that SQL can say, on part names as texts and epithets."""
-    name, key = F.col("p_name"), F.col("p_partkey")
-    rows = table(s, d, "part").select(F.when(key % 3 == 0, F.concat(F.lit("see 1.0"), name)).otherwise(name).alias("text"), F.split_part(name, F.lit(" "), F.lit(1)).alias("epithet"), F.lpad(key.cast("string"), 9, "0").alias("name"))
-    return O.noise_signatures(rows, "text", "epithet", "name").where("signature in ('zero_O_boundary', 'truncated_epithet_suspect')").select("signature", "count", "pct")
+    """The operator's own signatures, on part names as texts and epithets."""
+    rows = table(s, d, "part").select(F.expr(_NOISY).alias("text"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("epithet"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("name"))
+    return O.noise_signatures(rows, "text", "epithet", "name")
 
 
 _HINTS = " OR ".join(f"contains(t, '{h}')" for h in X.HINTS)
