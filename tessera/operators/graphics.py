@@ -72,16 +72,16 @@ def density(df: DataFrame, by: list[str], value: str, low: float, high: float, p
     """(by, x, density): Gaussian kernel density on a grid, by rule-of-thumb bandwidth, from binned counts."""
     width = (high - low) / bins
     inside = df.where(F.col(value).between(low, high))
-    counts = inside.groupBy(*by, _binned(df, by, value, low, high, bins).alias("bin")).agg(F.count("*").alias("m"))
-    at = counts.withColumn("c", F.lit(low) + (F.col("bin") - 0.5) * width)
-    moments = at.groupBy(*by).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("c")).alias("s1"))
-    centred = join_groups(at, moments, by).withColumn("mean", F.col("s1") / F.col("n"))
-    spread = centred.groupBy(*by).agg(F.sum(F.col("m") * (F.col("c") - F.col("mean")) ** 2).alias("ss"))
-    sd = F.sqrt(F.col("ss") / F.greatest(F.col("n") - 1, F.lit(1)))
-    bandwidth = 0.9 * F.when(sd > 0, sd).otherwise(width) * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    each = join_groups(centred, spread, by).withColumn("h", bandwidth).withColumn("x", F.explode(_grid(low, high, points)))  # bins times points
-    kernel = F.sum(F.col("m") * F.exp(-0.5 * ((F.col("x") - F.col("c")) / F.col("h")) ** 2))
-    return each.groupBy(*by, "x", "n", "h").agg(kernel.alias("k")).select(*by, "x", (F.col("k") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    counts = inside.groupBy(*by, _binned(df, by, value, low, high, bins).alias("__bin")).agg(F.count("*").alias("__m"))
+    at = counts.withColumn("__c", F.lit(low) + (F.col("__bin") - 0.5) * width)
+    moments = at.groupBy(*by).agg(F.sum("__m").alias("__n"), F.sum(F.col("__m") * F.col("__c")).alias("__s1"))
+    centred = join_groups(at, moments, by).withColumn("__mean", F.col("__s1") / F.col("__n"))
+    spread = centred.groupBy(*by).agg(F.sum(F.col("__m") * (F.col("__c") - F.col("__mean")) ** 2).alias("__ss"))
+    sd = F.sqrt(F.col("__ss") / F.greatest(F.col("__n") - 1, F.lit(1)))
+    bandwidth = 0.9 * F.when(sd > 0, sd).otherwise(width) * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
+    each = join_groups(centred, spread, by).withColumn("__h", bandwidth).withColumn("x", F.explode(_grid(low, high, points)))  # bins times points
+    kernel = F.sum(F.col("__m") * F.exp(-0.5 * ((F.col("x") - F.col("__c")) / F.col("__h")) ** 2))
+    return each.groupBy(*by, "x", "__n", "__h").agg(kernel.alias("__k")).select(*by, "x", (F.col("__k") / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def smooth(df: DataFrame, by: list[str], x: str, y: str, low: float, high: float, bandwidth: float, points: int = 80, bins: int = 1024) -> DataFrame:
@@ -90,15 +90,15 @@ def smooth(df: DataFrame, by: list[str], x: str, y: str, low: float, high: float
     A grid point without two bins of other means in reach has the weighted mean, one without any is null.
     """
     used = df.where(F.col(x).between(low, high) & F.col(y).isNotNull())
-    sums = used.groupBy(*by, _binned(df, by, x, low, high, bins).alias("bin")).agg(F.count("*").alias("m"), F.avg(F.col(x).cast("double")).alias("bx"), F.avg(F.col(y).cast("double")).alias("by_"))
-    each = sums.withColumn("x", F.explode(_grid(low, high, points))).withColumn("u", F.abs(F.col("bx") - F.col("x")) / bandwidth)
-    near = F.when(F.col("u") < 1, F.pow(1 - F.pow(F.col("u"), F.lit(3.0)), F.lit(3.0))).otherwise(0.0)
-    d = F.col("bx") - F.col("x")
-    weighed = each.withColumns({"w": F.col("m") * near, "d": d})
-    total = lambda c: F.sum(F.col("w") * c)
-    fit = weighed.groupBy(*by, "x").agg(F.sum("w").alias("s0"), total(F.col("d")).alias("s1"), total(F.col("d") * F.col("d")).alias("s2"), total(F.col("by_")).alias("t0"), total(F.col("d") * F.col("by_")).alias("t1"))
-    whole = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    fitted = F.when(whole > 1e-12 * F.col("s0") * F.col("s2"), (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / whole).when(F.col("s0") > 0, F.col("t0") / F.col("s0"))
+    sums = used.groupBy(*by, _binned(df, by, x, low, high, bins).alias("__bin")).agg(F.count("*").alias("__m"), F.avg(F.col(x).cast("double")).alias("__bx"), F.avg(F.col(y).cast("double")).alias("__by_"))
+    each = sums.withColumn("x", F.explode(_grid(low, high, points))).withColumn("__u", F.abs(F.col("__bx") - F.col("x")) / bandwidth)
+    near = F.when(F.col("__u") < 1, F.pow(1 - F.pow(F.col("__u"), F.lit(3.0)), F.lit(3.0))).otherwise(0.0)
+    d = F.col("__bx") - F.col("x")
+    weighed = each.withColumns({"__w": F.col("__m") * near, "__d": d})
+    total = lambda c: F.sum(F.col("__w") * c)
+    fit = weighed.groupBy(*by, "x").agg(F.sum("__w").alias("__s0"), total(F.col("__d")).alias("__s1"), total(F.col("__d") * F.col("__d")).alias("__s2"), total(F.col("__by_")).alias("__t0"), total(F.col("__d") * F.col("__by_")).alias("__t1"))
+    whole = F.col("__s0") * F.col("__s2") - F.col("__s1") * F.col("__s1")
+    fitted = F.when(whole > 1e-12 * F.col("__s0") * F.col("__s2"), (F.col("__s2") * F.col("__t0") - F.col("__s1") * F.col("__t1")) / whole).when(F.col("__s0") > 0, F.col("__t0") / F.col("__s0"))
     return fit.select(*by, "x", fitted.alias("fitted"))
 
 

@@ -173,10 +173,10 @@ def mpsrf(draws: DataFrame, by: list[str], parameter: str, chain: str = "chain",
     placed = row_number_within(whole, [*by, chain], [iteration], "__place")
     least = whole.groupBy(*by, chain).agg(F.count("*").alias("__n")).groupBy(*by).agg(F.min("__n").alias("__n"))
     used = join_groups(placed, least, by).where(F.col("__place") <= F.col("__n"))
-    means = used.select(*by, chain, F.posexplode("__v").alias("a", "x")).groupBy(*by, chain, "a").agg(F.avg("x").alias("m")).groupBy(*by, chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "m"))), lambda e: e["m"]).alias("__m"))
+    means = used.select(*by, chain, F.posexplode("__v").alias("__a", "__x")).groupBy(*by, chain, "__a").agg(F.avg("__x").alias("__y")).groupBy(*by, chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("__a", "__y"))), lambda e: e["__y"]).alias("__m"))
     centred = join_groups(used, means, [*by, chain]).withColumn("__c", F.zip_with("__v", "__m", lambda x, m: x - m))
-    products = centred.select(*by, chain, F.posexplode(F.flatten(F.transform("__c", lambda x: F.transform("__c", lambda y: x * y)))).alias("ab", "xy"))
-    scatter = products.groupBy(*by, chain, "ab").agg(F.sum("xy").alias("s")).groupBy(*by, chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("ab", "s"))), lambda e: e["s"]).alias("__s"))
+    products = centred.select(*by, chain, F.posexplode(F.flatten(F.transform("__c", lambda x: F.transform("__c", lambda y: x * y)))).alias("__ab", "__xy"))
+    scatter = products.groupBy(*by, chain, "__ab").agg(F.sum("__xy").alias("__s")).groupBy(*by, chain).agg(F.transform(F.sort_array(F.collect_list(F.struct("__ab", "__s"))), lambda e: e["__s"]).alias("__s"))
     known = join_groups(join_groups(scatter, means, [*by, chain]), least, by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,31 +194,31 @@ def mpsrf(draws: DataFrame, by: list[str], parameter: str, chain: str = "chain",
 
 
 def lagged_products(draws: DataFrame, by: list[str], iteration: str, value: str) -> DataFrame:
-    """(by, n, products): for each chain the sums of centred x(i) x(i + k), k = 0, 1, ... up to 10 log10(n).
+    """(by, __n, __products): for each chain the sums of centred x(i) x(i + k), k = 0, 1, ... up to 10 log10(n).
 
     A chain is cut into chunks of ``CHUNK`` draws, each with the first draws of the next as its edge.
     """
     from tessera.operators.ordered import row_number_within
 
     known = draws.where(F.col(value).isNotNull())
-    moments = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("__mean"))
-    lags = moments.withColumn("__lags", F.least(F.col("n") - 1, F.floor(10 * F.log10("n"))).cast("int"))
+    moments = known.groupBy(*by).agg(F.count("*").alias("__n"), F.avg(value).alias("__mean"))
+    lags = moments.withColumn("__lags", F.least(F.col("__n") - 1, F.floor(10 * F.log10("__n"))).cast("int"))
     placed = join_groups(row_number_within(known.select(*by, iteration, value), by, [iteration], "__place"), lags, by)
     at = F.col("__place") - 1
     own = F.floor(at / CHUNK)
     chunks = F.when((at % CHUNK < F.col("__lags")) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
-    one = placed.select(*by, "n", "__lags", F.explode(chunks).alias("__chunk"), F.struct(at.alias("i"), (F.col(value) - F.col("__mean")).alias("x")).alias("d"))
-    held = one.groupBy(*by, "n", "__lags", "__chunk").agg(F.sort_array(F.collect_list("d")).alias("d"))  # CHUNK and an edge
-    x = F.transform("d", lambda e: e["x"])
-    cut = held.select(*by, "n", "__lags", x.alias("x"), F.least(F.size("d"), F.lit(CHUNK)).alias("core"))
+    one = placed.select(*by, "__n", "__lags", F.explode(chunks).alias("__chunk"), F.struct(at.alias("i"), (F.col(value) - F.col("__mean")).alias("x")).alias("__d"))
+    held = one.groupBy(*by, "__n", "__lags", "__chunk").agg(F.sort_array(F.collect_list("__d")).alias("__d"))  # CHUNK and an edge
+    x = F.transform("__d", lambda e: e["x"])
+    cut = held.select(*by, "__n", "__lags", x.alias("__x"), F.least(F.size("__d"), F.lit(CHUNK)).alias("__core"))
 
     def product(k):
-        many = F.least(F.col("core"), F.size("x") - k)
-        return F.when(many > 0, F.aggregate(F.zip_with(F.slice("x", F.lit(1), many), F.slice("x", k + 1, many), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)).otherwise(0.0)
+        many = F.least(F.col("__core"), F.size("__x") - k)
+        return F.when(many > 0, F.aggregate(F.zip_with(F.slice("__x", F.lit(1), many), F.slice("__x", k + 1, many), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)).otherwise(0.0)
 
-    each = cut.select(*by, "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("__lags")), product)).alias("lag", "s"))
-    sums = each.groupBy(*by, "n", "lag").agg(F.sum("s").alias("s"))
-    return sums.groupBy(*by, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("lag", "s"))), lambda e: e["s"]).alias("products"))
+    each = cut.select(*by, "__n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("__lags")), product)).alias("__lag", "__s"))
+    sums = each.groupBy(*by, "__n", "__lag").agg(F.sum("__s").alias("__s"))
+    return sums.groupBy(*by, "__n").agg(F.transform(F.sort_array(F.collect_list(F.struct("__lag", "__s"))), lambda e: e["__s"]).alias("__products"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -250,7 +250,7 @@ def _chain_size(n: pd.Series, products: pd.Series) -> pd.Series:
 def effective_size(draws: DataFrame, by: list[str], chain: str = "chain", iteration: str = "iter", value: str = "value") -> DataFrame:
     """Effective sample size summed over chains; chains of any length, from their lagged products."""
     per = lagged_products(draws, [*by, chain], iteration, value)
-    return per.withColumn("e", _chain_size(F.col("n"), F.col("products"))).groupBy(*by).agg(F.sum("e").alias("ess"))
+    return per.withColumn("__e", _chain_size(F.col("__n"), F.col("__products"))).groupBy(*by).agg(F.sum("__e").alias("ess"))
 
 
 def converged(diagnostics: DataFrame, columns: list[str], threshold: float = 1.01) -> DataFrame:

@@ -63,3 +63,12 @@ def test_planes(spark):
         best = min(centres, key=lambda c: (c[0] - x) ** 2 + (c[1] - y) ** 2)
         near[round(best[0], 6), round(best[1], 6)] += 1
     assert got == near  # each row is at its nearest centre
+
+
+def test_keys_may_have_any_name(spark):
+    rows = [("p", float(k % 7), float(k)) for k in range(40)]
+    for name in ("m", "n", "bin", "s1", "h", "w", "u", "k"):
+        df = spark.createDataFrame(rows, f"{name} string, value double, other double")
+        assert G.density(df, [name], "value", 0.0, 10.0, points=3).columns == [name, "x", "density"]
+        assert G.smooth(df, [name], "value", "other", 0.0, 10.0, 5.0, points=3).columns == [name, "x", "fitted"]
+        assert G.ecdf(df, [name], "value").columns == [name, "value", "ecdf"]
