@@ -87,6 +87,18 @@ def test_join_equals_brute_force(spark, seed, width, percent, change, monkeypatc
     assert bool(phased) == (change.get("GROUP_MEMBERS", 500) < 50)
 
 
+def test_ngrams_travel_only_of_texts_that_share_a_key(spark, monkeypatch):
+    sent = []
+    plain = jaccard._packed
+    monkeypatch.setattr(jaccard, "_packed", lambda docs, *a: sent.extend(r.id for r in docs.collect()) or plain(docs, *a))
+    r = random.Random(5)
+    data = [(i, " ".join(r.choice("abcdefghij") for _ in range(300))) for i in range(60)]  # most shingles are those of others, too
+    data += [(100 + i, " ".join(data[i][1].split()[:-2])) for i in range(3)] + [(200, data[7][1])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(jaccard.near_groups(df, width=4, percent=85)) == brute_sets(data, 4, 85)
+    assert {0, 1, 2, 100, 101, 102} <= set(sent) and len(sent) < 20
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 99])
 def test_sets_that_link_share_a_key(percent):
     r = np.random.default_rng(percent)
