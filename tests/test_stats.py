@@ -173,3 +173,10 @@ def test_balanced_group_folds_equal_brute_force_and_spread_classes(spark):
     spread = {x.c: (x.n, x.least, x.most) for x in M.fold_deviation(parts, "c").collect()}
     assert all(spread[c][2] - spread[c][1] <= 0.08 * spread[c][0] + 2 for c in "bc")
     assert M.stratified_group_folds(df.limit(0), "g", "c").count() == 0
+
+
+def test_group_folds_in_ranges_equal_those_of_one_task(spark):
+    r = np.random.default_rng(9)
+    rows = [(f"g{g:03}", "abcde"[r.integers(5)]) for g in range(150) for _ in range(int(r.exponential(6)) + 1)] + [(None, "b"), ("g001", None)]
+    df = spark.createDataFrame(rows, "g string, c string")
+    assert {x.g: x.fold for x in M.stratified_group_folds(df, "g", "c", 5, balanced=25).select("g", "fold").distinct().collect()} == brute_group_folds(rows, 5)
