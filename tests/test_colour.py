@@ -69,3 +69,10 @@ def test_onehot_refuses_unknown(spark):
     assert run(spark, ["WHITE", "RED"][:1], lambda c: C.onehot(c, "WHITE")) == [1]
     with pytest.raises(Exception, match="not a known colour"):
         run(spark, ["UNKNOWN"], lambda c: C.onehot(c, "WHITE"))
+
+
+def test_a_category_is_found_once_a_row(spark):
+    from tessera.functions import text as X
+
+    said = str(X.stratum(C.categorise_v2(F.col("t")), F.col("t")))
+    assert said.count("regexp_extract") == 1
