@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from tessera.operators.ordered import MOST_RANGES, in_ranges, sorting
+from tessera.operators.ordered import MOST_RANGES, in_ranges, scanned, sorting
 from tessera.operators.verbs import join_groups, last_wins
 
 
@@ -188,6 +188,22 @@ def inequality_join(a: DataFrame, b: DataFrame, left: str, test: str, right: str
     return pairs.select(*columns).unionByName(alone, allowMissingColumns=True)
 
 
+def inequality_counts(a: DataFrame, b: DataFrame, left: str, test: str, right: str, name: str = "n", ranges: int | None = None) -> DataFrame:
+    """``a`` with the number of rows of ``b`` for which ``left test right`` holds, without making the pairs.
+
+    Both sides are one sequence in the order of the values, in which rows of ``b`` are counted; a null value has none.
+    """
+    if test not in _TESTS:
+        raise ValueError(f"{test} is no order")
+    kind = a.schema[left].dataType if a.schema[left].dataType == b.schema[right].dataType else T.DoubleType()
+    own = F.lit(1 if test in (">=", "<=") else 0)  # whether equal ones of b come before
+    one = a.select(F.col(left).cast(kind).alias("__x"), own.alias("__side"), F.lit(0).cast("long").alias("__one"), F.struct(*a.columns).alias("__a"))
+    two = b.where(F.col(right).isNotNull()).select(F.col(right).cast(kind).alias("__x"), (1 - own).alias("__side"), F.lit(1).cast("long").alias("__one"), F.lit(None).cast(T.StructType(a.schema.fields)).alias("__a"))
+    order = ["__x" if test in (">=", ">") else "-__x", "__side"]
+    seen = scanned(one.unionByName(two), order, ranges, __upto=F.col("__one")).where("__one = 0")
+    return seen.select("__a.*", F.when(F.col("__x").isNotNull(), F.col("__upto")).otherwise(0).alias(name))
+
+
 #: Rows of both sides of an inequality join in one range.
 MET_ROWS = 500_000
 #: Levels of the hierarchy of lengths below that of the whole span.

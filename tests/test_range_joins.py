@@ -92,3 +92,15 @@ def test_times_and_empty_tables(spark):
     assert J.interval_join(points.limit(0), times, "t", "low", "high").count() == J.interval_join(points, times.limit(0), "t", "low", "high").count() == 0
     _, _, left, right = sides(spark)
     assert J.inequality_join(left.limit(0), right.drop("k"), "t", ">", "u").count() == J.asof_join(left.limit(0), right, ["k"], "t", "u", ["tie"], "tie").count() == 0
+
+
+@pytest.mark.parametrize("test", [">=", ">", "<=", "<"])
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_counts_of_an_inequality_equal_those_of_its_pairs(spark, test, ranges):
+    r = random.Random(11)
+    left = [(i, None if i % 9 == 0 else r.randrange(30)) for i in range(120)]
+    right = [(None if j % 7 == 0 else r.randrange(30),) for j in range(90)]
+    a, b = spark.createDataFrame(left, "i int, x int"), spark.createDataFrame(right, "y int")
+    holds = {">=": lambda x, y: x >= y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, "<": lambda x, y: x < y}[test]
+    want = sorted((i, sum(holds(x, y) for (y,) in right if y is not None) if x is not None else 0) for i, x in left)
+    assert rows(J.inequality_counts(a, b, "x", test, "y", ranges=ranges), "i", "n") == want
