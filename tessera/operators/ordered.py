@@ -17,6 +17,8 @@ from tessera.operators.verbs import join_groups
 
 #: Rows of a range, ranges at most, and sampled keys a range.
 RANGE_ROWS, MOST_RANGES, SAMPLED = 2_000_000, 2000, 40
+#: Ranges up to which a row's range is found by a tree of comparisons instead of a loop over the bounds.
+TREE_RANGES = 32
 
 
 def _falls(name: str) -> tuple[str, bool]:
@@ -52,6 +54,16 @@ def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None, name:
     at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("keys", F.floor(i * F.size("keys") / ranges).cast("int")))
     bounds = sorted_keys.select(F.filter(at, lambda k: k.isNotNull()).alias("bounds")).scalar()
     with_bounds = df.withColumn("__key", key).withColumn("__bounds", bounds)
+    if ranges <= TREE_RANGES:  # comparisons of columns, which are compiled
+
+        def place(low: int, high: int) -> Column:
+            if low >= high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            above = (F.size("__bounds") > middle) & _before(F.get("__bounds", F.lit(middle)), F.col("__key"), order, True)
+            return F.when(above, place(middle + 1, high)).otherwise(place(low, middle))
+
+        return with_bounds.withColumn(name, place(0, ranges - 1)).drop("__key", "__bounds")
     span = F.struct(F.lit(0).alias("low"), F.size("__bounds").alias("high"))
 
     def halve(found: Column, _: Column) -> Column:
