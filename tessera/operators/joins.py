@@ -256,14 +256,36 @@ def _levels(df: DataFrame, level: str) -> list[int]:
     return sorted(r[0] for r in df.select(level).distinct().collect())
 
 
+#: Rows of a cell on either side that one part of it takes.
+CELL_ROWS = 4096
+
+
 def _met(probe: DataFrame, stored: DataFrame, scale: Hierarchy, p: str, s: str, levels: Column, by: tuple[str, ...]) -> DataFrame:
-    """Pairs that share a cell of the stored side's level, each in the first cell that both cover."""
-    cells = lambda x, at: F.explode(F.sequence(scale.cell(F.col(f"{x}low"), at), scale.cell(F.col(f"{x}high"), at)))
-    left = probe.withColumn("__level", F.explode(levels)).withColumn("__cell", cells(p, F.col("__level")))
-    right = stored.withColumn("__level", F.col(f"{s}level")).withColumn("__cell", cells(s, F.col("__level")))
-    met = left.join(right, ["__level", "__cell", *by])
-    first = F.greatest(scale.cell(F.col(f"{p}low"), F.col("__level")), scale.cell(F.col(f"{s}low"), F.col("__level")))
-    return met.where(F.col("__cell") == first).drop("__level", "__cell")
+    """Pairs that share a cell of the stored side's level, each in the first cell that both cover.
+
+    A cell of many rows is dealt out in parts of both sides, every pair of which meets, so that none is one task.
+    """
+
+    def in_cells(df: DataFrame, x: str, first: str) -> DataFrame:
+        at = F.col("__level")
+        begun = df.withColumn(first, scale.cell(F.col(f"{x}low"), at)).withColumn("__last", scale.cell(F.col(f"{x}high"), at))
+        return begun.withColumn("__cell", F.explode(F.sequence(first, "__last"))).drop("__last")
+
+    left = in_cells(probe.withColumn("__level", F.explode(levels)), p, "__p_first")
+    right = in_cells(stored.withColumn("__level", F.col(f"{s}level")), s, "__s_first")
+    keys = ["__level", "__cell", *by]
+    parts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
+    crowded = F.broadcast(parts(left, "__left").join(parts(right, "__right"), keys).where("__left > 1 or __right > 1"))  # a row for thousands
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        known = [F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+        number = F.pmod(F.xxhash64(*known), F.coalesce(own, F.lit(1))).cast("int")
+        return df.join(crowded, keys, "left").withColumns({f"{own}_part": number, f"{other}_part": F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("__left", "__right")
+
+    keys_of_parts = [*keys, "__left_part", "__right_part"]
+    tasks = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    met = dealt(left, "__left", "__right").repartition(tasks, *keys_of_parts).join(dealt(right, "__right", "__left"), keys_of_parts)
+    return met.where(F.col("__cell") == F.greatest("__p_first", "__s_first")).drop("__level", "__cell", "__p_first", "__s_first", "__left_part", "__right_part")
 
 
 def _within(x: Column, lower: str, upper: str, bounds: str) -> Column:

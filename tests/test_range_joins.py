@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tessera.operators import joins as J
 
@@ -104,3 +105,16 @@ def test_counts_of_an_inequality_equal_those_of_its_pairs(spark, test, ranges):
     holds = {">=": lambda x, y: x >= y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, "<": lambda x, y: x < y}[test]
     want = sorted((i, sum(holds(x, y) for (y,) in right if y is not None) if x is not None else 0) for i, x in left)
     assert rows(J.inequality_counts(a, b, "x", test, "y", ranges=ranges), "i", "n") == want
+
+
+def test_a_crowded_cell_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL_ROWS", 8)
+    left = [(i, None if i % 3 else float(i % 50), float(60 + i % 5)) for i in range(300)]  # open ends: all in the cells of the greatest length
+    right = [(j, float(j % 60), float(j % 60 + 2)) for j in range(200)]
+    a, b = spark.createDataFrame(left, "i int, lo double, hi double"), spark.createDataFrame(right, "j int, low double, high double")
+    want = sorted((i, j) for i, lo, hi in left for j, low, high in right if (lo is None or lo <= high) and low <= hi)
+    met = J.overlap_join(a, b, ("lo", "hi"), ("low", "high")).select("i", "j")
+    assert rows(met, "i", "j") == want
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    per_task = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(per_task) >= 4 and max(per_task) < 0.6 * len(want)
