@@ -265,3 +265,14 @@ def test_query_finds_the_articles_of_the_tables(spark):
     got = queries.op9_html(spark, DIR).collect()
     assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got)
     assert [r.page_id for r in got if r.text != plain_article(pages[r.page_id] or "")] == []
+
+
+def test_memory_of_one_operator_is_given_back_to_the_next(monkeypatch):
+    from tessera.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "_STATE", {})
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    for key in ("a", "a", "b", "b"):
+        common.worker_state(key, dict)
+    assert given == [1] and list(common._STATE) == ["b"]
