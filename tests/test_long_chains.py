@@ -89,6 +89,27 @@ def test_a_killed_run_goes_on_to_the_same_draws(spark, tmp_path):
     assert early.select(F.max("iter")).first()[0] < 20
 
 
+def test_rows_that_are_alike_are_sent_once_and_drawn_each(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    g, x, y = r.integers(0, 3, 900), r.integers(0, 4, 900) / 2, r.integers(0, 2, 900)
+    order = np.lexsort((y, x, g))
+    g, x, y = g[order], x[order], y[order]
+    distinct, counts = np.unique(np.column_stack([g, x, y]), axis=0, return_counts=True)
+    assert len(distinct) == 24
+    pair = lambda v: np.column_stack([np.ones(len(v)), v])
+    each = M.gibbs(y, pair(x), g, 40, 5, 1, 3)
+    for rows_ in (1 << 16, 7, 900):
+        monkeypatch.setattr(M, "LATENT_ROWS", rows_)
+        some = M.gibbs(distinct[:, 2].astype(int), pair(distinct[:, 1]), distinct[:, 0].astype(int), 40, 5, 1, 3, counts=counts)
+        assert some[0] == pytest.approx(each[0], rel=1e-9) and some[1] == pytest.approx(each[1], rel=1e-9)
+    data = spark.createDataFrame([("main", f"g{a}", float(b), int(c)) for a, b, c in zip(g, x, y, strict=True)], "variant string, genus string, z double, is_white int").repartition(5)
+    manifest = M.task_manifest(spark, [("main", "p")], [("WHITE", "is_white")], [3])
+    sent = M._alike(manifest, data, "variant", lambda c: c, ["z"], "genus")
+    assert sent.count() == 24 and sent.agg(F.sum("__rows")).first()[0] == 900
+    draws = M.fit_chains(manifest, data, "variant", lambda c: c, ["z"], "genus", 40, 5, 1)
+    assert [v for (v,) in draws.where("effect = 'z'").orderBy("iter").select("value").collect()] == pytest.approx(each[0][:, 1].tolist(), rel=1e-9)
+
+
 def test_weighted_sample_rates(spark):
     weights = {k: w for k, w in enumerate([1.0, 1.0, 2.0, 4.0, 8.0, 0.0])}
     rows_ = [(t, k, w) for t in range(2000) for k, w in weights.items()] + [(1, 9, None)]
