@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tessera.llm import graph, jaccard, vector_dedup
 
@@ -256,3 +257,13 @@ def test_an_unsplit_tree_after_a_split_one_is_used():
             later += 1
             assert set.intersection(*map(set, forest.leaves(1, v)))  # all pairs are compared
     assert later
+
+
+def test_many_ids_choose_rows_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_COPIES", 40)
+    rows = spark.range(6000).select(F.when(F.col("id") % 7 != 0, F.col("id") % 5000).alias("k"), F.col("id").alias("text"))
+    keys = rows.where("k is not null").select(F.col("k").alias("__id")).distinct()
+    ids, others = keys.where("__id % 3 = 0"), keys.where("__id % 3 <> 0")
+    found = jaccard._rows_of(rows, F.col("k"), ids, others)
+    assert sorted(r.text for r in found.collect()) == [i for i in range(6000) if i % 7 and i % 5000 % 3 == 0]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and "hashpartitioning(k" not in found._jdf.queryExecution().toString()
