@@ -267,3 +267,13 @@ def test_many_ids_choose_rows_where_they_are(spark, monkeypatch):
     found = jaccard._rows_of(rows, F.col("k"), ids, others)
     assert sorted(r.text for r in found.collect()) == [i for i in range(6000) if i % 7 and i % 5000 % 3 == 0]
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString() and "hashpartitioning(k" not in found._jdf.queryExecution().toString()
+
+
+def test_one_document_stays_of_many_groups(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    texts = [None if k == 5 else " ".join(words[k % 60 : k % 60 + 30]) for k in range(300)]
+    data = [(None if k % 50 == 7 else k % 280, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(jaccard.keep_one(docs).collect(), key=str)
+    monkeypatch.setattr(jaccard, "BROADCAST_COPIES", 10)
+    assert sorted(jaccard.keep_one(docs).collect(), key=str) == want
