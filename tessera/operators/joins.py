@@ -284,7 +284,8 @@ def _met(probe: DataFrame, stored: DataFrame, scale: Hierarchy, p: str, s: str,
 
     keys_of_parts = [*keys, "__left_part", "__right_part"]
     tasks = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    met = dealt(left, "__left", "__right").repartition(tasks, *keys_of_parts).join(dealt(right, "__right", "__left"), keys_of_parts)
+    # Both sides are dealt by number: a side dealt by its bytes, which say nothing of the pairs, would be one task where the other is broadcast.
+    met = dealt(left, "__left", "__right").repartition(tasks, *keys_of_parts).join(dealt(right, "__right", "__left").repartition(tasks, *keys_of_parts), keys_of_parts)
     return met.where(F.col("__cell") == F.greatest("__p_first", "__s_first")).drop("__level", "__cell", "__p_first", "__s_first", "__left_part", "__right_part")
 
 

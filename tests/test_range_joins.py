@@ -118,3 +118,16 @@ def test_a_crowded_cell_is_dealt_out(spark, monkeypatch):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     per_task = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(per_task) >= 4 and max(per_task) < 0.6 * len(want)
+
+
+@pytest.mark.parametrize("small", ["left", "right"])
+def test_a_small_side_leaves_the_other_dealt_out(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "CELL_ROWS", 64)
+    points, intervals = (30, 4000) if small == "left" else (4000, 30)
+    a = spark.range(points).select(F.col("id").alias("p"), (F.col("id") % 50).cast("double").alias("x"))
+    b = spark.range(intervals).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, (F.col("id") % 40).cast("double")).alias("lo"), F.lit(None).cast("double").alias("hi"))
+    met = J.interval_join(a, b, "x", "lo", "hi").select("p", "i")
+    want = sum(i % 3 > 0 or p % 50 >= i % 40 for p in range(points) for i in range(intervals))
+    per_task = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(per_task) == want and len(per_task) == 4 and max(per_task) < 0.6 * want
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2  # else bytes decide on the tasks of one side
